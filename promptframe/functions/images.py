@@ -19,7 +19,9 @@ def image_text(content: Column, suffix: Column) -> Column:
     """Bracketed data URI of a binary image column; NULL for other suffixes."""
     mime = F.element_at(F.create_map(*[F.lit(x) for kv in IMAGE_TYPES.items() for x in kv]),
                         F.lower(suffix))
-    return F.concat(F.lit("[data:"), mime, F.lit(";base64,"), F.base64(content), F.lit("]"))
+    # Spark breaks the encoded text into lines
+    encoded = F.translate(F.base64(content), "\r\n", "")
+    return F.concat(F.lit("[data:"), mime, F.lit(";base64,"), encoded, F.lit("]"))
 
 
 def images(prompt: Column) -> Column:

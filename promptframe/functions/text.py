@@ -11,35 +11,45 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, rf"(?U)^{space}", ""), rf"(?U){space}\z", "")
 
 
+def _exponent_text(col: Column) -> Column:
+    """Exponent notation with the fewest digits that read back as the same double."""
+    texts = [F.format_string(f"%.{digits - 1}e", col) for digits in (15, 16, 17)]
+    return (F.when(texts[0].cast("double") == col, texts[0])
+            .when(texts[1].cast("double") == col, texts[1]).otherwise(texts[2]))
+
+
 def double_text(col: Column) -> Column:
     """Shortest decimal text of a double: 0.0001, 10000000.0, 1e+16, inf.
 
-    Plain notation for 1e-4 <= |x| < 1e16, otherwise an exponent of at least
-    two digits with its sign.
+    Plain notation for 1e-4 <= |x| < 1e16, otherwise an exponent of at least two
+    digits with its sign.
     """
-    text = col.cast("string")
-    bare = F.ltrim(text, F.lit("-"))
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    mantissa = F.substring_index(bare, "E", 1)
-    exponent = F.substring_index(bare, "E", -1).cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
-    n_digits = F.length(digits)
-    # exponent notation starts at 1e7 in Spark but at 1e16 here
-    grown = F.when(
-        n_digits <= exponent + 1, F.concat(F.rpad(digits, exponent + 1, "0"), F.lit(".0"))
-    ).otherwise(
-        F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."),
-                 F.substring(digits, exponent + 2, n_digits)))
+    col = col.cast("double")
+    text = F.abs(col).cast("string")
+    # Spark's own text is right if it is plain and short; long ones may not be shortest
+    plain = ~F.contains(text, F.lit("E")) & (F.length(text) < 16)
+    exact = _exponent_text(F.abs(col))
+    exponent = F.substring_index(exact, "e", -1).cast("int")
+    digits = F.rtrim(F.replace(F.substring_index(exact, "e", 1), F.lit("."), F.lit("")), F.lit("0"))
+    n = F.length(digits)
+    whole = F.when(
+        n <= exponent + 1, F.concat(F.rpad(digits, exponent + 1, F.lit("0")), F.lit(".0"))
+    ).otherwise(F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."),
+                         F.substring(digits, exponent + 2, n)))
+    fraction = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    size = F.abs(exponent).cast("string")
     scientific = F.concat(
-        F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"),
-        F.when(exponent < 0, "-").otherwise("+"),
-        F.when(F.abs(exponent) < 10, F.concat(F.lit("0"), F.abs(exponent).cast("string")))
-        .otherwise(F.abs(exponent).cast("string")))
+        F.substring(digits, 1, 1),
+        F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""),
+        F.when(exponent < 0, "e-").otherwise("e+"),
+        F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
     body = (
-        F.when(~F.contains(bare, F.lit("E")), bare)
-        .when((exponent >= 7) & (exponent < 16), grown)
-        .when(exponent == -4, F.concat(F.lit("0.000"), digits))
+        F.when(plain, text)
+        .when((exponent >= 0) & (exponent < 16), whole)
+        .when((exponent < 0) & (exponent >= -4), fraction)
         .otherwise(scientific))
+    # the text of -0.0 has a sign that no comparison shows
+    sign = F.when(col.cast("string").startswith("-"), "-").otherwise("")
     return (
         F.when(col.isNull() | F.isnan(col), "")
         .when(F.abs(col) == float("inf"), F.concat(sign, F.lit("inf")))
