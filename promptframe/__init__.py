@@ -1,5 +1 @@
 """Prompt grids and their answers as Spark DataFrames."""
-
-from promptframe.session import configure, shared_dir
-
-__all__ = ["configure", "shared_dir"]

@@ -12,6 +12,7 @@ from promptframe.operators.lookup import KEYS
 from promptframe.operators.runs import RunKey, public_args
 from promptframe.operators.store import ResultStore, spread
 from promptframe.operators.usage import with_usage
+from promptframe.session import shared_dir
 
 BATCH_DISCOUNT = 0.5
 # Fixed values of a request line.
@@ -51,12 +52,17 @@ def submit(pending: DataFrame, batch_id: str) -> DataFrame:
     return queued.withColumns({"state": F.lit("submitted"), "batch_id": F.lit(batch_id)})
 
 
-def read_batch_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of answer files named ``<batch id>.jsonl``: ``batch_id``, ``line``, ``at``."""
-    return spark.read.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("batch_id"),
-        F.col("value").alias("line"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"),
+def read_batch_lines(spark: SparkSession, path: str, batch_id: str | None = None) -> DataFrame:
+    """Lines of answer files: ``batch_id``, ``line``, ``at``.
+
+    Files are named ``<batch id>.jsonl``, or all belong to the batch that is given.
+    """
+    lines = spark.read.text(path)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+    return lines.select(
+        (F.lit(batch_id) if batch_id else name).alias("batch_id"), F.col("value").alias("line"),
+        F.struct(F.col("_metadata.file_name").alias("file"),
+                 F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("row")).alias("at"))
 
 
@@ -113,10 +119,8 @@ def resolve(pending: DataFrame, finished: DataFrame) -> DataFrame:
 
 def settle(store: ResultStore, finished: DataFrame) -> int:
     """Move finished requests into the results; returns how many are still waiting."""
-    from promptframe.session import shared_dir
-
     path = shared_dir(store.spark, "resolved")
-    spread(resolve(store.pending(), finished), None).write.parquet(path)
+    spread(resolve(store.pending(), finished)).write.parquet(path)
     resolved = store.spark.read.parquet(path)
     done = resolved.filter(F.col("state") == "done")
     store.append(done)
@@ -126,13 +130,11 @@ def settle(store: ResultStore, finished: DataFrame) -> int:
 
 def submit_queued(store: ResultStore, path: str, batch_id: str) -> None:
     """Write the request file of everything queued and mark it submitted."""
-    from promptframe.session import shared_dir
-
     frozen = shared_dir(store.spark, "submitted")
     submit(store.pending(), batch_id).write.parquet(frozen)
     rows = store.spark.read.parquet(frozen)
     write_requests(rows, path)
-    store.append_pending(spread(rows, None))
+    store.append_pending(spread(rows))
 
 
 def prices_table(spark: SparkSession, prices: Mapping[str, Mapping[str, float]]) -> DataFrame:

@@ -14,13 +14,14 @@ from collections.abc import Iterator, Mapping, Sequence
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from promptframe.functions.images import images, without_images
 from promptframe.operators import usage as money
 from promptframe.operators.grid import distinct_work, work
 from promptframe.operators.runs import RunKey, public_args, public_dict
 from promptframe.operators.store import ResultStore, spread
+from promptframe.session import shared_dir
 
 ANSWER_SCHEMA = "response string, cost_value double, elapsed_time double, error string"
 DEFAULT_STUB = "Stub response from the dummy model."
@@ -120,8 +121,7 @@ def stub_answers(missing: DataFrame, text: str = DEFAULT_STUB, cost: float = 0.0
 
 def call_provider(missing: DataFrame, provider: Provider) -> DataFrame:
     """Rows of ``missing`` plus the provider's answer; opened once per partition with rows."""
-    columns = missing.columns
-    names = ["response", "cost_value", "elapsed_time", "error"]
+    names = [*missing.columns, *T.StructType.fromDDL(ANSWER_SCHEMA).fieldNames()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = False
@@ -140,15 +140,12 @@ def call_provider(missing: DataFrame, provider: Provider) -> DataFrame:
                 out["cost_value"] = answers["cost_value"] if "cost_value" in answers else None
                 out["elapsed_time"] = answers["elapsed_time"] if "elapsed_time" in answers else took
                 out["error"] = answers["error"] if "error" in answers else None
-                yield out[[*columns, *names]]
+                yield out[names]
         finally:
             if opened:
                 provider.close()
 
-    schema = missing.withColumns({
-        "response": F.lit("").cast("string"), "cost_value": F.lit(0.0), "elapsed_time": F.lit(0.0),
-        "error": F.lit("").cast("string")}).schema
-    return missing.mapInPandas(run, schema)
+    return missing.mapInPandas(run, T.StructType(missing.schema.fields + T.StructType.fromDDL(ANSWER_SCHEMA).fields))
 
 
 def assemble(answers: DataFrame, discount: float = 0.0) -> DataFrame:
@@ -184,11 +181,11 @@ def execute(grid: DataFrame, run: RunKey, store: ResultStore, provider: Provider
     that were already stored count too. Returns one row per combination with ``status``
     executed, cached, pending or missing (not reached).
     """
-    store.write_prompts(grid)
-    before = store.lookup(work(grid, [run]), timeout=timeout).select(
-        "combo_id", "prompt_hash", "hash_prefix", "run_hash", "run_name", "status")
-    state = _freeze(store, before)
-    todo = distinct_work(grid, [run])
+    todo = _frozen(store, distinct_work(grid, [run]), "work")
+    store.write_prompts(todo)
+    # statuses change with the store, so they are written down before any call
+    state = _frozen(store, store.lookup(work(grid, [run]).select(
+        "combo_id", "prompt_hash", "hash_prefix", "run_hash", "run_name"), timeout=timeout), "status")
     if not max_cost and wave is None:
         _call_wave(todo, store, provider, max_parallel, timeout, stub)
     else:
@@ -202,12 +199,9 @@ def execute(grid: DataFrame, run: RunKey, store: ResultStore, provider: Provider
     return _final(state, store, timeout)
 
 
-def _freeze(store: ResultStore, before: DataFrame) -> DataFrame:
-    """Statuses as they were before any call, written down: they change with the store."""
-    from promptframe.session import shared_dir
-
-    path = shared_dir(store.spark, "status")
-    before.write.parquet(path)
+def _frozen(store: ResultStore, df: DataFrame, purpose: str) -> DataFrame:
+    path = shared_dir(store.spark, purpose)
+    df.write.parquet(path)
     return store.spark.read.parquet(path)
 
 

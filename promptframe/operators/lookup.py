@@ -17,13 +17,21 @@ from promptframe.functions.answers import extract_json, response_items
 KEYS = ["hash_prefix", "prompt_hash", "run_hash"]
 
 
+def checked(results: DataFrame) -> DataFrame:
+    """Key, time and whether the stored prompt is still the one its key was made from."""
+    return results.select(
+        *KEYS, "written_at", (F.sha1("prompt") == F.col("prompt_hash")).alias("unchanged"))
+
+
 def valid_keys(results: DataFrame, now: Column | datetime, timeout: float | None = None) -> DataFrame:
-    """Keys whose newest record is younger than ``timeout`` seconds and still holds the
-    prompt its key was made from."""
-    unchanged = F.sha1("prompt") == F.col("prompt_hash")
-    newest = results.groupBy(*KEYS).agg(
+    """Keys whose newest record is unchanged and younger than ``timeout`` seconds.
+
+    Takes records, or their :func:`checked` form.
+    """
+    thin = results if "unchanged" in results.columns else checked(results)
+    newest = thin.groupBy(*KEYS).agg(
         F.max("written_at").alias("_last"),
-        F.max(F.when(unchanged, F.col("written_at"))).alias("_last_good"))
+        F.max(F.when(F.col("unchanged"), F.col("written_at"))).alias("_last_good"))
     fresh = F.col("_last") == F.col("_last_good")
     if timeout is not None:
         age = _seconds(_as_column(now)) - _seconds(F.col("_last"))

@@ -3,6 +3,11 @@
 Each append is one folder ``batch=...`` that readers take only after Spark has
 committed it (``_SUCCESS``), so a lost job leaves nothing half-visible. Nothing is ever
 rewritten: an expiry appends keys, and a record older than its key's expiry is dead.
+
+Inside a batch every file holds one contiguous range of keys, in key order. Keys are
+digests, so the ranges are even whatever the data, the number of files is the number of
+writing tasks (a folder per key prefix would multiply it), and a search for a few keys
+skips files and row groups by their key bounds.
 """
 
 from __future__ import annotations
@@ -33,15 +38,12 @@ PENDING_SCHEMA = (
 EXPIRED_SCHEMA = "hash_prefix string, prompt_hash string, run_hash string, written_at timestamp"
 
 
-def spread(df: DataFrame, tasks: int | None) -> DataFrame:
-    """Partition by store folder: every task then writes to a few folders only.
-
-    Keys are digests, so folders are even; a salt gives more tasks than folders.
-    """
-    if tasks is None:
-        return df.repartition("hash_prefix")
-    salt = F.pmod(F.xxhash64("prompt_hash"), F.lit(max(1, 8 * tasks // 256)))
-    return df.repartition(tasks, "hash_prefix", salt)
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows in ``tasks`` even, contiguous key ranges, each in key order."""
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.conv(F.substring("prompt_hash", 1, 6), 16, 10).cast("long")
+    return df.repartitionById(
+        tasks, F.shiftright(place * F.lit(tasks).cast("long"), 24).cast("int")).sortWithinPartitions("prompt_hash")
 
 
 class ResultStore:
@@ -62,11 +64,10 @@ class ResultStore:
         schema = self.SCHEMAS[table]
         if not batches:
             return self.spark.createDataFrame([], schema)
-        names = self.spark.createDataFrame([], schema).columns
-        read = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}")
-        return read.parquet(*batches).select(*names)
+        return self.spark.read.schema(schema).parquet(*batches)
 
-    def _append(self, table: str, df: DataFrame, at: datetime | None) -> None:
+    def _append(self, table: str, df: DataFrame, at: datetime | None) -> str:
+        """Write one batch, by the tasks that hold the rows; returns its folder."""
         at = at or datetime.now(timezone.utc)
         empty = self.spark.createDataFrame([], self.SCHEMAS[table])
         columns: list[Column] = []
@@ -77,17 +78,27 @@ class ResultStore:
                 columns.append(F.col(f.name).cast(f.dataType).alias(f.name))
             else:
                 columns.append(F.lit(None).cast(f.dataType).alias(f.name))
-        batch = f"batch={at.strftime('%Y%m%d%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
-        df.select(*columns).write.partitionBy("hash_prefix").parquet(f"{self.root}/{table}/{batch}")
-
-    def results(self) -> DataFrame:
-        """Live result records, older versions of a key included."""
-        records = self._read("results")
+        batch = f"{self.root}/{table}/batch={at.strftime('%Y%m%d%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
+        df.select(*columns).write.parquet(batch)
+        return batch
+
+    def _live(self, records: DataFrame) -> DataFrame:
+        """Records that no later expiry has killed."""
+        if not list_dirs(self.spark, f"{self.root}/expired"):
+            return records
         dead = self._read("expired").groupBy(*KEYS).agg(F.max("written_at").alias("_expired_at"))
         return (records.join(dead, KEYS, "left")
                 .filter(F.col("_expired_at").isNull() | (F.col("written_at") > F.col("_expired_at")))
                 .drop("_expired_at"))
 
+    def results(self) -> DataFrame:
+        """Live result records, older versions of a key included."""
+        return self._live(self._read("results"))
+
+    def _checked(self) -> DataFrame:
+        """Live records reduced to what a lookup needs, before anything is shuffled."""
+        return self._live(lookup.checked(self._read("results")))
+
     def prompts(self) -> DataFrame:
         return self._read("prompts")
 
@@ -131,15 +142,15 @@ class ResultStore:
         return lookup.latest(self.results())
 
     def lookup(self, work: DataFrame, now: datetime | None = None, timeout: float | None = None) -> DataFrame:
-        return lookup.lookup(work, self.results(), self.pending(), now, timeout)
+        return lookup.lookup(work, self._checked(), self.pending(), now, timeout)
 
     def misses(self, work: DataFrame, now: datetime | None = None, timeout: float | None = None) -> DataFrame:
-        return lookup.misses(work, self.results(), self.pending(), now, timeout)
+        return lookup.misses(work, self._checked(), self.pending(), now, timeout)
 
     def merge(self, other: "ResultStore | DataFrame", at: datetime | None = None) -> None:
         """Copy another store's newest records in; they win over records stored so far."""
         incoming = other.latest() if isinstance(other, ResultStore) else other
-        self.append(spread(incoming, None), at)
+        self.append(spread(incoming), at)
         if isinstance(other, ResultStore):
             self.write_prompts(other.prompts(), at=at)
 
@@ -151,10 +162,8 @@ class ResultStore:
                errors_only: bool = False, keys: DataFrame | None = None, match: str = "all") -> int:
         """Expire newest records; returns how many there were."""
         at = now or datetime.now(timezone.utc)
-        before = self._read("expired").count()
         found = lookup.expired(self.latest(), at, older_than, errors_only, keys, match)
-        self._append("expired", found.select(*KEYS), at)
-        return self._read("expired").count() - before
+        return self.spark.read.parquet(self._append("expired", found.select(*KEYS), at)).count()
 
     def statistics(self) -> DataFrame:
         waiting = self.pending().join(lookup.pending_keys(self.pending()), KEYS, "left_semi")
@@ -167,7 +176,7 @@ class ResultStore:
     def export(self, grid: DataFrame, work: DataFrame, root: str) -> DataFrame:
         """Copy what a project refers to into a new store; returns the missing keys."""
         target = ResultStore(self.spark, root)
-        target.append(spread(lookup.export(work, self.latest()), None))
+        target.append(spread(lookup.export(work, self.latest())))
         stored = self.prompts().join(grid.select("hash_prefix", "prompt_hash"),
                                      ["hash_prefix", "prompt_hash"], "left_semi")
         target.write_prompts(stored)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import promptframe
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options whose defaults would change results."""
@@ -15,6 +18,8 @@ def configure(spark: SparkSession) -> SparkSession:
     # an answer may repeat a JSON key: the last one wins
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Python workers need not have the package installed
+    cloudpickle.register_pickle_by_value(promptframe)
     return spark
 
 

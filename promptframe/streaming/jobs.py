@@ -10,12 +10,12 @@ from promptframe.operators.store import ResultStore
 from promptframe.operators.usage import MONEY
 
 
-def answer_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Stream of lines of ``<batch id>.jsonl`` files."""
+def answer_lines(spark: SparkSession, path: str, batch_id: str | None = None) -> DataFrame:
+    """Stream of answer lines: files are named ``<batch id>.jsonl``, or all belong to the
+    batch that is given."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
     return spark.readStream.text(path).select(
-        F.regexp_extract(F.element_at(F.split("_metadata.file_path", "/"), -1), r"^(.*?)(?:\.[^.]*)?$", 1)
-        .alias("batch_id"),
-        F.col("value").alias("line"))
+        (F.lit(batch_id) if batch_id else name).alias("batch_id"), F.col("value").alias("line"))
 
 
 def ingest_answers(lines: DataFrame, store: ResultStore, prices: DataFrame, checkpoint: str,
