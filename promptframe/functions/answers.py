@@ -81,7 +81,7 @@ def as_object(value: Column) -> Column:
                 F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")))
             .when(v.isNotNull(), F.concat(F.lit('{"value":'), v, F.lit("}"))))
 
-    return _let(value, typed)
+    return _let(F.btrim(value, F.lit(" \t\r\n")), typed)
 
 
 def extract_json(content: Column) -> Column:

@@ -78,7 +78,7 @@ def _elements(data: Column) -> Column:
     text = F.get(F.map_values(F.from_json(data, "map<string,string>")), F.lit(0))
     pairs = F.arrays_zip(
         F.from_json(text, "array<string>").alias("text"),
-        F.transform(F.from_json(text, "array<variant>"), F.to_json).alias("json"))
+        F.transform(F.from_json(text, "array<variant>"), lambda v: F.to_json(v)).alias("json"))
     rows = F.transform(pairs, lambda p: F.when(F.substring(p["json"], 1, 1) == "{", p["text"]).otherwise(
         F.concat(F.lit('{"value":'), F.coalesce(p["json"], F.lit("null")), F.lit("}"))))
     return F.when(F.size(rows) > 0, rows).otherwise(F.array(F.lit("{}")))

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from typing import Any, Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from promptframe.functions.images import images, without_images
@@ -120,32 +121,39 @@ def stub_answers(missing: DataFrame, text: str = DEFAULT_STUB, cost: float = 0.0
 
 
 def call_provider(missing: DataFrame, provider: Provider) -> DataFrame:
-    """Rows of ``missing`` plus the provider's answer; opened once per partition with rows."""
-    names = [*missing.columns, *T.StructType.fromDDL(ANSWER_SCHEMA).fieldNames()]
+    """Rows of ``missing`` plus the provider's answer; opened once per partition with rows.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only prompt and arguments are turned into pandas, other columns pass by as Arrow.
+    """
+    added = T.StructType.fromDDL(ANSWER_SCHEMA)
+    kinds = {"response": pa.string(), "cost_value": pa.float64(), "elapsed_time": pa.float64(),
+             "error": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = False
         try:
             for batch in batches:
-                if batch.empty:
+                if not batch.num_rows:
                     continue
                 if not opened:
                     provider.open()
                     opened = True
                 started = time.time()
-                answers = provider.call(batch[["prompt", "args_json"]]).reset_index(drop=True)
-                took = (time.time() - started) / len(batch)
-                out = batch.reset_index(drop=True)
-                out["response"] = answers["response"]
-                out["cost_value"] = answers["cost_value"] if "cost_value" in answers else None
-                out["elapsed_time"] = answers["elapsed_time"] if "elapsed_time" in answers else took
-                out["error"] = answers["error"] if "error" in answers else None
-                yield out[names]
+                answers = provider.call(batch.select(["prompt", "args_json"]).to_pandas())
+                took = (time.time() - started) / batch.num_rows
+                if len(answers) != batch.num_rows:
+                    raise ValueError("a provider must answer every prompt of its batch")
+                values = {n: answers[n].tolist() if n in answers else [None] * batch.num_rows for n in kinds}
+                if "elapsed_time" not in answers:
+                    values["elapsed_time"] = [took] * batch.num_rows
+                columns = [pa.array(values[n], kind, from_pandas=True) for n, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *columns], names=[*batch.schema.names, *kinds])
         finally:
             if opened:
                 provider.close()
 
-    return missing.mapInPandas(run, T.StructType(missing.schema.fields + T.StructType.fromDDL(ANSWER_SCHEMA).fields))
+    return missing.mapInArrow(run, T.StructType(missing.schema.fields + added.fields))
 
 
 def assemble(answers: DataFrame, discount: float = 0.0) -> DataFrame:

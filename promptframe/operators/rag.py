@@ -222,6 +222,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, chunk_block:
     ``queries``: ``doc_hash, query_hash, embedding``, distinct; ``chunks``: ``doc_hash,
     chunk_id`` (from 0 within the document), ``embedding``. Ties go to the lower id.
     """
+    # both sides may come from one table: give their columns identities of their own
+    queries = queries.select(*[F.col(c).alias(c) for c in ("doc_hash", "query_hash", "embedding")])
+    chunks = chunks.select(*[F.col(c).alias(c) for c in ("doc_hash", "chunk_id", "embedding")])
     chunk_blocks = chunks.groupBy("doc_hash").agg(
         (F.floor(F.max("chunk_id") / chunk_block) + 1).cast("int").alias("_chunk_blocks"))
     query_blocks = queries.groupBy("doc_hash").agg(
