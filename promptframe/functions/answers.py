@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
-from promptframe.functions.text import strip
+from promptframe.functions.text import let, strip
 
 # Keys that wrap a list of rows, and the two patterns that find JSON
 # inside other text.
@@ -20,11 +18,6 @@ RESPONSE_SCHEMA = (
 )
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _first_char(text: Column) -> Column:
     return F.substring(F.regexp_replace(text, r"^\s+", ""), 1, 1)
 
@@ -41,17 +34,18 @@ def is_json(text: Column) -> Column:
             (F.json_object_keys(whole) == F.array(F.lit("v"), digest))
             & F.try_parse_json(whole).isNotNull(), F.lit(False))
 
-    return _let(
+    return let(
         F.sha1(text),
-        lambda digest: _let(
+        lambda digest: let(
             F.struct(F.concat(F.lit('{"v":'), text, F.lit(',"'), digest, F.lit('":1}')).alias("whole"),
                      digest.alias("digest")),
             readable))
 
 
-def _value(text: Column) -> Column:
-    """The text if it is a JSON value other than null."""
-    return _let(text, lambda t: F.when((t != "") & (_first_char(t) != "n") & is_json(t), t))
+def _first_value(*texts: Column) -> Column:
+    """The first of some texts that is a JSON value other than null."""
+    return F.get(F.filter(
+        F.array(*texts), lambda t: (t != "") & (_first_char(t) != "n") & is_json(t)), F.lit(0))
 
 
 def _text_row(text: Column) -> Column:
@@ -59,15 +53,15 @@ def _text_row(text: Column) -> Column:
 
 
 def _lenient(text: Column) -> Column:
-    """Tolerant tier: single quotes, bare names, trailing commas, NaN."""
+    """Tolerant reading: single quotes, bare names, trailing commas, NaN."""
     options = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true",
                "allowNonNumericNumbers": "true"}
 
     def read(t: Column) -> Column:
         whole = F.concat(F.lit('{"v":'), F.regexp_replace(t, r",\s*([}\]])", "$1"), F.lit("}"))
-        return F.when(_first_char(t).isin("{", "["), _value(F.from_json(whole, "v string", options)["v"]))
+        return F.when(_first_char(t).isin("{", "["), F.from_json(whole, "v string", options)["v"])
 
-    return _let(strip(text), read)
+    return let(strip(text), read)
 
 
 def as_object(value: Column) -> Column:
@@ -81,7 +75,7 @@ def as_object(value: Column) -> Column:
                 F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")))
             .when(v.isNotNull(), F.concat(F.lit('{"value":'), v, F.lit("}"))))
 
-    return _let(F.btrim(value, F.lit(" \t\r\n")), typed)
+    return let(F.btrim(value, F.lit(" \t\r\n")), typed)
 
 
 def extract_json(content: Column) -> Column:
@@ -95,56 +89,82 @@ def extract_json(content: Column) -> Column:
         content.startswith("'") & content.endswith("'"),
         _text_row(content.substr(F.lit(2), F.greatest(F.length(content) - 2, F.lit(0)))))
     return as_object(F.coalesce(
-        _value(content),
-        _value(F.regexp_extract(content, FENCED, 1)),
+        _first_value(content, F.regexp_extract(content, FENCED, 1)),
         quoted,
-        _value(F.regexp_extract(content, EMBEDDED, 1)),
-        _lenient(content)))
+        _first_value(F.regexp_extract(content, EMBEDDED, 1), _lenient(content))))
 
 
-def response_items(response: Column) -> Column:
-    """Array of struct(pos, content, extra, error) of a response text.
+def read_response(response: Column) -> Column:
+    """struct(items, count) of a response text; items are struct(pos, content, extra, error).
 
-    Chat answers hold ``choices``, the other shape holds ``output`` whose items
-    without content are skipped. A response without items gives one error item.
+    Chat answers hold ``choices``, the other shape holds ``output`` whose items without
+    content are skipped (but counted). A response without items gives one error item.
     """
-    keys = F.json_object_keys(response)
-    parsed = F.from_json(response, RESPONSE_SCHEMA)
-    chat = F.transform(
-        parsed["choices"],
-        lambda c, i: F.struct(i.alias("pos"), c["message"]["content"].alias("content"),
-                              c["_extra"].alias("extra"), F.lit(None).cast("string").alias("error")))
-    other = F.filter(
-        F.transform(
-            parsed["output"],
-            lambda c, i: F.struct(
-                i.alias("pos"), F.get(c["content"], F.lit(0))["text"].alias("content"),
-                c["_extra"].alias("extra"),
-                F.when(c["content"].isNull(), "skip").alias("error"))),
-        lambda item: item["error"].isNull())
-    item_type = "struct<pos:int,content:string,extra:string,error:string>"
+    items_type = "array<struct<pos:int,content:string,extra:string,error:string>>"
+    nothing = F.lit(None).cast("string")
 
     def failed(message: Column) -> Column:
-        return F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("content"),
-                                F.lit(None).cast("string").alias("extra"),
-                                message.alias("error"))).cast(f"array<{item_type}>")
-
-    empty = failed(F.lit("Empty response from API"))
-    is_chat = F.array_contains(keys, "choices")
-    is_other = F.array_contains(keys, "output")
-    return (
-        F.when(response.isNull() | keys.isNull() | (F.size(keys) == 0), failed(F.lit("Null response")))
-        .when(is_chat, F.when(F.coalesce(F.size(parsed["choices"]), F.lit(0)) < 1, empty)
-              .otherwise(chat.cast(f"array<{item_type}>")))
-        .when(is_other, F.when(F.coalesce(F.size(parsed["output"]), F.lit(0)) < 1, empty)
-              .otherwise(other.cast(f"array<{item_type}>")))
-        .otherwise(failed(F.concat(
-            F.lit("Unknown response format: dict_keys(['"), F.array_join(keys, "', '"), F.lit("'])")))))
-
-
-def item_count(response: Column) -> Column:
-    """Number of items of a response, skipped ones included."""
-    keys = F.json_object_keys(response)
-    return F.when(
-        F.array_contains(keys, "choices"), F.json_array_length(F.get_json_object(response, "$.choices"))
-    ).otherwise(F.json_array_length(F.get_json_object(response, "$.output")))
+        item = F.struct(F.lit(0).alias("pos"), nothing.alias("content"), nothing.alias("extra"),
+                        message.alias("error"))
+        return F.struct(F.array(item).cast(items_type).alias("items"), F.lit(0).alias("count"))
+
+    def taken(outputs: Column, content_of) -> Column:
+        items = F.transform(outputs, lambda c, i: F.struct(
+            i.alias("pos"), content_of(c).alias("content"), c["_extra"].alias("extra"),
+            nothing.alias("error")))
+        return F.struct(items.cast(items_type).alias("items"), F.size(outputs).alias("count"))
+
+    def with_content(outputs: Column) -> Column:
+        numbered = F.transform(outputs, lambda c, i: F.struct(i.alias("pos"), c.alias("c")))
+        kept = F.filter(numbered, lambda n: n["c"]["content"].isNotNull())
+        items = F.transform(kept, lambda n: F.struct(
+            n["pos"].alias("pos"), F.get(n["c"]["content"], F.lit(0))["text"].alias("content"),
+            n["c"]["_extra"].alias("extra"), nothing.alias("error")))
+        return F.struct(items.cast(items_type).alias("items"), F.size(outputs).alias("count"))
+
+    def shaped(r: Column) -> Column:
+        keys, choices, output = r["keys"], r["parsed"]["choices"], r["parsed"]["output"]
+        empty = failed(F.lit("Empty response from API"))
+        return (
+            F.when(F.coalesce(F.size(keys), F.lit(0)) < 1, failed(F.lit("Null response")))
+            .when(F.array_contains(keys, "choices"), F.when(
+                F.coalesce(F.size(choices), F.lit(0)) > 0,
+                taken(choices, lambda c: c["message"]["content"])).otherwise(empty))
+            .when(F.array_contains(keys, "output"), F.when(
+                F.coalesce(F.size(output), F.lit(0)) > 0, with_content(output)).otherwise(empty))
+            .otherwise(failed(F.concat(
+                F.lit("Unknown response format: dict_keys(['"), F.array_join(keys, "', '"), F.lit("'])")))))
+
+    return let(F.struct(F.json_object_keys(response).alias("keys"),
+                        F.from_json(response, RESPONSE_SCHEMA).alias("parsed")), shaped)
+
+
+def has_error(response: Column) -> Column:
+    """Whether any item of a response is an error or cannot be read as JSON."""
+    return F.exists(
+        read_response(response)["items"],
+        lambda i: i["error"].isNotNull() | extract_json(i["content"]).isNull())
+
+
+def is_wrapped_list(data: Column) -> Column:
+    """Whether JSON object text is one key, of those that wrap lists, holding a list."""
+    opening = rf'^\s*\{{\s*"({"|".join(WRAPPER_KEYS)})"\s*:\s*\['
+    return F.coalesce(
+        data.rlike(opening) & (F.size(F.json_object_keys(data)) == 1), F.lit(False))
+
+
+def list_elements(data: Column) -> Column:
+    """Object texts of a wrapped list; an empty list gives one empty object."""
+    def first(schema: str) -> Column:
+        return F.get(F.map_values(F.from_json(data, schema)), F.lit(0))
+
+    elements = F.arrays_zip(first("map<string,array<string>>").alias("text"),
+                            first("map<string,array<variant>>").alias("value"))
+
+    def row(e: Column) -> Column:
+        return let(F.to_json(e["value"]), lambda json: F.when(
+            F.substring(json, 1, 1) == "{", e["text"]).otherwise(
+            F.concat(F.lit('{"value":'), F.coalesce(json, F.lit("null")), F.lit("}"))))
+
+    return let(F.transform(elements, row),
+               lambda rows: F.when(F.size(rows) > 0, rows).otherwise(F.array(F.lit("{}"))))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F, types as T
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing Unicode white space."""
     space = r"[\s\x1c-\x1f]+"
@@ -28,26 +35,30 @@ def double_text(col: Column) -> Column:
     text = F.abs(col).cast("string")
     # Spark's own text is right if it is plain and short; long ones may not be shortest
     plain = ~F.contains(text, F.lit("E")) & (F.length(text) < 16)
-    exact = _exponent_text(F.abs(col))
-    exponent = F.substring_index(exact, "e", -1).cast("int")
-    digits = F.rtrim(F.replace(F.substring_index(exact, "e", 1), F.lit("."), F.lit("")), F.lit("0"))
-    n = F.length(digits)
-    whole = F.when(
-        n <= exponent + 1, F.concat(F.rpad(digits, exponent + 1, F.lit("0")), F.lit(".0"))
-    ).otherwise(F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."),
-                         F.substring(digits, exponent + 2, n)))
-    fraction = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    size = F.abs(exponent).cast("string")
-    scientific = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""),
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
-    body = (
-        F.when(plain, text)
-        .when((exponent >= 0) & (exponent < 16), whole)
-        .when((exponent < 0) & (exponent >= -4), fraction)
-        .otherwise(scientific))
+
+    def parts(exact: Column) -> Column:
+        digits = F.rtrim(F.replace(F.substring_index(exact, "e", 1), F.lit("."), F.lit("")), F.lit("0"))
+        return F.struct(digits.alias("digits"), F.length(digits).alias("n"),
+                        F.substring_index(exact, "e", -1).cast("int").alias("exponent"))
+
+    def placed(p: Column) -> Column:
+        digits, n, exponent = p["digits"], p["n"], p["exponent"]
+        whole = F.when(
+            n <= exponent + 1, F.concat(F.rpad(digits, exponent + 1, F.lit("0")), F.lit(".0"))
+        ).otherwise(F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."),
+                             F.substring(digits, exponent + 2, n)))
+        fraction = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+        size = F.abs(exponent).cast("string")
+        scientific = F.concat(
+            F.substring(digits, 1, 1),
+            F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""),
+            F.when(exponent < 0, "e-").otherwise("e+"),
+            F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
+        return (F.when((exponent >= 0) & (exponent < 16), whole)
+                .when((exponent < 0) & (exponent >= -4), fraction).otherwise(scientific))
+
+    body = F.when(plain, text).otherwise(
+        let(_exponent_text(F.abs(col)), lambda exact: let(parts(exact), placed)))
     # the text of -0.0 has a sign that no comparison shows
     sign = F.when(col.cast("string").startswith("-"), "-").otherwise("")
     return (

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from promptframe.functions.answers import (
-    WRAPPER_KEYS, extract_json, item_count, response_items)
+    extract_json, is_wrapped_list, list_elements, read_response)
+from promptframe.functions.text import let
 from promptframe.operators import usage as money
 from promptframe.operators.lookup import KEYS
 
@@ -26,62 +27,41 @@ def answered(work: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def parsed_items(records: DataFrame) -> DataFrame:
-    """``items``: array of struct(pos, data, extra, error, raw) of each record's response.
+    """``items``: array of struct(pos, data, extra, error, raw) of each record's response,
+    and ``several``: whether it has more than one.
 
     ``data`` is JSON object text; an unreadable item has ``error`` and ``raw`` instead.
+    All items of a response stay in one row, so nothing is shuffled to judge them together.
     """
-    def parse(i: Column) -> Column:
+    def judged(i: Column, data: Column) -> Column:
+        unread = F.when(i["content"].isNull(), "Content is None").otherwise("Error parsing JSON")
         return F.struct(
-            i["pos"].alias("pos"),
-            F.when(i["error"].isNull(), extract_json(i["content"])).alias("data"),
-            i["extra"].alias("extra"), i["error"].alias("error"), i["content"].alias("raw"))
+            i["pos"].alias("pos"), data.alias("data"), i["extra"].alias("extra"),
+            F.coalesce(i["error"], F.when(data.isNull(), unread)).alias("error"),
+            F.when(data.isNull(), i["content"]).alias("raw"))
 
-    def judge(i: Column) -> Column:
-        unread = F.when(i["raw"].isNull(), "Content is None").otherwise("Error parsing JSON")
-        error = F.when(i["error"].isNotNull(), i["error"]).when(i["data"].isNull(), unread)
-        return F.struct(i["pos"].alias("pos"), i["data"].alias("data"), i["extra"].alias("extra"),
-                        error.alias("error"), F.when(i["data"].isNull(), i["raw"]).alias("raw"))
-
-    items = F.transform(F.transform(response_items(F.col("response")), parse), judge)
-    several = F.coalesce(item_count(F.col("response")), F.lit(0)) > 1
-    return records.withColumns({"items": items, "several": several})
+    read = records.withColumn("_response", read_response(F.col("response")))
+    items = F.transform("_response.items", lambda i: let(
+        F.when(i["error"].isNull(), extract_json(i["content"])), lambda data: judged(i, data)))
+    return read.withColumns({"items": items, "several": F.col("_response.count") > 1}).drop("_response")
 
 
 def answer_items(records: DataFrame) -> DataFrame:
     """One row per item of each response: ``pos``, ``data``, ``extra``, ``choice`` (its
     number, when there are several), ``error``, ``raw``, next to the record's columns."""
     kept = [c for c in records.columns if c != "response"]
-    return parsed_items(records).select(*kept, "several", F.inline("items")).select(
-        *kept, "pos", "data", "extra",
-        F.when(F.col("several") & F.col("data").isNotNull(), F.col("pos")).alias("choice"),
-        "error", "raw")
-
-
-def _wrapped(data: Column) -> Column:
-    """Whether an answer is one key, of those that wrap lists, holding a list."""
-    keys = F.json_object_keys(data)
-    first = F.get(keys, F.lit(0))
-    value = F.map_values(F.from_json(data, "map<string,string>"))
-    return F.coalesce(
-        (F.size(keys) == 1) & first.isin(*WRAPPER_KEYS)
-        & F.ltrim(F.get(value, F.lit(0))).startswith("[") & _is_list(data), F.lit(False))
+    return _item_rows(parsed_items(records), *kept, "several").select(
+        *kept, "pos", "data", "extra", _choice(), "error", "raw")
 
 
-def _is_list(data: Column) -> Column:
-    """A list, not a string that looks like one."""
-    value = F.get(F.map_values(F.from_json(data, "map<string,variant>")), F.lit(0))
-    return F.to_json(value).startswith("[")
+def _item_rows(parsed: DataFrame, *kept: str) -> DataFrame:
+    """One row per item. The outer form, since for the inner one Spark computes the array
+    a second time to drop rows without any."""
+    return parsed.select(*kept, F.inline_outer("items")).filter(F.col("pos").isNotNull())
 
 
-def _elements(data: Column) -> Column:
-    """Object texts of the wrapped list; an empty list gives one empty object."""
-    text = F.get(F.map_values(F.from_json(data, "map<string,string>")), F.lit(0))
-    pairs = F.arrays_zip(
-        F.from_json(text, "array<string>").alias("text"),
-        F.transform(F.from_json(text, "array<variant>"), lambda v: F.to_json(v)).alias("json"))
-    rows = F.transform(pairs, lambda p: F.when(F.substring(p["json"], 1, 1) == "{", p["text"]).otherwise(
-        F.concat(F.lit('{"value":'), F.coalesce(p["json"], F.lit("null")), F.lit("}"))))
-    return F.when(F.size(rows) > 0, rows).otherwise(F.array(F.lit("{}")))
+def _choice() -> Column:
+    return F.when(F.col("several") & F.col("error").isNull(), F.col("pos")).alias("choice")
 
 
 def flatten_answers(records: DataFrame) -> DataFrame:
@@ -89,44 +69,35 @@ def flatten_answers(records: DataFrame) -> DataFrame:
     the list. Only when every item of the response is such a wrapper."""
     kept = [c for c in records.columns if c != "response"]
     parsed = parsed_items(records).withColumn(
-        "flat", F.forall("items", lambda i: i["data"].isNotNull() & _wrapped(i["data"])))
-    rows = parsed.select(*kept, "several", "flat", F.inline("items"))
-    data = F.when(F.col("flat"), _elements(F.col("data"))).otherwise(F.array("data"))
+        "flat", F.forall("items", lambda i: is_wrapped_list(i["data"])))
+    rows = _item_rows(parsed, *kept, "several", "flat")
+    data = F.when(F.col("flat"), list_elements(F.col("data"))).otherwise(F.array("data"))
     return rows.select(
-        *kept, "pos", F.posexplode(data).alias("list_pos", "data"), "extra",
-        F.when(F.col("several") & F.col("error").isNull(), F.col("pos")).alias("choice"), "error", "raw")
+        *kept, "pos", F.posexplode_outer(data).alias("list_pos", "data"), "extra", _choice(), "error", "raw")
 
 
-def answer_maps(rows: DataFrame, masked: str | None = "masked", timestamp: str | None = "timestamp") -> DataFrame:
-    """``row``: map of column name to text for each answer row.
-
-    Answer keys first, then ``input_<variable>`` of the masked arguments, then the
-    item's extras, its number and the time stamp.
-    """
-    parts = [F.coalesce(F.from_json("data", "map<string,string>"), _no_columns()),
-             F.map_filter(F.create_map(F.lit("_error"), F.col("error"), F.lit("_raw"), F.col("raw")),
-                          lambda k, v: F.col("error").isNotNull() & ((k == "_error") | v.isNotNull()))]
+def row_keys(rows: DataFrame, masked: str | None = "masked", timestamp: str | None = "timestamp") -> Column:
+    """Column names of an answer row: answer keys first, then ``input_<variable>`` of the
+    masked arguments, then the item's extras, its number and the time stamp."""
+    none = F.array().cast("array<string>")
+    parts = [F.coalesce(F.json_object_keys("data"), none),
+             F.when(F.col("error").isNotNull(), F.array(F.lit("_error"))).otherwise(none),
+             F.when(F.col("raw").isNotNull(), F.array(F.lit("_raw"))).otherwise(none)]
     if masked and masked in rows.columns:
-        parts.append(F.coalesce(F.transform_keys(
-            masked, lambda k, v: F.concat(F.lit("input_"), k)), _no_columns()))
-    parts.append(F.coalesce(F.from_json("extra", "map<string,string>"), _no_columns()))
-    parts.append(F.map_filter(F.create_map(F.lit("_choice"), F.col("choice").cast("string")),
-                              lambda k, v: v.isNotNull()))
+        parts.append(F.coalesce(F.transform(
+            F.map_keys(masked), lambda k: F.concat(F.lit("input_"), k)), none))
+    parts.append(F.coalesce(F.json_object_keys("extra"), none))
+    parts.append(F.when(F.col("choice").isNotNull(), F.array(F.lit("_choice"))).otherwise(none))
     if timestamp and timestamp in rows.columns:
-        parts.append(F.map_filter(F.create_map(F.lit("_timestamp"), F.col(timestamp)),
-                                  lambda k, v: v.isNotNull()))
-    return rows.withColumn("row", F.map_concat(*parts))
+        parts.append(F.when(F.col(timestamp).isNotNull(), F.array(F.lit("_timestamp"))).otherwise(none))
+    return F.concat(*parts)
 
 
-def _no_columns() -> Column:
-    return F.create_map().cast("map<string,string>")
-
-
-def column_names(maps: DataFrame, order: Sequence[str] = ("combo_id", "pos", "list_pos"),
-                 limit: int = MAX_COLUMNS) -> list[str]:
+def column_names(rows: DataFrame, masked: str | None = "masked", timestamp: str | None = "timestamp",
+                 order: Sequence[str] = ("combo_id", "pos", "list_pos"), limit: int = MAX_COLUMNS) -> list[str]:
     """Keys of all rows, ordered by where they first appear."""
-    at = F.struct(*[F.col(c) for c in order if c in maps.columns])
-    seen = maps.select(at.alias("at"), F.posexplode(F.map_keys("row")).alias("key_pos", "key"))
+    at = F.struct(*[F.col(c) for c in order if c in rows.columns])
+    seen = rows.select(at.alias("at"), F.posexplode(row_keys(rows, masked, timestamp)).alias("key_pos", "key"))
     first = seen.groupBy("key").agg(F.min(F.struct("at", "key_pos")).alias("first"))
     keys = first.orderBy("first", "key").select("key").limit(limit + 1).collect()
     if len(keys) > limit:
@@ -141,9 +112,26 @@ def to_columns(rows: DataFrame, columns: Sequence[str] | None = None, keep: Sequ
     ``columns`` (for instance the fields a template asks for) saves the pass over the
     data that finds them.
     """
-    maps = answer_maps(rows, masked, timestamp)
-    names = list(columns) if columns is not None else column_names(maps)
-    return maps.select(*keep, *[F.col("row").getItem(n).alias(n) for n in names if n not in keep])
+    names = list(columns) if columns is not None else column_names(rows, masked, timestamp)
+    read = rows.withColumns({
+        "_data": F.from_json("data", "map<string,string>"), "_more": F.from_json("extra", "map<string,string>")})
+
+    def value(name: str) -> Column:
+        # what is set later goes first: time stamp, number, extras, inputs, the answer
+        found = []
+        if name == "_timestamp" and timestamp and timestamp in rows.columns:
+            found.append(F.col(timestamp))
+        if name == "_choice":
+            found.append(F.col("choice").cast("string"))
+        found.append(F.col("_more").getItem(name))
+        if name.startswith("input_") and masked and masked in rows.columns:
+            found.append(F.col(masked).getItem(name[len("input_"):]))
+        if name in ("_error", "_raw"):
+            found.append(F.col(name[1:]))
+        found.append(F.col("_data").getItem(name))
+        return F.coalesce(*found)
+
+    return read.select(*keep, *[value(n).alias(n) for n in names if n not in keep])
 
 
 # --- analyses -------------------------------------------------------------------
@@ -234,10 +222,3 @@ def analyse(records: DataFrame, name: str) -> DataFrame:
     chosen = ANALYSES[name]
     rows = chosen.analyse(records)
     return chosen.reduce(rows) if chosen.reduce else rows
-
-
-__all__ = [
-    "ANALYSES", "Analysis", "analyse", "answer_items", "answer_maps", "answered",
-    "column_names", "flatten_answers", "parsed_items", "python_analysis",
-    "python_reduce", "register_analysis", "to_columns",
-]

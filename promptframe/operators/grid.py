@@ -40,16 +40,16 @@ class PromptFunction(Protocol):
     def variables(self, params: Sequence[str]) -> list[str]:
         """Variables the call reads."""
 
-    def apply(self, calls: DataFrame, params: Sequence[str]) -> DataFrame:
-        """``calls`` has ``call_key`` and one text column per variable, distinct.
-        Returns ``call_key`` and ``value``."""
+    def apply(self, calls: DataFrame, texts: Mapping[str, DataFrame], params: Sequence[str]) -> DataFrame:
+        """``calls`` has one column per variable, the MD5 key of its text, in distinct rows;
+        ``texts`` gives ``key`` and ``text`` of each variable, distinct. Returns the rows of
+        ``calls`` with ``value``."""
 
 
 @dataclass(frozen=True)
 class _Variable:
     group: int
     column: str
-    dtype: T.DataType
     is_text: bool
     id_column: str | None
 
@@ -146,6 +146,26 @@ def product(spark: SparkSession, groups: Sequence[DataFrame | None],
     return out.drop("_i").withColumn("combo_id", combo)
 
 
+def text_group(group: DataFrame) -> DataFrame:
+    """The group with every variable as the text it has inside a prompt (NULL if missing).
+
+    Done before the product: once per row of the group, not once per combination.
+    """
+    columns = []
+    for f in group.schema.fields:
+        col = F.col(f"`{f.name}`")
+        if f.name == "_id":
+            columns.append(col.cast("string").alias("_id"))
+        elif f.name.startswith("_") or isinstance(f.dataType, T.StringType):
+            columns.append(col)
+        else:
+            present = col.isNotNull()
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                present = present & ~F.isnan(col)
+            columns.append(F.when(present, value_text(col, f.dataType)).alias(f.name))
+    return group.select(*columns)
+
+
 def _owners(groups: Sequence[DataFrame | None]) -> dict[str, _Variable]:
     """Variable name to its column; a later group takes over the name."""
     found: dict[str, _Variable] = {}
@@ -156,16 +176,12 @@ def _owners(groups: Sequence[DataFrame | None]) -> dict[str, _Variable]:
         for f in g.schema.fields:
             if not f.name.startswith("_"):
                 text = isinstance(f.dataType, T.StringType) and not f.metadata.get("json_text")
-                found[f.name] = _Variable(k, f"_g{k}_{f.name}", f.dataType, text, id_column)
+                found[f.name] = _Variable(k, f"_g{k}_{f.name}", text, id_column)
     return found
 
 
 def _text_or_null(v: _Variable) -> Column:
-    col = F.col(f"`{v.column}`")
-    present = col.isNotNull()
-    if isinstance(v.dtype, (T.DoubleType, T.FloatType)):
-        present = present & ~F.isnan(col)
-    return F.when(present, value_text(col, v.dtype))
+    return F.col(f"`{v.column}`")
 
 
 def _masked_text(v: _Variable) -> Column:
@@ -173,7 +189,7 @@ def _masked_text(v: _Variable) -> Column:
     text = _text_or_null(v)
     if v.id_column is None or not v.is_text:
         return text
-    row_id = F.col(v.id_column).cast("string")
+    row_id = F.col(v.id_column)
     return F.when(text.isNotNull() & (row_id != ""), row_id).otherwise(text)
 
 
@@ -212,31 +228,30 @@ def _add_calls(df: DataFrame, piece: Piece, function: PromptFunction, column: st
                owners: Mapping[str, _Variable]) -> DataFrame:
     """Join the value of one function placeholder.
 
-    Calls are computed once per distinct argument texts, over the product of only
-    those groups that own the arguments.
+    Calls are distinct keys over the product of only those groups that own the
+    arguments; the texts themselves stay out of that product.
     """
     params = list(piece.params or ())
     names = function.variables(params)
-    for n in names:
-        if n not in owners:
-            raise ValueError(f'function "{piece.name}" needs variable "{n}"')
     involved = sorted({owners[n].group for n in names})
-    part = product(df.sparkSession, [groups[k] for k in involved], [sizes[k] for k in involved])
-
-    def text(n: str, group: int) -> Column:
-        return value_text(F.col(f"`_g{group}_{n}`"), owners[n].dtype)
-
-    def call_key(place: Mapping[str, int]) -> Column:
-        return F.sha1(F.to_json(F.array(*[text(n, place[n]) for n in names])))
-
-    here = {n: owners[n].group for n in names}
-    there = {n: involved.index(owners[n].group) for n in names}
-    calls = part.select(
-        call_key(there).alias("call_key"), *[text(n, there[n]).alias(n) for n in names]
-    ).dropDuplicates(["call_key"])
-    values = function.apply(calls, params).select(
-        F.col("call_key").alias(f"{column}_key"), F.col("value").alias(column))
-    return df.withColumn(f"{column}_key", call_key(here)).join(values, f"{column}_key", "left")
+    thin = [groups[k].select(ORD, *[_key_name(n) for n in names if owners[n].group == k]) for k in involved]
+    part = product(df.sparkSession, thin, [sizes[k] for k in involved])
+    calls = part.select(*[
+        F.col(f"`_g{involved.index(owners[n].group)}_{_key_name(n)}`").alias(n) for n in names]).distinct()
+    texts = {
+        n: groups[owners[n].group].select(
+            F.col(_key_name(n)).alias("key"), F.coalesce(F.col(f"`{n}`"), F.lit("")).alias("text")
+        ).dropDuplicates(["key"]) for n in names}
+    values = function.apply(calls, texts, params).select(
+        *[F.col(n).alias(f"{column}_{n}") for n in names], F.col("value").alias(column))
+    keyed = df.withColumns({
+        f"{column}_{n}": F.col(f"`_g{owners[n].group}_{_key_name(n)}`") for n in names})
+    return keyed.join(values, [f"{column}_{n}" for n in names], "left")
+
+
+def _key_name(variable: str) -> str:
+    """Hidden column of a group: key of a variable that a function reads."""
+    return f"_md5_{variable}"
 
 
 def expand(project: Project, missing: str = "error",
@@ -253,6 +268,7 @@ def expand(project: Project, missing: str = "error",
     known = sizes if sizes is not None else group_sizes(project.groups)
     counts = [Size(len(templates)), *[known[n] for n in project.groups]]
     owners = _owners(groups)
+    groups = [None if g is None else text_group(g) for g in groups]
 
     unknown = missing_variables(templates, ["prompt", *owners], list(functions))
     if unknown and missing == "error":
@@ -260,6 +276,19 @@ def expand(project: Project, missing: str = "error",
             f'Prompt contains argument "{unknown[0][1]}", but it was not found in the input '
             f"arguments (all: {unknown})")
 
+    calls: dict[Piece, str] = {}
+    for template in templates.values():
+        for piece in split_template(template)[1]:
+            plain = piece.params is None and (piece.name in owners or piece.name == "prompt")
+            if not plain and piece.name in functions:
+                calls.setdefault(piece, f"_call{len(calls)}")
+    for piece in calls:
+        for n in functions[piece.name].variables(list(piece.params or ())):
+            if n not in owners:
+                raise ValueError(f'function "{piece.name}" needs variable "{n}"')
+            k = owners[n].group
+            groups[k] = groups[k].withColumn(_key_name(n), F.md5(F.coalesce(F.col(f"`{n}`"), F.lit(""))))
+
     df = product(project.spark, groups, counts)
     # prompts are few constants, looked up by number
     number = F.col("_o0").cast("int")
@@ -267,25 +296,16 @@ def expand(project: Project, missing: str = "error",
         "*",
         F.get(F.array(*[F.lit(n) for n in templates]), number).alias("prompt_name"),
         F.get(F.array(*[F.lit(t) for t in templates.values()]), number).alias("_template"))
-    calls: dict[Piece, str] = {}
-
-    def is_variable(piece: Piece) -> bool:
-        return piece.params is None and (piece.name in owners or piece.name == "prompt")
-
-    for template in templates.values():
-        for piece in split_template(template)[1]:
-            if not is_variable(piece) and piece.name in functions and piece not in calls:
-                calls[piece] = f"_call{len(calls)}"
-                df = _add_calls(df, piece, functions[piece.name], calls[piece], groups, counts, owners)
+    for piece, column in calls.items():
+        df = _add_calls(df, piece, functions[piece.name], column, groups, counts, owners)
 
     def value_of(piece: Piece) -> Column:
-        if is_variable(piece):
-            if piece.name not in owners:
-                return F.col("_template")
-            v = owners[piece.name]
-            return value_text(F.col(f"`{v.column}`"), v.dtype)
         if piece in calls:
             return F.coalesce(F.col(calls[piece]), F.lit(""))
+        if piece.params is None and piece.name in owners:
+            return F.coalesce(_text_or_null(owners[piece.name]), F.lit(""))
+        if piece.params is None and piece.name == "prompt":
+            return F.col("_template")
         return F.lit(MISSING_MARKER.format(piece.name))
 
     # each template becomes one concat over the columns it names
@@ -322,7 +342,7 @@ def expand_templates(templates: DataFrame, groups: Mapping[str, DataFrame],
     known = dict(sizes) if sizes is not None else group_sizes(groups)
     counts = [group_size(templates), *[known[n] for n in groups]]
     owners = _owners(members)
-    df = product(templates.sparkSession, members, counts)
+    df = product(templates.sparkSession, [text_group(m) for m in members], counts)
     args = _text_map({n: _text_or_null(v) for n, v in owners.items()})
     masked = _text_map({n: _masked_text(v) for n, v in owners.items()})
     return _keyed(df.select(
@@ -350,8 +370,9 @@ def placeholders(templates: DataFrame, args: str | None = None) -> DataFrame:
         values = F.transform(names, lambda n: F.lit(None).cast("string"))
     else:
         values = placeholder_values(names, F.col(args))
-    rows = templates.select("prompt_name", F.posexplode(F.arrays_zip(
-        pieces.alias("span"), values.alias("value"))).alias("pos", "p"))
+    # outer: the inner form computes the array twice, to look for templates without any
+    rows = templates.select("prompt_name", F.posexplode_outer(F.arrays_zip(
+        pieces.alias("span"), values.alias("value"))).alias("pos", "p")).filter("pos IS NOT NULL")
     name = F.col("p.span.placeholder")
     return rows.select(
         "prompt_name", "pos", name.alias("placeholder"), variable_name(name).alias("var_name"),
@@ -364,7 +385,8 @@ def highlights(templates: DataFrame, args: str, rendered: bool = True) -> DataFr
     """Where each placeholder lies in the template, or its value in the filled text."""
     template = F.col("template")
     values = placeholder_values(placeholder_names(template), F.col(args)) if rendered else None
-    rows = templates.select("prompt_name", F.explode(spans(template, values)).alias("s"))
+    rows = templates.select("prompt_name", F.explode_outer(spans(template, values)).alias("s")).filter(
+        "s IS NOT NULL")
     return rows.select(
         "prompt_name", F.col("s.pos").alias("pos"),
         variable_name(F.col("s.placeholder")).alias("var_name"),

@@ -12,7 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from promptframe.functions.answers import extract_json, response_items
+from promptframe.functions.answers import has_error
 
 KEYS = ["hash_prefix", "prompt_hash", "run_hash"]
 
@@ -103,13 +103,6 @@ def diff_counts(differences: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == s).alias(s) for s in ("copied", "equal", "different")])
 
 
-def has_error(response: Column) -> Column:
-    """Whether any item of a response is an error or cannot be read as JSON."""
-    return F.exists(
-        response_items(response),
-        lambda i: i["error"].isNotNull() | extract_json(i["content"]).isNull())
-
-
 def expired(results: DataFrame, now: Column | datetime, older_than: float | None = None,
             errors_only: bool = False, keys: DataFrame | None = None, match: str = "all") -> DataFrame:
     """Records to expire: at least ``older_than`` seconds old, with an unreadable answer,

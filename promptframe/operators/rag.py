@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -112,8 +112,9 @@ def fixed_chunks(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int
     inside = (n > 1) & (F.length(F.get("_pieces", n - 1)) <= overlap)
     wanted = F.slice(windows, F.lit(1), F.when(inside, n - 1).otherwise(n))
     kept = [F.col(f"`{c}`") for c in df.columns if c != text]
-    rows = cut.select(*kept, F.posexplode(wanted).alias("chunk_id", "chunk"))
-    return rows.withColumn("chunk_id", F.col("chunk_id").cast("long"))
+    # the inner form would compute the windows twice, to look for rows without any
+    rows = cut.select(*kept, F.posexplode_outer(wanted).alias("chunk_id", "chunk"))
+    return rows.filter("chunk_id IS NOT NULL").withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
 # --- vectors ----------------------------------------------------------------------
@@ -191,25 +192,34 @@ def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         return flat.astype("float64").reshape(table.num_rows, -1)
 
+    def by_document(table: pa.Table) -> tuple[pa.Table, dict[str, slice]]:
+        ordered = table.sort_by("doc_hash")
+        names = np.array(ordered.column("doc_hash").to_pylist(), dtype=object)
+        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        return ordered, {names[a]: slice(a, b) for a, b in zip(starts, [*starts[1:], len(names)])}
+
     def solve(queries: pa.Table, chunks: pa.Table) -> pa.Table:
         if not queries.num_rows or not chunks.num_rows:
             return out.empty_table()
-        ids = chunks.column("chunk_id").to_numpy()
-        points, names = matrix(chunks), queries.column("query_hash").to_pylist()
+        queries, asked = by_document(queries)
+        chunks, held = by_document(chunks)
+        vectors, points = matrix(queries), matrix(chunks)
+        names, ids = queries.column("query_hash").to_pylist(), chunks.column("chunk_id").to_numpy()
         found: dict[str, list] = {n: [] for n in out.names}
-        doc = chunks.column("doc_hash")[0].as_py()
-        for name, q in zip(names, matrix(queries)):
-            distance = ((points - q) ** 2).sum(axis=1)
-            if len(ids) > k:
-                bound = np.partition(distance, k - 1)[k - 1]
-                near = np.flatnonzero(distance <= bound)
-            else:
-                near = np.arange(len(ids))
-            near = near[np.lexsort((ids[near], distance[near]))][:k]
-            found["doc_hash"].extend([doc] * len(near))
-            found["query_hash"].extend([name] * len(near))
-            found["chunk_id"].extend(ids[near].tolist())
-            found["distance"].extend(distance[near].tolist())
+        for doc, rows in asked.items():
+            if doc not in held:
+                continue
+            here, numbers = points[held[doc]], ids[held[doc]]
+            for i in range(rows.start, rows.stop):
+                distance = ((here - vectors[i]) ** 2).sum(axis=1)
+                near = np.arange(len(numbers))
+                if len(near) > k:
+                    near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
+                near = near[np.lexsort((numbers[near], distance[near]))][:k]
+                found["doc_hash"].extend([doc] * len(near))
+                found["query_hash"].extend([names[i]] * len(near))
+                found["chunk_id"].extend(numbers[near].tolist())
+                found["distance"].extend(distance[near].tolist())
         return pa.table(found, schema=out)
 
     return solve
@@ -221,7 +231,12 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, chunk_block:
 
     ``queries``: ``doc_hash, query_hash, embedding``, distinct; ``chunks``: ``doc_hash,
     chunk_id`` (from 0 within the document), ``embedding``. Ties go to the lower id.
+
+    A document of one block shares its task with other small ones; a larger one gets a
+    task per pair of a chunk block and a query block. Both counts below only size those
+    shared tasks.
     """
+    shared = max(1, -(-chunks.count() // chunk_block), -(-queries.count() // query_block))
     # both sides may come from one table: give their columns identities of their own
     queries = queries.select(*[F.col(c).alias(c) for c in ("doc_hash", "query_hash", "embedding")])
     chunks = chunks.select(*[F.col(c).alias(c) for c in ("doc_hash", "chunk_id", "embedding")])
@@ -234,17 +249,19 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, chunk_block:
     def numbers(n: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), n - 1))
 
-    asked = queries.select("doc_hash", "query_hash", "embedding").join(blocks, "doc_hash").select(
-        "doc_hash", "query_hash", "embedding",
-        F.pmod(F.xxhash64("query_hash"), F.col("_query_blocks")).cast("int").alias("_qb"),
-        numbers(F.col("_chunk_blocks")).alias("_cb"))
-    held = chunks.select("doc_hash", F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").join(
-        blocks, "doc_hash").select(
-        "doc_hash", "chunk_id", "embedding",
-        F.floor(F.col("chunk_id") / chunk_block).cast("int").alias("_cb"),
-        numbers(F.col("_query_blocks")).alias("_qb"))
-    keys = ["doc_hash", "_cb", "_qb"]
-    partial = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(
+    task = F.when(
+        (F.col("_chunk_blocks") == 1) & (F.col("_query_blocks") == 1),
+        F.concat(F.lit("small/"), F.pmod(F.xxhash64("doc_hash"), F.lit(shared)).cast("string"))
+    ).otherwise(F.concat_ws("/", "doc_hash", F.col("_cb").cast("string"), F.col("_qb").cast("string")))
+    asked = queries.join(blocks, "doc_hash").select(
+        "*", F.pmod(F.xxhash64("query_hash"), F.col("_query_blocks")).cast("int").alias("_qb"),
+        numbers(F.col("_chunk_blocks")).alias("_cb")
+    ).select(task.alias("_task"), "doc_hash", "query_hash", "embedding")
+    held = chunks.withColumn("chunk_id", F.col("chunk_id").cast("long")).join(blocks, "doc_hash").select(
+        "*", F.floor(F.col("chunk_id") / chunk_block).cast("int").alias("_cb"),
+        numbers(F.col("_query_blocks")).alias("_qb")
+    ).select(task.alias("_task"), "doc_hash", "chunk_id", "embedding")
+    partial = asked.groupBy("_task").cogroup(held.groupBy("_task")).applyInArrow(
         _nearest(k), "doc_hash string, query_hash string, chunk_id bigint, distance double")
     best = Window.partitionBy("doc_hash", "query_hash").orderBy("distance", "chunk_id")
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -294,20 +311,18 @@ class PassageFunction:
             raise ValueError("a passage call needs the name of the query variable")
         return list(dict.fromkeys([self.document, params[0]]))
 
-    def apply(self, calls: DataFrame, params: Sequence[str]) -> DataFrame:
-        spark = calls.sparkSession
-        asked = calls.select(
-            "call_key", F.col(self.document).alias("_document"), F.col(params[0]).alias("_query"),
-            doc_hash(F.col(self.document)).alias("doc_hash"), doc_hash(F.col(params[0])).alias("query_hash"))
-        chunks = index_documents(asked, "_document", shared_dir(spark, "chunks"), self.size, self.overlap,
-                                 self.model, self.fn)
+    def apply(self, calls: DataFrame, texts: Mapping[str, DataFrame], params: Sequence[str]) -> DataFrame:
+        spark, query = calls.sparkSession, params[0]
+        chunks = index_documents(texts[self.document], "text", shared_dir(spark, "chunks"), self.size,
+                                 self.overlap, self.model, self.fn)
         path = shared_dir(spark, "queries")
-        embed_queries(asked, "_query", None, self.fn).write.parquet(path)
-        pairs = asked.select("doc_hash", "query_hash").distinct()
+        embed_queries(texts[query], "text", None, self.fn).write.parquet(path)
+        pairs = calls.select(F.col(self.document).alias("doc_hash"), F.col(query).alias("query_hash"))
         queries = pairs.join(spark.read.parquet(path), "query_hash")
         found = passages(retrieve(queries, chunks, self.k), chunks)
-        values = format_passages(pairs, found, self.fmt)
-        return asked.join(values, ["doc_hash", "query_hash"]).select("call_key", "value")
+        return format_passages(pairs, found, self.fmt).select(
+            F.col("doc_hash").alias(self.document),
+            *([F.col("query_hash").alias(query)] if query != self.document else []), "value")
 
 
 def passage_functions(rag: dict) -> dict[str, PassageFunction]:

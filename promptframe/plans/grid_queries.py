@@ -120,8 +120,8 @@ class _Shout:
     def variables(self, params):
         return [params[0]]
 
-    def apply(self, calls: DataFrame, params) -> DataFrame:
-        return calls.select("call_key", F.upper(params[0]).alias("value"))
+    def apply(self, calls: DataFrame, texts, params) -> DataFrame:
+        return texts[params[0]].select(F.col("key").alias(params[0]), F.upper("text").alias("value"))
 
 
 @query("""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from promptframe.operators.runs import Module, RunKey
-from promptframe.session import configure
+from promptframe.session import configure, widen
 from promptframe.sources.ordinals import read_parquet_group
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -41,4 +41,5 @@ def group(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one that is a single small file is spread over the cores."""
+    return widen(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

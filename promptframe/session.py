@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import promptframe
 
@@ -38,6 +38,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before costly work per row.
+
+    An input that already has that many partitions is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on the file system that serves it."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

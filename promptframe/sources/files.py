@@ -177,8 +177,10 @@ def split_fixed(df: DataFrame, key: str, text: str, length: int = SPLIT_LENGTH,
     parts = parts_of(F.col(text), length)
     numbered = F.transform(parts, lambda p, i: F.struct(i.alias("no"), p.alias("text")))
     long = F.length(F.col(text)) > length
+    # outer: the inner form computes the parts twice, to look for rows without any
     out = df.select(
-        "*", long.alias("_long"), F.posexplode(keep_parts(numbered, count)).alias("_part", "_piece"))
+        "*", long.alias("_long"),
+        F.posexplode_outer(keep_parts(numbered, count)).alias("_part", "_piece")).filter("_part IS NOT NULL")
     number = F.col("_piece.no").cast("string")
     suffix = F.concat(F.lit("_part_"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), "0"))
     name = F.col(key).cast("string")
