@@ -49,11 +49,17 @@ def parsed_items(records: DataFrame) -> DataFrame:
 def answer_items(records: DataFrame) -> DataFrame:
     """One row per item of each response: ``pos``, ``data``, ``extra``, ``choice`` (its
     number, when there are several), ``error``, ``raw``, next to the record's columns."""
-    kept = [c for c in records.columns if c != "response"]
+    kept = _carried(records)
     return _item_rows(parsed_items(records), *kept, "several").select(
         *kept, "pos", "data", "extra", _choice(), "error", "raw")
 
 
+def _carried(records: DataFrame) -> list[str]:
+    """Columns of a record that its rows keep; the item's own names are taken."""
+    own = {"response", "pos", "list_pos", "data", "extra", "choice", "error", "raw"}
+    return [c for c in records.columns if c not in own]
+
+
 def _item_rows(parsed: DataFrame, *kept: str) -> DataFrame:
     """One row per item. The outer form, since for the inner one Spark computes the array
     a second time to drop rows without any."""
@@ -67,7 +73,7 @@ def _choice() -> Column:
 def flatten_answers(records: DataFrame) -> DataFrame:
     """:func:`answer_items`, with wrapped lists taken apart: ``list_pos`` is the place in
     the list. Only when every item of the response is such a wrapper."""
-    kept = [c for c in records.columns if c != "response"]
+    kept = _carried(records)
     parsed = parsed_items(records).withColumn(
         "flat", F.forall("items", lambda i: is_wrapped_list(i["data"])))
     rows = _item_rows(parsed, *kept, "several", "flat")

@@ -31,6 +31,8 @@ SEPARATORS = ("\n\n", "\n", " ", "")
 # rows of one block: a task holds one block of chunks and one of queries
 CHUNK_BLOCK = 4096
 QUERY_BLOCK = 1024
+# chunks handed on at once
+OUTPUT_ROWS = 10_000
 
 
 # --- chunks -----------------------------------------------------------------------
@@ -86,15 +88,31 @@ def chunk(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("chunk_id", T.LongType()), T.StructField("chunk", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_dict(orient="records"):
-                chunks = split_text(row[text] or "", size, overlap)
-                if chunks:
-                    yield pd.DataFrame({**{n: [row[n]] * len(chunks) for n in names},
-                                        "chunk_id": range(len(chunks)), "chunk": chunks})
-
-    return df.mapInPandas(run, schema)
+            others = batch.select(names)
+            rows: list[int] = []
+            numbers: list[int] = []
+            chunks: list[str] = []
+
+            def filled() -> pa.RecordBatch:
+                repeated = others.take(pa.array(rows, pa.int64())).columns
+                return pa.RecordBatch.from_arrays(
+                    [*repeated, pa.array(numbers, pa.int64()), pa.array(chunks, pa.string())],
+                    names=[*names, "chunk_id", "chunk"])
+
+            for i, body in enumerate(batch.column(text).to_pylist()):
+                pieces = split_text(body or "", size, overlap)
+                rows.extend([i] * len(pieces))
+                numbers.extend(range(len(pieces)))
+                chunks.extend(pieces)
+                if len(chunks) >= OUTPUT_ROWS:
+                    yield filled()
+                    rows, numbers, chunks = [], [], []
+            if chunks:
+                yield filled()
+
+    return df.mapInArrow(run, schema)
 
 
 def fixed_chunks(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

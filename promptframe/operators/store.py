@@ -114,7 +114,7 @@ class ResultStore:
 
         none, result = F.lit(None).cast("string"), F.concat(F.lit("result_"), F.col("run_hash"), F.lit(".json"))
         out = listed(self.prompts(), "prompt", none, F.lit("prompt.txt"))
-        out = out.unionByName(listed(self.results(), "result", F.col("run_hash"), result))
+        out = out.unionByName(listed(self.results().select(*KEYS).distinct(), "result", F.col("run_hash"), result))
         waiting = lookup.pending_keys(self.pending())
         out = out.unionByName(listed(waiting, "pending", F.col("run_hash"),
                                      F.concat(result, F.lit(".delayed"))))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import json
 import math
+import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
@@ -30,6 +32,12 @@ SPLIT_LENGTH = 8_000_000
 JSON_TEXT = {"json_text": True}
 
 
+def charset(encoding: str) -> str:
+    """Java's name of a Python encoding name (latin-1, cp1252, utf8 ...)."""
+    name = codecs.lookup(encoding).name
+    return re.sub(r"^cp(125\d)$", r"windows-\1", re.sub(r"^iso8859-", "iso-8859-", name)).replace("ascii", "us-ascii")
+
+
 def read_csv_group(
     spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8",
     na_values: Iterable[str] = NA_VALUES, multi_line: bool = True,
@@ -39,7 +47,7 @@ def read_csv_group(
     ``multi_line=False`` lets Spark split large files whose fields hold no line breaks.
     """
     scan = spark.read.csv(
-        path, header=True, inferSchema=False, sep=sep, encoding=encoding, escape='"',
+        path, header=True, inferSchema=False, sep=sep, encoding=charset(encoding), escape='"',
         multiLine=multi_line, mode="PERMISSIVE")
     missing = [v for v in na_values if v]
     columns = [
@@ -51,10 +59,20 @@ def read_csv_group(
 def read_lines_group(
     spark: SparkSession, path: str, variable: str, encoding: str = "utf-8") -> DataFrame:
     """One row per line, trimmed; blank lines are rows too."""
-    reader = spark.read
-    if encoding.lower().replace("-", "") != "utf8":
-        reader = reader.option("encoding", encoding).option("lineSep", "\n")
-    return scanned_ordinals(reader.text(path), [strip(F.col("value")).alias(variable)])
+    name = charset(encoding)
+    if name.startswith(("utf-16", "utf-32")):
+        # line ends are not single bytes: such a file is decoded whole
+        text = F.decode("content", name)
+        files = spark.read.format("binaryFile").load(path).select(
+            *file_order(F.col("path")),
+            F.posexplode(F.split(F.regexp_replace(text, r"(\r\n?|\n)\z", ""), r"\r\n?|\n", -1)).alias("_at", "value"))
+        return dense_ordinals(
+            files.withColumn("value", strip(F.col("value"))).withColumnRenamed("value", variable),
+            ["_dir", "_part", "_name"], "_at")
+    line = F.col("value")
+    if name != "utf-8":
+        line = F.decode(line.cast("binary"), name)
+    return scanned_ordinals(spark.read.text(path), [strip(line).alias(variable)])
 
 
 def _json_schema(inferred: T.StructType) -> T.StructType:
@@ -73,7 +91,7 @@ def _json_schema(inferred: T.StructType) -> T.StructType:
 
 def _read_json(spark: SparkSession, path: str, encoding: str, multi_line: bool,
                schema: T.StructType | str | None) -> DataFrame:
-    reader = spark.read.option("mode", "FAILFAST").option("encoding", encoding)
+    reader = spark.read.option("mode", "FAILFAST").option("encoding", charset(encoding))
     reader = reader.option("multiLine", multi_line)
     if schema is None:
         schema = _json_schema(reader.json(path).schema)
@@ -193,8 +211,8 @@ def split_fixed(df: DataFrame, key: str, text: str, length: int = SPLIT_LENGTH,
 
 
 def _decoded(encoding: str):
-    text = F.decode("content", encoding)
-    if encoding.lower().replace("-", "") == "utf8":
+    text = F.decode("content", charset(encoding))
+    if charset(encoding) == "utf-8":
         text = F.when(F.is_valid_utf8(F.col("content").cast("string")), text).otherwise(
             F.raise_error(F.concat(F.lit("Errors reading files: "), F.col("_name"))))
     return F.regexp_replace(text, "\r\n?", "\n")
@@ -214,7 +232,7 @@ def read_directory_group(
         F.lower(F.element_at(F.split("path", r"\."), -1)).alias("_suffix"))
     suffixes = {r[0] for r in files.select("_suffix").distinct().limit(10_000).collect()}
     texts = files.filter(F.col("_suffix") == "txt")
-    if decode is None and check and encoding.lower().replace("-", "") == "utf8":
+    if decode is None and check and charset(encoding) == "utf-8":
         broken = texts.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select("_name")
         names = sorted(r[0] for r in broken.limit(1000).collect())
         if names:
