@@ -100,11 +100,21 @@ def row_keys(rows: DataFrame, masked: str | None = "masked", timestamp: str | No
 
 
 def column_names(rows: DataFrame, masked: str | None = "masked", timestamp: str | None = "timestamp",
-                 order: Sequence[str] = ("combo_id", "pos", "list_pos"), limit: int = MAX_COLUMNS) -> list[str]:
-    """Keys of all rows, ordered by where they first appear."""
-    at = F.struct(*[F.col(c) for c in order if c in rows.columns])
-    seen = rows.select(at.alias("at"), F.posexplode(row_keys(rows, masked, timestamp)).alias("key_pos", "key"))
-    first = seen.groupBy("key").agg(F.min(F.struct("at", "key_pos")).alias("first"))
+                 limit: int = MAX_COLUMNS) -> list[str]:
+    """Keys of all rows, ordered by where they first appear (combination, item, place).
+
+    The place is one decimal number, so that keys are collapsed by hashing before the
+    shuffle instead of by sorting.
+    """
+    place = F.lit(0).cast("decimal(38,0)")
+    for name, width in (("combo_id", 0), ("pos", 5), ("list_pos", 8)):
+        if name in rows.columns:
+            top = 10**width - 1 if width else 2**63 - 1
+            step = F.lit(10**width).cast("decimal(9,0)")
+            place = (place * step + F.least(F.col(name).cast("long"), F.lit(top))).cast("decimal(38,0)")
+    seen = rows.select(place.alias("at"), F.posexplode(row_keys(rows, masked, timestamp)).alias("key_pos", "key"))
+    at = (F.col("at") * F.lit(1_000_000).cast("decimal(7,0)") + F.least("key_pos", F.lit(999_999))).cast("decimal(38,0)")
+    first = seen.groupBy("key").agg(F.min(at).alias("first"))
     keys = first.orderBy("first", "key").select("key").limit(limit + 1).collect()
     if len(keys) > limit:
         raise ValueError(f"answers have more than {limit} different keys: name the columns")

@@ -117,15 +117,25 @@ def resolve(pending: DataFrame, finished: DataFrame) -> DataFrame:
     return joined.withColumn("state", F.when(F.col("_done"), "done").otherwise(F.col("state"))).drop("_done")
 
 
-def settle(store: ResultStore, finished: DataFrame) -> int:
-    """Move finished requests into the results; returns how many are still waiting."""
+def settle(store: ResultStore, finished: DataFrame) -> None:
+    """Move finished requests into the results.
+
+    Only the state rows of finished requests are read in full; one that was settled
+    before is not waiting any more, so a second delivery changes nothing.
+    """
     path = shared_dir(store.spark, "resolved")
-    spread(resolve(store.pending(), finished)).write.parquet(path)
-    resolved = store.spark.read.parquet(path)
-    done = resolved.filter(F.col("state") == "done")
+    log = store.pending()
+    named = finished.select(F.col("custom_id").alias("prompt_hash")).distinct()
+    resolved = resolve(log.join(named, "prompt_hash", "left_semi"), finished)
+    spread(resolved.filter(F.col("state") == "done")).write.parquet(path)
+    done = store.spark.read.parquet(path)
     store.append(done)
     store.append_pending(done)
-    return resolved.filter(F.col("state") != "done").count()
+
+
+def still_waiting(store: ResultStore) -> int:
+    """Number of requests without an answer."""
+    return lookup.pending_keys(store.pending()).count()
 
 
 def submit_queued(store: ResultStore, path: str, batch_id: str) -> None:

@@ -2,8 +2,9 @@
 
 A call costs money and is not repeatable, so its output is written by the same task
 that made it (no shuffle after the call) and every later step reads the stored table.
-A task that is lost before it commits is called again: delivery is at least once.
-Small waves bound how much that can be.
+A task that is lost before it commits is called again: delivery is at least once, and
+calls go in waves so that little can be lost at a time. Switch speculation off
+(``spark.speculation=false``) for these jobs: a second copy of a task calls again.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from promptframe.functions.images import images, without_images
 from promptframe.operators import usage as money
 from promptframe.operators.grid import distinct_work, work
+from promptframe.operators.lookup import KEYS
 from promptframe.operators.runs import RunKey, public_args, public_dict
 from promptframe.operators.store import ResultStore, spread
 from promptframe.session import shared_dir
 
 ANSWER_SCHEMA = "response string, cost_value double, elapsed_time double, error string"
+CALLS_PER_TASK = 10_000
 DEFAULT_STUB = "Stub response from the dummy model."
 
 
@@ -181,29 +184,36 @@ def assemble(answers: DataFrame, discount: float = 0.0) -> DataFrame:
 
 def execute(grid: DataFrame, run: RunKey, store: ResultStore, provider: Provider | None = None,
             max_parallel: int = 8, max_cost: float = 0.0, wave: int | None = None,
-            total: int | None = None, timeout: float | None = None, stub: str | None = None) -> DataFrame:
+            total: int | None = None, timeout: float | None = None, stub: str | None = None,
+            calls_per_task: int = CALLS_PER_TASK) -> DataFrame:
     """Answer every combination of one run and return its work with a final status.
 
-    Each distinct missing prompt is called once. With a budget the combinations go in
-    waves of ``wave`` numbers, and no wave starts once ``max_cost`` is spent; answers
-    that were already stored count too. Returns one row per combination with ``status``
-    executed, cached, pending or missing (not reached).
+    Each distinct missing prompt is called once, in ``max_parallel`` tasks at a time,
+    and a task makes about ``calls_per_task`` calls before they are stored. With a budget
+    the combinations go in waves of ``wave`` numbers, and no wave starts once
+    ``max_cost`` is spent; answers that were already stored count too. Returns one row
+    per combination with ``status`` executed, cached, pending or missing (not reached).
     """
     todo = _frozen(store, distinct_work(grid, [run]), "work")
     store.write_prompts(todo)
     # statuses change with the store, so they are written down before any call
     state = _frozen(store, store.lookup(work(grid, [run]).select(
         "combo_id", "prompt_hash", "hash_prefix", "run_hash", "run_name"), timeout=timeout), "status")
-    if not max_cost and wave is None:
-        _call_wave(todo, store, provider, max_parallel, timeout, stub)
-    else:
-        top = total if total is not None else grid.count()
+    missing = _frozen(store, store.misses(todo, timeout=timeout), "missing")
+    if max_cost:
+        top = total if total is not None else state.count()
         size = wave or max(1, -(-top // 100))
         for low in range(0, top, size):
-            if max_cost and _spent(state, store, low) >= max_cost:
+            if _spent(state, store, low) >= max_cost:
                 break
-            part = todo.filter((F.col("combo_id") >= low) & (F.col("combo_id") < low + size))
-            _call_wave(part, store, provider, max_parallel, timeout, stub)
+            _call_wave(missing.filter(F.col("combo_id").between(low, low + size - 1)), store, provider,
+                       max_parallel, stub)
+    else:
+        waves = -(-missing.count() // (wave or max_parallel * calls_per_task))
+        # digests fall evenly into waves; these digits are not those that place a row in a file
+        number = F.conv(F.substring("prompt_hash", 7, 6), 16, 10).cast("long") * F.lit(waves)
+        for i in range(waves):
+            _call_wave(missing.filter(F.shiftright(number, 24) == i), store, provider, max_parallel, stub)
     return _final(state, store, timeout)
 
 
@@ -213,36 +223,36 @@ def _frozen(store: ResultStore, df: DataFrame, purpose: str) -> DataFrame:
     return store.spark.read.parquet(path)
 
 
-def _call_wave(todo: DataFrame, store: ResultStore, provider: Provider | None, tasks: int,
-               timeout: float | None, stub: str | None) -> None:
-    missing = spread(store.misses(todo, timeout=timeout), tasks)
-    answers = stub_answers(missing, stub or DEFAULT_STUB) if provider is None else call_provider(missing, provider)
+def _call_wave(missing: DataFrame, store: ResultStore, provider: Provider | None, tasks: int,
+               stub: str | None) -> None:
+    placed = spread(missing, tasks)
+    answers = stub_answers(placed, stub or DEFAULT_STUB) if provider is None else call_provider(placed, provider)
     store.append(assemble(answers))
 
 
 def _spent(state: DataFrame, store: ResultStore, below: int) -> float:
-    """Money of the combinations below a number, counted once per stored answer call."""
-    answers = store.latest().select("hash_prefix", "prompt_hash", "run_hash", "usage.cost")
-    reached = state.filter(F.col("combo_id") < below)
-    row = reached.join(answers, ["hash_prefix", "prompt_hash", "run_hash"]).agg(
-        F.sum(F.col("cost").cast(money.MONEY))).first()
+    """Money of the combinations below a number: an answer counts for each it serves."""
+    served = state.filter(F.col("combo_id") < below).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
+    answers = store.latest().select(*KEYS, "usage.cost")
+    row = served.join(answers, KEYS).agg(F.sum(F.col("cost").cast(money.MONEY) * F.col("_n"))).first()
     return float(row[0] or 0)
 
 
 def _final(state: DataFrame, store: ResultStore, timeout: float | None) -> DataFrame:
     """Status after the run: the first combination of a new answer was executed, the
-    others that share it were served from the store."""
-    was_missing = F.col("status") == "missing"
-    first = state.filter(was_missing).groupBy("hash_prefix", "prompt_hash", "run_hash").agg(
-        F.min("combo_id").alias("_first"))
-    keys = ["hash_prefix", "prompt_hash", "run_hash"]
-    now = store.lookup(state.withColumnRenamed("status", "_before"), timeout=timeout)
-    answered = store.latest().select(*keys, "prompt", "response", "usage", "timestamp", "elapsed_time")
+    others that share it were served from the store.
+
+    Everything known per key is brought together first, on distinct keys; combinations
+    meet it in one last join.
+    """
+    per_key = state.groupBy(*KEYS).agg(
+        F.min(F.when(F.col("status") == "missing", F.col("combo_id"))).alias("_first"))
+    answered = store.latest().select(*KEYS, "prompt", "response", "usage", "timestamp", "elapsed_time")
+    known = store.lookup(per_key, timeout=timeout).join(answered, KEYS, "left")
+    new = (F.col("_before") == "missing") & (F.col("status") == "cached") & (F.col("combo_id") == F.col("_first"))
     return (
-        now.join(first, keys, "left").join(answered, keys, "left")
-        .withColumn("status", F.when(
-            (F.col("_before") == "missing") & (F.col("status") == "cached") & (F.col("combo_id") == F.col("_first")),
-            "executed").otherwise(F.col("status")))
+        state.withColumnRenamed("status", "_before").join(known, KEYS, "left")
+        .withColumn("status", F.when(new, "executed").otherwise(F.col("status")))
         .drop("_before", "_first"))
 
 

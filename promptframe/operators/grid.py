@@ -29,6 +29,7 @@ INDEX_BLOCK = 4096
 # a largest group below this many rows is spread over more tasks before it is repeated
 SPREAD_BELOW_ROWS = 1_000_000
 COMBOS_PER_TASK = 100_000
+BYTES_PER_TASK = 8 << 20
 # a group is broadcast only when it was measured to stay below both bounds
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
@@ -125,10 +126,11 @@ def product(spark: SparkSession, groups: Sequence[DataFrame | None],
 
     base = max(range(len(groups)), key=lambda k: rows[k])
     out = member(base)
-    tasks = min(-(-total // COMBOS_PER_TASK), rows[base])
+    times = total // rows[base] if total else 0
+    wanted = max(-(-total // COMBOS_PER_TASK), (sizes[base].bytes or 0) * times // BYTES_PER_TASK)
+    tasks = min(wanted, rows[base])
     if rows[base] <= SPREAD_BELOW_ROWS and tasks > 1:
         out = out.repartition(tasks)
-    times = total // rows[base] if total else 0
     out = _repeat(out, times)
     for k in range(len(groups)):
         if k == base:

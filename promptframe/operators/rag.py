@@ -208,7 +208,7 @@ def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
     def matrix(table: pa.Table) -> np.ndarray:
         flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return flat.astype("float64").reshape(table.num_rows, -1)
+        return flat.reshape(table.num_rows, -1)
 
     def by_document(table: pa.Table) -> tuple[pa.Table, dict[str, slice]]:
         ordered = table.sort_by("doc_hash")
@@ -227,9 +227,9 @@ def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         for doc, rows in asked.items():
             if doc not in held:
                 continue
-            here, numbers = points[held[doc]], ids[held[doc]]
+            here, numbers = points[held[doc]].astype("float64"), ids[held[doc]]
             for i in range(rows.start, rows.stop):
-                distance = ((here - vectors[i]) ** 2).sum(axis=1)
+                distance = ((here - vectors[i].astype("float64")) ** 2).sum(axis=1)
                 near = np.arange(len(numbers))
                 if len(near) > k:
                     near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])

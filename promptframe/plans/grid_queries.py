@@ -64,6 +64,23 @@ def grid_count(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(g.num_combinations(project),)], "combinations bigint")
 
 
+@query("""
+  SELECT p.i * (SELECT count(*) FROM customer) * (SELECT count(*) FROM nation)
+         + c_custkey * (SELECT count(*) FROM nation) + n_nationkey AS combo_id,
+         sha1(CASE p.i WHEN 0 THEN 'Tell about ' || c_name || ' in ' || n_name
+              WHEN 1 THEN c_mktsegment || ' of ' || c_name || ': ' || n_name || '?'
+              ELSE 'What sells in ' || n_name || '?' END) AS prompt_hash
+  FROM (VALUES (0), (1), (2)) p(i), customer, nation""")
+def grid_large(spark: SparkSession, sf: str) -> DataFrame:
+    """More than a million combinations at scale factor 0.1."""
+    prompts = {"tell": "Tell about {{c_name}} in {{n_name}}",
+               "who": "{{c_mktsegment}} of {{c_name}}: {{n_name}}?", "what": "What sells in {{n_name}}?"}
+    project = Project(spark, prompts, {
+        "customer": group(spark, sf, "customer", "c_name", "c_mktsegment"),
+        "nation": group(spark, sf, "nation", "n_name")})
+    return g.expand(project).select("combo_id", "prompt_hash")
+
+
 @query("""
   SELECT row_number() OVER (ORDER BY p_partkey, r_regionkey) - 1 AS combo_id, p_name, r_name
   FROM part, region""")

@@ -45,7 +45,7 @@ def run_project(project: Project, modules: Mapping[str, Module], store: ResultSt
         status = done if status is None else status.unionByName(done)
         records = answered(
             work(grid, [run]).select("combo_id", "masked", "run_name", "hash_prefix", "prompt_hash", "run_hash"),
-            store.latest())
+            store.latest().filter(F.col("run_hash") == run.run_hash))
         for name in names:
             by_analysis[name][run.name] = analyse(records, name)
         by_analysis["info"][run.name] = run_info(records)
@@ -80,7 +80,8 @@ def take_batch(store: ResultStore, answers: str, prices: DataFrame, errors: str
     failed = batch.read_batch_lines(spark, errors) if errors else None
     times = None if not elapsed else spark.createDataFrame(
         list(elapsed.items()), "batch_id string, elapsed double")
-    return batch.settle(store, batch.ingest_batch(lines, prices, failed, times))
+    batch.settle(store, batch.ingest_batch(lines, prices, failed, times))
+    return batch.still_waiting(store)
 
 
 def answer_table(store: ResultStore, work_rows: DataFrame) -> DataFrame:

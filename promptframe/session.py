@@ -21,6 +21,11 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # files may come in any encoding Java knows, such as windows-1252
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    # one prompt may serve a third of all combinations: split such join partitions even
+    # where that costs another shuffle
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     # Python workers need not have the package installed
     cloudpickle.register_pickle_by_value(promptframe)
     return spark

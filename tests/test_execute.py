@@ -90,6 +90,15 @@ def test_budget_stops_between_waves(spark, store, tmp_path):
     assert len(calls(log)) == 6
 
 
+def test_waves_without_a_budget(spark, store, tmp_path):
+    log, grid = tmp_path / "log", grid_of(spark, [str(i) for i in range(40)])
+    done = execute(grid, RUN, store, Echo(log), max_parallel=2, calls_per_task=5)
+    assert len(calls(log)) == 40 == len(set(calls(log)))
+    assert {r["status"] for r in done.collect()} == {"executed"}
+    batches = [d for d in (tmp_path / "store" / "results").iterdir() if d.is_dir()]
+    assert len(batches) == 4
+
+
 def test_wrong_answer_count_is_an_error(spark, store):
     class Short(Echo):
         def call(self, rows):
@@ -172,14 +181,16 @@ def test_batch_life(spark, store, tmp_path):
     finished = batch.ingest_batch(
         batch.read_batch_lines(spark, str(inbox)), prices, batch.read_batch_lines(spark, str(failed)),
         spark.createDataFrame([("b1", 90.0)], "batch_id string, elapsed double"))
-    assert batch.settle(store, finished) == 1  # the request of the second batch
+    batch.settle(store, finished)
+    assert batch.still_waiting(store) == 1  # the request of the second batch
     rows = {r["prompt_hash"]: r for r in store.latest().collect()}
     good = [rows[s["custom_id"]] for s in sent[:2]]
     assert [r["usage"]["cost"] for r in good] == [1.0, 1.0] and [r["elapsed_time"] for r in good] == [90.0, None]
     assert rows[sent[2]["custom_id"]]["error"] == "bad"
     assert good[0]["prompt"].startswith("Hello ") and good[0]["params"]["name"]
     # delivered twice: nothing changes
-    assert batch.settle(store, finished) == 1 and store.results().count() == 3
+    batch.settle(store, finished)
+    assert batch.still_waiting(store) == 1 and store.results().count() == 3
     assert grid.count() == 3
 
 
