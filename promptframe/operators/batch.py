@@ -15,6 +15,8 @@ from promptframe.operators.usage import with_usage
 from promptframe.session import shared_dir
 
 BATCH_DISCOUNT = 0.5
+# a list of up to this many batches is broadcast
+MAX_BATCHES = 10_000
 # Fixed values of a request line.
 METHOD = "POST"
 URL = "/v1/chat/completions"
@@ -75,9 +77,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def _first_lines(parsed: DataFrame, elapsed: DataFrame) -> DataFrame:
-    """The first answer of each batch carries the elapsed time of the whole batch."""
+    """The first answer of each batch carries the elapsed time of the whole batch.
+
+    One row per batch of the caller's list; a list of checked length is broadcast, so that
+    answers are not shuffled for it.
+    """
     first = parsed.groupBy("batch_id").agg(F.min_by("custom_id", "at").alias("custom_id"))
-    return first.join(elapsed.select("batch_id", F.col("elapsed").cast("double").alias("elapsed_time")), "batch_id")
+    rows = first.join(elapsed.select("batch_id", F.col("elapsed").cast("double").alias("elapsed_time")), "batch_id")
+    few = elapsed.limit(MAX_BATCHES + 1).count() <= MAX_BATCHES
+    return F.broadcast(rows) if few else rows
 
 
 def ingest_batch(lines: DataFrame, prices: DataFrame, errors: DataFrame | None = None,

@@ -198,13 +198,14 @@ def execute(grid: DataFrame, run: RunKey, store: ResultStore, provider: Provider
     store.write_prompts(todo)
     # statuses change with the store, so they are written down before any call
     state = _frozen(store, store.lookup(work(grid, [run]).select(
-        "combo_id", "prompt_hash", "hash_prefix", "run_hash", "run_name"), timeout=timeout), "status")
-    missing = _frozen(store, store.misses(todo, timeout=timeout), "missing")
+        "combo_id", "prompt_hash", "hash_prefix", "run_hash", "run_name"), timeout=timeout,
+        run_hash=run.run_hash), "status")
+    missing = _frozen(store, store.misses(todo, timeout=timeout, run_hash=run.run_hash), "missing")
     if max_cost:
         top = total if total is not None else state.count()
         size = wave or max(1, -(-top // 100))
         for low in range(0, top, size):
-            if _spent(state, store, low) >= max_cost:
+            if _spent(state, store, run.run_hash, low) >= max_cost:
                 break
             _call_wave(missing.filter(F.col("combo_id").between(low, low + size - 1)), store, provider,
                        max_parallel, stub)
@@ -214,7 +215,7 @@ def execute(grid: DataFrame, run: RunKey, store: ResultStore, provider: Provider
         number = F.conv(F.substring("prompt_hash", 7, 6), 16, 10).cast("long") * F.lit(waves)
         for i in range(waves):
             _call_wave(missing.filter(F.shiftright(number, 24) == i), store, provider, max_parallel, stub)
-    return _final(state, store, timeout)
+    return _final(state, store, run.run_hash, timeout)
 
 
 def _frozen(store: ResultStore, df: DataFrame, purpose: str) -> DataFrame:
@@ -230,15 +231,15 @@ def _call_wave(missing: DataFrame, store: ResultStore, provider: Provider | None
     store.append(assemble(answers))
 
 
-def _spent(state: DataFrame, store: ResultStore, below: int) -> float:
+def _spent(state: DataFrame, store: ResultStore, run_hash: str, below: int) -> float:
     """Money of the combinations below a number: an answer counts for each it serves."""
     served = state.filter(F.col("combo_id") < below).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
-    answers = store.latest().select(*KEYS, "usage.cost")
+    answers = store.latest(run_hash).select(*KEYS, "usage.cost")
     row = served.join(answers, KEYS).agg(F.sum(F.col("cost").cast(money.MONEY) * F.col("_n"))).first()
     return float(row[0] or 0)
 
 
-def _final(state: DataFrame, store: ResultStore, timeout: float | None) -> DataFrame:
+def _final(state: DataFrame, store: ResultStore, run_hash: str, timeout: float | None) -> DataFrame:
     """Status after the run: the first combination of a new answer was executed, the
     others that share it were served from the store.
 
@@ -247,8 +248,8 @@ def _final(state: DataFrame, store: ResultStore, timeout: float | None) -> DataF
     """
     per_key = state.groupBy(*KEYS).agg(
         F.min(F.when(F.col("status") == "missing", F.col("combo_id"))).alias("_first"))
-    answered = store.latest().select(*KEYS, "prompt", "response", "usage", "timestamp", "elapsed_time")
-    known = store.lookup(per_key, timeout=timeout).join(answered, KEYS, "left")
+    answered = store.latest(run_hash).select(*KEYS, "prompt", "response", "usage", "timestamp", "elapsed_time")
+    known = store.lookup(per_key, timeout=timeout, run_hash=run_hash).join(answered, KEYS, "left")
     new = (F.col("_before") == "missing") & (F.col("status") == "cached") & (F.col("combo_id") == F.col("_first"))
     return (
         state.withColumnRenamed("status", "_before").join(known, KEYS, "left")

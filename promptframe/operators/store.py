@@ -46,6 +46,10 @@ def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
         tasks, F.shiftright(place * F.lit(tasks).cast("long"), 24).cast("int")).sortWithinPartitions("prompt_hash")
 
 
+def _of_run(df: DataFrame, run_hash: str | None) -> DataFrame:
+    return df if run_hash is None else df.filter(F.col("run_hash") == run_hash)
+
+
 class ResultStore:
     """Prompts, results and pending requests under one root folder."""
 
@@ -95,9 +99,9 @@ class ResultStore:
         """Live result records, older versions of a key included."""
         return self._live(self._read("results"))
 
-    def _checked(self) -> DataFrame:
+    def _checked(self, run_hash: str | None) -> DataFrame:
         """Live records reduced to what a lookup needs, before anything is shuffled."""
-        return self._live(lookup.checked(self._read("results")))
+        return self._live(lookup.checked(_of_run(self._read("results"), run_hash)))
 
     def prompts(self) -> DataFrame:
         return self._read("prompts")
@@ -138,14 +142,19 @@ class ResultStore:
 
     # --- reads ------------------------------------------------------------------
 
-    def latest(self) -> DataFrame:
-        return lookup.latest(self.results())
+    def latest(self, run_hash: str | None = None) -> DataFrame:
+        return lookup.latest(self._live(_of_run(self._read("results"), run_hash)))
 
-    def lookup(self, work: DataFrame, now: datetime | None = None, timeout: float | None = None) -> DataFrame:
-        return lookup.lookup(work, self._checked(), self.pending(), now, timeout)
+    def lookup(self, work: DataFrame, now: datetime | None = None, timeout: float | None = None,
+               run_hash: str | None = None) -> DataFrame:
+        """Status of the work; name the run if it is all of one, other runs are then left out."""
+        pending = _of_run(self.pending(), run_hash)
+        return lookup.lookup(work, self._checked(run_hash), pending, now, timeout)
 
-    def misses(self, work: DataFrame, now: datetime | None = None, timeout: float | None = None) -> DataFrame:
-        return lookup.misses(work, self._checked(), self.pending(), now, timeout)
+    def misses(self, work: DataFrame, now: datetime | None = None, timeout: float | None = None,
+               run_hash: str | None = None) -> DataFrame:
+        pending = _of_run(self.pending(), run_hash)
+        return lookup.misses(work, self._checked(run_hash), pending, now, timeout)
 
     def merge(self, other: "ResultStore | DataFrame", at: datetime | None = None) -> None:
         """Copy another store's newest records in; they win over records stored so far."""

@@ -10,6 +10,10 @@ USAGE_TYPE = (
 )
 # money is summed as a decimal so that a total does not depend on the partitioning
 MONEY = "decimal(38,12)"
+# Fixed value: the date that may end a model name.
+DATE_SUFFIX = r"-\d{4}-\d{2}-\d{2}$"
+# a price list up to this length is put into the plan
+MAX_CONSTANT_PRICES = 500
 # rows per block of a running total: a window task sorts this many
 BLOCK_ROWS = 1 << 20
 
@@ -42,7 +46,7 @@ def model_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
     """
     name = F.col("model")
     length = F.length(name)
-    undated = F.regexp_replace(name, r"-\d{4}-\d{2}-\d{2}$", "")
+    undated = F.regexp_replace(name, DATE_SUFFIX, "")
     prefixes = F.transform(
         F.sequence(F.lit(0), length),
         lambda n: F.struct(F.lit(2).alias("rank"),
@@ -61,9 +65,33 @@ def model_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
 def price_join(results: DataFrame, prices: DataFrame) -> DataFrame:
     """``results`` (with ``model``) plus ``price_in``, ``price_out``; NULL if unknown.
 
-    Prices are found once per distinct model, then joined back.
+    A price list of ordinary size becomes constants of the plan, so results are neither
+    joined nor read twice. A longer one is resolved per distinct model and joined.
     """
-    return results.join(model_prices(results, prices), "model", "left")
+    known = prices.select("pattern", "ord", "input", "output").limit(MAX_CONSTANT_PRICES + 1).collect()
+    if len(known) > MAX_CONSTANT_PRICES:
+        return results.join(model_prices(results, prices), "model", "left")
+    money = "struct<input:double,output:double>"
+    ordered = sorted(known, key=lambda r: r["ord"])
+    if not ordered:
+        none = F.lit(None).cast("double")
+        return results.withColumns({"price_in": none, "price_out": none})
+
+    def amounts(r) -> Column:
+        return F.struct(F.lit(r["input"]).alias("input"), F.lit(r["output"]).alias("output")).cast(money)
+
+    first = {r["pattern"]: r for r in reversed(ordered)}
+    exact = F.map_from_arrays(F.array(*[F.lit(p) for p in first]), F.array(*[amounts(r) for r in first.values()]))
+    prefixes = [r for r in ordered if r["pattern"].endswith("*")]
+    name = F.col("model")
+    undated = F.regexp_replace(name, DATE_SUFFIX, "")
+    found = [exact.getItem(name), exact.getItem(undated)]
+    if prefixes:
+        listed = F.array(*[F.struct(F.lit(r["pattern"][:-1]).alias("prefix"), amounts(r).alias("price")) for r in prefixes])
+        found.append(F.get(F.filter(listed, lambda p: name.startswith(p["prefix"])), F.lit(0))["price"])
+    priced = results.withColumn("_price", F.coalesce(*found))
+    return priced.withColumns({
+        "price_in": F.col("_price.input"), "price_out": F.col("_price.output")}).drop("_price")
 
 
 def cost(tokens: Column, price: Column) -> Column:

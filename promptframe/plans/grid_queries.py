@@ -422,6 +422,18 @@ def jsonl_group(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_jsonl_group(spark, path).select("_ord", "id", "kind", "value", "large")
 
 
+@query("""SELECT event_id AS _ord, event_id AS id, event_type AS kind, value::varchar AS value FROM events""")
+def json_group(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that each hold one array of a block of events."""
+    path = shared_dir(spark, "json")
+    row = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "value")
+    block = F.lpad(F.expr("event_id div 2048").cast("string"), 12, "0").alias("block")
+    blocks = table(spark, sf, "events").select(block, row.alias("row")).groupBy("block").agg(
+        F.to_json(F.array_sort(F.collect_list("row"))).alias("value"))
+    blocks.write.partitionBy("block").text(path)
+    return files.read_json_group(spark, path).select("_ord", "id", "kind", "value")
+
+
 @query("""SELECT sum(document_size)::bigint AS chars, count(DISTINCT doc_id) AS documents FROM (
             SELECT doc_id, length(text) + 1 AS document_size FROM documents)""")
 def directory_group(spark: SparkSession, sf: str) -> DataFrame:

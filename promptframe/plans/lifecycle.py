@@ -45,7 +45,7 @@ def run_project(project: Project, modules: Mapping[str, Module], store: ResultSt
         status = done if status is None else status.unionByName(done)
         records = answered(
             work(grid, [run]).select("combo_id", "masked", "run_name", "hash_prefix", "prompt_hash", "run_hash"),
-            store.latest().filter(F.col("run_hash") == run.run_hash))
+            store.latest(run.run_hash))
         for name in names:
             by_analysis[name][run.name] = analyse(records, name)
         by_analysis["info"][run.name] = run_info(records)
@@ -68,7 +68,7 @@ def queue_batch(project: Project, modules: Mapping[str, Module], store: ResultSt
     store.write_prompts(grid)
     for run in run_keys(project.runs, modules):
         if run.args.get("batch_mode"):
-            missing = store.misses(distinct_work(grid, [run]))
+            missing = store.misses(distinct_work(grid, [run]), run_hash=run.run_hash)
             store.append_pending(batch.queue(missing, run))
 
 

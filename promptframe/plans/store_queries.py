@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from promptframe.operators import batch, lookup, usage
+from promptframe.operators.analysis import answered
 from promptframe.operators.execute import execute, request_body, stub_answers
 from promptframe.operators.grid import expand, work
 from promptframe.operators.runs import RunKey
@@ -599,6 +600,30 @@ def provider_execute(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("combo_id", "status", "response", "usage.cost")
 
 
+@query(f"""
+  SELECT sha1(prompt) AS prompt_hash, prompt, 'Chat' AS module_name, '2.0.0' AS module_version,
+         '{{"gpt_model":"m-large"}}' AS module_args, p_name, p_size::varchar AS p_size, 14 AS stamp_length,
+         strlen(prompt) AS bytes_in, 2 AS bytes_out
+  FROM (SELECT arg_min(p_name, p_partkey) AS p_name, arg_min(p_size, p_partkey) AS p_size, prompt
+        FROM (SELECT *, 'Offer a ' || p_name || ' of size ' || p_size AS prompt FROM part) GROUP BY prompt)""")
+def stored_records(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run leaves in the store: no secret arguments, masked variables, usage."""
+    store = ResultStore(spark, shared_dir(spark, "store"))
+    execute(_offers(spark, sf), RUN_B, store, stub="1")
+    return store.latest().select(
+        "prompt_hash", "prompt", "module_name", "module_version", F.col("module_args_json").alias("module_args"),
+        F.col("params").getItem("p_name").alias("p_name"), F.col("params").getItem("p_size").alias("p_size"),
+        F.length("timestamp").alias("stamp_length"), "usage.bytes_in",
+        (F.col("usage.bytes_out") - F.octet_length(F.lit('{"choices":[{"message":{"content":""}}]}')) + 1).alias("bytes_out"))
+
+
+@query(f"SELECT combo_id, run_name, response FROM ({WORK_SQL}) JOIN ({LATEST_SQL}) USING (prompt_hash, run_hash)")
+def answered_work(spark: SparkSession, sf: str) -> DataFrame:
+    """Combinations without a record are left out."""
+    return answered(_work(spark, sf), lookup.latest(_results(spark, sf).select(
+        *lookup.KEYS, "response", "written_at"))).select("combo_id", "run_name", "response")
+
+
 @query(f"""SELECT DISTINCT sha1(prompt) AS prompt_hash, '{{"choices":[{{"message":{{"content":"\\"plain text\\""}}}}]}}' AS response
            FROM ({OFFER_SQL})""")
 def stub_columns(spark: SparkSession, sf: str) -> DataFrame:

@@ -233,7 +233,9 @@ def test_budget_audit_against_brute_force(spark):
     assert usage.within_budget(df, 0).count() == 500
 
 
-def test_price_rules(spark):
+@pytest.mark.parametrize("limit", [500, 2])
+def test_price_rules(spark, monkeypatch, limit):
+    monkeypatch.setattr(usage, "MAX_CONSTANT_PRICES", limit)  # as constants, and by a join
     prices = batch.prices_table(spark, {"gpt-4*": {"input": 1}, "gpt-4o": {"input": 2}, "gpt-*": {"input": 3},
                                         "o1-2024-01-01": {"input": 4}, "*": {"input": 5}})
     names = ["gpt-4o", "gpt-4o-2024-05-13", "gpt-4", "gpt-5", "o1-2024-01-01", "o1", "", "gpt-4o-2024-5-13"]
@@ -241,6 +243,7 @@ def test_price_rules(spark):
     got = {r["model"]: r["price_in"] for r in usage.price_join(df, prices).collect()}
     assert got == {"gpt-4o": 2, "gpt-4o-2024-05-13": 2, "gpt-4": 1, "gpt-5": 3, "o1-2024-01-01": 4, "o1": 5, "": 5,
                    "gpt-4o-2024-5-13": 1}
+    assert usage.price_join(df, prices.filter("ord > 9")).filter("price_in IS NOT NULL").count() == 0
 
 
 def test_total_stats(spark):
