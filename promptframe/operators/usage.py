@@ -85,7 +85,7 @@ def price_join(results: DataFrame, prices: DataFrame) -> DataFrame:
     prefixes = [r for r in ordered if r["pattern"].endswith("*")]
     name = F.col("model")
     undated = F.regexp_replace(name, DATE_SUFFIX, "")
-    found = [exact.getItem(name), exact.getItem(undated)]
+    found = [exact[name], exact[undated]]
     if prefixes:
         listed = F.array(*[F.struct(F.lit(r["pattern"][:-1]).alias("prefix"), amounts(r).alias("price")) for r in prefixes])
         found.append(F.get(F.filter(listed, lambda p: name.startswith(p["prefix"])), F.lit(0))["price"])

@@ -228,7 +228,7 @@ def embed_queries(spark: SparkSession, sf: str) -> DataFrame:
 TOP_SQL = """
   SELECT * FROM (
     SELECT q.label::varchar AS doc_hash, q.vec_id::varchar AS query_hash, c.vec_id AS chunk_id, d AS distance,
-           row_number() OVER (PARTITION BY q.vec_id ORDER BY d, c.vec_id) AS rank
+           (row_number() OVER (PARTITION BY q.vec_id ORDER BY d, c.vec_id))::int AS rank
     FROM embeddings q JOIN embeddings c ON q.label = c.label, LATERAL (
       SELECT list_sum(list_transform(list_zip(q.embedding, c.embedding),
                                      lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double))) AS d) s)

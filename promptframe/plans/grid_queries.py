@@ -152,7 +152,7 @@ def grid_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-  SELECT 0 AS combo_id, 'Translate from ' || lang || ' for ' || r_name || ': ' || text AS prompt
+  SELECT 0::bigint AS combo_id, 'Translate from ' || lang || ' for ' || r_name || ': ' || text AS prompt
   FROM documents, region WHERE doc_id = 3 AND r_regionkey = 2""")
 def current_combo(spark: SparkSession, sf: str) -> DataFrame:
     project = Project(spark, {"t": "Translate from {{lang}} for {{r_name}}: {{text}}"}, {

@@ -173,7 +173,7 @@ def cache_expire_keys(spark: SparkSession, sf: str) -> DataFrame:
        b AS (SELECT (SELECT sum(strlen(original)) FROM p) + (SELECT sum(strlen(response)) FROM r)
                     + (SELECT sum(strlen(props)) FROM d) AS n)
   SELECT (SELECT count(*) FROM p) + (SELECT count(*) FROM r) + (SELECT count(*) FROM d) AS total_files,
-         b.n AS total_size_bytes, round(b.n / (1024 * 1024), 2) AS total_size_mb,
+         b.n::bigint AS total_size_bytes, round(b.n / (1024 * 1024), 2) AS total_size_mb,
          (SELECT count(*) FROM p) AS prompt_files_count, (SELECT count(*) FROM r) AS result_files_count,
          (SELECT count(*) FROM d) AS delayed_files_count FROM b""")
 def cache_statistics(spark: SparkSession, sf: str) -> DataFrame:
@@ -491,7 +491,7 @@ BATCH_SQL = f"""
                            ELSE 'submitted' END AS state,
          CASE WHEN failed AND turn = 5 THEN 'rate_limit' END AS error,
          CASE WHEN answered THEN (length(text) / 1000000.0::double * 2.5 + turn / 1000000.0::double * 10.0) * 0.5 END AS cost,
-         CASE WHEN answered AND (conv_id, turn) = f.first THEN 60.0 END AS elapsed_time
+         CASE WHEN answered AND (conv_id, turn) = f.first THEN 60.0::double END AS elapsed_time
   FROM a LEFT JOIN f USING (role)
 """
 
@@ -603,7 +603,7 @@ def provider_execute(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
   SELECT sha1(prompt) AS prompt_hash, prompt, 'Chat' AS module_name, '2.0.0' AS module_version,
          '{{"gpt_model":"m-large"}}' AS module_args, p_name, p_size::varchar AS p_size, 14 AS stamp_length,
-         strlen(prompt) AS bytes_in, 2 AS bytes_out
+         strlen(prompt) AS bytes_in, 2::bigint AS bytes_out
   FROM (SELECT arg_min(p_name, p_partkey) AS p_name, arg_min(p_size, p_partkey) AS p_size, prompt
         FROM (SELECT *, 'Offer a ' || p_name || ' of size ' || p_size AS prompt FROM part) GROUP BY prompt)""")
 def stored_records(spark: SparkSession, sf: str) -> DataFrame:
