@@ -13,7 +13,6 @@ skips files and row groups by their key bounds.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F

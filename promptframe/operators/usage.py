@@ -154,7 +154,9 @@ def stats(work: DataFrame, max_cost: float = 0.0, currency: str = "USD") -> Data
     def known(c: Column) -> Column:
         return F.when(answered, c)
 
+    place = [F.min("run_ord").alias("run_ord")] if "run_ord" in work.columns else []
     return work.groupBy("run_name").agg(
+        *place,
         F.count_if(F.col("status") == "executed").alias("executed"),
         F.count_if(F.col("status") == "cached").alias("cached"),
         F.count_if(F.col("status") == "pending").alias("pending"),
@@ -175,7 +177,7 @@ def total_stats(per_run: DataFrame) -> DataFrame:
         *[_count(F.col(c)).alias(c) for c in sums],
         _money(F.col("cost")).alias("cost"),
         F.max("max_cost").alias("max_cost"),
-        F.min_by("cost_currency", "run_name").alias("cost_currency"),
+        F.min_by("cost_currency", "run_ord" if "run_ord" in per_run.columns else "run_name").alias("cost_currency"),
         F.max("max_timestamp").alias("max_timestamp"))
 
 

@@ -37,8 +37,9 @@ def run_project(project: Project, modules: Mapping[str, Module], store: ResultSt
     names = analyses or list(ANALYSES)
     by_analysis: dict[str, dict[str, DataFrame]] = {n: {} for n in [*names, "info"]}
     status: DataFrame | None = None
-    for run in runs:
+    for place, run in enumerate(runs):
         done = execute(grid, run, store, (providers or {}).get(run.module.id), max_cost=max_cost, **options)
+        done = done.withColumn("run_ord", F.lit(place))
         path = shared_dir(project.spark, "status")
         done.write.parquet(path)
         done = project.spark.read.parquet(path)

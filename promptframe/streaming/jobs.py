@@ -19,13 +19,14 @@ def answer_lines(spark: SparkSession, path: str, batch_id: str | None = None) ->
 
 
 def ingest_answers(lines: DataFrame, store: ResultStore, prices: DataFrame, checkpoint: str,
-                   available_now: bool = True) -> StreamingQuery:
-    """Settle each micro-batch of answer lines in the store.
+                   failed: bool = False, available_now: bool = True) -> StreamingQuery:
+    """Settle each micro-batch of answer lines, or of error lines, in the store.
 
     A replayed micro-batch finds its requests done and changes nothing.
     """
     def settle_batch(batch: DataFrame, batch_number: int) -> None:
-        settle(store, ingest_batch(batch, prices))
+        answers, errors = (batch.limit(0), batch) if failed else (batch, None)
+        settle(store, ingest_batch(answers, prices, errors))
 
     writer = lines.writeStream.foreachBatch(settle_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()

@@ -208,6 +208,19 @@ def test_streams(spark, store, tmp_path):
     assert store.latest().filter("usage.cost = 1.0").count() == 2
 
 
+def test_stream_of_errors(spark, store, tmp_path):
+    queued(spark, store, ["a"])
+    batch.submit_queued(store, str(tmp_path / "requests"), "b1")
+    key = json.loads(spark.read.text(str(tmp_path / "requests")).first()[0])["custom_id"]
+    inbox = tmp_path / "failed"
+    inbox.mkdir()
+    (inbox / "b1.jsonl").write_text(json.dumps({"custom_id": key, "response": {"body": {"error": {"type": "bad"}}}}) + "\n")
+    prices = batch.prices_table(spark, {"gpt-4o": {"input": 2.0}})
+    jobs.ingest_answers(jobs.answer_lines(spark, str(inbox)), store, prices, str(tmp_path / "progress"),
+                        failed=True).awaitTermination()
+    assert [(r["prompt_hash"], r["error"]) for r in store.latest().collect()] == [(key, "bad")]
+
+
 def test_spend_per_window(spark):
     log = spark.createDataFrame([("2024-01-01 00:10:00", 0.1), ("2024-01-01 00:50:00", 0.2), ("2024-01-01 01:00:00", 1.0)],
                                 "at string, cost double").withColumn("written_at", F.col("at").cast("timestamp"))

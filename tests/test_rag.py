@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 from pyspark import cloudpickle
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from promptframe.operators import rag
 from promptframe.operators.grid import expand
