@@ -170,12 +170,12 @@ def side_by_side(found: DataFrame) -> DataFrame:
 
 def export(work: DataFrame, results: DataFrame) -> DataFrame:
     """Stored records that the work refers to."""
-    return results.join(work.select(*KEYS), KEYS, "left_semi")
+    return results.join(work.select(*KEYS).distinct(), KEYS, "left_semi")
 
 
 def missing(work: DataFrame, results: DataFrame) -> DataFrame:
     """Keys of the work without a stored record."""
-    return work.select(*KEYS).distinct().join(results.select(*KEYS), KEYS, "left_anti")
+    return work.select(*KEYS).distinct().join(results.select(*KEYS).distinct(), KEYS, "left_anti")
 
 
 def _as_column(now: Column | datetime | None) -> Column:

@@ -167,7 +167,7 @@ def new_documents(docs: DataFrame, text: str, index: DataFrame | None, size: int
     if index is None:
         return distinct
     same = index.filter((F.col("chunk_size") == size) & (F.col("chunk_overlap") == overlap)
-                        & (F.col("model") == model)).select("doc_hash")
+                        & (F.col("model") == model)).select("doc_hash").distinct()
     return distinct.join(same, "doc_hash", "left_anti")
 
 

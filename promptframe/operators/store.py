@@ -185,7 +185,7 @@ class ResultStore:
         """Copy what a project refers to into a new store; returns the missing keys."""
         target = ResultStore(self.spark, root)
         target.append(spread(lookup.export(work, self.latest())))
-        stored = self.prompts().join(grid.select("hash_prefix", "prompt_hash"),
+        stored = self.prompts().join(grid.select("hash_prefix", "prompt_hash").distinct(),
                                      ["hash_prefix", "prompt_hash"], "left_semi")
         target.write_prompts(stored)
         return lookup.missing(work, self.latest())

@@ -112,7 +112,7 @@ def read_json_group(spark: SparkSession, path: str, encoding: str = "utf-8",
                     schema: T.StructType | str | None = None) -> DataFrame:
     """Files that each hold one JSON array of objects; any other shape is refused."""
     first = spark.read.text(path, wholetext=True).select(
-        F.substring(strip(F.col("value")), 1, 1).alias("first"))
+        F.substring(F.ltrim(F.col("value"), F.lit(" \t\r\n")), 1, 1).alias("first"))
     if not first.filter("first <> '['").isEmpty():
         raise ValueError("a JSON file must hold a list of objects")
     return _read_json(spark, path, encoding, True, schema)
@@ -227,11 +227,17 @@ def read_directory_group(
     ``decode`` replaces the text decoding by another expression over ``content``.
     Unreadable files fail the load; ``check`` names them all first (one more read).
     """
-    files = spark.read.format("binaryFile").load(path).select(
-        *file_order(F.col("path")), F.col("length").alias("_length"), "content",
-        F.lower(F.element_at(F.split("path", r"\."), -1)).alias("_suffix"))
-    suffixes = {r[0] for r in files.select("_suffix").distinct().limit(10_000).collect()}
-    texts = files.filter(F.col("_suffix") == "txt")
+    def matching(suffixes: Iterable[str]) -> DataFrame:
+        """Files by suffix in any case; the glob keeps other files from being read."""
+        cases = ["".join(f"[{c}{c.upper()}]" for c in suffix) for suffix in suffixes]
+        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(cases)}}}").load(path)
+        return found.select(*file_order(F.col("path")), F.col("length").alias("_length"), "content",
+                            F.lower(F.element_at(F.split("path", r"\."), -1)).alias("_suffix"))
+
+    listed = spark.read.format("binaryFile").load(path).select(
+        F.lower(F.element_at(F.split("path", r"\."), -1)).alias("suffix"))
+    kinds = {r[0] for r in listed.filter(F.col("suffix").isin("txt", *IMAGE_TYPES)).distinct().collect()}
+    texts = matching(["txt"])
     if decode is None and check and charset(encoding) == "utf-8":
         broken = texts.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select("_name")
         names = sorted(r[0] for r in broken.limit(1000).collect())
@@ -243,13 +249,13 @@ def read_directory_group(
         texts.select(*block, F.col("_name").alias("_key"), body.alias("_text"))
         .withColumnRenamed("_part", "_file_part"), "_key", "_text", split_length, split_count)
     rows = rows.withColumnsRenamed({"_part": "_at", "_file_part": "_part"})
-    if suffixes & set(IMAGE_TYPES):
-        pictures = files.filter(F.col("_suffix").isin(list(IMAGE_TYPES))).select(
+    if kinds & set(IMAGE_TYPES):
+        pictures = matching(IMAGE_TYPES).select(
             *block, F.lit(0).cast("long").alias("_at"), F.col("_name").alias("_id"),
             image_text(F.col("content"), F.col("_suffix")).alias("image"),
             F.col("_length").alias("image_size"))
         rows = (rows.unionByName(pictures, allowMissingColumns=True)
-                if "txt" in suffixes else pictures)
+                if "txt" in kinds else pictures)
     return dense_ordinals(rows, block, "_at")
 
 

@@ -79,9 +79,11 @@ def with_ordinals(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Any DataFrame as a group, ordered by ``keys``.
 
     The rows are range-sorted once into a table in the shared folder; their place
-    in that table is the ordinal, so it does not change when a task is repeated.
+    in that table is the ordinal, so it does not change when a task is repeated. Equal
+    keys stay in the order they come in, which also lets a frequent key be split.
     """
     spark = df.sparkSession
     path = shared_dir(spark, "ordinals")
-    df.orderBy(*keys).drop(ORD).write.parquet(path)
+    placed = df.withColumn("_tie", F.monotonically_increasing_id())
+    placed.orderBy(*keys, "_tie").drop("_tie", ORD).write.parquet(path)
     return read_parquet_group(spark, path)

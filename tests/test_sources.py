@@ -134,6 +134,18 @@ def test_ordered_by_keys(spark):
     assert [(r["k"], r["id"]) for r in got] == want and [r["_ord"] for r in got] == list(range(100))
 
 
+def test_equal_keys_are_spread(spark):
+    df = spark.range(20_000).withColumn("k", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(-1)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    group = with_ordinals(df, "k")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files_used = group.select(F.input_file_name()).distinct().count()
+    largest = max(r["count"] for r in group.groupBy(F.input_file_name()).count().collect())
+    assert files_used > 1 and largest < 13_000  # two thirds of the rows share a key
+    rows = group.orderBy("_ord").collect()
+    assert [r["id"] for r in rows[:13_333]] == [i for i in range(20_000) if i % 3]
+
+
 def test_reader_by_suffix(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.read_group(spark, str(tmp_path / "none.csv"))
