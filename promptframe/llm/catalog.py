@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from promptframe.llm import quality  # noqa: F401
+from promptframe.llm import bpe, packing, quality  # noqa: F401
 from promptframe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
