@@ -3,8 +3,9 @@
 Tasks split their documents into pre-tokens and gather them in blocks. A block's document is the
 sequence of its pre-tokens' numbers in the block; a block's distinct words are dealt to buckets by
 digest, so that all occurrences of a word over the corpus meet in one task, which encodes it once.
-The ids go back to their blocks, where each document is put together by position. Only numbers and
-distinct words move, packed and compressed, never exploded rows of single occurrences. Decoding is
+The ids go back to their blocks, where each document is put together by position. Rows of a scan keep
+their partition and order, so both readings of the texts give the same blocks; where they do not,
+the query fails instead of giving wrong ids. Only numbers and distinct words move, packed and compressed, never exploded rows of single occurrences. Decoding is
 a lookup in the table of token bytes, which has one row per rank and so a fixed size.
 
 A null text counts as empty and has no ids. Repeated rows are encoded each by itself; a text of any
@@ -26,9 +27,9 @@ from promptframe.llm.registry import query, table, text_or_empty
 from promptframe.llm.tokens import chunks, pretokens, ragged, vocabulary
 
 #: Characters of a block; one longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 #: Words whose ids a task remembers; beyond it the memory starts anew, which changes no result.
-KEEP_WORDS = 1_000_000
+KEEP_WORDS = 500_000
 _LAYOUT, _DOCUMENT = -1, -2
 
 
@@ -63,9 +64,12 @@ def _unpack_words(data: bytes) -> list[bytes]:
     return [every[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
-def _blocks(rows: DataFrame, buckets: int, block_chars: int) -> DataFrame:
-    """Rows (block, bucket, id, packed): of a document its pre-tokens as ranks by frequency in the
-    block; of a block the bucket of every rank; of each bucket the block's words in it, by rank."""
+def _blocks(rows: DataFrame, buckets: int, block_chars: int, want_words: bool) -> DataFrame:
+    """Rows (block, bucket, id, packed) of the words, or of the documents and the block itself.
+
+    Of each bucket the block's words in it by rank; or of a document its pre-tokens as ranks by
+    frequency in the block, and of a block the bucket of every rank.
+    """
     id_field = rows.schema[0]
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()),
                            T.StructField("id", id_field.dataType), T.StructField("packed", T.BinaryType())])
@@ -78,16 +82,20 @@ def _blocks(rows: DataFrame, buckets: int, block_chars: int) -> DataFrame:
         rank[order] = np.arange(len(order))
         unique = unique[order]
         bucket = (unique % np.uint64(buckets)).astype(np.int64)
-        tokens = rank[which]
-        out = [(_LAYOUT, None, _packed(bucket))]
-        start = 0
-        for name, end in zip(names, ends, strict=True):
-            out.append((_DOCUMENT, name, _packed(tokens[start:end])))
-            start = end
-        by_bucket = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
-        for ranks in np.split(by_bucket, cuts) if len(by_bucket) else []:
-            out.append((int(bucket[ranks[0]]), None, _pack_words([words[d] for d in unique[ranks].tolist()])))
+        out, start = [], 0
+        if want_words:
+            by_bucket = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
+            for ranks in np.split(by_bucket, cuts) if len(by_bucket) else []:
+                out.append((int(bucket[ranks[0]]), None, _pack_words([words[d] for d in unique[ranks].tolist()])))
+        else:
+            out.append((_LAYOUT, None, _packed(bucket)))
+            for name, end in zip(names, ends, strict=True):
+                out.append((_DOCUMENT, name, _packed(rank[which[start:end]])))
+                start = end
+        if not out:
+            return pa.RecordBatch.from_pylist([], schema=pa.schema(
+                [("block", pa.int64()), ("bucket", pa.int32()), ("id", id_type), ("packed", pa.binary())]))
         kinds, names, data = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays(
             [pa.array([number] * len(out), pa.int64()), pa.array(kinds, pa.int32()), pa.array(names, id_type),
@@ -107,7 +115,7 @@ def _blocks(rows: DataFrame, buckets: int, block_chars: int) -> DataFrame:
                     names, digests, ends, words, chars, total = [], [], [], {}, 0, 0
                     number += 1
                 joined, begin, end, digest, before = pretokens(texts[a:b])
-                unique, where = np.unique(digest, return_index=True)
+                unique, where = np.unique(digest, return_index=True) if want_words else (digest[:0], [])
                 for d, s, e in zip(unique.tolist(), begin[where].tolist(), end[where].tolist(), strict=True):
                     if d not in words:
                         words[d] = joined[s:e].encode("utf-8", "replace")
@@ -123,15 +131,12 @@ def _blocks(rows: DataFrame, buckets: int, block_chars: int) -> DataFrame:
 
 
 def _with_ids(rows: DataFrame, path: str) -> DataFrame:
-    """The rows of words with ids in place of the words; other rows as they are."""
+    """The rows of words with ids in place of the words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, known = vocabulary(path).piece, {}
         for batch in batches:
             out = []
-            for bucket, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if bucket < 0:
-                    out.append(data)
-                    continue
+            for data in batch.column(3).to_pylist():
                 if len(known) > KEEP_WORDS:
                     known.clear()
                 flat, lengths = [], []
@@ -189,10 +194,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """The id column and the token ids (array of int) of every text, by the ranks at ``path``."""
     rows = docs.select(docs[id_col].alias(id_col), text_or_empty(text_col).alias("text"))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # words and documents leave the texts in one pass, so that a block is split only once
-    key = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.col("block"))
-    met = _blocks(rows, buckets, block_chars).repartition(buckets, key)
-    return _assembled(_with_ids(met, path), id_col)
+    # the texts are split once for their words and once for their documents: splitting again is
+    # cheaper than moving the documents along with the words
+    words = _blocks(rows, buckets, block_chars, True).repartition(buckets, "bucket")
+    documents = _blocks(rows, buckets, block_chars, False)
+    return _assembled(documents.unionByName(_with_ids(words, path)), id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
