@@ -1,20 +1,60 @@
-"""The stages of a corpus: from raw documents to packed token sequences."""
+"""A training corpus from raw documents: five stages, each over all that the one before it kept.
+
+Language identification drops texts without a known language, quality rules drop texts that fail a
+threshold, the Jaccard join leaves one document of each group of near duplicates, the secret scan
+masks values that look live, and packing cuts the rest into windows of tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from promptframe.llm.quality import keep_good
+from promptframe.llm import language, quality
+from promptframe.llm.jaccard import drop_near_duplicates
+from promptframe.llm.packing import pack
 from promptframe.llm.registry import table, written
+from promptframe.llm.secrets import mask
 from promptframe.session import configure
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language the network knows; it learns from the documents themselves."""
+    configure(spark)
+    return language.keep_known(docs, language.learn(docs))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return keep_good(docs)
+    configure(spark)
+    return quality.keep_good(docs)
+
+
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    configure(spark)
+    return drop_near_duplicates(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with live-looking secrets masked and ``n_chars`` counted anew."""
+    configure(spark)
+    masked = mask(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2,048 tokens."""
+    import public_tokenizers
+
+    configure(spark)
+    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("quality_rules", quality_stage)]
+STAGES = [("language_id", language_stage), ("quality_rules", quality_stage),
+          ("ngram_jaccard_join", duplicate_stage), ("secret_scan", secret_stage), ("packing", packing_stage)]
+#: The network and the token windows have no SQL; tests/llm/test_pipeline.py checks every stage.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from promptframe.llm import bpe, language, packing, quality, secrets  # noqa: F401
+from promptframe.llm import bpe, jaccard, language, packing, quality, secrets  # noqa: F401
 from promptframe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

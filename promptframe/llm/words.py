@@ -28,19 +28,30 @@ def word_digests(texts: list[str], fold: bool = True) -> tuple[np.ndarray, np.nd
     return span_digests(points, begin, np.flatnonzero(end) + 1), np.searchsorted(begin, bounds)
 
 
-def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
-    """Sorted digests of each text's distinct ``k``-word shingles; with fewer words the whole
-    sequence is one shingle, without words there is none."""
+def shingle_sets(texts: list[str], k: int = 5) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted digests of each text's distinct ``k``-word shingles, and a digest of its words.
+
+    With fewer words the whole sequence is one shingle; without words there is none.
+    """
     words, before = word_digests(texts)
+    counts = np.diff(before)
+    place = np.arange(len(words)) - np.repeat(before[:-1], counts)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mixed(words + place.astype(np.uint64) * _STEP), out=sums[1:])
+    sequence = mixed(sums[before[1:]] - sums[before[:-1]] + counts.astype(np.uint64))
+    digest = np.full(max(0, len(words) - k + 1), k, np.uint64)
+    for j in range(k):
+        digest = mixed(digest * _STEP + words[j:len(digest) + j])
     out = []
     for s, e in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-        n = e - s
-        width = min(k, n)
-        if not n:
+        if e - s >= k:
+            found = np.sort(digest[s:e - k + 1])
+            out.append(found[np.flatnonzero(np.r_[True, found[1:] != found[:-1]])])
+        elif e > s:
+            whole = np.full(1, e - s, np.uint64)
+            for w in words[s:e]:
+                whole = mixed(whole * _STEP + w)
+            out.append(whole)
+        else:
             out.append(np.zeros(0, np.uint64))
-            continue
-        digest = np.full(n - width + 1, width, np.uint64)
-        for j in range(width):
-            digest = mixed(digest * _STEP + words[s + j:e - width + 1 + j])
-        out.append(np.unique(digest))
-    return out
+    return out, sequence
