@@ -1,6 +1,17 @@
 """All queries of this subpackage."""
 
-from promptframe.llm import bpe, jaccard, language, packing, quality, secrets  # noqa: F401
+from promptframe.llm import (  # noqa: F401
+    bpe,
+    hamming,
+    jaccard,
+    language,
+    licenses,
+    packing,
+    pages,
+    quality,
+    secrets,
+    toolcalls,
+)
 from promptframe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
