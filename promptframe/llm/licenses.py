@@ -64,7 +64,8 @@ distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 
 @dataclass(frozen=True)
 class Settings:
-    """Words of a fingerprint, windows of winnowing, the band, and the least share of a template."""
+    """Words of a fingerprint, windows of winnowing, the band (at most half of a template), and the
+    least share of a template."""
 
     words: int = 3
     window: int = 3
@@ -157,7 +158,9 @@ def matches(index: Index, words: np.ndarray) -> list[tuple[int, int, float, int,
         by_template.setdefault(t, []).append((q - p, q))
     found = []
     for t, hits in by_template.items():
-        template, band = index.words[t], index.settings.band
+        template = index.words[t]
+        # a template that follows itself lies its own length off
+        band = min(index.settings.band, len(template) // 2)
         hits.sort()
         group: list[tuple[int, int]] = []
         for hit in [*hits, None]:
