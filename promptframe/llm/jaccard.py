@@ -160,10 +160,22 @@ def _met(rows: DataFrame) -> DataFrame:
 def _hot_named(rows: DataFrame) -> DataFrame:
     """The pivots of the regions of frequent shingles, whose parts have named their own before."""
     hot = rows.filter("hot")
-    # one row per frequent shingle, of which there are a bounded number
-    names = hot.groupBy("s").agg(F.min("key").alias("_pivot"), F.max("key").alias("_last")).filter("_pivot <> _last")
-    joined = hot.drop("pivot").join(F.broadcast(names.select("s", "_pivot")), "s").withColumnRenamed("_pivot", "pivot")
-    return rows.filter("NOT hot").unionByName(joined)
+    # one row per frequent shingle, of which ``frequent`` bounds the number, so every task holds them
+    found = hot.groupBy("s").agg(F.min("key").alias("least"), F.max("key").alias("last")).filter("least <> last").collect()
+    names, pivots = (np.array([r[c] for r in found], np.int64) for c in ("s", "least"))
+    order, own, place = np.argsort(names), rows.columns.index("s"), rows.columns.index("pivot")
+    names, pivots, schema = names[order], pivots[order], rows.schema
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(own).to_numpy()
+            at = np.minimum(np.searchsorted(names, s), len(names) - 1) if len(names) else np.zeros(len(s), np.int64)
+            met = names[at] == s if len(names) else np.zeros(len(s), bool)
+            columns = [c.filter(pa.array(met)) for c in batch.columns]
+            columns[place] = pa.array(pivots[at[met]] if len(names) else pivots)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.filter("NOT hot").unionByName(hot.mapInArrow(rename, schema))
 
 
 def _edges(rows: DataFrame, settings: Settings) -> DataFrame:
