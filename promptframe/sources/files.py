@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from promptframe.functions.images import IMAGE_TYPES, image_text
 from promptframe.functions.text import strip
-from promptframe.session import path_exists, shared_dir
+from promptframe.session import first_bytes, path_exists, shared_dir
 from promptframe.sources.ordinals import (
     ORD, dense_ordinals, file_order, read_parquet_group, scanned_ordinals)
 
@@ -44,15 +44,30 @@ def read_csv_group(
 ) -> DataFrame:
     """CSV with a header; every column is text, missing spellings are NULL.
 
-    ``multi_line=False`` lets Spark split large files whose fields hold no line breaks.
+    ``multi_line=False`` lets Spark split large files whose fields hold no line breaks. A row
+    with more fields than the header is an error, one with fewer ends in NULLs. All files of a
+    folder must have the same header.
     """
-    scan = spark.read.csv(
-        path, header=True, inferSchema=False, sep=sep, encoding=charset(encoding), escape='"',
-        multiLine=multi_line, mode="PERMISSIVE")
+    options = {"sep": sep, "encoding": charset(encoding), "escape": '"', "multiLine": str(multi_line).lower()}
+    names = spark.read.options(header=True, inferSchema=False, **options).csv(path).columns
+    text = [T.StructField(n, T.StringType()) for n in names]
+    raw = "_raw_row"
+    scan = spark.read.options(
+        header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=raw, **options
+    ).schema(T.StructType([*text, T.StructField(raw, T.StringType())])).csv(path)
+    # a row of another length is kept whole by the reader: read again with one field more
+    longer = F.from_csv(F.col(raw), ", ".join(f"_{k} string" for k in range(len(names) + 1)),
+                        {"sep": sep, "escape": '"', "nullValue": "\u0000", "multiLine": "true"})
+    extra = F.col(raw).isNotNull() & longer[f"_{len(names)}"].isNotNull()
     missing = [v for v in na_values if v]
-    columns = [
-        F.when(~F.col(f"`{c}`").isin(missing) & (F.col(f"`{c}`") != ""), F.col(f"`{c}`")).alias(c)
-        for c in scan.columns]
+    columns = []
+    for k, name in enumerate(names):
+        value = F.col(f"`{name}`")
+        known = F.when(~value.isin(missing) & (value != ""), value)
+        if k == 0:
+            known = F.when(extra, F.raise_error(F.concat(
+                F.lit(f"a CSV row has more than {len(names)} fields: "), F.col(raw)))).otherwise(known)
+        columns.append(known.alias(name))
     return scanned_ordinals(scan, columns)
 
 
@@ -89,9 +104,11 @@ def _json_schema(inferred: T.StructType) -> T.StructType:
     return T.StructType(fields)
 
 
-def _read_json(spark: SparkSession, path: str, encoding: str, multi_line: bool,
+def _read_json(spark: SparkSession, path: str, encoding: str | None, multi_line: bool,
                schema: T.StructType | str | None) -> DataFrame:
-    reader = spark.read.option("mode", "FAILFAST").option("encoding", charset(encoding))
+    reader = spark.read.option("mode", "FAILFAST")
+    if encoding is not None:
+        reader = reader.option("encoding", charset(encoding))
     reader = reader.option("multiLine", multi_line)
     if schema is None:
         schema = _json_schema(reader.json(path).schema)
@@ -111,11 +128,17 @@ def read_jsonl_group(spark: SparkSession, path: str, encoding: str = "utf-8",
 def read_json_group(spark: SparkSession, path: str, encoding: str = "utf-8",
                     schema: T.StructType | str | None = None) -> DataFrame:
     """Files that each hold one JSON array of objects; any other shape is refused."""
-    first = spark.read.text(path, wholetext=True).select(
-        F.substring(F.ltrim(F.col("value"), F.lit(" \t\r\n")), 1, 1).alias("first"))
-    if not first.filter("first <> '['").isEmpty():
-        raise ValueError("a JSON file must hold a list of objects")
-    return _read_json(spark, path, encoding, True, schema)
+    name: str | None = encoding
+    for file in spark.read.format("binaryFile").load(path).inputFiles():
+        head = first_bytes(spark, file, 64)
+        if head.startswith(codecs.BOM_UTF8) and charset(encoding) == "utf-8":
+            name = None  # only the parser's own detection takes the mark
+        for mark in (codecs.BOM_UTF8, codecs.BOM_UTF32_LE, codecs.BOM_UTF32_BE, codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
+            head = head.removeprefix(mark)
+        # in every encoding that JSON may have, blanks and brackets are ASCII bytes among zeros
+        if head.lstrip(b"\0 \t\r\n")[:1] not in (b"[", b""):
+            raise ValueError("a JSON file must hold a list of objects")
+    return _read_json(spark, path, name, True, schema)
 
 
 def _column_type(values: list[Any]) -> tuple[T.DataType, dict]:
@@ -240,7 +263,7 @@ def read_directory_group(
     texts = matching(["txt"])
     if decode is None and check and charset(encoding) == "utf-8":
         broken = texts.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select("_name")
-        names = sorted(r[0] for r in broken.limit(1000).collect())
+        names = sorted(r[0] for r in broken.collect())
         if names:
             raise ValueError(f"Errors reading files: {names}")
     body = _decoded(encoding) if decode is None else decode()

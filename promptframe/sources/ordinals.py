@@ -2,7 +2,8 @@
 
 Every group carries ``_ord``, 0..n-1 in list order. It is derived from where a row
 lies (file, block, position), so no global sort and no single-task window over the
-rows is needed: only the per-block row counts are summed up.
+rows is needed: only the per-block row counts are summed up. Places that another reading
+could change are written down first.
 """
 
 from __future__ import annotations
@@ -13,33 +14,24 @@ from promptframe.session import shared_dir
 
 ORD = "_ord"
 
-# block counts up to this number are summed on the driver and broadcast (a few MB)
-MAX_DRIVER_BLOCKS = 20_000
-
 
 def dense_ordinals(df: DataFrame, block: list[str], position: str) -> DataFrame:
     """Replace block columns and in-block position by ``_ord``.
 
-    Blocks are ordered by their columns; positions of a block are consecutive from
-    any start, in an order that a second evaluation repeats.
+    Blocks are ordered by their columns; positions of a block are consecutive from any
+    start. Both must be values of the data, such as a file's row index or columns of a
+    written table: the rows are read once for the counts and again for the result.
+
+    What is broadcast is 16 bytes for each block of the input, a file or a split of it, and
+    the running sum over blocks sorts one row for each.
     """
-    spark = df.sparkSession
+    slot = F.xxhash64(*block).alias("_slot")
     counts = df.groupBy(*block).agg(F.min(position).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    known = counts.limit(MAX_DRIVER_BLOCKS + 1).collect()
-    if len(known) <= MAX_DRIVER_BLOCKS:
-        offset, rows = 0, []
-        for r in sorted(known, key=lambda r: tuple(r[b] for b in block)):
-            rows.append((*[r[b] for b in block], offset - r["_first"]))
-            offset += r["_n"]
-        schema = counts.select(*block, F.lit(0).cast("long").alias("_shift")).schema
-        shifts = F.broadcast(spark.createDataFrame(rows, schema))
-    else:
-        # one row per file block: metadata-sized, so a single ordered window is enough
-        before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-        shifts = counts.select(
-            *block, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    shifts = counts.select(slot, shift.alias("_shift"))
     kept = [c for c in df.columns if c not in (*block, position)]
-    return df.join(shifts, block).select(
+    return df.withColumn("_slot", slot).join(F.broadcast(shifts), "_slot").select(
         (F.col(position) + F.col("_shift")).alias(ORD), *[F.col(f"`{c}`") for c in kept])
 
 
@@ -55,13 +47,18 @@ def file_order(path: Column) -> list[Column]:
 
 
 def scanned_ordinals(scan: DataFrame, columns: list[Column]) -> DataFrame:
-    """``_ord`` for rows of a text-like file scan, in file and line order."""
-    placed = scan.select(
+    """``_ord`` for rows of a text-like file scan, in file and line order.
+
+    How files are split depends on the cores at hand, which may change between two readings.
+    So the rows are written once, with their split and place, and numbered from that table.
+    """
+    path = shared_dir(scan.sparkSession, "rows")
+    scan.select(
         *file_order(F.col("_metadata.file_path")),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
-        *columns)
-    return dense_ordinals(placed, ["_dir", "_part", "_name", "_block"], "_at")
+        *columns).write.parquet(path)
+    return dense_ordinals(scan.sparkSession.read.parquet(path), ["_dir", "_part", "_name", "_block"], "_at")
 
 
 def read_parquet_group(spark: SparkSession, path: str) -> DataFrame:

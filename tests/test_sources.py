@@ -117,10 +117,7 @@ def test_ordinals_over_many_files(spark, tmp_path):
     assert listed(files.read_lines_group(spark, text, "v")) == [(str(i),) for i in range(500)]
 
 
-def test_ordinals_when_blocks_are_too_many_for_the_driver(spark, tmp_path, monkeypatch):
-    from promptframe.sources import ordinals
-
-    monkeypatch.setattr(ordinals, "MAX_DRIVER_BLOCKS", 2)
+def test_ordinals_of_many_blocks(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(0, 100, 1, 7).write.parquet(path)
     got = read_parquet_group(spark, path).orderBy("_ord").collect()
@@ -139,8 +136,8 @@ def test_equal_keys_are_spread(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     group = with_ordinals(df, "k")
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    files_used = group.select(F.input_file_name()).distinct().count()
-    largest = max(r["count"] for r in group.groupBy(F.input_file_name()).count().collect())
+    files_used = group.select(F.spark_partition_id()).distinct().count()
+    largest = max(r["count"] for r in group.groupBy(F.spark_partition_id()).count().collect())
     assert files_used > 1 and largest < 13_000  # two thirds of the rows share a key
     rows = group.orderBy("_ord").collect()
     assert [r["id"] for r in rows[:13_333]] == [i for i in range(20_000) if i % 3]
@@ -227,3 +224,53 @@ def test_preview(spark):
     got = tables.preview(df).orderBy("_ord").collect()
     assert len(got) == 50 and got[0]["t"] == "x" * 50 + "..." and got[11]["n"] == "11"
     assert got[0]["text_length"] == 61
+
+
+def test_rows_survive_another_split_of_their_files(spark, tmp_path):
+    from promptframe.sources.files import read_lines_group
+
+    path = tmp_path / "lines.txt"
+    path.write_text("".join(f"line {k}\n" for k in range(40_000)))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")
+            if spark.conf.get(k, None) is not None}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "16")
+        group = read_lines_group(spark, str(path), "line")
+        spark.conf.set("spark.sql.files.minPartitionNum", "7")
+        rows = group.collect()
+    finally:
+        for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"):
+            spark.conf.set(k, kept[k]) if k in kept else spark.conf.unset(k)
+    assert sorted((r._ord, r.line) for r in rows) == [(k, f"line {k}") for k in range(40_000)]
+
+
+def test_ragged_rows_and_mixed_headers(spark, tmp_path):
+    from promptframe.sources.files import read_csv_group
+
+    short = tmp_path / "short.csv"
+    short.write_text('a,b\n1\n"x,y","p\nq"\n')
+    assert [tuple(r)[1:] for r in read_csv_group(spark, str(short)).orderBy("_ord").collect()] == [
+        ("1", None), ("x,y", "p\nq")]
+    long = tmp_path / "long.csv"
+    long.write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="more than 2 fields"):
+        read_csv_group(spark, str(long)).collect()
+    mixed = tmp_path / "mixed.csv"
+    mixed.mkdir()
+    (mixed / "1.csv").write_text("a,b\n1,2\n")
+    (mixed / "2.csv").write_text("b,a\n20,10\n")
+    with pytest.raises(Exception):
+        read_csv_group(spark, str(mixed)).collect()
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "utf-8-sig", "utf-8"])
+def test_a_json_list_in_any_encoding(spark, tmp_path, encoding):
+    from promptframe.sources.files import read_json_group
+
+    path = tmp_path / "rows.json"
+    path.write_bytes('  [{"a": "é"}, {"a": "y"}]'.encode(encoding))
+    assert [r.a for r in read_json_group(spark, str(path), encoding.removesuffix("-sig")).orderBy("_ord").collect()] == ["é", "y"]
+    path.write_bytes('{"a": 1}'.encode(encoding))
+    with pytest.raises(ValueError, match="list of objects"):
+        read_json_group(spark, str(path), encoding.removesuffix("-sig"))
