@@ -16,8 +16,6 @@ from promptframe.functions.text import let
 from promptframe.operators import usage as money
 from promptframe.operators.lookup import KEYS
 
-# columns a report may take from the data; beyond this the caller must name them
-MAX_COLUMNS = 2000
 
 
 def answered(work: DataFrame, results: DataFrame) -> DataFrame:
@@ -99,8 +97,7 @@ def row_keys(rows: DataFrame, masked: str | None = "masked", timestamp: str | No
     return F.concat(*parts)
 
 
-def column_names(rows: DataFrame, masked: str | None = "masked", timestamp: str | None = "timestamp",
-                 limit: int = MAX_COLUMNS) -> list[str]:
+def column_names(rows: DataFrame, masked: str | None = "masked", timestamp: str | None = "timestamp") -> list[str]:
     """Keys of all rows, ordered by where they first appear (combination, item, place).
 
     The place is one decimal number, so that keys are collapsed by hashing before the
@@ -115,10 +112,8 @@ def column_names(rows: DataFrame, masked: str | None = "masked", timestamp: str
     seen = rows.select(place.alias("at"), F.posexplode(row_keys(rows, masked, timestamp)).alias("key_pos", "key"))
     at = (F.col("at") * F.lit(1_000_000).cast("decimal(7,0)") + F.least("key_pos", F.lit(999_999))).cast("decimal(38,0)")
     first = seen.groupBy("key").agg(F.min(at).alias("first"))
-    keys = first.orderBy("first", "key").select("key").limit(limit + 1).collect()
-    if len(keys) > limit:
-        raise ValueError(f"answers have more than {limit} different keys: name the columns")
-    return [r[0] for r in keys]
+    # a report has a column for each key, so their number is that of a table's columns
+    return [r[0] for r in first.orderBy("first", "key").select("key").collect()]
 
 
 def to_columns(rows: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = (),

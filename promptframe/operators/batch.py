@@ -15,8 +15,6 @@ from promptframe.operators.usage import with_usage
 from promptframe.session import shared_dir
 
 BATCH_DISCOUNT = 0.5
-# a list of up to this many batches is broadcast
-MAX_BATCHES = 10_000
 # Fixed values of a request line.
 METHOD = "POST"
 URL = "/v1/chat/completions"
@@ -48,9 +46,11 @@ def write_requests(queued: DataFrame, path: str) -> None:
     batch_requests(queued).select("line").write.text(path)
 
 
-def submit(pending: DataFrame, batch_id: str) -> DataFrame:
-    """State rows of the queued requests, now part of a batch. Others keep their state."""
+def submit(pending: DataFrame, batch_id: str, run_hash: str | None = None) -> DataFrame:
+    """State rows of the queued requests (of a run), now part of a batch. Others keep their state."""
     queued = waiting(pending).filter(F.col("state") == "queued")
+    if run_hash is not None:
+        queued = queued.filter(F.col("run_hash") == run_hash)
     return queued.withColumns({"state": F.lit("submitted"), "batch_id": F.lit(batch_id)})
 
 
@@ -77,15 +77,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def _first_lines(parsed: DataFrame, elapsed: DataFrame) -> DataFrame:
-    """The first answer of each batch carries the elapsed time of the whole batch.
-
-    One row per batch of the caller's list; a list of checked length is broadcast, so that
-    answers are not shuffled for it.
-    """
+    """The first answer of each batch carries the elapsed time of the whole batch: one row per
+    batch of the caller's list."""
     first = parsed.groupBy("batch_id").agg(F.min_by("custom_id", "at").alias("custom_id"))
-    rows = first.join(elapsed.select("batch_id", F.col("elapsed").cast("double").alias("elapsed_time")), "batch_id")
-    few = elapsed.limit(MAX_BATCHES + 1).count() <= MAX_BATCHES
-    return F.broadcast(rows) if few else rows
+    return first.join(elapsed.select("batch_id", F.col("elapsed").cast("double").alias("elapsed_time")), "batch_id")
 
 
 def ingest_batch(lines: DataFrame, prices: DataFrame, errors: DataFrame | None = None,
@@ -146,10 +141,23 @@ def still_waiting(store: ResultStore) -> int:
     return lookup.pending_keys(store.pending()).count()
 
 
-def submit_queued(store: ResultStore, path: str, batch_id: str) -> None:
-    """Write the request file of everything queued and mark it submitted."""
+def submit_queued(store: ResultStore, path: str, batch_id: str, run_hash: str | None = None) -> None:
+    """Write the request file of what a run has queued and mark it submitted.
+
+    A request is known by its prompt alone inside a batch, so a batch belongs to one run: which
+    one must be named if several have queued, and a batch id is not used for two.
+    """
+    log = store.pending()
+    if run_hash is None:
+        queued = waiting(log).filter(F.col("state") == "queued").select("run_hash").distinct().limit(2).collect()
+        if len(queued) > 1:
+            raise ValueError("several runs have queued requests: name the one that the batch is for")
+        run_hash = queued[0][0] if queued else ""
+    taken = log.filter((F.col("batch_id") == batch_id) & (F.col("run_hash") != run_hash))
+    if not taken.isEmpty():
+        raise ValueError(f"batch {batch_id!r} belongs to another run")
     frozen = shared_dir(store.spark, "submitted")
-    submit(store.pending(), batch_id).write.parquet(frozen)
+    submit(log, batch_id, run_hash).write.parquet(frozen)
     rows = store.spark.read.parquet(frozen)
     write_requests(rows, path)
     store.append_pending(spread(rows))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping
 from typing import Any, Protocol
 
 import pandas as pd
@@ -22,7 +22,7 @@ from promptframe.functions.images import images, without_images
 from promptframe.operators import usage as money
 from promptframe.operators.grid import distinct_work, work
 from promptframe.operators.lookup import KEYS
-from promptframe.operators.runs import RunKey, public_args, public_dict
+from promptframe.operators.runs import RunKey, public_args
 from promptframe.operators.store import ResultStore, spread
 from promptframe.session import shared_dir
 
@@ -123,10 +123,11 @@ def stub_answers(missing: DataFrame, text: str = DEFAULT_STUB, cost: float = 0.0
         "elapsed_time": F.lit(0.0), "error": F.lit(None).cast("string")})
 
 
-def call_provider(missing: DataFrame, provider: Provider) -> DataFrame:
+def call_provider(missing: DataFrame, provider: Provider, args_json: str | None = None) -> DataFrame:
     """Rows of ``missing`` plus the provider's answer; opened once per partition with rows.
 
-    Only prompt and arguments are turned into pandas, other columns pass by as Arrow.
+    Only prompt and arguments are turned into pandas, other columns pass by as Arrow. The
+    arguments given here, which may hold secrets, reach the provider in place of the column's.
     """
     added = T.StructType.fromDDL(ANSWER_SCHEMA)
     kinds = {"response": pa.string(), "cost_value": pa.float64(), "elapsed_time": pa.float64(),
@@ -142,7 +143,10 @@ def call_provider(missing: DataFrame, provider: Provider) -> DataFrame:
                     provider.open()
                     opened = True
                 started = time.time()
-                answers = provider.call(batch.select(["prompt", "args_json"]).to_pandas())
+                asked = batch.select(["prompt", "args_json"]).to_pandas()
+                if args_json is not None:
+                    asked["args_json"] = args_json
+                answers = provider.call(asked)
                 took = (time.time() - started) / batch.num_rows
                 if len(answers) != batch.num_rows:
                     raise ValueError("a provider must answer every prompt of its batch")
@@ -159,19 +163,23 @@ def call_provider(missing: DataFrame, provider: Provider) -> DataFrame:
     return missing.mapInArrow(run, T.StructType(missing.schema.fields + added.fields))
 
 
-def assemble(answers: DataFrame, discount: float = 0.0) -> DataFrame:
+def assemble(answers: DataFrame, discount: float = 0.0, prices: DataFrame | None = None) -> DataFrame:
     """Result records from answered work: secrets stripped, usage filled in.
 
-    A provider's own cost counts as the cost of the input.
+    A provider's own cost counts as the cost of the input; without one the tokens are priced.
     """
     tokens = money.token_usage(F.col("response"))
     size = money.byte_usage(F.col("prompt"), F.col("response"))
-    value = F.coalesce("cost_value", F.lit(0.0))
+    cost_in, cost_out = F.coalesce("cost_value", F.lit(0.0)), F.lit(0.0)
+    if prices is not None:
+        answers = money.price_join(answers.withColumn("model", money.model_name(F.col("response"))), prices)
+        cost_in = F.coalesce("cost_value", money.cost(tokens["tokens_in"], F.col("price_in")))
+        cost_out = F.when(F.col("cost_value").isNull(), money.cost(tokens["tokens_out"], F.col("price_out"))).otherwise(0.0)
     usage = F.struct(
         tokens["tokens_in"].alias("tokens_in"), tokens["tokens_out"].alias("tokens_out"),
         size["bytes_in"].alias("bytes_in"), size["bytes_out"].alias("bytes_out"),
-        value.alias("cost_in"), F.lit(0.0).alias("cost_out"), F.lit(discount).alias("discount"),
-        money.discounted(value, F.lit(0.0), F.lit(discount)).alias("cost"))
+        cost_in.alias("cost_in"), cost_out.alias("cost_out"), F.lit(discount).alias("discount"),
+        money.discounted(cost_in, cost_out, F.lit(discount)).alias("cost"))
     return answers.select(
         "hash_prefix", "prompt_hash", "run_hash", "prompt", "response", usage.alias("usage"),
         F.date_format(F.current_timestamp(), "yyyyMMddHHmmss").alias("timestamp"), "elapsed_time",
@@ -183,18 +191,24 @@ def assemble(answers: DataFrame, discount: float = 0.0) -> DataFrame:
 
 
 def execute(grid: DataFrame, run: RunKey, store: ResultStore, provider: Provider | None = None,
-            max_parallel: int = 8, max_cost: float = 0.0, wave: int | None = None,
+            max_parallel: int | None = None, max_cost: float = 0.0, wave: int | None = None,
             total: int | None = None, timeout: float | None = None, stub: str | None = None,
-            calls_per_task: int = CALLS_PER_TASK) -> DataFrame:
+            calls_per_task: int = CALLS_PER_TASK, prices: DataFrame | None = None) -> DataFrame:
     """Answer every combination of one run and return its work with a final status.
 
-    Each distinct missing prompt is called once, in ``max_parallel`` tasks at a time,
-    and a task makes about ``calls_per_task`` calls before they are stored. With a budget
+    Each distinct missing prompt is called once, in ``max_parallel`` tasks at a time (as many as
+    the cluster runs, if not given), and a task makes about ``calls_per_task`` calls before they
+    are stored; the stub, which costs nothing to repeat, answers all at once. ``prices`` gives
+    answers without a cost of their own the price of their tokens. With a budget
     the combinations go in waves of ``wave`` numbers, and no wave starts once
     ``max_cost`` is spent; answers that were already stored count too. Returns one row
     per combination with ``status`` executed, cached, pending or missing (not reached).
     """
-    todo = _frozen(store, distinct_work(grid, [run]), "work")
+    max_parallel = max_parallel or store.spark.sparkContext.defaultParallelism
+    args_json = json.dumps(dict(run.args), ensure_ascii=False)
+    asked = distinct_work(grid, [run])
+    # secrets are not written: the provider gets them by closure
+    todo = _frozen(store, asked.withColumn("args_json", public_args(F.col("args_json"))), "work")
     store.write_prompts(todo)
     # statuses change with the store, so they are written down before any call
     state = _frozen(store, store.lookup(work(grid, [run]).select(
@@ -208,14 +222,17 @@ def execute(grid: DataFrame, run: RunKey, store: ResultStore, provider: Provider
             if _spent(state, store, run.run_hash, low) >= max_cost:
                 break
             _call_wave(missing.filter(F.col("combo_id").between(low, low + size - 1)), store, provider,
-                       max_parallel, stub)
+                       max_parallel, stub, prices, args_json)
+    elif provider is None and wave is None:
+        _call_wave(missing, store, None, None, stub, prices, args_json)
     else:
         waves = -(-missing.count() // (wave or max_parallel * calls_per_task))
         # digests fall evenly into waves; these digits are not those that place a row in a file
         number = F.conv(F.substring("prompt_hash", 7, 6), 16, 10).cast("long") * F.lit(waves)
         for i in range(waves):
-            _call_wave(missing.filter(F.shiftright(number, 24) == i), store, provider, max_parallel, stub)
-    return _final(state, store, run.run_hash, timeout)
+            _call_wave(missing.filter(F.shiftright(number, 24) == i), store, provider, max_parallel, stub, prices,
+                       args_json)
+    return final_status(state, store, run.run_hash, timeout)
 
 
 def _frozen(store: ResultStore, df: DataFrame, purpose: str) -> DataFrame:
@@ -224,11 +241,12 @@ def _frozen(store: ResultStore, df: DataFrame, purpose: str) -> DataFrame:
     return store.spark.read.parquet(path)
 
 
-def _call_wave(missing: DataFrame, store: ResultStore, provider: Provider | None, tasks: int,
-               stub: str | None) -> None:
+def _call_wave(missing: DataFrame, store: ResultStore, provider: Provider | None, tasks: int | None,
+               stub: str | None, prices: DataFrame | None, args_json: str) -> None:
     placed = spread(missing, tasks)
-    answers = stub_answers(placed, stub or DEFAULT_STUB) if provider is None else call_provider(placed, provider)
-    store.append(assemble(answers))
+    answers = (stub_answers(placed, stub or DEFAULT_STUB) if provider is None
+               else call_provider(placed, provider, args_json))
+    store.append(assemble(answers, prices=prices))
 
 
 def _spent(state: DataFrame, store: ResultStore, run_hash: str, below: int) -> float:
@@ -239,7 +257,7 @@ def _spent(state: DataFrame, store: ResultStore, run_hash: str, below: int) -> f
     return float(row[0] or 0)
 
 
-def _final(state: DataFrame, store: ResultStore, run_hash: str, timeout: float | None) -> DataFrame:
+def final_status(state: DataFrame, store: ResultStore, run_hash: str, timeout: float | None = None) -> DataFrame:
     """Status after the run: the first combination of a new answer was executed, the
     others that share it were served from the store.
 
@@ -255,18 +273,3 @@ def _final(state: DataFrame, store: ResultStore, run_hash: str, timeout: float |
         state.withColumnRenamed("status", "_before").join(known, KEYS, "left")
         .withColumn("status", F.when(new, "executed").otherwise(F.col("status")))
         .drop("_before", "_first"))
-
-
-def over_all_runs(grid: DataFrame, runs: Sequence[RunKey], store: ResultStore,
-                  providers: Mapping[str, Provider], **options) -> DataFrame:
-    """:func:`execute` for each run in turn; the union of their work."""
-    parts = [execute(grid, r, store, providers.get(r.module.id), **options) for r in runs]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def stored_args(run: RunKey) -> str:
-    """Arguments as they appear in reports."""
-    return json.dumps(public_dict(run.args), ensure_ascii=False)

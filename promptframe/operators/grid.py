@@ -26,8 +26,6 @@ from promptframe.sources.project import Project
 
 # an index array in the plan holds at most this many numbers
 INDEX_BLOCK = 4096
-# a largest group below this many rows is spread over more tasks before it is repeated
-SPREAD_BELOW_ROWS = 1_000_000
 COMBOS_PER_TASK = 100_000
 BYTES_PER_TASK = 8 << 20
 # a group is broadcast only when it was measured to stay below both bounds
@@ -129,7 +127,8 @@ def product(spark: SparkSession, groups: Sequence[DataFrame | None],
     times = total // rows[base] if total else 0
     wanted = max(-(-total // COMBOS_PER_TASK), (sizes[base].bytes or 0) * times // BYTES_PER_TASK)
     tasks = min(wanted, rows[base])
-    if rows[base] <= SPREAD_BELOW_ROWS and tasks > 1:
+    if times > 1 and tasks > 1:
+        # rows are spread before they are repeated, so that tasks make equally many combinations
         out = out.repartition(tasks)
     out = _repeat(out, times)
     for k in range(len(groups)):

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from promptframe.operators.runs import RunKey
+from promptframe.operators.runs import RunKey, public_dict
 from promptframe.sources.project import Project
 
 
@@ -38,9 +38,9 @@ def report_prompts(prompts: DataFrame) -> DataFrame:
 
 
 def report_runs(spark: SparkSession, runs: Sequence[RunKey]) -> DataFrame:
-    """Runs with their module, key and arguments."""
+    """Runs with their module, key and arguments, of which secret ones are left out."""
     rows = [(r.name, r.module.name, r.module.id, r.run_hash, r.module.description,
-             r.module.version or "Unknown", json.dumps(dict(r.args), indent=4)) for r in runs]
+             r.module.version or "Unknown", json.dumps(public_dict(r.args), indent=4)) for r in runs]
     names = ["Run Name", "Module Name", "Module ID", "Run Hash", "Module Description",
              "Module Version", "Arguments"]
     return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
@@ -73,7 +73,7 @@ def project_json(project: Project) -> str:
     """Prompts, runs and retrieval settings of a project (groups are tables)."""
     return json.dumps({
         "prompts": dict(project.prompts), "disabled_prompts": sorted(project.disabled),
-        "runs": {n: {"module_id": r.module_id, "module_name": r.module_name, "module_args": dict(r.args)}
+        "runs": {n: {"module_id": r.module_id, "module_name": r.module_name, "module_args": public_dict(r.args)}
                  for n, r in project.runs.items()},
         "rag": {n: dict(c) for n, c in project.rag.items()},
         "groups": list(project.groups)}, ensure_ascii=False)

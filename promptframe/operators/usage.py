@@ -12,8 +12,6 @@ USAGE_TYPE = (
 MONEY = "decimal(38,12)"
 # Fixed value: the date that may end a model name.
 DATE_SUFFIX = r"-\d{4}-\d{2}-\d{2}$"
-# a price list up to this length is put into the plan
-MAX_CONSTANT_PRICES = 500
 # rows per block of a running total: a window task sorts this many
 BLOCK_ROWS = 1 << 20
 
@@ -65,33 +63,25 @@ def model_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
 def price_join(results: DataFrame, prices: DataFrame) -> DataFrame:
     """``results`` (with ``model``) plus ``price_in``, ``price_out``; NULL if unknown.
 
-    A price list of ordinary size becomes constants of the plan, so results are neither
-    joined nor read twice. A longer one is resolved per distinct model and joined.
+    The price list, an argument of a run, is one value of the plan (a scalar subquery): its exact
+    names as a map and its prefixes as an array in order. Results are read once and not joined.
     """
-    known = prices.select("pattern", "ord", "input", "output").limit(MAX_CONSTANT_PRICES + 1).collect()
-    if len(known) > MAX_CONSTANT_PRICES:
-        return results.join(model_prices(results, prices), "model", "left")
-    money = "struct<input:double,output:double>"
-    ordered = sorted(known, key=lambda r: r["ord"])
-    if not ordered:
-        none = F.lit(None).cast("double")
-        return results.withColumns({"price_in": none, "price_out": none})
-
-    def amounts(r) -> Column:
-        return F.struct(F.lit(r["input"]).alias("input"), F.lit(r["output"]).alias("output")).cast(money)
-
-    first = {r["pattern"]: r for r in reversed(ordered)}
-    exact = F.map_from_arrays(F.array(*[F.lit(p) for p in first]), F.array(*[amounts(r) for r in first.values()]))
-    prefixes = [r for r in ordered if r["pattern"].endswith("*")]
+    amounts = F.struct(F.col("input").cast("double").alias("input"), F.col("output").cast("double").alias("output"))
+    entry = F.struct("ord", "pattern", amounts.alias("price"))
+    ordered = F.sort_array(F.collect_list(entry)).alias("_list")
+    # of equal names the first in order counts, which a map built backwards keeps
+    named = F.map_from_entries(F.transform(F.reverse("_list"), lambda p: F.struct(p["pattern"], p["price"])))
+    starts = F.transform(F.filter("_list", lambda p: p["pattern"].endswith("*")), lambda p: F.struct(
+        F.substring(p["pattern"], F.lit(1), F.length(p["pattern"]) - 1).alias("prefix"), p["price"].alias("price")))
+    listed = prices.agg(ordered).select(F.struct(named.alias("named"), starts.alias("starts"))).scalar()
     name = F.col("model")
     undated = F.regexp_replace(name, DATE_SUFFIX, "")
-    found = [exact[name], exact[undated]]
-    if prefixes:
-        listed = F.array(*[F.struct(F.lit(r["pattern"][:-1]).alias("prefix"), amounts(r).alias("price")) for r in prefixes])
-        found.append(F.get(F.filter(listed, lambda p: name.startswith(p["prefix"])), F.lit(0))["price"])
-    priced = results.withColumn("_price", F.coalesce(*found))
+    known = F.col("_prices")
+    by_prefix = F.get(F.filter(known["starts"], lambda p: name.startswith(p["prefix"])), F.lit(0))["price"]
+    price = F.coalesce(F.try_element_at(known["named"], name), F.try_element_at(known["named"], undated), by_prefix)
+    priced = results.withColumn("_prices", listed).withColumn("_price", price)
     return priced.withColumns({
-        "price_in": F.col("_price.input"), "price_out": F.col("_price.output")}).drop("_price")
+        "price_in": F.col("_price.input"), "price_out": F.col("_price.output")}).drop("_price", "_prices")
 
 
 def cost(tokens: Column, price: Column) -> Column:

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from promptframe.operators import batch
 from promptframe.operators.analysis import ANALYSES, analyse, answered
-from promptframe.operators.execute import Provider, execute
+from promptframe.operators.execute import Provider, execute, final_status
 from promptframe.operators.grid import distinct_work, expand, group_sizes, work
 from promptframe.operators.rag import passage_functions
 from promptframe.operators.report import project_json, report_prompts, report_runs, union_runs, write_report
-from promptframe.operators.runs import Module, run_keys
+from promptframe.operators.runs import Module, RunKey, run_keys
 from promptframe.operators.store import ResultStore
 from promptframe.operators.usage import run_info, stats, total_stats
 from promptframe.session import shared_dir
@@ -31,14 +31,20 @@ def build_grid(project: Project) -> DataFrame:
 def run_project(project: Project, modules: Mapping[str, Module], store: ResultStore,
                 providers: Mapping[str, Provider] | None = None, analyses: list[str] | None = None,
                 report: str | None = None, max_cost: float = 0.0, **options) -> dict[str, DataFrame]:
-    """Execute all runs and return the report tables (``stats`` included)."""
+    """Execute all runs and return the report tables (``stats`` included).
+
+    A run in batch mode is not called: what it misses is queued and reported as pending.
+    """
     runs = run_keys(project.runs, modules)
     grid = build_grid(project)
     names = analyses or list(ANALYSES)
     by_analysis: dict[str, dict[str, DataFrame]] = {n: {} for n in [*names, "info"]}
     status: DataFrame | None = None
     for place, run in enumerate(runs):
-        done = execute(grid, run, store, (providers or {}).get(run.module.id), max_cost=max_cost, **options)
+        if run.args.get("batch_mode"):
+            done = queue_run(grid, run, store)
+        else:
+            done = execute(grid, run, store, (providers or {}).get(run.module.id), max_cost=max_cost, **options)
         done = done.withColumn("run_ord", F.lit(place))
         path = shared_dir(project.spark, "status")
         done.write.parquet(path)
@@ -66,11 +72,18 @@ def run_project(project: Project, modules: Mapping[str, Module], store: ResultSt
 def queue_batch(project: Project, modules: Mapping[str, Module], store: ResultStore) -> None:
     """Queue the missing work of every run that asks for batch mode."""
     grid = build_grid(project)
-    store.write_prompts(grid)
     for run in run_keys(project.runs, modules):
         if run.args.get("batch_mode"):
-            missing = store.misses(distinct_work(grid, [run]), run_hash=run.run_hash)
-            store.append_pending(batch.queue(missing, run))
+            queue_run(grid, run, store)
+
+
+def queue_run(grid: DataFrame, run: RunKey, store: ResultStore) -> DataFrame:
+    """Queue what a run misses; its work with the status after that."""
+    todo = distinct_work(grid, [run])
+    store.write_prompts(todo)
+    store.append_pending(batch.queue(store.misses(todo, run_hash=run.run_hash), run))
+    named = work(grid, [run]).select("combo_id", "prompt_hash", "hash_prefix", "run_hash", "run_name")
+    return final_status(store.lookup(named, run_hash=run.run_hash), store, run.run_hash)
 
 
 def take_batch(store: ResultStore, answers: str, prices: DataFrame, errors: str | None = None,

@@ -505,6 +505,35 @@ def batch_resolve(spark: SparkSession, sf: str) -> DataFrame:
         "prompt_hash", "state", "error", F.col("usage.cost").alias("cost"), "elapsed_time")
 
 
+TWO_RUNS = (CHAT_RUN, RunKey("other", CHAT_RUN.module, {"gpt_model": "other"}))
+
+
+@query(f"""
+  SELECT prompt_hash, run, md5(run || text) AS answer, 1::bigint AS n
+  FROM ({TURN_SQL}), (SELECT unnest(['{TWO_RUNS[0].name}', '{TWO_RUNS[1].name}']) AS run) WHERE role = 'user'""")
+def batch_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs queue the same prompts; each has a batch of its own and gets its own answers."""
+    store = ResultStore(spark, shared_dir(spark, "store"))
+    turns = _turns(spark, sf).filter("role = 'user'")
+    for run in TWO_RUNS:
+        asked = turns.withColumns({
+            "run_hash": F.lit(run.run_hash), "module_name": F.lit("Chat"), "module_version": F.lit("2.0.0"),
+            "args_json": F.lit("{}"), "masked": F.create_map(F.lit("turn"), F.col("turn").cast("string"))})
+        store.append_pending(spread(batch.queue(asked, run)))
+    lines = None
+    for run in TWO_RUNS:
+        batch.submit_queued(store, shared_dir(spark, "requests"), f"b_{run.name}", run.run_hash)
+        answered = turns.select(
+            F.lit(f"b_{run.name}").alias("batch_id"), _line(_body(F.concat(F.lit(run.name), "text"))).alias("line"),
+            F.struct("conv_id", "turn").alias("at"))
+        lines = answered if lines is None else lines.unionByName(answered)
+    batch.settle(store, batch.ingest_batch(lines, batch.prices_table(spark, PRICES)))
+    names = F.create_map(*[F.lit(x) for r in TWO_RUNS for x in (r.run_hash, r.name)])
+    return store.results().groupBy("prompt_hash", names[F.col("run_hash")].alias("run")).agg(
+        F.md5(F.max(F.get_json_object("response", "$.choices[0].message.content"))).alias("answer"),
+        F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""SELECT prompt_hash, 'b_user' AS batch_id, md5(text) AS answer FROM ({TURN_SQL}) WHERE role = 'user'""")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Answer files of one batch arrive as a stream and are settled in a store."""
@@ -600,6 +629,26 @@ def provider_execute(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("combo_id", "status", "response", "usage.cost")
 
 
+class TokenProvider(CountingProvider):
+    """Answers that name a model and their tokens, and no cost."""
+
+    def call(self, batch_rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"response": [
+            '{"model":"gpt-4o-2024-08-06","usage":{"prompt_tokens":%d,"completion_tokens":7}}' % len(p)
+            for p in batch_rows["prompt"]]})
+
+
+@query(f"""
+  SELECT combo_id, length(prompt) AS tokens_in, length(prompt) / 1000000.0::double * 2.5 AS cost_in,
+         7 / 1000000.0::double * 10.0 AS cost_out,
+         length(prompt) / 1000000.0::double * 2.5 + 7 / 1000000.0::double * 10.0 AS cost FROM ({OFFER_SQL})""")
+def execute_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """Direct calls whose answers say only tokens are priced."""
+    store = ResultStore(spark, shared_dir(spark, "store"))
+    done = execute(_offers(spark, sf), RUN_B, store, TokenProvider(), prices=batch.prices_table(spark, PRICES))
+    return done.select("combo_id", "usage.tokens_in", "usage.cost_in", "usage.cost_out", "usage.cost")
+
+
 @query(f"""
   SELECT sha1(prompt) AS prompt_hash, prompt, 'Chat' AS module_name, '2.0.0' AS module_version,
          '{{"gpt_model":"m-large"}}' AS module_args, p_name, p_size::varchar AS p_size, 14 AS stamp_length,

@@ -91,9 +91,14 @@ def test_columns_in_order_of_appearance(records):
     assert named.columns == ["a", "zz"] and named.filter("zz IS NOT NULL").count() == 0
 
 
-def test_too_many_columns_is_an_error(records):
-    with pytest.raises(ValueError, match="name the columns"):
-        analysis.column_names(analysis.flatten_answers(records), limit=3)
+def test_answers_of_many_keys_have_as_many_columns(spark):
+    import json
+
+    answer = json.dumps({f"k{n:04d}": n for n in range(2100)})
+    text = json.dumps({"choices": [{"message": {"content": answer}}]})
+    df = spark.createDataFrame([(0, text, "t", {})], "combo_id long, response string, timestamp string, masked map<string,string>")
+    names = analysis.column_names(analysis.flatten_answers(df), timestamp=None)
+    assert names == [f"k{n:04d}" for n in range(2100)]
 
 
 def test_user_analysis(spark, records):

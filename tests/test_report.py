@@ -86,3 +86,27 @@ def test_batch_plan(spark, tmp_path):
         "model": "g", "usage": {"input_tokens": 10, "output_tokens": 0}}}}) + "\n" for x in lines[:3]))
     left = take_batch(store, str(inbox), prices_table(spark, {"g*": {"input": 1e6}}), elapsed={"b9": 5.0})
     assert left == 1 and {r["usage"]["cost"] for r in store.latest().collect()} == {5.0}
+
+
+def test_secrets_are_not_in_reports(spark):
+    from promptframe.operators.report import report_runs
+    from promptframe.operators.runs import Module, RunKey
+
+    run = RunKey("r", Module("m", "M", "m"), {"model": "x", "_key": "hidden"})
+    assert "hidden" not in str(report_runs(spark, [run]).collect())
+
+
+def test_batch_runs_are_queued_not_called(spark, tmp_path):
+    from promptframe.operators.runs import Module
+    from promptframe.operators.store import ResultStore
+    from promptframe.plans.lifecycle import run_project
+    from promptframe.sources.files import group_from_rows
+    from promptframe.sources.project import Project, Run
+
+    project = Project(spark, {"p": "say {{w}}"}, {"g": group_from_rows(spark, [{"w": "a"}, {"w": "b"}])},
+                      {"late": Run("late", "m", "M", {"batch_mode": True, "_key": "hidden"})})
+    store = ResultStore(spark, str(tmp_path / "store"))
+    tables = run_project(project, {"m": Module("m", "M", "m")}, store, analyses=["cost"])
+    assert [(r.executed, r.cached, r.pending) for r in tables["stats"].collect()] == [(0, 0, 2)]
+    waiting = store.pending().collect()
+    assert sorted(r.prompt for r in waiting) == ["say a", "say b"] and "hidden" not in str(waiting)
