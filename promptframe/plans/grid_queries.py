@@ -30,6 +30,10 @@ SEGMENT_SQL = """
   FROM (VALUES (0, 'offer'), (1, 'call')) p(i, name), customer, region
 """
 
+# the runs' keys as SQL: prefix of the module and digest of the arguments with sorted names
+RUN_A_KEY = """'stub_' || md5('{"stub_response": "ok"}')"""
+RUN_B_KEY = """'chat_' || md5('{"_key": "secret", "gpt_model": "m-large"}')"""
+
 
 def _segments(spark: SparkSession, sf: str) -> Project:
     return Project(spark, SEGMENT_PROMPTS, {
@@ -291,7 +295,7 @@ def secret_args(spark: SparkSession, sf: str) -> DataFrame:
     FROM (VALUES (0), (1)) p(i), orders),
   d AS (SELECT prompt, min(combo_id) AS combo_id, count(*) AS combos FROM g GROUP BY prompt)
   SELECT combo_id, prompt, sha1(prompt) AS prompt_hash, combos, r.run_hash, r.run_name
-  FROM d, (VALUES ('{RUN_A.run_hash}', 'first'), ('{RUN_B.run_hash}', 'second')) r(run_hash, run_name)""")
+  FROM d, (VALUES ({RUN_A_KEY}, 'first'), ({RUN_B_KEY}, 'second')) r(run_hash, run_name)""")
 def distinct_work(spark: SparkSession, sf: str) -> DataFrame:
     orders = group(spark, sf, "orders", "o_orderpriority", "o_orderstatus")
     prompts = {"p": "Handle {{o_orderpriority}}", "s": "Status {{o_orderstatus}} of {{o_orderpriority}}"}
@@ -302,7 +306,7 @@ def distinct_work(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
   SELECT combo_id, run_name, run_hash, sha1(prompt) AS prompt_hash
-  FROM ({SEGMENT_SQL}), (VALUES ('{RUN_A.run_hash}', 'first'), ('{RUN_B.run_hash}', 'second')) r(run_hash, run_name)""")
+  FROM ({SEGMENT_SQL}), (VALUES ({RUN_A_KEY}, 'first'), ({RUN_B_KEY}, 'second')) r(run_hash, run_name)""")
 def grid_runs(spark: SparkSession, sf: str) -> DataFrame:
     return g.work(g.expand(_segments(spark, sf)), [RUN_A, RUN_B]).select(
         "combo_id", "run_name", "run_hash", "prompt_hash")
@@ -465,3 +469,56 @@ def image_split(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select(
         "page_id", without_images(F.col("p")).alias("prompt"), F.size(images(F.col("p"))).alias("n_images"),
         F.md5(F.get(images(F.col("p")), F.lit(0))).alias("first_image"))
+
+
+@query("SELECT n_nationkey AS _ord, n_name AS name, n_nationkey::varchar AS key, n_regionkey::varchar AS region FROM nation")
+def pasted_group(spark: SparkSession, sf: str) -> DataFrame:
+    """The nations as pasted CSV text."""
+    rows = table(spark, sf, "nation").orderBy("n_nationkey").collect()
+    content = "name,key,region\n" + "".join(f'"{r.n_name}",{r.n_nationkey},{r.n_regionkey}\n' for r in rows)
+    return files.group_from_string(spark, content, "csv")
+
+
+@query("SELECT c_custkey AS _ord, c_name FROM customer")
+def capped_group(spark: SparkSession, sf: str) -> DataFrame:
+    """All customers, whose number the caller has allowed."""
+    customers = with_ordinals(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey").drop("c_custkey")
+    return files.require_max_rows(customers, table(spark, sf, "customer").count())
+
+
+@query("""SELECT row_number() OVER (ORDER BY n_nationkey % 3, n_nationkey) - 1 AS _ord, n_name AS name,
+                 n_nationkey % 3 AS part FROM nation""")
+def generated_group(spark: SparkSession, sf: str) -> DataFrame:
+    """The nations dealt to three calls of a user's generator."""
+    names = [r.n_name for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]
+
+    def generate(part: int, parts: int):
+        for name in names[part::parts]:
+            yield {"name": name, "part": part}
+
+    return files.group_from_generator(spark, generate, "name string, part bigint", 3)
+
+
+def _loaded(spark: SparkSession, sf: str) -> Project:
+    """A project file whose group holds the regions, written and loaded."""
+    path = shared_dir(spark, "project")
+    regions = table(spark, sf, "region").agg(F.to_json(F.sort_array(F.collect_list(
+        F.struct(F.col("r_regionkey").alias("key"), F.col("r_name").alias("region"))))).alias("rows"))
+    head = '{"metadata":{"file_format_version":"2.0"},"prompts":{"a":"{{region}} has key {{key}}","b":"off {{key}}"},'
+    regions.select(F.concat(F.lit(head + '"disabled_prompts":["b"],"parameters":{"regions":'), "rows", F.lit("}}"))
+                   ).coalesce(1).write.text(path)
+    return Project.load(spark, path)
+
+
+@query("SELECT r_regionkey AS combo_id, r_name || ' has key ' || r_regionkey AS prompt FROM region")
+def project_load(spark: SparkSession, sf: str) -> DataFrame:
+    return g.expand(_loaded(spark, sf)).select("combo_id", "prompt")
+
+
+@query("""SELECT r_regionkey * (SELECT count(*) FROM part) + p_partkey AS combo_id,
+                 r_name || ' has key ' || r_regionkey AS prompt, p_name AS part FROM region, part""")
+def project_with_group(spark: SparkSession, sf: str) -> DataFrame:
+    """The loaded project with a further group of all parts."""
+    parts = with_ordinals(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey").drop("p_partkey")
+    grid = g.expand(_loaded(spark, sf).with_group("parts", parts))
+    return grid.select("combo_id", "prompt", F.col("args")["p_name"].alias("part"))
