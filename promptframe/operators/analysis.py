@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from promptframe.functions.answers import (
@@ -168,64 +170,103 @@ ANALYSES: dict[str, Analysis] = {
 
 
 def register_analysis(name: str, analyse: Callable[..., Any], reduce: Callable[..., Any] | None = None,
-                      schema: str | None = None, reduce_schema: str | None = None) -> Analysis:
+                      schema: str | None = None, reduce_schema: str | None = None,
+                      reduce_keys: Sequence[str] = ()) -> Analysis:
     """Add an analysis.
 
     Without a schema the functions take and return DataFrames. With one,
     ``analyse(response, timestamp, usage)`` is user code that returns a dict, a list of
-    dicts or None per record. ``reduce(rows)`` gets the rows of one task as dicts, and
-    then the results of all tasks, so it must accept rows of its own making.
+    dicts or None per record. ``reduce(rows)`` gets rows of one task as dicts, and then
+    results of several tasks, so it must accept rows of its own making; with
+    ``reduce_keys`` it gets rows of one key at a time.
     """
     if schema is None:
         made = Analysis(name, analyse, reduce)
     else:
         made = Analysis(
-            name, lambda records: python_analysis(records, analyse, schema),
+            name, lambda records: with_inputs(python_analysis(records, analyse, schema)),
             None if reduce is None else
-            lambda rows: python_reduce(rows, reduce, reduce_schema or schema))
+            lambda rows: python_reduce(rows, reduce, reduce_schema or schema, reduce_keys))
     ANALYSES[name] = made
     return made
 
 
 def python_analysis(records: DataFrame, analyse: Callable[..., Any], schema: str) -> DataFrame:
-    """User rows of each record, plus its masked arguments as ``masked``."""
+    """User rows of each record, with its number, run, masked arguments and time stamp (``_timestamp``).
+
+    Only the answer reaches Python as objects; what is carried along stays in Arrow.
+    """
     out = T.StructType.fromDDL(schema)
-    names = out.fieldNames()
-    carried = [c for c in ("combo_id", "run_name") if c in records.columns]
-    full = T.StructType([records.schema[c] for c in carried] + out.fields)
+    carried = [c for c in ("combo_id", "run_name", "masked") if c in records.columns]
+    full = T.StructType([*[records.schema[c] for c in carried], T.StructField("_timestamp", T.StringType()), *out.fields])
+    made_schema = to_arrow_schema(out)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list[Any]] = []
-            for record in batch.to_dict(orient="records"):
-                response = json.loads(record["response"]) if record["response"] else None
-                made = analyse(response, timestamp=record["timestamp"], usage=record["usage"])
+            at: list[int] = []
+            rows: list[dict] = []
+            read = [batch.column(c).to_pylist() for c in ("response", "timestamp", "usage")]
+            for k, (response, stamp, usage) in enumerate(zip(*read, strict=True)):
+                made = analyse(json.loads(response) if response else None, timestamp=stamp, usage=usage)
                 if made is None:
                     continue
-                for row in made if isinstance(made, list) else [made]:
-                    rows.append([record[c] for c in carried] + [row.get(n) for n in names])
-            yield pd.DataFrame(rows, columns=[*carried, *names])
+                made = made if isinstance(made, list) else [made]
+                at += [k] * len(made)
+                rows += made
+            places = pa.array(at, pa.int64())
+            kept = [batch.column(c).take(places) for c in (*carried, "timestamp")]
+            made = pa.RecordBatch.from_pylist(rows, schema=made_schema)
+            yield pa.RecordBatch.from_arrays([*kept, *made.columns], names=full.names)
+
+    stamp = F.col("timestamp").cast("string").alias("timestamp")
+    return records.select(*carried, "response", stamp, "usage").mapInArrow(run, full)
+
+
+def with_inputs(rows: DataFrame, masked: str = "masked") -> DataFrame:
+    """Masked arguments as columns ``input_<name>``; their names are the variables of the prompts."""
+    if masked not in rows.columns:
+        return rows
+    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys(masked))).distinct().collect())
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != masked],
+                       *[F.col(masked).getItem(n).alias(f"input_{n}") for n in names])
 
-    return records.select(*carried, "response", "timestamp", "usage").mapInPandas(run, full)
 
+#: Results of tasks that one task of the next round takes.
+REDUCE_WIDTH = 16
 
-def python_reduce(rows: DataFrame, reduce: Callable[[list[dict]], Any], schema: str) -> DataFrame:
-    """User roll-up: over the rows of each task first, then over those few results."""
+
+def python_reduce(rows: DataFrame, reduce: Callable[[list[dict]], Any], schema: str,
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """User roll-up: over the rows of each task, then in rounds over the results of a few tasks.
+
+    With ``keys``, which the results must have too, results meet by key instead of in one last task.
+    """
     out = T.StructType.fromDDL(schema)
     names = out.fieldNames()
 
+    def rolled(state: list[dict], batch: pd.DataFrame) -> list[dict]:
+        found: dict[tuple, list[dict]] = {}
+        for row in [*state, *batch.to_dict(orient="records")]:
+            found.setdefault(tuple(row[k] for k in keys), []).append(row)
+        made = [reduce(group) for group in found.values()]
+        return [row for m in made for row in (m if isinstance(m, list) else [m])]
+
     def roll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: list[dict] | None = None
+        state: list[dict] = []
         for batch in batches:
-            if batch.empty:
-                continue
-            made = reduce([*(state or []), *batch.to_dict(orient="records")])
-            state = made if isinstance(made, list) else [made]
+            if not batch.empty:
+                state = rolled(state, batch)
         if state:
             yield pd.DataFrame([[r.get(n) for n in names] for r in state], columns=names)
 
-    # one result per task is left, and those are few
-    return rows.mapInPandas(roll, out).repartition(1).mapInPandas(roll, out)
+    made = rows.mapInPandas(roll, out)
+    if keys:
+        return made.repartition(*keys).mapInPandas(roll, out)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while tasks > 1:
+        tasks = -(-tasks // REDUCE_WIDTH)
+        made = made.repartition(tasks).mapInPandas(roll, out)
+    return made
 
 
 def analyse(records: DataFrame, name: str) -> DataFrame:

@@ -129,13 +129,15 @@ def answer_columns(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.to_columns(rows, keep=["event_id", "pos", "list_pos"])
 
 
-@query("""SELECT event_id, event_type || '!' AS label, length(props) AS size FROM events WHERE event_type <> 'view'
-          UNION ALL SELECT event_id, 'twice', 0 FROM events WHERE event_type = 'click'""")
+@query("""SELECT event_id, event_type || '!' AS label, length(props) AS size, event_type AS input_kind, 't' AS _timestamp
+          FROM events WHERE event_type <> 'view'
+          UNION ALL SELECT event_id, 'twice', 0, event_type, 't' FROM events WHERE event_type = 'click'""")
 def python_analysis(spark: SparkSession, sf: str) -> DataFrame:
     """User code that returns a row, a list of rows or nothing per answer."""
     records = table(spark, sf, "events").select(
         F.col("event_id").alias("combo_id"), F.to_json(F.struct("event_type", "props")).alias("response"),
-        F.lit("t").alias("timestamp"), F.lit(None).cast("struct<cost:double>").alias("usage"))
+        F.lit("t").alias("timestamp"), F.lit(None).cast("struct<cost:double>").alias("usage"),
+        F.create_map(F.lit("kind"), "event_type").alias("masked"))
 
     def read(response, timestamp, usage):
         kind = response["event_type"]
@@ -144,7 +146,7 @@ def python_analysis(spark: SparkSession, sf: str) -> DataFrame:
             return None
         return [row, {"label": "twice", "size": 0}] if kind == "click" else row
 
-    made = analysis.python_analysis(records, read, "label string, size bigint")
+    made = analysis.with_inputs(analysis.python_analysis(records, read, "label string, size bigint"))
     return made.withColumnRenamed("combo_id", "event_id")
 
 
@@ -156,6 +158,16 @@ def python_reduce(spark: SparkSession, sf: str) -> DataFrame:
         rows, lambda rs: {"n": sum(r["n"] for r in rs), "total": sum(r["total"] for r in rs)}, "n bigint, total bigint")
 
 
+@query("SELECT event_type AS kind, count(*) AS n, sum(length(props))::bigint AS total FROM events GROUP BY 1")
+def python_reduce_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's roll-up for each kind of event."""
+    rows = table(spark, sf, "events").select(
+        F.col("event_type").alias("kind"), F.lit(1).cast("long").alias("n"), F.length("props").cast("long").alias("total"))
+    return analysis.python_reduce(
+        rows, lambda rs: {"kind": rs[0]["kind"], "n": sum(r["n"] for r in rs), "total": sum(r["total"] for r in rs)},
+        "kind string, n bigint, total bigint", ["kind"])
+
+
 # --- reports -------------------------------------------------------------------------
 
 UNION_SQL = """
