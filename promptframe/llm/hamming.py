@@ -68,7 +68,8 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
                                                      F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)),
                                                               lambda x: F.bit_count(x) == radius)))
         probes = probes.withColumn("value", F.col("_own").bitwiseXOR(F.col("mask"))).drop("mask", "_own")
-        met = probes.join(postings, ["dims", "segment", "value"]).withColumn("_d", _distances("query_code", "code"))
+        # probes are many more than their source's size says: neither side may be broadcast
+        met = probes.join(postings.hint("merge"), ["dims", "segment", "value"]).withColumn("_d", _distances("query_code", "code"))
         # a code is new in the first segment of its smallest distance, at that radius
         new = met.filter((F.array_min("_d") == radius) & (F.array_position("_d", radius) == F.col("segment") + 1))
         new = new.select("query", F.aggregate("_d", F.lit(0), lambda a, b: a + b).alias("distance"),
