@@ -252,7 +252,7 @@ def _call_wave(missing: DataFrame, store: ResultStore, provider: Provider | None
 def _spent(state: DataFrame, store: ResultStore, run_hash: str, below: int) -> float:
     """Money of the combinations below a number: an answer counts for each it serves."""
     served = state.filter(F.col("combo_id") < below).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
-    answers = store.latest(run_hash).select(*KEYS, "usage.cost")
+    answers = store.latest(run_hash, [F.col("usage.cost").alias("cost")]).select(*KEYS, "cost")
     row = served.join(answers, KEYS).agg(F.sum(F.col("cost").cast(money.MONEY) * F.col("_n"))).first()
     return float(row[0] or 0)
 

@@ -18,9 +18,10 @@ KEYS = ["hash_prefix", "prompt_hash", "run_hash"]
 
 
 def checked(results: DataFrame) -> DataFrame:
-    """Key, time and whether the stored prompt is still the one its key was made from."""
-    return results.select(
-        *KEYS, "written_at", (F.sha1("prompt") == F.col("prompt_hash")).alias("unchanged"))
+    """Key, time and whether the stored prompt is the one its key was made from: as the store
+    found when it was written (``prompt_ok``), else by the text."""
+    unchanged = F.col("prompt_ok") if "prompt_ok" in results.columns else F.sha1("prompt") == F.col("prompt_hash")
+    return results.select(*KEYS, "written_at", unchanged.alias("unchanged"))
 
 
 def valid_keys(results: DataFrame, now: Column | datetime, timeout: float | None = None) -> DataFrame:
@@ -127,10 +128,11 @@ def expired(results: DataFrame, now: Column | datetime, older_than: float | None
 
 
 def statistics(prompts: DataFrame, results: DataFrame, pending: DataFrame) -> DataFrame:
-    """Records and bytes of a store, by kind."""
+    """Records and bytes of a store, by kind; texts may be given by their ``_bytes``."""
     def part(df: DataFrame, text: str, kind: str) -> DataFrame:
+        size = F.col(f"{text}_bytes") if f"{text}_bytes" in df.columns else F.octet_length(text)
         return df.agg(F.count(F.lit(1)).alias("n"),
-                      F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")
+                      F.coalesce(F.sum(size), F.lit(0)).alias("b")
                       ).select(F.lit(kind).alias("kind"), "n", "b")
 
     parts = (part(prompts, "prompt", "prompt").unionByName(part(results, "response", "result"))

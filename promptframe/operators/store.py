@@ -13,6 +13,7 @@ skips files and row groups by their key bounds.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,7 +27,7 @@ RESULT_SCHEMA = (
     "hash_prefix string, prompt_hash string, run_hash string, prompt string, response string, "
     f"usage {USAGE_TYPE}, timestamp string, written_at timestamp, elapsed_time double, "
     "module_name string, module_version string, module_args_json string, "
-    "params map<string,string>, batch_id string, error string"
+    "params map<string,string>, batch_id string, error string, prompt_ok boolean"
 )
 PROMPT_SCHEMA = "hash_prefix string, prompt_hash string, prompt string, written_at timestamp"
 PENDING_SCHEMA = (
@@ -77,6 +78,9 @@ class ResultStore:
         for f in empty.schema.fields:
             if f.name == "written_at":
                 columns.append(F.lit(at).cast("timestamp").alias("written_at"))
+            elif f.name == "prompt_ok":
+                # checked once, where the text is at hand: lookups then read no text
+                columns.append((F.sha1("prompt") == F.col("prompt_hash")).alias("prompt_ok"))
             elif f.name in df.columns:
                 columns.append(F.col(f.name).cast(f.dataType).alias(f.name))
             else:
@@ -141,8 +145,10 @@ class ResultStore:
 
     # --- reads ------------------------------------------------------------------
 
-    def latest(self, run_hash: str | None = None) -> DataFrame:
-        return lookup.latest(self._live(_of_run(self._read("results"), run_hash)))
+    def latest(self, run_hash: str | None = None, fields: Sequence[Column | str] | None = None) -> DataFrame:
+        """Newest live records; only these fields beside the key, if some are given."""
+        rows = self._live(_of_run(self._read("results"), run_hash))
+        return lookup.latest(rows if fields is None else rows.select(*KEYS, "written_at", *fields))
 
     def lookup(self, work: DataFrame, now: datetime | None = None, timeout: float | None = None,
                run_hash: str | None = None) -> DataFrame:
@@ -174,9 +180,13 @@ class ResultStore:
         return self.spark.read.parquet(self._append("expired", found.select(*KEYS), at)).count()
 
     def statistics(self) -> DataFrame:
+        def size(text: str) -> Column:
+            return F.octet_length(text).alias(f"{text}_bytes")
+
         waiting = self.pending().join(lookup.pending_keys(self.pending()), KEYS, "left_semi")
         return lookup.statistics(
-            self.prompts(), self.latest(), lookup.latest(waiting.select(*KEYS, "body", "written_at")))
+            self.prompts(), self.latest(fields=[size("response")]),
+            lookup.latest(waiting.select(*KEYS, "written_at", size("body"))))
 
     def results_for(self, work: DataFrame) -> DataFrame:
         return lookup.results_for(work, self.results())
