@@ -31,6 +31,8 @@ SEPARATORS = ("\n\n", "\n", " ", "")
 # rows of one block: a task holds one block of chunks and one of queries
 CHUNK_BLOCK = 4096
 QUERY_BLOCK = 1024
+# queries of one matrix product
+ROWS_AT_ONCE = 256
 # chunks handed on at once
 OUTPUT_ROWS = 10_000
 
@@ -228,16 +230,25 @@ def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             if doc not in held:
                 continue
             here, numbers = points[held[doc]].astype("float64"), ids[held[doc]]
-            for i in range(rows.start, rows.stop):
-                distance = ((here - vectors[i].astype("float64")) ** 2).sum(axis=1)
-                near = np.arange(len(numbers))
-                if len(near) > k:
-                    near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
-                near = near[np.lexsort((numbers[near], distance[near]))][:k]
-                found["doc_hash"].extend([doc] * len(near))
-                found["query_hash"].extend([names[i]] * len(near))
-                found["chunk_id"].extend(numbers[near].tolist())
-                found["distance"].extend(distance[near].tolist())
+            length = (here * here).sum(axis=1)
+            for start in range(rows.start, rows.stop, ROWS_AT_ONCE):
+                stop = min(start + ROWS_AT_ONCE, rows.stop)
+                asked_here = vectors[start:stop].astype("float64")
+                # one matrix product finds who can be near; only those are measured exactly
+                rough = length - 2 * asked_here @ here.T + (asked_here * asked_here).sum(axis=1)[:, None]
+                if len(numbers) > k:
+                    bound = np.partition(rough, k - 1, axis=1)[:, k - 1:k]
+                    row, near = np.nonzero(rough <= bound + 1e-9 * (1 + np.abs(bound)))
+                else:
+                    row, near = np.divmod(np.arange(rough.size), len(numbers))
+                distance = ((here[near] - asked_here[row]) ** 2).sum(axis=1)
+                order = np.lexsort((numbers[near], distance, row))
+                row, near, distance = row[order], near[order], distance[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                found["doc_hash"].extend([doc] * int(kept.sum()))
+                found["query_hash"].extend(names[start + r] for r in row[kept].tolist())
+                found["chunk_id"].extend(numbers[near[kept]].tolist())
+                found["distance"].extend(distance[kept].tolist())
         return pa.table(found, schema=out)
 
     return solve
@@ -248,7 +259,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, chunk_block:
     """The ``k`` chunks of its document nearest to each query (squared distance).
 
     ``queries``: ``doc_hash, query_hash, embedding``, distinct; ``chunks``: ``doc_hash,
-    chunk_id`` (from 0 within the document), ``embedding``. Ties go to the lower id.
+    chunk_id`` (any distinct numbers), ``embedding``. Ties go to the lower id.
 
     A document of one block shares its task with other small ones; a larger one gets a
     task per pair of a chunk block and a query block. Both counts below only size those
@@ -259,7 +270,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, chunk_block:
     queries = queries.select(*[F.col(c).alias(c) for c in ("doc_hash", "query_hash", "embedding")])
     chunks = chunks.select(*[F.col(c).alias(c) for c in ("doc_hash", "chunk_id", "embedding")])
     chunk_blocks = chunks.groupBy("doc_hash").agg(
-        (F.floor(F.max("chunk_id") / chunk_block) + 1).cast("int").alias("_chunk_blocks"))
+        F.ceil(F.count(F.lit(1)) / chunk_block).cast("int").alias("_chunk_blocks"))
     query_blocks = queries.groupBy("doc_hash").agg(
         F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("_query_blocks"))
     blocks = chunk_blocks.join(query_blocks, "doc_hash")
@@ -276,7 +287,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, chunk_block:
         numbers(F.col("_chunk_blocks")).alias("_cb")
     ).select(task.alias("_task"), "doc_hash", "query_hash", "embedding")
     held = chunks.withColumn("chunk_id", F.col("chunk_id").cast("long")).join(blocks, "doc_hash").select(
-        "*", F.floor(F.col("chunk_id") / chunk_block).cast("int").alias("_cb"),
+        "*", F.pmod(F.xxhash64("chunk_id"), F.col("_chunk_blocks")).cast("int").alias("_cb"),
         numbers(F.col("_query_blocks")).alias("_qb")
     ).select(task.alias("_task"), "doc_hash", "chunk_id", "embedding")
     partial = asked.groupBy("_task").cogroup(held.groupBy("_task")).applyInArrow(
