@@ -47,16 +47,18 @@ def report_runs(spark: SparkSession, runs: Sequence[RunKey]) -> DataFrame:
 
 
 def write_report(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet",
-                 project: str | None = None) -> None:
-    """One folder per table and a manifest that lists them; written last, it makes the
-    package complete."""
+                 project: str | None = None, groups: Mapping[str, DataFrame] | None = None) -> None:
+    """One folder per table, one per parameter group, and a manifest that lists them;
+    written last, it makes the package complete."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         writer = order_report_columns(df).write.format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True).option("escape", '"')
         writer.save(f"{path}/{name}")
-    manifest = json.dumps({"format": fmt, "tables": list(tables), "project": project})
+    for place, df in enumerate((groups or {}).values()):
+        df.write.parquet(f"{path}/groups/{place}")
+    manifest = json.dumps({"format": fmt, "tables": list(tables), "project": project, "groups": list(groups or {})})
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{path}/manifest")
 
 
@@ -69,6 +71,16 @@ def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: reader.load(f"{path}/{name}") for name in manifest["tables"]}
 
 
+def read_report_project(spark: SparkSession, path: str) -> Project:
+    """The project of a package with its groups; secret arguments of its runs are not there."""
+    manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    project = Project.from_dict(spark, json.loads(manifest["project"]) | {"parameters": {}})
+    for place, name in enumerate(manifest["groups"]):
+        # a group brings its ordinals as a column
+        project = project.with_group(name, spark.read.parquet(f"{path}/groups/{place}"))
+    return project
+
+
 def project_json(project: Project) -> str:
     """Prompts, runs and retrieval settings of a project (groups are tables)."""
     return json.dumps({

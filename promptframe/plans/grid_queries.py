@@ -8,7 +8,7 @@ from promptframe.functions import templates
 from promptframe.functions.images import image_text, images, without_images
 from promptframe.functions.text import double_text
 from promptframe.operators import grid as g, tables
-from promptframe.operators.report import report_prompts
+from promptframe.operators.report import project_json, read_report_project, report_prompts, write_report
 from promptframe.operators.runs import public_args
 from promptframe.plans.registry import RUN_A, RUN_B, group, query, table
 from promptframe.session import shared_dir
@@ -522,3 +522,14 @@ def project_with_group(spark: SparkSession, sf: str) -> DataFrame:
     parts = with_ordinals(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey").drop("p_partkey")
     grid = g.expand(_loaded(spark, sf).with_group("parts", parts))
     return grid.select("combo_id", "prompt", F.col("args")["p_name"].alias("part"))
+
+
+@query("""SELECT r_regionkey * (SELECT count(*) FROM part) + p_partkey AS combo_id, r_name || ' sells ' || p_name AS prompt
+          FROM region, part""")
+def report_project(spark: SparkSession, sf: str) -> DataFrame:
+    """A project opened from a report package, with its groups."""
+    project = Project(spark, {"p": "{{r_name}} sells {{p_name}}"}, {
+        "region": group(spark, sf, "region", "r_name"), "part": group(spark, sf, "part", "p_name")})
+    path = shared_dir(spark, "package")
+    write_report({"prompts": table(spark, sf, "region")}, path, project=project_json(project), groups=project.groups)
+    return g.expand(read_report_project(spark, path)).select("combo_id", "prompt")

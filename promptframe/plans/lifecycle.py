@@ -61,7 +61,7 @@ def run_project(project: Project, modules: Mapping[str, Module], store: ResultSt
     tables["prompts"] = report_prompts(prompt_table(project.spark, project.prompts, project.disabled))
     tables["runs"] = report_runs(project.spark, runs)
     if report is not None:
-        write_report(tables, report, project=project_json(project))
+        write_report(tables, report, project=project_json(project), groups=project.groups)
         store.export(grid, work(grid, runs), f"{report}/cache")
     if status is not None:
         tables["stats"] = stats(status, max_cost)
