@@ -13,32 +13,31 @@ from pyspark.sql import functions as F
 from promptframe.llm import language, quality
 from promptframe.llm.jaccard import drop_near_duplicates
 from promptframe.llm.packing import pack
-from promptframe.llm.registry import table, written
+from promptframe.llm.registry import prepared, table, written
 from promptframe.llm.secrets import mask
-from promptframe.session import configure
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the network knows; it learns from the documents themselves."""
-    configure(spark)
+    prepared(spark)
     return language.keep_known(docs, language.learn(docs))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    configure(spark)
+    prepared(spark)
     return quality.keep_good(docs)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates."""
-    configure(spark)
+    prepared(spark)
     return drop_near_duplicates(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with live-looking secrets masked and ``n_chars`` counted anew."""
-    configure(spark)
+    prepared(spark)
     masked = mask(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
@@ -47,7 +46,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The pieces of all documents in windows of 2,048 tokens."""
     import public_tokenizers
 
-    configure(spark)
+    prepared(spark)
     pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -60,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read back before the next."""
-    docs = table(configure(spark), sf_dir, "documents")
+    docs = table(prepared(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs

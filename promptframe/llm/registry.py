@@ -19,11 +19,17 @@ BLANKS = " \t\n\x0b\x0c\r"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings, and Arrow batches that stay small with long texts."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def query(sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     """Register a function under its name, with its SQL when there is one."""
     def add(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir.rstrip("/"))
+            return fn(prepared(spark), sf_dir.rstrip("/"))
 
         QUERIES[fn.__name__] = run
         if sql is not None:

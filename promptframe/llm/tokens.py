@@ -18,7 +18,7 @@ import numpy as np
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Characters handled at once; one longer text is a chunk of its own.
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
