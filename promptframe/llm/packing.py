@@ -6,7 +6,8 @@ that leaves the smallest sum of squared counts of partially filled windows. The
 array by level. At the end of a partition the windows still open are closed by cutting: pieces of
 the emptiest fill the gaps of the fullest, so that at most one padded window per partition is left.
 
-A null or empty text is the single end id. Repeated rows are packed each by itself. A document of
+Added tokens of a JSON vocabulary that a text spells out become their own ids, as in the tokenizers
+library. A null or empty text is the single end id. Repeated rows are packed each by itself. A document of
 any length is cut into whole windows and a rest. Extra columns of the input are never read.
 """
 
@@ -118,7 +119,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = TextEncoder(path)
+        encoder = TextEncoder(path, added=True)
         packer = SumOfSquares(size, TaskContext.get().partitionId() << 32, max_open)
         end = np.array([end_id], np.uint32)
         id_type, out, held = None, [], 0

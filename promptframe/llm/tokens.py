@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -154,13 +155,19 @@ class Vocabulary:
 
         with open(path, "rb") as f:
             data = f.read()
+        self.added: dict[str, int] = {}
         if path.endswith(".json"):
             # the JSON form writes bytes as printable characters
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             shown = {chr(b): b for b in plain}
             shown |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-            vocab = json.loads(data)["model"]["vocab"]
-            ranks = {bytes(shown[c] for c in token): rank for token, rank in vocab.items()}
+            form = json.loads(data)
+            ranks = {bytes(shown[c] for c in token): rank for token, rank in form["model"]["vocab"].items()}
+            for token in form.get("added_tokens", ()):
+                flags = [k for k in ("single_word", "lstrip", "rstrip", "normalized") if token.get(k)]
+                if flags:
+                    raise ValueError(f"added token {token['content']!r}: {', '.join(flags)} not supported")
+                self.added[token["content"]] = token["id"]
         else:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         # merges the bytes of one pre-token by the ranks; the pattern is unused
@@ -186,13 +193,21 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class TextEncoder:
-    """Ids of whole texts, with the pre-tokens met so far kept by digest."""
+    """Ids of whole texts, with the pre-tokens met so far kept by digest.
+
+    With ``added``, the added tokens of the vocabulary's file cut a text before it is split, and each
+    gives its own id, as the tokenizers library does; without, they are ordinary text.
+    """
 
     #: Pre-tokens kept; beyond it the memory starts anew, which changes no result.
     KEEP = 400_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         self.piece = vocabulary(path).piece
+        self.added = {t: np.array([k], np.uint32) for t, k in vocabulary(path).added.items()} if added else {}
+        # of tokens that begin at one place the longest is taken
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if self.added else lambda t: [t]
         self.clear()
 
     def clear(self) -> None:
@@ -225,6 +240,17 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text in order."""
+        # ordinary parts at even places, added tokens between them
+        parts = [self.cut(t) for t in texts]
+        ordinary = self.ordinary([p for ps in parts for p in ps[::2]])
+        for ps in parts:
+            ids = next(ordinary)
+            if len(ps) > 1:
+                ids = np.concatenate([ids, *(x for t in ps[1::2] for x in (self.added[t], next(ordinary)))])
+            yield ids
+
+    def ordinary(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text in order, added tokens taken as ordinary text."""
         for a, b in chunks(texts):
             joined, begin, end, digest, before = pretokens(texts[a:b])
             names, where, which = np.unique(digest, return_index=True, return_inverse=True)

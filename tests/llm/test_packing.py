@@ -45,3 +45,18 @@ def test_repeated_rows_and_empty_tables(spark):
     assert pack(docs, PATH).filter("doc_id = 3").selectExpr("sum(length)").first()[0] == 2 * pack(
         docs, PATH).filter("doc_id = 3").first().doc_tokens
     assert pack(docs.limit(0), PATH).count() == 0
+
+
+def test_added_tokens_in_texts_are_those_of_the_library(spark):
+    tokenizer, eot = Tokenizer.from_file(PATH), "<|endoftext|>"
+    texts = [f"a {eot} b", eot, eot * 3, f"{eot}x", f"x  \n{eot}  \n y {eot}", f"it{eot}'s", "<|endof", "text|> é",
+             f"<|endof{eot}text|>", f"1{eot}2 " * 700, "plain", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in pack(docs, PATH, size=64).collect():
+        got.setdefault(r.doc_id, []).append((r.start, list(r.ids), r.doc_tokens, r.ids_crc32))
+    for k, text in enumerate(texts):
+        want = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert [i for p in sorted(got[k]) for i in p[1]] == want and {p[2] for p in got[k]} == {len(want)}
+        assert all(p[3] == zlib.crc32(np.array(p[1], "<u4").tobytes()) for p in got[k])
+    assert got[0][0][1][:4] == [64, 220, 50256, 275]
