@@ -4,8 +4,9 @@ The network reads windows of bytes in both directions, gives every position a di
 the languages, and a document's prediction is the mean over all its positions. It is trained here,
 in numpy, by backpropagation through time, on a sample of labelled documents: about
 ``per_language`` documents of each language (chosen by a digest of the id) and ``windows`` windows
-of each, so at most ``MAX_LANGUAGES * per_language * windows`` windows of ``window`` bytes come to
-the driver. Prediction reads whole texts.
+of each, so the driver holds a bounded number of windows of ``window`` bytes for each language.
+Every labelled language is learned; more labels than ``MAX_LANGUAGES`` are an error, as they are no
+languages. Prediction reads whole texts.
 
 A text that is null or has no letter is ``und`` with score 0. Ties go to the first language in
 name order. Repeated rows get the same result; other columns are never inputs. If no labelled
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from promptframe.llm.registry import query, table
 
 UNKNOWN = "und"
-#: Languages that are learned at most: the most frequent ones.
-MAX_LANGUAGES = 64
+#: More labels than this are taken for something else than languages, which is an error.
+MAX_LANGUAGES = 1000
 
 
 @dataclass(frozen=True)
@@ -140,7 +141,6 @@ class Network:
     def train(self, windows: list[bytes], labels: list[int], settings: Settings) -> None:
         """Adam over shuffled batches, with a falling rate."""
         rng = np.random.default_rng(settings.seed)
-        steps, here = padded(windows, settings.window)
         label = np.array(labels)
         moments: dict = {}
         starts = [s for _ in range(settings.epochs) for s in range(0, len(label), settings.batch)]
@@ -148,7 +148,7 @@ class Network:
             if s == 0:
                 order = rng.permutation(len(label))
             pick = order[s:s + settings.batch]
-            _, grads = self.gradients(steps[:, pick], here[:, pick], label[pick])
+            _, grads = self.gradients(*padded([windows[i] for i in pick], settings.window), label[pick])
             size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             rate = settings.rate * (1 - 0.9 * k / len(starts))
             for key, g in grads.items():
@@ -161,6 +161,7 @@ class Network:
     def pooled(self, texts: list[bytes], group: int = 1536) -> np.ndarray:
         """Mean probabilities (text, language) over all bytes of each text; zeros for an empty one."""
         w = self.window
+        group = max(1, group * 64 // max(64, len(self.languages)))  # the same memory with many languages
         windows = [(k, t[s:s + w]) for k, t in enumerate(texts) for s in range(0, len(t), w)]
         total = np.zeros((len(texts), len(self.languages)))
         for s in range(0, len(windows), group):
@@ -240,7 +241,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"),
         F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held")
     ).filter("lang IS NOT NULL AND id IS NOT NULL AND NOT held")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels in {lang_col}: these are no languages")
     languages = sorted(r["lang"] for r in counts)
     windows, labels = [], []
     if languages:

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from edges import documents
 
-from promptframe.llm.language import Network, Settings, held_out, identify, keep_known, learn, padded
+from promptframe.llm.language import MAX_LANGUAGES, Network, Settings, held_out, identify, keep_known, learn, padded
 
 SMALL = Settings(per_language=60, windows=2, window=48, epochs=4, batch=32)
 
@@ -73,3 +74,21 @@ def test_edges(spark):
     nothing = learn(docs.limit(0), settings=SMALL)
     assert {r.lang_pred for r in identify(docs, nothing).collect()} == {"und"}
     assert identify(docs.limit(0), net).count() == 0
+
+
+def test_every_labelled_language_is_learned(spark):
+    # the last language is the least frequent; its letters are its own
+    rows = [(100 * k + j, " ".join(3 * chr(0x4E00 + 40 * k + i) for i in range(j % 3, 12)), f"l{k:02}")
+            for k in range(70) for j in range(12 if k < 69 else 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = learn(docs, settings=Settings(per_language=12, windows=2, window=48, epochs=1))
+    assert net.languages == [f"l{k:02}" for k in range(70)]
+    # groups of windows that are smaller for many languages change no result
+    texts = [t.encode() for _, t, _ in rows[::9]]
+    assert np.allclose(net.pooled(texts), net.pooled(texts, 3), atol=1e-5)
+
+
+def test_labels_that_are_no_languages_are_an_error(spark):
+    docs = spark.range(2 * MAX_LANGUAGES).selectExpr("id AS doc_id", "'a text' AS text", "string(id) AS lang")
+    with pytest.raises(ValueError, match="no languages"):
+        learn(docs, settings=SMALL)
