@@ -2,9 +2,10 @@
 
 The network reads windows of bytes in both directions, gives every position a distribution over
 the languages, and a document's prediction is the mean over all its positions. It is trained here,
-in numpy, by backpropagation through time, on a sample of labelled documents: about
-``per_language`` documents of each language (chosen by a digest of the id) and ``windows`` windows
-of each, so the driver holds a bounded number of windows of ``window`` bytes for each language.
+in numpy, by backpropagation through time, on a sample of labelled documents: ``per_language``
+distinct ids of each language (those of the lowest digests) and ``windows`` windows of each are kept
+before anything is collected, so at most ``per_language * windows`` windows of ``window`` bytes a
+language come to the driver, however often an id is repeated.
 Every labelled language is learned; more labels than ``MAX_LANGUAGES`` are an error, as they are no
 languages. Prediction reads whole texts.
 
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptframe.llm.registry import query, table
@@ -240,28 +241,29 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labelled = docs.select(
         F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"),
         F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held")
-    ).filter("lang IS NOT NULL AND id IS NOT NULL AND NOT held")
-    counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    ).filter("lang IS NOT NULL AND id IS NOT NULL AND NOT held").filter(_letters(F.col("text")))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels in {lang_col}: these are no languages")
     languages = sorted(r["lang"] for r in counts)
     windows, labels = [], []
     if languages:
-        share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], settings.per_language / r["count"])])
+        # a draw of four times the ids that are kept, so that only these are shuffled; the lowest digests are in it
+        share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 4 * settings.per_language / r["ids"])])
         draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
-        chosen = labelled.filter((draw < F.try_element_at(share, F.col("lang"))) & _letters(F.col("text")))
+        chosen = labelled.withColumn("draw", draw).filter(F.col("draw") < F.try_element_at(share, F.col("lang")))
         place = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.greatest(
             F.length("text") - settings.window, F.lit(0)) + 1)
         cut = F.array(*[F.substring(F.col("text"), (place(k) + 1).cast("int"), F.lit(settings.window))
                         for k in range(settings.windows)])
-        rows = sorted((r["lang"], r["id"], r["cut"]) for r in chosen.select("lang", "id", cut.alias("cut")).collect())
-        used: dict[str, int] = {}
-        for lang, _, cuts in rows:
-            used[lang] = used.get(lang, 0) + 1
-            if used[lang] <= 2 * settings.per_language:
-                parts = {c.encode("utf-8", "replace")[:settings.window] for c in cuts}
-                windows += sorted(parts)
-                labels += [languages.index(lang)] * len(parts)
+        distinct = chosen.select("lang", "id", "draw", cut.alias("cut")).groupBy("lang", "id", "draw").agg(
+            F.min("cut").alias("cut"))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
+        kept = distinct.withColumn("rank", rank).filter(F.col("rank") <= settings.per_language)
+        for lang, _, cuts in sorted((r["lang"], r["id"], r["cut"]) for r in kept.select("lang", "id", "cut").collect()):
+            parts = {c.encode("utf-8", "replace")[:settings.window] for c in cuts}
+            windows += sorted(parts)
+            labels += [languages.index(lang)] * len(parts)
     network = Network(sorted(set(languages)) if windows else [], settings)
     if windows:
         network.train(windows, labels, settings)

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -92,3 +93,17 @@ def test_labels_that_are_no_languages_are_an_error(spark):
     docs = spark.range(2 * MAX_LANGUAGES).selectExpr("id AS doc_id", "'a text' AS text", "string(id) AS lang")
     with pytest.raises(ValueError, match="no languages"):
         learn(docs, settings=SMALL)
+
+
+def test_a_repeated_id_is_one_document_of_the_sample(spark, monkeypatch):
+    docs = invented(spark, 120)
+    rare = [(1000 + k, f"{k} äöü çñé", "zz") for k in range(8)]
+    # the rows of one id count as one document, however many they are
+    hot = spark.range(5000).selectExpr("cast(1003 AS long) AS doc_id", "'hot çñé äöü' AS text", "'zz' AS lang")
+    every = docs.unionByName(spark.createDataFrame(rare, docs.schema)).unionByName(hot)
+    seen = {}
+    monkeypatch.setattr(Network, "train", lambda self, windows, labels, settings: seen.update(
+        n=np.bincount(labels, minlength=len(self.languages)).tolist(), languages=self.languages))
+    learn(every, settings=Settings(per_language=6, windows=1, window=48))
+    assert seen["languages"] == ["de", "en", "es", "zz"]
+    assert seen["n"] == [6, 6, 6, min(6, sum(1 for k, _, _ in rare if zlib.crc32(str(k).encode()) % 4 != 2))]
