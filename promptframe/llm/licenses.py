@@ -2,8 +2,9 @@
 
 Every template is cut into words; of the digests of its word triples the smallest of each window
 is kept (winnowing), and the kept ones form an inverted index from digest to places in templates.
-The index has the size of the templates, so every task holds it. A document's triples are looked
-up in it: hits of one template on neighbouring diagonals are a candidate, and a banded alignment of
+Of a short template all triples and pairs are kept, so that some are left where words were edited.
+The index has the size of the templates, so every task holds it. A document's triples and pairs are
+looked up in it: hits of one template on neighbouring diagonals are a candidate, and a banded alignment of
 the template with that part of the text gives the matched words, their share of the template, and
 the span they cover.
 
@@ -64,11 +65,12 @@ distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 
 @dataclass(frozen=True)
 class Settings:
-    """Words of a fingerprint, windows of winnowing, the band (at most half of a template), and the
-    least share of a template."""
+    """Words of a fingerprint, windows of winnowing, words of the templates that are not winnowed (fewer
+    than ``short``), the band (at most half of a template), and the least share of a template."""
 
     words: int = 3
     window: int = 3
+    short: int = 15
     band: int = 12
     coverage: float = 0.7
 
@@ -105,26 +107,32 @@ class Index:
     def __init__(self, templates: dict[str, str], settings: Settings):
         self.names, self.settings = sorted(templates), settings
         self.words = [word_spans([templates[n]])[2] for n in self.names]
-        rows = []
+        rows, sizes = [], set()
         for t, words in enumerate(self.words):
+            if len(words) < settings.short:
+                for k in {min(n, len(words)) for n in (2, settings.words)} - {0}:
+                    sizes.add(k)
+                    rows += [(d, t, p) for p, d in enumerate(grams(words, k).tolist())]
+                continue
+            sizes.add(min(settings.words, len(words)))
             found = grams(words, min(settings.words, len(words)))
             last = max(1, len(found) - settings.window + 1)
             kept = {s + int(np.argmin(found[s:s + settings.window])) for s in range(last)} if len(found) else set()
             rows += [(int(found[p]), t, p) for p in sorted(kept)]
         rows.sort()
+        self.sizes = sorted(sizes)
         self.digest = np.array([r[0] for r in rows], np.uint64)
         self.template = np.array([r[1] for r in rows], np.int64)
         self.place = np.array([r[2] for r in rows], np.int64)
 
     def hits(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, place in it, place in the text) of every fingerprint in the text."""
-        found = grams(words, self.settings.words)
-        if not len(self.digest):
-            return
-        low, high = np.searchsorted(self.digest, found), np.searchsorted(self.digest, found, "right")
-        for p in np.flatnonzero(high > low).tolist():
-            for r in range(low[p], high[p]):
-                yield int(self.template[r]), int(self.place[r]), p
+        for k in self.sizes:
+            found = grams(words, k)
+            low, high = np.searchsorted(self.digest, found), np.searchsorted(self.digest, found, "right")
+            for p in np.flatnonzero(high > low).tolist():
+                for r in range(low[p], high[p]):
+                    yield int(self.template[r]), int(self.place[r]), p
 
 
 def align(template: np.ndarray, text: np.ndarray, centre: int, band: int) -> tuple[int, int, int]:
@@ -199,9 +207,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
             for a, b in chunks(texts):
                 begin, end, digest, before, bounds = word_spans(texts[a:b])
                 # texts with no fingerprint of the whole chunk need no look of their own
-                found = grams(digest, settings.words)
-                near = np.isin(found, index.digest)
-                some = np.unique(np.searchsorted(before, np.flatnonzero(near), "right") - 1)
+                near = [np.flatnonzero(np.isin(grams(digest, k), index.digest)) for k in index.sizes]
+                near = np.concatenate([np.zeros(0, np.int64), *near])
+                some = np.unique(np.searchsorted(before, near, "right") - 1)
                 for k in some.tolist():
                     s, e = before[k], before[k + 1]
                     for t, n, share, first, last in matches(index, digest[s:e]):

@@ -2,7 +2,7 @@ import random
 
 from edges import documents
 
-from promptframe.llm.licenses import TEMPLATES, Index, Settings, align, scan, word_spans
+from promptframe.llm.licenses import TEMPLATES, Index, Settings, align, matches, scan, word_spans
 
 
 def longest(a, b):
@@ -54,3 +54,26 @@ def test_edges(spark):
     docs = documents(spark)
     assert scan(docs).count() == 0 and scan(docs.limit(0)).count() == 0
     assert scan(docs, {"fox": "the quick brown fox"}).count() == 6000
+
+
+def test_edits_of_every_template_are_found_as_by_alignment_without_the_index():
+    index, around = Index(TEMPLATES, Settings()), [f"w{k}" for k in range(20)]
+    expected = 0
+    for t, name in enumerate(index.names):
+        begin, end, digest = word_spans([TEMPLATES[name]])[:3]
+        own = [TEMPLATES[name][b:e] for b, e in zip(begin, end, strict=True)]
+        for k in range(len(own)):
+            for edited in (own[:k] + ["zzz"] + own[k + 1:], own[:k] + own[k + 1:], own[:k] + ["zzz"] + own[k:]):
+                words = word_spans([" ".join(around + edited + around)])[2]
+                band = min(index.settings.band, len(own) // 2)
+                whole = align(digest, words, len(around), band)[0]
+                if whole / len(own) >= index.settings.coverage:
+                    expected += 1
+                    assert [(m[0], m[1]) for m in matches(index, words)] == [(t, whole)], (name, edited)
+    assert expected > 3 * len(index.names)
+
+
+def test_templates_of_fewer_words_than_a_fingerprint():
+    for template in ("public", "public domain", "the public domain"):
+        index = Index({"short": template}, Settings())
+        assert [m[:2] for m in matches(index, word_spans([f"it is {template} now"])[2])] == [(0, len(template.split()))]
