@@ -11,7 +11,8 @@ good block keeps its undecided ones, since a short article has nothing to inheri
 
 A null page counts as empty. A page without blocks has the empty text. Broken markup (missing end
 tags, a lone ``<``) is read as browsers would in simple cases; comments, scripts and styles never
-reach a block. Repeated rows each get their own result; extra columns are never read.
+reach a block. Inside an article a block of links or of signs alone is undecided, never bad by itself.
+Repeated rows each get their own result; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -163,10 +164,11 @@ def blocks(page: str) -> list[Block]:
 def first_pass(block: Block, settings: Settings) -> str:
     """good, bad, near or short by the block alone."""
     words = [w.lower() for w in _WORD.findall(block.text)]
-    if block.outside or not words:
-        return "bad"
-    if block.linked / len(block.text) > settings.many_links:
+    if block.outside:
         return "bad"
+    if not words or block.linked / len(block.text) > settings.many_links:
+        # inside an article it may be a reference line or a break: its neighbours decide
+        return "bad" if not block.article else "short" if len(block.text) < settings.short else "near"
     dense = sum(w in settings.stop_words for w in words) / len(words)
     if len(block.text) < settings.short:
         return "short"

@@ -40,3 +40,20 @@ def test_rows(spark):
     got = sorted((r.page_id, len(r.text)) for r in extract(df).collect())
     assert got == [(1, 0), (2, len(BODY) - 1), (2, len(BODY) - 1), (3, len(BODY) * 300 - 1), (4, 0)]
     assert extract(df.limit(0)).count() == 0
+
+
+LINKED = "It was <a href=a>the house</a> of <a href=b>a man who had been to the sea</a>, and it is in <a href=c>a town</a>. " * 3
+
+
+@pytest.mark.parametrize("block, text", [
+    (LINKED, "It was the house of a man who had been to the sea, and it is in a town. " * 3),
+    ("See also: <a href=a>Harbour</a>, <a href=b>Ships</a>", "See also: Harbour, Ships"),
+    ("<a href=a>Only a link</a>", "Only a link"), ("* * *", "* * *"), ("&mdash; " * 40, "— " * 40)])
+def test_links_and_signs_inside_an_article_inherit(block, text):
+    text = text.strip()
+    for before, after in ((BODY, BODY), (BODY, ""), ("", BODY), ("Tiny.", "ok"), ("", "")):
+        page = f"<nav>{LINKED}</nav><article><p>{before}</p><p>{block}</p><p>{after}</p></article><div>{block}</div>"
+        assert main_text(page) == " ".join(x.strip() for x in (before, text, after) if x)
+    # outside an article, and in parts of it that never hold text, they stay out
+    assert main_text(f"<p>{BODY}</p><div>{block}</div><p>{BODY}</p>") == f"{BODY}{BODY.strip()}"
+    assert main_text(f"<article><p>{BODY}</p><aside>{block}</aside><p>{BODY}</p></article>") == f"{BODY}{BODY.strip()}"
