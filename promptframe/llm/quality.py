@@ -26,6 +26,8 @@ aber als auch auf aus bei das dem den der die durch ein eine einen er es für ha
 nach nicht sich sie sind und von war wie wird zu zum zur über
 al como con del el ella ellos era fue ha las lo los más muy no para pero por sin sobre su sus y
 """.split()
+#: The languages that the function words are of, in the order of the lines above.
+STOP_LANGUAGES = ("en", "fr", "de", "es")
 SYMBOLS = "#*$%&|<>"
 
 
@@ -121,12 +123,24 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=
         "failed", failed_rules([*base, *rules]))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", base=BASE, rules=RULES) -> DataFrame:
-    """The rows whose text passes all rules, with the columns they came with."""
+def keep_good(docs: DataFrame, text_col: str = "text", base=BASE, rules=RULES, lang_col: str | None = None) -> DataFrame:
+    """The rows whose text passes all rules, with the columns they came with.
+
+    With ``lang_col``, rules on stop words hold only for rows of a language that has a list (``en-GB``
+    counts as ``en``) and for rows without a language.
+    """
     whole = docs.select(F.struct("*").alias("_row"))
     judged = judge(whole.select("_row", F.col(f"_row.`{text_col}`").alias("_text")), text_col="_text",
                    base=base, rules=rules, keep=[F.col("_row")])
-    return judged.filter("kept").select("_row.*")
+    kept = F.col("kept")
+    if lang_col is not None:
+        language = F.lower(F.regexp_extract(F.col(f"_row.`{lang_col}`").cast("string"), "^[^-_]*", 0))
+        listed = F.coalesce(language.isin(*STOP_LANGUAGES), F.lit(True))
+        on_stop_words = F.lit("stop_word_ratio")
+        kept = F.size(F.when(listed, F.col("failed")).otherwise(F.array_remove("failed", on_stop_words))) == 0
+        # see judge: keeps this filter above the projections
+        kept = kept & (F.monotonically_increasing_id() >= 0)
+    return judged.withColumn("kept", kept).filter("kept").select("_row.*")
 
 
 _SHARE = "coalesce({} / nullif({}, 0), 0)"

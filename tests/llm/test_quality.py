@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 import pytest
-from edges import CLASHES, documents
+from edges import CLASHES, PROSE, documents
 
 from promptframe.llm.quality import BASE, RULES, Rule, judge, keep_good
 
@@ -50,3 +50,15 @@ def test_rules_are_a_parameter(spark, rules, kept):
 
 def test_default_table():
     assert [r.measure for r in (*BASE, *RULES)][:2] == ["n_words", "repeat_word_ratio"]
+
+
+def test_stop_words_count_only_in_languages_with_a_list(spark):
+    import corpus_pipeline
+
+    clean = " ".join(f"slovo{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(60))
+    rows = [(1, clean, "cs"), (2, clean, "en"), (3, clean, "en-GB"), (4, clean, None), (5, "# " * 60 + clean, "cs"),
+            (6, clean[:90], "cs"), (7, None, "cs"), (8, PROSE, "en"), (9, clean, "Es_mx"), (1, clean, "cs")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.quality_stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 8]
+    assert {r.doc_id for r in keep_good(docs).collect()} == {8}
