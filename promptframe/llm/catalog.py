@@ -11,6 +11,7 @@ from promptframe.llm import (  # noqa: F401
     quality,
     secrets,
     toolcalls,
+    variants,
 )
 from promptframe.llm.registry import ORACLES, QUERIES
 
