@@ -10,6 +10,7 @@ from promptframe.llm import (  # noqa: F401
     pages,
     quality,
     secrets,
+    sharding,
     toolcalls,
     variants,
 )
