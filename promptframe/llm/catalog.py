@@ -13,6 +13,7 @@ from promptframe.llm import (  # noqa: F401
     sharding,
     toolcalls,
     variants,
+    whitening,
 )
 from promptframe.llm.registry import ORACLES, QUERIES
 
