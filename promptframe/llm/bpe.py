@@ -2,7 +2,8 @@
 
 Tasks split their documents into pre-tokens and gather them in blocks. A block's document is the
 sequence of its pre-tokens' numbers in the block; a block's distinct words are dealt to buckets by
-digest, so that all occurrences of a word over the corpus meet in one task, which encodes it once.
+digest, so that the occurrences of a word over the corpus meet in one task, which encodes it once.
+Words are compared as a whole wherever their digests meet, so two different ones never share ids.
 The ids go back to their blocks, where each document is put together by position. Rows of a scan keep
 their partition and order, so both readings of the texts give the same blocks; where they do not,
 the query fails instead of giving wrong ids. Only numbers and distinct words move, packed and compressed, never exploded rows of single occurrences. Decoding is
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptframe.llm.registry import query, table, text_or_empty
-from promptframe.llm.tokens import chunks, pretokens, ragged, vocabulary
+from promptframe.llm.tokens import Names, chunks, mixed, pretokens, ragged, vocabulary
 
 #: Characters of a block; one longer text is a block of its own.
 BLOCK_CHARS = 8_000_000
@@ -74,20 +75,20 @@ def _blocks(rows: DataFrame, buckets: int, block_chars: int, want_words: bool) -
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()),
                            T.StructField("id", id_field.dataType), T.StructField("packed", T.BinaryType())])
 
-    def block_rows(number: int, names: list, digests: list, ends: list, words: dict, id_type) -> pa.RecordBatch:
+    def block_rows(number: int, names: list, digests: list, ends: list, words: Names, id_type) -> pa.RecordBatch:
         digest = np.concatenate(digests) if digests else np.zeros(0, np.uint64)
         unique, which, count = np.unique(digest, return_inverse=True, return_counts=True)
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         unique = unique[order]
-        bucket = (unique % np.uint64(buckets)).astype(np.int64)
+        bucket = (mixed(unique) % np.uint64(buckets)).astype(np.int64)
         out, start = [], 0
         if want_words:
             by_bucket = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
             for ranks in np.split(by_bucket, cuts) if len(by_bucket) else []:
-                out.append((int(bucket[ranks[0]]), None, _pack_words([words[d] for d in unique[ranks].tolist()])))
+                out.append((int(bucket[ranks[0]]), None, _pack_words([words.words[d].encode("utf-8", "replace") for d in unique[ranks].tolist()])))
         else:
             out.append((_LAYOUT, None, _packed(bucket)))
             for name, end in zip(names, ends, strict=True):
@@ -105,20 +106,19 @@ def _blocks(rows: DataFrame, buckets: int, block_chars: int, want_words: bool) -
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        names, digests, ends, words, chars, total, id_type = [], [], [], {}, 0, 0, None
+        names, digests, ends, words, chars, total, id_type = [], [], [], Names(), 0, 0, None
         for batch in batches:
             id_type = batch.column(0).type
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 if names and chars + sum(map(len, texts[a:b])) > block_chars:
                     yield block_rows(number, names, digests, ends, words, id_type)
-                    names, digests, ends, words, chars, total = [], [], [], {}, 0, 0
+                    names, digests, ends, words, chars, total = [], [], [], Names(), 0, 0
                     number += 1
-                joined, begin, end, digest, before = pretokens(texts[a:b])
+                joined, begin, end, digest, before = pretokens(texts[a:b], words)
                 unique, where = np.unique(digest, return_index=True) if want_words else (digest[:0], [])
                 for d, s, e in zip(unique.tolist(), begin[where].tolist(), end[where].tolist(), strict=True):
-                    if d not in words:
-                        words[d] = joined[s:e].encode("utf-8", "replace")
+                    words.words.setdefault(d, joined[s:e])
                 names += ids[a:b]
                 digests.append(digest)
                 ends += (total + before[1:]).tolist()

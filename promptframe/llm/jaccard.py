@@ -418,8 +418,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         text.rlike(NOT_BLANK).alias("_words"))
     same = whole["_i"].eqNullSafe(kept["_id"]) & (whole["_d"] == kept["_digest"])
     found = whole.filter("_words").join(kept, same, "left_semi")
-    # repeated rows have the same id and text: one of them stays
-    first = found.withColumn("_k", F.row_number().over(Window.partitionBy("_i", "_d").orderBy(F.lit(0)))).filter("_k = 1")
+    # repeated rows have the same id and text: one of them stays, the same in every run
+    order = F.xxhash64(F.to_json("_row"))
+    first = found.withColumn("_k", F.row_number().over(Window.partitionBy("_i", "_d").orderBy(order))).filter("_k = 1")
     return first.select("_row.*").unionByName(whole.filter("NOT _words").select("_row.*"))
 
 

@@ -3,12 +3,14 @@
 A byte-level BPE vocabulary first splits a text by a pattern (contractions, runs of letters, of
 numbers, of other signs, each with one leading space, and white space). The split depends only on
 the class of neighbouring characters, so it is computed for a whole chunk of texts with array
-operations. A pre-token is named by a 64-bit polynomial digest of its characters.
+operations. A pre-token is named by a 64-bit digest of its characters, and by another where two
+different ones would meet.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
 from array import array
@@ -20,7 +22,10 @@ import numpy as np
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Characters handled at once; one longer text is a chunk of its own.
 CHUNK_CHARS = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Spans of more characters have a cryptographic digest.
+LONG_SPAN = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_HIGH = np.uint64(1 << 63)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -84,33 +89,83 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_CHARS + 1)
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            tables.append(np.multiply.accumulate(steps))
-        _powers = tuple(tables)
-    return _powers
+def span_digests(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit digests of the spans ``points[begin:end]``, equal wherever the spans lie.
 
+    Up to eight ASCII characters are their own digest, below 2**57. Others have the highest bit; their
+    characters are mixed in one after the other, which leaves no pattern by which spans of one length
+    meet, and long spans have a cryptographic digest.
+    """
+    size = end - begin
+    beyond = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(points > 127, out=beyond[1:])
+    short = (size <= 8) & (beyond[end] == beyond[begin])
+    out = np.empty(len(size), np.uint64)
+    for own in (np.flatnonzero(short), np.flatnonzero(~short)):
+        order = own[np.argsort(-size[own], kind="stable")]
+        start, fall = begin[order], -size[order]
+        packs = len(own) > 0 and short[own[0]]
+        x = np.ones(len(order), np.uint64) if packs else -fall.astype(np.uint64) * _STEP
+        for k in range(min(int(-fall.min(initial=0)), LONG_SPAN)):
+            # spans that have a k-th character, which are the first ones
+            n = int(np.searchsorted(fall, -k))
+            character = points[start[:n] + k]
+            if packs:
+                x[:n] = (x[:n] << np.uint64(7)) | character
+            else:
+                part = (x[:n] ^ character) * _MIX
+                x[:n] = part ^ (part >> np.uint64(32))
+        out[order] = x if packs else mixed(x) | _HIGH
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[k] = strong_digest(points[begin[k]:end[k]].tobytes()) | _HIGH
+    return out
+
+
+def strong_digest(data: bytes, salt: int = 0) -> np.uint64:
+    """A cryptographic digest of 64 bits."""
+    found = hashlib.blake2b(data, digest_size=8, salt=salt.to_bytes(8, "little")).digest()
+    return np.frombuffer(found, np.uint64)[0]
+
+
+class Names:
+    """Digests as names of words, with the words themselves, so that no two share a name.
+
+    Names are given in the order in which words come: of two words of equal digest the later one gets
+    another, and the same words in the same order have the same names.
+    """
 
-def span_digests(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit digests of the spans ``points[begin:end]``, equal wherever the spans lie."""
-    power, inverse = _power_tables(len(points) + 1)
-    x = (points.astype(np.uint64) + np.uint64(1)) * _MIX
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(_BASE)
-    x ^= x >> np.uint64(32)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(x * power[:len(points)], out=sums[1:])
-    return mixed((sums[end] - sums[begin]) * inverse[begin])
+    def __init__(self):
+        self.words: dict[int, str] = {}
+
+    def exact(self, joined: str, points: np.ndarray, begin: np.ndarray, end: np.ndarray,
+              digest: np.ndarray) -> np.ndarray:
+        """The names of spans; most often their digests."""
+        open_spans = np.flatnonzero(digest >= _HIGH)
+        digest_of, begin, end = digest[open_spans], begin[open_spans], end[open_spans]
+        unique, where, which = np.unique(digest_of, return_index=True, return_inverse=True)
+        words, doubt = self.words, []
+        for k, (d, s, e) in enumerate(zip(unique.tolist(), begin[where].tolist(), end[where].tolist(), strict=True)):
+            word = joined[s:e]
+            if words.setdefault(d, word) != word:
+                doubt.append(k)
+        # every span against the first one of its digest
+        size, first = end - begin, where[which]
+        odd = size != size[first]
+        same = np.flatnonzero(~odd)
+        ends = np.cumsum(size[same])
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size[same], size[same])
+        unlike = points[np.repeat(begin[same], size[same]) + at] != points[np.repeat(begin[first[same]], size[same]) + at]
+        odd[same[np.unique(np.searchsorted(ends, np.flatnonzero(unlike), side="right"))]] = True
+        if not doubt and not odd.any():
+            return digest
+        out = digest.copy()
+        for k in np.flatnonzero(odd | np.isin(which, doubt)).tolist():
+            word, name, salt = joined[begin[k]:end[k]], int(digest_of[k]), 0
+            while words.setdefault(name, word) != word:
+                salt += 1
+                name = int(strong_digest(word.encode("utf-8", "surrogatepass"), salt) | _HIGH)
+            out[open_spans[k]] = name
+        return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -129,14 +184,15 @@ def code_points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     return joined, points, bounds
 
 
-def pretokens(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Joined texts; begin, end and digest of every pre-token; pre-tokens before each text."""
+def pretokens(texts: list[str], names: Names) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Joined texts; begin, end and name of every pre-token; pre-tokens before each text."""
     joined, points, bounds = code_points(texts)
     first = np.zeros(len(points), bool)
     first[bounds[:-1][np.diff(bounds) > 0]] = True
     begin = np.flatnonzero(token_starts(points, first)) if len(points) else np.zeros(0, np.int64)
     end = np.append(begin[1:], len(points)) if len(begin) else begin
-    return joined, begin, end, span_digests(points, begin, end), np.searchsorted(begin, bounds)
+    digest = names.exact(joined, points, begin, end, span_digests(points, begin, end))
+    return joined, begin, end, digest, np.searchsorted(begin, bounds)
 
 
 def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -193,7 +249,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class TextEncoder:
-    """Ids of whole texts, with the pre-tokens met so far kept by digest.
+    """Ids of whole texts, with the pre-tokens met so far kept by name.
 
     With ``added``, the added tokens of the vocabulary's file cut a text before it is split, and each
     gives its own id, as the tokenizers library does; without, they are ordinary text.
@@ -211,14 +267,13 @@ class TextEncoder:
         self.clear()
 
     def clear(self) -> None:
+        self.words = Names()
         self.names = np.zeros(0, np.uint64)
         self.start = self.length = np.zeros(0, np.int64)
         self.flat = array("I")
 
     def learn(self, joined: str, names: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The places of pre-tokens (sorted by digest) in memory, after those not met yet are encoded."""
-        if len(self.names) > self.KEEP:
-            self.clear()
+        """The places of pre-tokens (sorted by name) in memory, after those not met yet are encoded."""
         if len(self.names):
             at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
             new = np.flatnonzero(self.names[at] != names)
@@ -252,7 +307,9 @@ class TextEncoder:
     def ordinary(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text in order, added tokens taken as ordinary text."""
         for a, b in chunks(texts):
-            joined, begin, end, digest, before = pretokens(texts[a:b])
+            if len(self.names) > self.KEEP:
+                self.clear()
+            joined, begin, end, digest, before = pretokens(texts[a:b], self.words)
             names, where, which = np.unique(digest, return_index=True, return_inverse=True)
             at = self.learn(joined, names, begin[where], end[where])[which]
             ids = ragged(np.array(self.flat, np.uint32), self.start, self.length, at)

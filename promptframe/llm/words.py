@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from promptframe.llm.tokens import code_points, mixed, span_digests
+from promptframe.llm.tokens import code_points, mixed, span_digests, strong_digest
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _BLANK = np.zeros(256, bool)
@@ -25,7 +25,7 @@ def word_digests(texts: list[str], fold: bool = True) -> tuple[np.ndarray, np.nd
     begin[cuts] = inside[cuts]
     end[cuts - 1] = inside[cuts - 1]
     begin = np.flatnonzero(begin)
-    return span_digests(points, begin, np.flatnonzero(end) + 1), np.searchsorted(begin, bounds)
+    return mixed(span_digests(points, begin, np.flatnonzero(end) + 1)), np.searchsorted(begin, bounds)
 
 
 def shingle_sets(texts: list[str], k: int = 5) -> tuple[list[np.ndarray], np.ndarray]:
@@ -34,11 +34,7 @@ def shingle_sets(texts: list[str], k: int = 5) -> tuple[list[np.ndarray], np.nda
     With fewer words the whole sequence is one shingle; without words there is none.
     """
     words, before = word_digests(texts)
-    counts = np.diff(before)
-    place = np.arange(len(words)) - np.repeat(before[:-1], counts)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(mixed(words + place.astype(np.uint64) * _STEP), out=sums[1:])
-    sequence = mixed(sums[before[1:]] - sums[before[:-1]] + counts.astype(np.uint64))
+    sequence = np.array([strong_digest(words[s:e].tobytes()) for s, e in zip(before[:-1], before[1:], strict=True)], np.uint64)
     digest = np.full(max(0, len(words) - k + 1), k, np.uint64)
     for j in range(k):
         digest = mixed(digest * _STEP + words[j:len(digest) + j])

@@ -17,3 +17,9 @@ CLASHES = ["_row", "_t", "_text", "_words", "key", "n", "id", "digest", "start",
 def documents(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
     return df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+
+
+def bit_texts():
+    """Two different texts of one length whose polynomial sums modulo 2**64 are equal for every base."""
+    first = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    return first, first.translate(str.maketrans("ab", "ba"))

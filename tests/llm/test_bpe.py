@@ -1,5 +1,5 @@
 import public_tokenizers
-from edges import documents
+from edges import bit_texts, documents
 from test_tokens import library
 
 from promptframe.llm.bpe import decode, encode
@@ -23,3 +23,10 @@ def test_ids_of_edges_in_small_blocks(spark):
 def test_null_ids_decode_to_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert {bytes(r.decoded) for r in decode(df, PATH).collect()} == {b""}
+
+
+def test_texts_of_equal_polynomial_sums(spark):
+    texts = bit_texts()
+    docs = spark.createDataFrame(list(enumerate([*texts, " ".join(texts)])), "doc_id long, text string").coalesce(1)
+    got = {r[0]: list(r[1]) for r in encode(docs, PATH).collect()}
+    assert got == {k: library().encode_ordinary(t) for k, t in enumerate([*texts, " ".join(texts)])}

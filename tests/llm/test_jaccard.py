@@ -5,7 +5,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
-from edges import documents
+from edges import bit_texts, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -116,3 +116,16 @@ def test_connected(spark):
             parent[a] = parent[b] = min(parent[a], parent[b])
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert got == {k: v for k, v in parent.items() if k not in alone}
+
+
+def test_texts_of_equal_polynomial_sums_stay_apart(spark):
+    docs = spark.createDataFrame(list(enumerate(bit_texts())), "doc_id long, text string")
+    assert sorted(map(tuple, components_of(docs).collect())) == [(0, 1, 0), (1, 1, 1)]
+    assert drop_near_duplicates(docs).count() == 2
+
+
+def test_of_repeated_rows_the_same_one_stays(spark):
+    rows = [(1, "a b c d e f", k) for k in range(40)]
+    kept = {drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, x int").repartition(n)).first().x
+            for n in (1, 3, 7)}
+    assert len(kept) == 1

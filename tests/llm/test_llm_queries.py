@@ -13,7 +13,7 @@ def con():
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in __spark_entry__.oracle_sql()])

@@ -2,10 +2,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from edges import documents
+from edges import bit_texts, documents
 from tokenizers import Tokenizer
 
-from promptframe.llm.packing import pack
+from promptframe.llm.packing import SumOfSquares, pack
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -60,3 +60,31 @@ def test_added_tokens_in_texts_are_those_of_the_library(spark):
         assert [i for p in sorted(got[k]) for i in p[1]] == want and {p[2] for p in got[k]} == {len(want)}
         assert all(p[3] == zlib.crc32(np.array(p[1], "<u4").tobytes()) for p in got[k])
     assert got[0][0][1][:4] == [64, 220, 50256, 275]
+
+
+def test_texts_of_equal_polynomial_sums(spark):
+    texts = bit_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tokenizer = Tokenizer.from_file(PATH)
+    got = {r.doc_id: list(r.ids)[:-1] for r in pack(docs, PATH).collect()}
+    assert got == {k: tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
+
+
+def test_the_level_has_the_smallest_sum_of_squares():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        size = int(rng.integers(4, 14))
+        packer = SumOfSquares(size)
+        for _ in range(80):
+            length = int(rng.integers(1, size))
+            levels = [0, *[h for h in range(1, size - length + 1) if packer.count[h]]]
+
+            def after(h):
+                count = packer.count.copy()
+                count[h] -= h > 0
+                count[h + length] += h + length < size
+                return int((count[1:size] ** 2).sum())
+
+            best = packer.level_for(length)
+            assert best in levels and after(best) == min(map(after, levels))
+            list(packer.place((0, 0, np.zeros(length, np.uint32))))

@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from promptframe.llm.packing import SumOfSquares
-from promptframe.llm.tokens import TextEncoder, pretokens, vocabulary
+from promptframe.llm import tokens
+from promptframe.llm.tokens import Names, TextEncoder, pretokens, vocabulary
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ALPHABET = "ab's re'll't've'd'm sS1² \t\n\r  　!#é中́ᵽ8\U0001d54f\U0001f600’lvdtm'"
@@ -23,7 +24,7 @@ def library():
 
 
 def split(texts):
-    joined, begin, end, _, before = pretokens(texts)
+    joined, begin, end, _, before = pretokens(texts, Names())
     words = [joined[s:e] for s, e in zip(begin, end, strict=True)]
     return [words[before[k]:before[k + 1]] for k in range(len(texts))]
 
@@ -91,3 +92,21 @@ def test_the_level_minimises_the_sum_of_squares():
             options[level] = int((after[:32] ** 2).sum())
         assert options[packer.level_for(n)] == min(options.values())
         list(packer.place((k, 0, np.arange(n))))
+
+
+def test_words_whose_digests_meet_keep_their_own_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "span_digests", lambda p, b, e: (e - b).astype(np.uint64) % np.uint64(3) | tokens._HIGH)
+    texts = ["the cat sat on the mat and the dog ran to the cat", "", "a b c aa bb cc aaa the dog", " x", "1 22 é中"] * 2
+    encoder, want = TextEncoder(RANKS), library()
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [want.encode_ordinary(t) for t in texts]
+
+
+def test_digests_of_short_words_are_the_words():
+    texts = ["", "a", "\0", "\0\0", "abcdefgh", "abcdefg", "bcdefgh", "é", "ab é", "abcdefghi"]
+    spans = [(0, len(t)) for t in texts]
+    found = []
+    for t, (b, e) in zip(texts, spans, strict=True):
+        points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        found.append(int(tokens.span_digests(points, np.array([b]), np.array([e]))[0]))
+    assert len(set(found)) == len(texts)
+    assert [d < 1 << 57 for d in found] == [True] * 7 + [False] * 3
