@@ -1,9 +1,11 @@
 """The grid: every enabled prompt with every row of every group, rendered and keyed.
 
 A combination is the mixed-radix number of its row ordinals, so its place in the
-product is arithmetic. The largest group is read once and never shuffled for the
-product: each of its rows is repeated by an index, and the other groups are looked
-up by ordinal with equi-joins that Catalyst broadcasts when they are small.
+product is arithmetic. Where all groups are small, numbers are dealt to tasks and
+every group is looked up by ordinal in a broadcast. A larger group is streamed: its
+rows are repeated by an index, and small groups are looked up. Two large groups meet
+by tiles: each row is copied to the tiles of the other side, and combinations are
+made inside a tile, so that rows times tiles are shuffled and combinations never are.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from typing import Protocol
+from functools import reduce
+from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -28,6 +31,8 @@ from promptframe.sources.project import Project
 INDEX_BLOCK = 4096
 COMBOS_PER_TASK = 100_000
 BYTES_PER_TASK = 8 << 20
+# rows of a group in one tile: a tile makes the product of two such numbers
+TILE_ROWS = 1024
 # a group is broadcast only when it was measured to stay below both bounds
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
@@ -67,17 +72,25 @@ class Size:
 
 def group_size(group: DataFrame) -> Size:
     """Rows of a group, whose ordinals must be 0..n-1, and its bytes if it is small."""
-    n, low, high = group.agg(F.count(F.lit(1)), F.min(ORD), F.max(ORD)).first()
-    if n and (low != 0 or high != n - 1):
-        raise ValueError("ordinals have gaps: use close_ordinals or with_ordinals")
-    if n > BROADCAST_ROWS:
-        return Size(n)
-    return Size(n, group.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0)
+    return group_sizes({"group": group})["group"]
 
 
 def group_sizes(groups: Mapping[str, DataFrame]) -> dict[str, Size]:
-    """Sizes of all groups; pass them on to save the jobs when a grid is built again."""
-    return {name: group_size(df) for name, df in groups.items()}
+    """Sizes of all groups; pass them on to save the jobs when a grid is built again.
+
+    One job counts the rows of all groups, another the bytes of those of few rows.
+    """
+    def of_all(chosen: Mapping[str, DataFrame], *measures: Column) -> dict[str, Any]:
+        rows = [df.agg(*measures).withColumn("_name", F.lit(name)) for name, df in chosen.items()]
+        return {r["_name"]: r for r in reduce(DataFrame.unionByName, rows).collect()} if rows else {}
+
+    counted = of_all(groups, F.count(F.lit(1)).alias("n"), F.min(ORD).alias("low"), F.max(ORD).alias("high"))
+    for r in counted.values():
+        if r["n"] and (r["low"] != 0 or r["high"] != r["n"] - 1):
+            raise ValueError("ordinals have gaps: use close_ordinals or with_ordinals")
+    few = {name: df for name, df in groups.items() if counted[name]["n"] <= BROADCAST_ROWS}
+    sized = of_all(few, F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b"))
+    return {name: Size(counted[name]["n"], (sized[name]["b"] or 0) if name in few else None) for name in groups}
 
 
 def num_combinations(project: Project) -> int:
@@ -122,24 +135,33 @@ def product(spark: SparkSession, groups: Sequence[DataFrame | None],
             F.col(ORD).alias(f"_o{k}"),
             *[F.col(f"`{c}`").alias(f"_g{k}_{c}") for c in groups[k].columns if c != ORD])
 
-    base = max(range(len(groups)), key=lambda k: rows[k])
-    out = member(base)
-    times = total // rows[base] if total else 0
-    wanted = max(-(-total // COMBOS_PER_TASK), (sizes[base].bytes or 0) * times // BYTES_PER_TASK)
-    tasks = min(wanted, rows[base])
-    if times > 1 and tasks > 1:
-        # rows are spread before they are repeated, so that tasks make equally many combinations
-        out = out.repartition(tasks)
-    out = _repeat(out, times)
-    for k in range(len(groups)):
-        if k == base:
-            continue
+    order = sorted(range(len(groups)), key=lambda k: -rows[k])
+    # a group given as None is only a number, whatever its rows
+    large = [k for k in order if groups[k] is not None and not sizes[k].broadcastable]
+    small = [k for k in order if k not in large]
+    content = sum((sizes[k].bytes or 0) * (total // max(rows[k], 1)) for k in range(len(groups)))
+    tasks = max(1, -(-total // COMBOS_PER_TASK), min(content // BYTES_PER_TASK, total))
+    times = math.prod(rows[k] for k in small) if total else 0
+    if not large:
+        # numbers are dealt to tasks; nothing is shuffled
+        out = spark.range(0, total, 1, tasks).withColumnRenamed("id", "_i")
+    else:
+        out, done = member(large[0]), rows[large[0]]
+        if len(large) == 1 and times > 1:
+            made, cores = out.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+            if made < min(tasks, cores):
+                # a scan of fewer splits than cores, of which each row will be many combinations
+                out = out.repartition(min(tasks, rows[large[0]]))
+        for at, k in enumerate(large[1:], 1):
+            out = _tiled(out, large[:at], rows, done, member(k), k)
+            done *= rows[k]
+        out = _repeat(out, times)
+    for k in small:
         times = times // rows[k] if rows[k] else 0
         out = out.withColumn(f"_o{k}", F.expr(f"(_i div {max(times, 1)}L) % {max(rows[k], 1)}L"))
         if groups[k] is not None:
             # never the other way round: the repeated side is larger than its statistics say
-            other = F.broadcast(member(k)) if sizes[k].broadcastable else member(k).hint("merge")
-            out = out.join(other, f"_o{k}")
+            out = out.join(F.broadcast(member(k)), f"_o{k}")
     combo, weight = F.lit(0).cast("long"), 1
     for k in reversed(range(len(groups))):
         combo = combo + F.col(f"_o{k}") * F.lit(weight)
@@ -147,6 +169,24 @@ def product(spark: SparkSession, groups: Sequence[DataFrame | None],
     return out.drop("_i").withColumn("combo_id", combo)
 
 
+def _tiled(left: DataFrame, members: Sequence[int], rows: Sequence[int], n_left: int, right: DataFrame,
+           k: int) -> DataFrame:
+    """Product of rows made of ``members`` with group ``k``, by tiles of both.
+
+    A row of either side is copied to every tile of the other, and a pair of tiles is one key.
+    """
+    place, weight = F.lit(0).cast("long"), 1
+    for m in reversed(members):
+        place = place + F.col(f"_o{m}") * F.lit(weight)
+        weight *= max(rows[m], 1)
+    tiles_left, tiles_right = -(-n_left // TILE_ROWS), -(-rows[k] // TILE_ROWS)
+    own = _repeat(left, tiles_right).withColumnRenamed("_i", "_tr").withColumn(
+        "_tl", F.floor(place / TILE_ROWS).cast("long"))
+    other = _repeat(right, tiles_left).withColumnRenamed("_i", "_tl").withColumn(
+        "_tr", F.floor(F.col(f"_o{k}") / TILE_ROWS).cast("long"))
+    return own.join(other.hint("merge"), ["_tl", "_tr"]).drop("_tl", "_tr")
+
+
 def text_group(group: DataFrame) -> DataFrame:
     """The group with every variable as the text it has inside a prompt (NULL if missing).
 

@@ -85,6 +85,27 @@ def grid_large(spark: SparkSession, sf: str) -> DataFrame:
     return g.expand(project).select("combo_id", "prompt_hash")
 
 
+@query("""
+  SELECT s_suppkey, count(*) AS n, sum(combo_id)::bigint AS places, sum(length(prompt))::bigint AS chars,
+         min(sha1(prompt)) AS first_hash, max(sha1(prompt)) AS last_hash
+  FROM (SELECT s_suppkey, p.i * (SELECT count(*) FROM supplier) * (SELECT count(*) FROM orders)
+               + s_suppkey * (SELECT count(*) FROM orders) + o_orderkey AS combo_id,
+               p.head || o_orderkey || ' (' || o_orderpriority || ') to ' || s_name AS prompt
+        FROM (VALUES (0, 'Give order '), (1, 'Take order ')) p(i, head), supplier, orders)
+  GROUP BY s_suppkey""")
+def grid_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """All suppliers with all orders, a group of each kind that is taken as too large to broadcast."""
+    groups = {
+        "supplier": group(spark, sf, "supplier", "s_name", "s_suppkey"),
+        "orders": with_ordinals(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")}
+    sizes = {name: g.Size(s.rows) for name, s in g.group_sizes(groups).items()}
+    prompts = {w: w + " order {{o_orderkey}} ({{o_orderpriority}}) to {{s_name}}" for w in ("Give", "Take")}
+    grid = g.expand(Project(spark, prompts, groups), sizes=sizes)
+    return grid.groupBy(F.col("args")["s_suppkey"].cast("long").alias("s_suppkey")).agg(
+        F.count("*").alias("n"), F.sum("combo_id").alias("places"), F.sum(F.length("prompt")).alias("chars"),
+        F.min("prompt_hash").alias("first_hash"), F.max("prompt_hash").alias("last_hash"))
+
+
 @query("""
   SELECT row_number() OVER (ORDER BY p_partkey, r_regionkey) - 1 AS combo_id, p_name, r_name
   FROM part, region""")

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 from datetime import datetime
 
 import pytest
@@ -212,3 +213,29 @@ def test_output_fields(spark):
     assert [tuple(f) for f in got[0]["fields"]] == [
         ("name", "string", "the name"), ("age", "numeric/logical", "years"), ("x", "string", "plain")]
     assert templates.field_names(text) == ["name", "age", "x"] and templates.field_names("none") == []
+
+
+def test_large_groups_meet_by_tiles(spark, rows, monkeypatch):
+    monkeypatch.setattr(g, "TILE_ROWS", 3)
+    groups = {n: spark.createDataFrame([(k, f"{n}{k}") for k in range(size)], f"_ord long, {n} string")
+              for n, size in (("a", 7), ("b", 10), ("c", 2), ("d", 4))}
+    sizes = {n: g.Size(df.count(), 0 if n == "c" else None) for n, df in groups.items()}
+    grid = g.expand(Project(spark, {"p": "{{a}}{{b}}{{c}}{{d}}", "q": "{{d}}"}, groups), sizes=sizes)
+    made = [(f"a{i}b{j}c{k}d{m}", f"d{m}") for i, j, k, m in itertools.product(range(7), range(10), range(2), range(4))]
+    want = [m[0] for m in made] + [m[1] for m in made]
+    assert rows(grid.select("combo_id", "prompt")) == rows(spark.createDataFrame(list(enumerate(want)), "i long, p string"))
+
+
+def test_small_groups_are_not_shuffled(spark):
+    groups = {"a": spark.createDataFrame([(k, f"a{k}") for k in range(50)], "_ord long, a string"),
+              "b": spark.createDataFrame([(k, f"b{k}") for k in range(20)], "_ord long, b string")}
+    plan = g.expand(Project(spark, {"p": "{{a}}{{b}}"}, groups))._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert "Exchange hashpartitioning" not in physical and "RoundRobin" not in physical
+
+
+def test_sizes_of_all_groups_at_once(spark):
+    a = spark.createDataFrame([(0, "x"), (1, None)], "_ord long, a string")
+    assert g.group_sizes({"a": a, "none": a.limit(0)}) == {"a": g.Size(2, g.group_size(a).bytes), "none": g.Size(0, 0)}
+    with pytest.raises(ValueError, match="gaps"):
+        g.group_sizes({"a": a, "b": a.filter("_ord = 1")})
