@@ -1,6 +1,6 @@
 import json
 
-from promptframe.llm.toolcalls import Field, calls_in, canonical, link
+from promptframe.llm.toolcalls import Field, calls_in, canonical, link, transcripts
 
 TOOLS = {"find": {"text": Field("string", longest=5), "top": Field("integer", required=False, least=1),
                   "kind": Field("string", required=False, one_of=("a", "b"))}}
@@ -19,11 +19,13 @@ def test_links_order_and_states(spark):
              (1, "x", "y", "find", ok, 6), (1, "y", "x", "find", ok, 7), (1, "z", "gone", "find", ok, 8),
              (None, "a", None, "find", ok, 0), (1, None, None, "find", ok, 9), (1, "c", "b", "find", ok, 4)]
     results = [(1, "a", 'say "é"\n', 1), (1, "q", None, 3), (None, "a", "r", 1), (1, None, "n", 5), (1, "a", "later", 9)]
-    got = {(r.conv_id, r.call_id, r.kind): (r.position, r.status, r.copies) for r in linked(spark, calls, results)}
+    every = linked(spark, calls, results)
+    got = {(r.conv_id, r.call_id, r.kind): (r.position, r.status, r.copies) for r in every if r.status != "conflict"}
+    assert [(r.call_id, r.kind, r.position, r.copies) for r in every if r.status == "conflict"] == [("a", "result", None, 1)]
     assert got == {
-        (1, "a", "call"): (0, "ok", 1), (1, "a", "result"): (1, "ok", 2), (1, "b", "call"): (2, "no result", 1),
-        (1, "c", "call"): (4, "no result", 2), (1, "x", "call"): (None, "cycle", 1), (1, "y", "call"): (None, "cycle", 1),
-        (1, "z", "call"): (0, "no result", 1), (None, "a", "call"): (0, "ok", 1), (None, "a", "result"): (1, "ok", 1),
+        (1, "a", "call"): (0, "ok", 1), (1, "a", "result"): (1, "ok", 1), (1, "b", "call"): (4, "no result", 1),
+        (1, "c", "call"): (6, "no result", 2), (1, "x", "call"): (None, "cycle", 1), (1, "y", "call"): (None, "cycle", 1),
+        (1, "z", "call"): (2, "no result", 1), (None, "a", "call"): (0, "ok", 1), (None, "a", "result"): (1, "ok", 1),
         (1, None, "call"): (None, "no id", 1), (1, "q", "result"): (None, "orphan", 1),
         (1, None, "result"): (None, "no id", 1)}
 
@@ -70,3 +72,31 @@ def test_calls_in_texts_and_empty_tables(spark):
 def test_canonical(spark):
     df = spark.createDataFrame([('{"b":1,"a":{"d":1.50,"c":"\\u00e9"}}',), ("x",)], "j string")
     assert [r[0] for r in df.select(canonical(df.j)).collect()] == ['{"a":{"c":"é","d":1.5},"b":1}', None]
+
+
+def test_positions_have_no_ties_and_nothing_is_lost(spark):
+    ok = '{"text": "x"}'
+    calls = [(1, f"c{k}", "root" if k else None, "find", ok, 5) for k in range(1, 40)] + [(1, "root", None, "find", ok, 0)]
+    calls += [(1, "c1", "root", "find", '{"text": "y"}', 5), (1, "c1", "root", "find", '{"text": "y"}', 6), (2, "only", None, "find", ok, 0)]
+    results = [(1, f"c{k}", f"r{k}", 6) for k in range(1, 40)]
+    rows = linked(spark, calls, results)
+    placed = sorted(r.position for r in rows if r.conv_id == 1 and r.position is not None)
+    assert placed == [0, *range(2, 80)] and [r.position for r in rows if r.conv_id == 2] == [0]
+    order = [r.call_id for r in sorted((r for r in rows if r.conv_id == 1 and r.kind == "call" and r.position is not None),
+                                       key=lambda r: r.position)]
+    assert order == ["root", *sorted(f"c{k}" for k in range(1, 40))]
+    assert [(r.call_id, r.copies, r.message) for r in rows if r.status == "conflict"] == [
+        ("c1", 2, '{"arguments":{"text":"y"},"id":"c1","name":"find","type":"function"}')]
+
+
+def test_turns_of_every_role(spark):
+    call = json.dumps({"tool_calls": [{"id": "i", "function": {"name": "user", "arguments": "{}"}}]})
+    rows = [(1, 0, "user", "a b c d e"), (1, 1, "assistant", call), (1, 2, "tool", '{"tool_call_id":"i","content":"r"}'),
+            (1, 3, "tool", "plain"), (1, 4, None, 'lost "turn"'), (1, 4, None, 'lost "turn"'), (None, 0, "system", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS message", "2 AS at")
+    got = sorted((str(r.conv_id), str(r.call_id), r.kind, r.status, r.copies) for r in transcripts(df).collect())
+    assert got == [
+        ("1", "1:0", "call", "ok", 1), ("1", "1:0", "result", "ok", 1), ("1", "None", "message", "no role", 2),
+        ("1", "None", "result", "no id", 1), ("1", "i", "call", "invalid arguments", 1), ("1", "i", "result", "ok", 1),
+        ("None", "0", "call", "invalid arguments", 1)]
+    assert transcripts(df.limit(0)).count() == 0
