@@ -3,7 +3,11 @@
 Patterns find candidate spans in every whole text. Over the corpus each distinct value is counted
 by distinct repositories and owners: a value many owners hold is a copied example, one that a
 single owner holds looks live. Long mixed tokens outside the patterns' spans are only reported
-when a single owner holds them. Everything is DataFrame functions.
+when they look random, do not stand inside an address, and a single owner holds them. A token looks
+random when its characters change between lower case, upper case and digits (rises to upper case,
+and both ways between letters and digits) far more often than in words, paths and identifiers.
+With fewer owners than ``example_owners`` in the corpus no value can be an example. Everything is
+DataFrame functions.
 
 A null text has no spans; null owners and repositories count as one unknown owner. Repeated rows
 (same id and text) are one document whose spans are found once, and each row gets them; rows that
@@ -14,6 +18,8 @@ kept by ``mask``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,12 +29,14 @@ from promptframe.llm.registry import query, table, text_or_empty, written
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern; the value is ``group`` and needs ``least`` characters, else the match drops."""
+    """A pattern; the value is ``group`` and needs ``least`` characters, else the match drops, and
+    ``mixed`` changes between kinds of characters for each of its places."""
 
     name: str
     pattern: str
     group: int = 0
     least: int = 0
+    mixed: float = 0.0
 
 
 # The patterns of the base kinds, in the order that breaks ties of spans.
@@ -36,18 +44,31 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 BASE = (Kind("assign", ASSIGN, 2, 6), Kind("access", ACCESS), Kind("hex", HEX))
-#: Whole runs of 20 and more token characters that mix lower case, upper case and digits; reported
-#: only where a single owner holds them.
+#: Whole runs of 20 and more token characters that mix lower case, upper case and digits, and do not
+#: go on from an address; reported only where a single owner holds them.
 _RUN = "[A-Za-z0-9+/_-]"
-OWNED = Kind("owned", f"(?<!{_RUN})(?={_RUN}*[0-9])(?={_RUN}*[a-z])(?={_RUN}*[A-Z]){_RUN}{{20,}}")
+_ADDRESS = "[.:@?&=%~]"
+OWNED = Kind("owned", f"(?<!{_RUN}|{_ADDRESS})(?={_RUN}*[0-9])(?={_RUN}*[a-z])(?={_RUN}*[A-Z]){_RUN}{{20,}}", mixed=0.27)
+#: The characters of a token by kind, and the changes that count.
+_KINDS = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "l" * 26 + "u" * 26 + "d" * 10)
+_CHANGES = ("lu", "ld", "ud", "dl", "du")
 #: A value that this many owners hold is a copied example.
 EXAMPLE_OWNERS = 3
 MASK = "[SECRET]"
 
 
+def changes(value: Column) -> Column:
+    """How often a token changes between kinds of characters, of the changes that count."""
+    kinds = F.translate(value, *_KINDS)
+    # the two signs of a change differ, so no two matches of it overlap
+    found = [(F.length(kinds) - F.length(F.replace(kinds, F.lit(c), F.lit("")))) / 2 for c in _CHANGES]
+    return reduce(add, found)
+
+
 def _matches(text: Column, rank: int, kind: Kind) -> Column:
     """For each match in order: the length of the text since the last one, its own, its value."""
-    fixed = F.struct(F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), F.lit(kind.least).alias("least"))
+    fixed = F.struct(F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), F.lit(kind.least).alias("least"),
+                     F.lit(float(kind.mixed)).alias("mixed"))
     zipped = F.arrays_zip(
         F.transform(F.split(text, kind.pattern, -1), F.length).alias("gap"),
         F.transform(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.length).alias("size"),
@@ -79,6 +100,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so_far = Window.partitionBy(*document, "of").orderBy("place")
     end = F.sum(F.col("gap") + F.col("size")).over(so_far)
     placed = one.withColumn("end", end.cast("long")).filter(F.length("value") >= F.col("of.least"))
+    random = changes(F.col("value")) >= F.col("of.mixed") * (F.length("value") - 1)
+    placed = placed.filter((F.col("of.mixed") == 0) | random)
     return placed.select(*document, "of.rank", "of.kind", (F.col("end") - F.col("size")).alias("start"), "end", "value")
 
 
@@ -134,7 +157,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     met = whole.filter(hit).withColumn("_key", F.xxhash64("_text"))
     same = met["_id"].eqNullSafe(grouped["id"]) & (met["_key"] == grouped["key"])
 
-    def add(done, span):
+    def put_mask(done, span):
         gap = F.substring(F.col("_text"), done["at"] + 1, F.greatest(span["start"] - done["at"], F.lit(0)))
         start = F.struct(span["end"].cast("int").alias("at"), F.concat(done["out"], gap, F.lit(put)).alias("out"))
         inside = F.struct(F.greatest(span["end"].cast("int"), done["at"]).alias("at"), done["out"].alias("out"))
@@ -143,7 +166,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     # spans inside the last one are covered by its mask
     spans = F.transform("spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].alias("end")))
     text = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add,
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put_mask,
         lambda done: F.concat(done["out"], F.substring(F.col("_text"), done["at"] + 1, F.length("_text"))))
     masked = met.join(grouped, same, "left").select(
         F.when(F.col("spans").isNull(), F.col("_row")).otherwise(F.col("_row").withField(text_col, text)).alias("_row"))
@@ -167,12 +190,16 @@ def _sql_matches(kind: str, pattern: str, group: int, rank: int, where: str) ->
   WHERE {where}"""
 
 
+_SQL_KINDS = f"translate(value, '{_KINDS[0]}', '{_KINDS[1]}')"
+_SQL_CHANGES = "(" + " + ".join(f"(length({_SQL_KINDS}) - length(replace({_SQL_KINDS}, '{c}', ''))) / 2" for c in _CHANGES) + ")"
+
 SQL = f"""
 WITH spans AS ({" UNION ALL ".join([
     _sql_matches("assign", ASSIGN, 2, 0, "length(value) >= 6"), _sql_matches("access", ACCESS, 0, 1, "true"),
     _sql_matches("hex", HEX, 0, 2, "true"),
-    _sql_matches("owned", _RUN + "{20,}", 0, 3, "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') "
-                 "AND regexp_matches(value, '[A-Z]')")])}),
+    _sql_matches("owned", _ADDRESS + "?" + _RUN + "{20,}", 0, 3, "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') "
+                 f"AND regexp_matches(value, '[A-Z]') AND NOT regexp_matches(value, '^{_ADDRESS}') "
+                 f"AND {_SQL_CHANGES} >= {OWNED.mixed} * (length(value) - 1)")])}),
 owners AS (SELECT value, count(DISTINCT coalesce(source, '')) AS n_owners FROM spans GROUP BY value),
 kept AS (
   SELECT a.*, n_owners FROM spans a JOIN owners USING (value)

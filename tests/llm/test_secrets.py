@@ -60,3 +60,25 @@ def test_edges(spark):
     assert by_document(docs, scan(docs)).count() == docs.count()
     assert mask(docs).count() == docs.count()
     assert scan(docs.limit(0)).count() == 0 and mask(docs.limit(0)).count() == 0
+
+
+PLAIN = [
+    "Read https://example.org/wiki/Foo_Bar2/Some_Page_Title now.", "see /usr/Local/lib64/python3/site/Package_Name2",
+    "CamelCaseIdentifierNumber42InCode and get_HTTP2_response_Header_Value", "src/main/java/org/Example1/ServiceFactoryBean",
+    "https://cdn.example.com/assets/Zk3x9QpLm2Vt8RsW4yUa/app.js?id=Zk3x9QpLm2Vt8RsW4yUb", "mail Zoe.Q1:Zk3x9QpLm2Vt8RsW4yUc@host",
+    "docs/Chapter01-Introduction-To-Data2", "The-Quick-Brown-Fox-2024-Annual-Report-Final", "AnnualReport2024FinalVersion"]
+SECRETS = ["Zk3x9QpLm2Vt8RsW4yUa", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8tKEY2A9b", "dGhpc2lzYXNlY3JldDEyM0tleVZhbHVlOQ8xR7k2",
+           "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9Qk3x8Zt1", "AIzaSyD4x9Kq2mP7vN1bR8tY6wE3uI5oL0aZ"]
+
+
+def test_addresses_paths_and_names_stay(spark):
+    docs = spark.createDataFrame([(k, t, f"s{k}") for k, t in enumerate(PLAIN)], "doc_id long, text string, source string")
+    assert scan(docs, owner=F.col("source")).count() == 0
+    assert {r.text for r in mask(docs, owner=F.col("source")).collect()} == set(PLAIN)
+
+
+def test_random_tokens_of_one_owner_are_live(spark):
+    docs = spark.createDataFrame([(k, f"key {t} end", f"s{k}") for k, t in enumerate(SECRETS)],
+                                 "doc_id long, text string, source string")
+    assert {r.value for r in scan(docs, owner=F.col("source")).collect()} == set(SECRETS)
+    assert {r.text for r in mask(docs, owner=F.col("source")).collect()} == {"key [SECRET] end"}
