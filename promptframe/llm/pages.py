@@ -7,11 +7,12 @@ elements whose class, id or role names a sidebar, an advert, a notice or comment
 second pass short and near-good blocks inherit the label of the nearest decided blocks on both
 sides, within their own article where there is one: good between two good ones; where the sides
 differ, near-good blocks and headings right before a good block are good. An article without any
-good block keeps its undecided ones, since a short article has nothing to inherit from.
+good block keeps its undecided ones, since a short article has nothing to inherit from. A page in a
+language without a list of stop words is judged by length and links.
 
 A null page counts as empty. A page without blocks has the empty text. Broken markup (missing end
 tags, a lone ``<``) is read as browsers would in simple cases; comments, scripts and styles never
-reach a block. Inside an article a block of links or of signs alone is undecided, never bad by itself.
+reach a block. Very long pages are read whole, and an empty table has no results. Inside an article a block of links or of signs alone is undecided, never bad by itself.
 Repeated rows each get their own result; extra columns are never read.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html import unescape
 
 import pyarrow as pa
@@ -46,15 +47,24 @@ ARTICLES = frozenset("article main".split())
 #: A start tag of the key ends an open element of the values.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "option": {"option"}}
-#: Names in class, id or role of what is not the article.
+#: Parts of names in class, id or role of what is not the article.
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|contentinfo|cookies?|consent|disqus|footer|"
-    r"masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|"
-    r"sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
+    r"ads?|advert\w*|banners?|breadcrumbs?|comments?|contentinfo|cookies?|consent|disqus|footer|masthead|menus?|modal|"
+    r"nav\w*|newsletters?|notices?|pagination|popups?|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|social|"
+    r"sponsor\w*|subscribe|subscription|toolbar|widgets?", re.IGNORECASE)
+#: Parts that say nothing by themselves, as in ``comment-list``.
+NEUTRAL = re.compile(
+    r"the|a|js|is|has|site|page|main|post|article|block|box|bar|area|list|item|items|wrap|wrapper|container|section|content|"
+    r"inner|outer|top|bottom|left|right|links?|buttons?|icons?|form|signup|slot|unit|panel|holder|region|group|row|col|"
+    r"thread|reader|user|media|network|sticky|overlay|dialog|inline|\d+|", re.IGNORECASE)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
                     r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)", re.DOTALL)
-_NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A slash that ends a tag, not an attribute without quotes.
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
+#: Elements of other languages, which a slash does end.
+FOREIGN = frozenset("svg math".split())
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
@@ -68,6 +78,8 @@ class Settings:
     many_links: float = 0.2
     stop_low: float = 0.08
     stop_high: float = 0.12
+    #: A page with fewer stop words than this is judged by length and links alone.
+    unknown: float = 0.02
     stop_words: frozenset = frozenset(STOP_WORDS)
 
 
@@ -82,6 +94,31 @@ class Block:
     article: int
 
 
+def attributes_of(rest: str) -> dict[str, str]:
+    """The attributes of a start tag; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return found
+
+
+def unwanted_names(element: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether class, id or role name something that is not the article.
+
+    Outside an article one part of a name is enough. Inside, a whole name must consist of such parts
+    (and neutral ones), headings are never unwanted, and sections not by their id, which may be a topic.
+    """
+    if inside and element in HEADINGS:
+        return False
+    kinds = ("class", "role") if inside and element in ("section", "article") else ("class", "id", "role")
+    for name in " ".join(attributes.get(k, "") for k in kinds).split():
+        parts = re.split("[_-]+", name)
+        named = [bool(UNWANTED.fullmatch(p)) for p in parts]
+        if any(named) and (not inside or all(n or NEUTRAL.fullmatch(p) for n, p in zip(named, parts, strict=True))):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
@@ -125,7 +162,7 @@ def blocks(page: str) -> list[Block]:
             if name in names:
                 del open_tags[len(names) - 1 - names[::-1].index(name):]
         else:
-            if name in RAW and not rest.endswith("/"):
+            if name in RAW and not (name in FOREIGN and _CLOSED.search(rest)):
                 if name in BLOCKS:
                     end_block()
                 stop = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
@@ -140,16 +177,15 @@ def blocks(page: str) -> list[Block]:
                 end_block()
             if name == "a":
                 in_link += 1
-            if name in VOID or rest.endswith("/"):
+            if name in VOID or _CLOSED.search(rest):
                 continue
             while open_tags and open_tags[-1][0] in ENDS.get(name, ()):
                 open_tags.pop()
-            attributes = {k.lower(): v.strip("\"'") for k, v in _NAMES.findall(rest)}
+            attributes = attributes_of(rest)
             outside, article, heading = (open_tags[-1][1], open_tags[-1][2], open_tags[-1][3]) if open_tags else state
             unwanted = name in OUTSIDE or "hidden" in attributes or attributes.get("aria-hidden") == "true"
             unwanted |= name == "header" and not article
-            unwanted |= name not in ("html", "body", "article", "main") and bool(
-                UNWANTED.search(" ".join(v for k, v in attributes.items() if k in ("class", "id", "role"))))
+            unwanted |= name not in ("html", "body", "article", "main") and unwanted_names(name, attributes, bool(article))
             if name in ARTICLES and not outside and not article:
                 articles += 1
                 article = articles
@@ -180,6 +216,13 @@ def first_pass(block: Block, settings: Settings) -> str:
     return "near" if block.article else "bad"
 
 
+def without_list(found: list[Block], settings: Settings) -> bool:
+    """Whether a page's language has no stop words here: hardly any word of its long blocks is one."""
+    words = [w.lower() for b in found if not b.outside and len(b.text) > settings.short
+             and b.linked <= settings.many_links * len(b.text) for w in _WORD.findall(b.text)]
+    return sum(w in settings.stop_words for w in words) < settings.unknown * len(words)
+
+
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Whether each block is part of the main text, after the undecided inherit."""
     keep = [label == "good" for label in labels]
@@ -221,6 +264,8 @@ def main_text(page: str, settings: Settings = Settings()) -> str:
     Where a page has articles, blocks outside them are not part of the main text.
     """
     found = blocks(page)
+    if without_list(found, settings):
+        settings = replace(settings, stop_low=0.0, stop_high=0.0)
     labels = [first_pass(b, settings) for b in found]
     keep = second_pass(found, labels)
     inside = any(k and b.article for b, k in zip(found, keep, strict=True))

@@ -1,6 +1,6 @@
 import pytest
 
-from promptframe.llm.pages import blocks, extract, main_text
+from promptframe.llm.pages import Settings, blocks, extract, main_text
 
 BODY = "It was the best of the days that we have had in the house by the sea, and all of it is still in my mind. " * 3
 
@@ -57,3 +57,32 @@ def test_links_and_signs_inside_an_article_inherit(block, text):
     # outside an article, and in parts of it that never hold text, they stay out
     assert main_text(f"<p>{BODY}</p><div>{block}</div><p>{BODY}</p>") == f"{BODY}{BODY.strip()}"
     assert main_text(f"<article><p>{BODY}</p><aside>{block}</aside><p>{BODY}</p></article>") == f"{BODY}{BODY.strip()}"
+
+
+@pytest.mark.parametrize("inner, text", [
+    ('<p title="a hidden gem">Kept.</p>', "Kept."), ('<h2 id="social">Social life</h2>', "Social life"),
+    ('<section id="social"><p>Talk.</p></section>', "Talk."), ('<div class="share-price-history"><p>Up.</p></div>', "Up."),
+    ('<div class="modal-logic"><p>Box.</p></div>', "Box."), ("<script src=/a/>alert(1)</script>", ""),
+    ("<p data-x='<b hidden>' lang=en>Fine.</p>", "Fine."), ("<p hidden>No.</p>", ""), ("<p hidden=until-found>No.</p>", ""),
+    ('<section class="comments"><p>First!</p></section>', ""), ('<div class="comment-list"><p>First!</p></div>', ""),
+    ('<div class=social-share-buttons>Share</div>', ""), ('<div id="newsletter-signup">Join</div>', ""),
+    ('<p class="note" data-role="x">Noted.<br/>Twice.</p>', "Noted. Twice.")])
+def test_attributes_are_read_as_browsers_do(inner, text):
+    page = f"<body><article><p>{BODY}</p>{inner}<p>{BODY}</p></article></body>"
+    assert main_text(page) == " ".join(x for x in (BODY.strip(), text, BODY.strip()) if x)
+
+
+@pytest.mark.parametrize("body", ["これは日本語の文章です。とても長い段落がここにあります。" * 12,
+                                  "Il gatto dorme sopra il tavolo mentre fuori piove e nessuno parla piano. " * 6])
+def test_languages_without_a_list_of_stop_words(body):
+    body = body.strip()
+    page = f"<nav><a href=a>Home</a></nav><div><p>{body}</p><p>{body}</p></div><footer>x</footer><div><a href=b>Link one</a></div>"
+    assert main_text(page) == f"{body} {body}"
+
+
+def test_thresholds_decide_without_an_article():
+    page = f"<p>{BODY}</p><p>Short words only here.</p><div>{'Lorem ipsum dolor sit amet consectetur. ' * 8}</div>"
+    usual = main_text(page)
+    assert BODY.strip() in usual and "Lorem" not in usual
+    assert main_text(page, Settings(long=10_000, short=5_000)) != usual
+    assert "Lorem" in main_text(page, Settings(stop_low=0.0, stop_high=0.0))
