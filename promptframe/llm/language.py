@@ -312,11 +312,19 @@ def identify(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col
     return out.select(id_col, "held_out", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
 
 
-def keep_known(docs: DataFrame, network: Network, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
-    """The rows whose language is known with at least ``min_score``, with the columns they came with."""
+def keep_known(docs: DataFrame, network: Network, text_col: str = "text", min_score: float = 0.4,
+               lang_col: str | None = None) -> DataFrame:
+    """The rows whose language is known with at least ``min_score``, with the columns they came with.
+
+    With ``lang_col``, rows without a label there get the predicted one.
+    """
     whole = docs.select(F.struct("*").alias("_row"))
     told = whole.select("_row", prediction(network, F.col(f"_row.`{text_col}`")).alias("_p"))
-    return told.filter((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") >= min_score)).select("_row.*")
+    kept = told.filter((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") >= min_score))
+    if lang_col is not None:
+        label = F.coalesce(F.col(f"_row.`{lang_col}`"), F.col("_p.lang").cast(docs.schema[lang_col].dataType))
+        kept = kept.select(F.col("_row").withField(f"`{lang_col}`", label).alias("_row"))
+    return kept.select("_row.*")
 
 
 @query()

@@ -1,7 +1,10 @@
 import re
 
+from edges import CLASHES, LONG, PROSE, documents
 from test_jaccard import brute
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from promptframe.llm.secrets import ASSIGN
 
@@ -30,3 +33,32 @@ def test_every_stage_on_what_the_one_before_kept(spark):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, DIR).columns[:2] == ["doc_id", "start"]
+
+
+def test_stages_on_edges(spark):
+    docs = documents(spark).withColumn("n_chars", F.length("text"))
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DIR).cache()
+        kept[name] = docs.collect()
+        if name != "packing":
+            assert docs.columns == columns and all([r[c] for c in CLASHES] == list(range(len(CLASHES))) for r in kept[name])
+    assert not [r for r in kept["language_id"] if not r.text or r.text.isspace() or r.lang is None]
+    texts = [r.text for r in kept["ngram_jaccard_join"]]
+    assert len(texts) == len(set(texts)) and set(texts) <= {PROSE, PROSE + " tail", LONG}
+    assert sorted({str(r.doc_id) for r in kept["packing"]}) == sorted(str(r.doc_id) for r in kept["secret_scan"])
+
+
+def test_stages_on_no_rows(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DIR)
+        assert docs.count() == 0
+
+
+def test_unlabelled_rows_get_a_language(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    bare = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    told = {r.doc_id: r.lang for r in corpus_pipeline.STAGES[0][1](spark, bare, DIR).collect()}
+    assert None not in told.values()
+    assert all(told[r.doc_id] == r.lang for r in bare.collect() if r.lang and r.doc_id in told)
