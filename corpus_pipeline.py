@@ -3,6 +3,11 @@
 Language identification drops texts without a known language, quality rules drop texts that fail a
 threshold, the Jaccard join leaves one document of each group of near duplicates, the secret scan
 masks values that look live, and packing cuts the rest into windows of tokens.
+
+Null and empty texts, and texts without a letter, leave at the first stage; null ids, labels and
+sources take part. Texts of any length stay whole. Of repeated rows, which are near duplicates of each
+other, one stays. Columns beyond those of ``documents`` are carried to the last stage but one, whatever
+their names. Empty tables pass all stages and give no pieces.
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ from promptframe.llm.secrets import mask
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the network knows; it learns from the documents themselves."""
+    """Documents in a language the network knows; it learns from the documents themselves, and rows
+    without a label get the language it finds."""
     prepared(spark)
-    return language.keep_known(docs, language.learn(docs))
+    return language.keep_known(docs, language.learn(docs), lang_col="lang")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
