@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator, Mapping
+import uuid
+from collections.abc import Callable, Iterator, Mapping
+from decimal import Decimal
 from typing import Any, Protocol
 
 import pandas as pd
@@ -201,7 +203,10 @@ def execute(grid: DataFrame, run: RunKey, store: ResultStore, provider: Provider
     are stored; the stub, which costs nothing to repeat, answers all at once. ``prices`` gives
     answers without a cost of their own the price of their tokens. With a budget
     the combinations go in waves of ``wave`` numbers, and no wave starts once
-    ``max_cost`` is spent; answers that were already stored count too. Returns one row
+    ``max_cost`` is spent, so at most one wave is overspent; answers that were already stored
+    count too, and an answer counts for every combination it serves. Work is written once by
+    wave, so a wave reads its own rows only, and what its answers cost, now and in later waves,
+    is added to the store's ledger from its own answers. Returns one row
     per combination with ``status`` executed, cached, pending or missing (not reached).
     """
     max_parallel = max_parallel or store.spark.sparkContext.defaultParallelism
@@ -218,19 +223,17 @@ def execute(grid: DataFrame, run: RunKey, store: ResultStore, provider: Provider
     if max_cost:
         top = total if total is not None else state.count()
         size = wave or max(1, -(-top // 100))
-        for low in range(0, top, size):
-            if _spent(state, store, run.run_hash, low) >= max_cost:
-                break
-            _call_wave(missing.filter(F.col("combo_id").between(low, low + size - 1)), store, provider,
-                       max_parallel, stub, prices, args_json)
+        _call_within(missing, state, store, run, size, -(-top // size), max_cost, lambda rows: _call_wave(
+            rows, store, provider, max_parallel, stub, prices, args_json))
     elif provider is None and wave is None:
         _call_wave(missing, store, None, None, stub, prices, args_json)
     else:
         waves = -(-missing.count() // (wave or max_parallel * calls_per_task))
         # digests fall evenly into waves; these digits are not those that place a row in a file
-        number = F.conv(F.substring("prompt_hash", 7, 6), 16, 10).cast("long") * F.lit(waves)
+        number = F.shiftright(F.conv(F.substring("prompt_hash", 7, 6), 16, 10).cast("long") * F.lit(waves), 24)
+        placed = _by_wave(store, missing, number) if waves > 1 else missing.withColumn("wave", F.lit(0))
         for i in range(waves):
-            _call_wave(missing.filter(F.shiftright(number, 24) == i), store, provider, max_parallel, stub, prices,
+            _call_wave(placed.filter(F.col("wave") == i).drop("wave"), store, provider, max_parallel, stub, prices,
                        args_json)
     return final_status(state, store, run.run_hash, timeout)
 
@@ -241,28 +244,69 @@ def _frozen(store: ResultStore, df: DataFrame, purpose: str) -> DataFrame:
     return store.spark.read.parquet(path)
 
 
+def _by_wave(store: ResultStore, rows: DataFrame, number: Column) -> DataFrame:
+    """``rows`` written once in a folder per wave, of which a reader of one wave opens only that."""
+    path = shared_dir(store.spark, "waves")
+    parts = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.withColumn("wave", number.cast("int"))
+    placed.repartitionByRange(parts, "wave", "prompt_hash").write.partitionBy("wave").parquet(path)
+    return store.spark.read.schema(placed.schema).parquet(path)
+
+
+def _call_within(missing: DataFrame, state: DataFrame, store: ResultStore, run: RunKey, size: int, waves: int,
+                 max_cost: float, call: Callable[[DataFrame], str]) -> None:
+    """Call wave after wave while money is left.
+
+    What is known of a wave's money is one row of the ledger for every wave in which answers of an
+    earlier one (or stored ones, of wave -1) are served: as many numbers as waves reach the driver.
+    """
+    of_combo = F.floor(F.col("combo_id") / size)
+    served = state.groupBy(*KEYS, of_combo.cast("int").alias("wave")).agg(F.count(F.lit(1)).alias("_n"))
+    called = missing.select(*KEYS, of_combo.cast("int").alias("_called"))
+    served = served.join(called, KEYS, "left").select(
+        *KEYS, F.col("wave").alias("_served"), "_n", F.coalesce("_called", F.lit(-1)).alias("_called"))
+    served = _by_wave(store, served, F.col("_called")).drop("_called")
+    placed = _by_wave(store, missing, of_combo)
+    full = {r["wave"] for r in placed.groupBy("wave").count().collect()}
+    spent = [Decimal(0)] * waves
+
+    def enter(wave: int, answers: DataFrame) -> None:
+        known = served.filter(F.col("wave") == wave).join(answers, KEYS)
+        sums = known.groupBy(F.col("_served").alias("served")).agg(
+            F.sum(F.col("cost").cast(money.MONEY) * F.col("_n")).cast(money.MONEY).alias("cost"))
+        entries = sums.select(F.lit(run.run_hash).alias("run_hash"), F.lit(run_id).alias("run_id"),
+                              F.lit(wave).alias("wave"), "served", "cost")
+        for r in store.spark.read.parquet(store.append_ledger(entries)).collect():
+            if 0 <= r["served"] < waves:
+                spent[r["served"]] += r["cost"] or 0
+
+    run_id = uuid.uuid4().hex
+    stored = store.latest(run.run_hash, [F.col("usage.cost").alias("cost")]).select(*KEYS, "cost")
+    enter(-1, stored)
+    limit, before = Decimal(repr(float(max_cost))), Decimal(0)
+    for wave in range(waves):
+        if before >= limit:
+            break
+        if wave in full:
+            batch = call(placed.filter(F.col("wave") == wave).drop("wave"))
+            enter(wave, store.spark.read.parquet(batch).select(*KEYS, F.col("usage.cost").alias("cost")))
+        before += spent[wave]
+
+
 def _call_wave(missing: DataFrame, store: ResultStore, provider: Provider | None, tasks: int | None,
-               stub: str | None, prices: DataFrame | None, args_json: str) -> None:
+               stub: str | None, prices: DataFrame | None, args_json: str) -> str:
     placed = spread(missing, tasks)
     answers = (stub_answers(placed, stub or DEFAULT_STUB) if provider is None
                else call_provider(placed, provider, args_json))
-    store.append(assemble(answers, prices=prices))
-
-
-def _spent(state: DataFrame, store: ResultStore, run_hash: str, below: int) -> float:
-    """Money of the combinations below a number: an answer counts for each it serves."""
-    served = state.filter(F.col("combo_id") < below).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
-    answers = store.latest(run_hash, [F.col("usage.cost").alias("cost")]).select(*KEYS, "cost")
-    row = served.join(answers, KEYS).agg(F.sum(F.col("cost").cast(money.MONEY) * F.col("_n"))).first()
-    return float(row[0] or 0)
+    return store.append(assemble(answers, prices=prices))
 
 
 def final_status(state: DataFrame, store: ResultStore, run_hash: str, timeout: float | None = None) -> DataFrame:
     """Status after the run: the first combination of a new answer was executed, the
     others that share it were served from the store.
 
-    Everything known per key is brought together first, on distinct keys; combinations
-    meet it in one last join.
+    Statuses are decided on keys alone; the answers' texts come in one last join per key, and
+    combinations meet them in another.
     """
     per_key = state.groupBy(*KEYS).agg(
         F.min(F.when(F.col("status") == "missing", F.col("combo_id"))).alias("_first"))

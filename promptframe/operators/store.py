@@ -35,6 +35,7 @@ PENDING_SCHEMA = (
     "batch_id string, prompt string, params map<string,string>, module_name string, "
     "module_version string, module_args_json string, timestamp string, written_at timestamp"
 )
+LEDGER_SCHEMA = "run_hash string, run_id string, wave int, served int, cost decimal(38,12), written_at timestamp"
 EXPIRED_SCHEMA = "hash_prefix string, prompt_hash string, run_hash string, written_at timestamp"
 
 
@@ -54,7 +55,7 @@ class ResultStore:
     """Prompts, results and pending requests under one root folder."""
 
     SCHEMAS = {"results": RESULT_SCHEMA, "prompts": PROMPT_SCHEMA, "pending": PENDING_SCHEMA,
-               "expired": EXPIRED_SCHEMA}
+               "expired": EXPIRED_SCHEMA, "ledger": LEDGER_SCHEMA}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -136,9 +137,19 @@ class ResultStore:
                               ["hash_prefix", "prompt_hash"], "left_anti")
         self._append("prompts", spread(fresh, tasks), at)
 
-    def append(self, results: DataFrame, at: datetime | None = None) -> None:
-        """Add records; partition them with :func:`spread` before a costly step, not after."""
-        self._append("results", results, at)
+    def append(self, results: DataFrame, at: datetime | None = None) -> str:
+        """Add records; partition them with :func:`spread` before a costly step, not after. Returns
+        the folder of these records."""
+        return self._append("results", results, at)
+
+    def append_ledger(self, entries: DataFrame) -> str:
+        """Add money to the ledger of budgeted runs; returns the folder of these entries."""
+        return self._append("ledger", entries.coalesce(1), None)
+
+    def ledger(self, run_hash: str | None = None) -> DataFrame:
+        """Money by run, by the wave whose answers cost it (-1: stored before), and by the wave of the
+        combinations they serve."""
+        return _of_run(self._read("ledger"), run_hash)
 
     def append_pending(self, rows: DataFrame, at: datetime | None = None) -> None:
         self._append("pending", rows, at)

@@ -649,6 +649,35 @@ def execute_cost(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("combo_id", "usage.tokens_in", "usage.cost_in", "usage.cost_out", "usage.cost")
 
 
+class LengthPriced(CountingProvider):
+    """A model that asks one unit for every character of its prompt."""
+
+    def call(self, batch_rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"response": ['{"chars":%d}' % len(p) for p in batch_rows["prompt"]],
+                             "cost_value": [float(len(p)) for p in batch_rows["prompt"]]})
+
+
+@query(f"""
+  WITH o AS ({OFFER_SQL}),
+       z AS (SELECT greatest(1, count(*) // 8) AS size FROM part),
+       w AS (SELECT combo_id // size AS wave, sum(length(prompt)) AS cost FROM o, z GROUP BY 1),
+       b AS (SELECT wave, coalesce(sum(cost) OVER (ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                    < (SELECT sum(cost) FROM w) * 0.4 AS runs FROM w),
+       f AS (SELECT prompt, min(combo_id) AS first FROM o GROUP BY prompt),
+       s AS (SELECT combo_id, prompt, first, r.runs FROM o JOIN f USING (prompt), z, b r WHERE r.wave = first // size)
+  SELECT combo_id, CASE WHEN NOT runs THEN 'missing' WHEN combo_id = first THEN 'executed' ELSE 'cached' END AS status,
+         CASE WHEN runs THEN length(prompt)::double END AS cost,
+         (SELECT sum(length(prompt)) FROM s WHERE runs)::double AS ledger_total
+  FROM s""")
+def budget_live_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """A live run over all parts stops before the wave that follows the spending of two fifths of all money."""
+    store, grid = ResultStore(spark, shared_dir(spark, "store")), _offers(spark, sf)
+    total, n = grid.agg(F.sum(F.length("prompt")), F.count("*")).first()
+    done = execute(grid, RUN_B, store, LengthPriced(), max_cost=total * 0.4, wave=max(1, n // 8))
+    entered = store.ledger(RUN_B.run_hash).agg(F.sum("cost").cast("double").alias("ledger_total"))
+    return done.select("combo_id", "status", "usage.cost").join(F.broadcast(entered))
+
+
 @query(f"""
   SELECT sha1(prompt) AS prompt_hash, prompt, 'Chat' AS module_name, '2.0.0' AS module_version,
          '{{"gpt_model":"m-large"}}' AS module_args, p_name, p_size::varchar AS p_size, 14 AS stamp_length,

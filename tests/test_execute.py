@@ -271,3 +271,23 @@ def test_sizes_can_be_reused(spark):
     groups = {"n": group_from_rows(spark, [{"name": "a"}])}
     sizes = group_sizes(groups)
     assert sizes["n"].rows == 1 and sizes["n"].broadcastable
+
+
+def test_ledger_holds_what_each_wave_costs(spark, tmp_path):
+    texts = ["a", "bb", "a", "ccc", "bb", "dddd", "a"]
+    grid = expand(Project(spark, {"p": "{{t}}"}, {"g": group_from_rows(spark, [{"t": t} for t in texts])}))
+
+    class Priced(Echo):
+        def call(self, batch):
+            return pd.DataFrame({"response": ["{}"] * len(batch), "cost_value": [float(len(p)) for p in batch["prompt"]]})
+
+    store, run = ResultStore(spark, str(tmp_path / "s")), RunKey("r", Module("m", "M", "m"), {})
+    first = execute(grid, run, store, Priced(tmp_path / "log"), max_cost=6.5, wave=2).orderBy("combo_id").collect()
+    # 3 after the first wave, 4 more with the second, so the third does not start
+    assert [r.status for r in first] == ["executed", "executed", "cached", "executed", "cached", "missing", "cached"]
+    entries = sorted((r.wave, r.served, float(r.cost)) for r in store.ledger().collect())
+    assert entries == [(0, 0, 3.0), (0, 1, 1.0), (0, 2, 2.0), (0, 3, 1.0), (1, 1, 3.0)]
+    again = execute(grid, run, store, Priced(tmp_path / "log"), max_cost=100, wave=2).orderBy("combo_id").collect()
+    assert [r.status for r in again] == ["cached"] * 5 + ["executed", "cached"]
+    runs = {r.run_id: float(r.cost) for r in store.ledger(run.run_hash).groupBy("run_id").agg(F.sum("cost").alias("cost")).collect()}
+    assert sorted(runs.values()) == [10.0, 14.0]
