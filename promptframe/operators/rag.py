@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import deque
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from promptframe.functions.keys import doc_hash
+from promptframe.functions.text import let, strip
 from promptframe.session import shared_dir
 
 CHUNK_SIZE = 500
@@ -33,88 +33,81 @@ CHUNK_BLOCK = 4096
 QUERY_BLOCK = 1024
 # queries of one matrix product
 ROWS_AT_ONCE = 256
-# chunks handed on at once
-OUTPUT_ROWS = 10_000
 
 
 # --- chunks -----------------------------------------------------------------------
 
 
-def _cut(text: str, separator: str) -> list[str]:
-    """Pieces of a text; a separator stays at the head of the piece it starts."""
+def _leaves(text: Column, size: int, level: int = 0) -> Column:
+    """Pieces of a text shorter than ``size``, in order, as struct(text, first).
+
+    A text is cut at one separator, which stays at the head of the piece it starts, and pieces that are
+    too long are cut at the next; ``first`` marks a piece that is not packed with the one before.
+    """
+    separator = SEPARATORS[level]
     if not separator:
-        return list(text)
-    head, *rest = text.split(separator)
-    return [p for p in (head, *(separator + r for r in rest)) if p]
-
-
-def _join(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
-    """Pack pieces into chunks of at most ``size``; a chunk starts with up to
-    ``overlap`` characters of whole pieces from the end of the one before."""
-    held: deque[str] = deque()
-    width = 0
-    for piece in pieces:
-        if width + len(piece) > size:
-            if held:
-                yield "".join(held).strip()
-            while held and (width > overlap or width + len(piece) > size):
-                width -= len(held.popleft())
-        held.append(piece)
-        width += len(piece)
-    if held:
-        yield "".join(held).strip()
-
-
-def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-               separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Recursive split: cut at the coarsest separator present, pack small pieces, and
-    cut pieces that are too long at the next separator."""
-    at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
-    finer = separators[at + 1:]
-    out: list[str] = []
-    small: list[str] = []
-    for piece in _cut(text, separators[at]):
-        if len(piece) < size:
-            small.append(piece)
-            continue
-        out.extend(_join(small, size, overlap))
-        small = []
-        out.extend(split_text(piece, size, overlap, finer) if finer else [piece])
-    out.extend(_join(small, size, overlap))
-    return [c for c in out if c]
+        return F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
+                           lambda p, k: F.struct(p.alias("text"), (k == 0).alias("first")))
+    parts = F.transform(F.split(text, re.escape(separator), -1), lambda p, k: F.when(k == 0, p).otherwise(
+        F.concat(F.lit(separator), p)))
+
+    def cut(pieces: Column) -> Column:
+        def leaf(p: Column, k: Column) -> Column:
+            first = (k == 0) | (F.length(F.get(pieces, k - 1)) >= size)
+            return F.when(F.length(p) < size, F.array(F.struct(p.alias("text"), first.alias("first")))).otherwise(
+                _leaves(p, size, level + 1))
+
+        return F.flatten(F.transform(pieces, leaf))
+
+    return let(F.filter(parts, lambda p: p != ""), cut)
+
+
+def _packed(leaves: Column, size: int, overlap: int) -> Column:
+    """Chunks of at most ``size`` from leaves: a chunk starts with up to ``overlap`` characters of
+    whole pieces from the end of the one before. One fold, which holds the pieces of one chunk."""
+    held_type, none = "array<struct<text:string,end:int>>", F.array().cast("array<string>")
+
+    def state(held: Column, end: Column, out: Column) -> Column:
+        return F.struct(held.cast(held_type).alias("held"), end.alias("end"), out.alias("out"))
+
+    def closed(a: Column) -> Column:
+        joined = strip(F.array_join(F.transform(a["held"], lambda h: h["text"]), ""))
+        return F.when(F.size(a["held"]) > 0, F.array_append(a["out"], joined)).otherwise(a["out"])
+
+    def width_from(a: Column, h: Column) -> Column:
+        return a["end"] - h["end"] + F.length(h["text"])
+
+    def step(acc: Column, leaf: Column) -> Column:
+        n = F.length(leaf["text"])
+
+        def place(a: Column) -> Column:
+            end = a["end"] + n
+            new = F.struct(leaf["text"].alias("text"), end.alias("end"))
+            kept = F.filter(a["held"], lambda h: (width_from(a, h) <= overlap) & (width_from(a, h) + n <= size))
+            full = (F.size(a["held"]) > 0) & (width_from(a, F.get(a["held"], F.lit(0))) + n > size)
+            return F.when(full, state(F.array_append(kept, new), end, closed(a))).otherwise(
+                state(F.array_append(a["held"], new), end, a["out"]))
+
+        fresh = F.when(leaf["first"], state(F.array(), acc["end"], closed(acc))).otherwise(acc)
+        return let(fresh, place)
+
+    packed = F.aggregate(leaves, state(F.array(), F.lit(0), none), step, closed)
+    return F.filter(packed, lambda c: c != "")
 
 
 def chunk(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks of each row's text: the other columns, ``chunk_id`` and ``chunk``."""
-    kept = [f for f in df.schema.fields if f.name != text]
-    names = [f.name for f in kept]
-    schema = T.StructType([*kept, T.StructField("chunk_id", T.LongType()), T.StructField("chunk", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            others = batch.select(names)
-            rows: list[int] = []
-            numbers: list[int] = []
-            chunks: list[str] = []
-
-            def filled() -> pa.RecordBatch:
-                repeated = others.take(pa.array(rows, pa.int64())).columns
-                return pa.RecordBatch.from_arrays(
-                    [*repeated, pa.array(numbers, pa.int64()), pa.array(chunks, pa.string())],
-                    names=[*names, "chunk_id", "chunk"])
-
-            for i, body in enumerate(batch.column(text).to_pylist()):
-                pieces = split_text(body or "", size, overlap)
-                rows.extend([i] * len(pieces))
-                numbers.extend(range(len(pieces)))
-                chunks.extend(pieces)
-                if len(chunks) >= OUTPUT_ROWS:
-                    yield filled()
-                    rows, numbers, chunks = [], [], []
-            if chunks:
-                yield filled()
-
-    return df.mapInArrow(run, schema)
+    """Chunks of each row's text: the other columns, ``chunk_id`` and ``chunk``.
+
+    The recursive split as columns: cut at the coarsest separator, pack small pieces, and cut
+    pieces that are too long at the next separator.
+    """
+    if size < 2:
+        raise ValueError("chunks need a size of two characters at least")
+    kept = [F.col(f"`{c}`") for c in df.columns if c != text]
+    chunks = _packed(_leaves(F.coalesce(F.col(text), F.lit("")), size), size, overlap)
+    # the inner form would compute the chunks twice, to look for rows without any
+    rows = df.select(*kept, F.posexplode_outer(chunks).alias("chunk_id", "chunk"))
+    return rows.filter("chunk_id IS NOT NULL").withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
 def fixed_chunks(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

@@ -213,7 +213,52 @@ def fixed_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return rag.fixed_chunks(docs, "text").withColumn("chunk", F.md5("chunk"))
 
 
-@query()
+def _cut_sql(level: int, separator: str) -> str:
+    """The pieces of all texts that the level before left too long."""
+    parts = (f"list_transform(string_split(piece, {separator}), lambda r, k: CASE WHEN k = 1 THEN r ELSE {separator} || r END)"
+             if separator else "regexp_extract_all(piece, '(?s).')")
+    return f"""
+  l{level} AS (
+    SELECT doc_id, list_append(path, k) AS path, piece,
+           k = 1 OR lag(length(piece)) OVER (PARTITION BY doc_id, path ORDER BY k) >= 500 AS first
+    FROM (SELECT doc_id, path, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k
+          FROM (SELECT doc_id, path, list_filter({parts}, lambda p: p <> '') AS pieces
+                FROM l{level - 1} WHERE {'length(piece) >= 500' if level > 1 else 'true'})))"""
+
+
+# a chunk's pieces are held as their texts and the places where they end
+_HELD = "list_filter(a.held, lambda h: a.stop - h.stop + length(h.t) <= 50 AND a.stop - h.stop + length(h.t) + length(x.t) <= 500)"
+_OUT = "CASE WHEN len(a.held) > 0 THEN list_append(a.chunks, list_aggregate([h.t FOR h IN a.held], 'string_agg', '')) ELSE a.chunks END"
+_NEW = "{'t': x.t, 'stop': a.stop + length(x.t)}"
+CHUNK_SQL = f"""
+WITH l0 AS (SELECT doc_id, []::BIGINT[] AS path, coalesce(text, '') AS piece FROM documents),
+  {",".join(_cut_sql(k + 1, s) for k, s in enumerate(("chr(10) || chr(10)", "chr(10)", "' '", "")))},
+  leaves AS (
+    SELECT doc_id, list({{'t': piece, 'first': first, 'held': []::STRUCT(t VARCHAR, stop BIGINT)[], 'stop': 0::BIGINT,
+                         'chunks': []::VARCHAR[]}} ORDER BY path) AS xs
+    FROM ({" UNION ALL ".join(f"SELECT * FROM l{k} WHERE length(piece) < 500" for k in (1, 2, 3, 4))}) GROUP BY doc_id),
+  folded AS (
+    SELECT doc_id, list_reduce(list_append(xs, {{'t': '', 'first': true, 'held': []::STRUCT(t VARCHAR, stop BIGINT)[],
+                                                 'stop': 0::BIGINT, 'chunks': []::VARCHAR[]}}),
+      lambda a, x: {{
+        't': '', 'first': false,
+        'held': CASE WHEN x.first THEN [{_NEW}]
+                     WHEN len(a.held) > 0 AND a.stop - a.held[1].stop + length(a.held[1].t) + length(x.t) > 500
+                     THEN list_append({_HELD}, {_NEW}) ELSE list_append(a.held, {_NEW}) END,
+        'stop': a.stop + length(x.t),
+        'chunks': CASE WHEN x.first OR len(a.held) > 0 AND a.stop - a.held[1].stop + length(a.held[1].t) + length(x.t) > 500
+                       THEN {_OUT} ELSE a.chunks END}},
+      {{'t': '', 'first': false, 'held': []::STRUCT(t VARCHAR, stop BIGINT)[], 'stop': 0::BIGINT,
+        'chunks': []::VARCHAR[]}}).chunks AS chunks FROM leaves)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_id, md5(c) AS chunk
+FROM (SELECT doc_id, k, regexp_replace(regexp_replace(c, '^[\\s\\x0b\\x1c-\\x1f\\x85\\x{{a0}}\\p{{Z}}]+', ''),
+                                       '[\\s\\x0b\\x1c-\\x1f\\x85\\x{{a0}}\\p{{Z}}]+$', '') AS c
+      FROM (SELECT doc_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS k FROM folded))
+WHERE c <> ''
+"""
+
+
+@query(CHUNK_SQL)
 def recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return rag.chunk(docs, "text").withColumn("chunk", F.md5("chunk"))

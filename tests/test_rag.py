@@ -1,5 +1,7 @@
 import json
+import random
 import sys
+from collections import deque
 
 import numpy as np
 import pytest
@@ -15,25 +17,84 @@ from promptframe.sources.project import Project
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# --- the split as plain Python, which the columns must agree with ---
+
+
+def _cut(text, separator):
+    """Pieces of a text; a separator stays at the head of the piece it starts."""
+    if not separator:
+        return list(text)
+    head, *rest = text.split(separator)
+    return [p for p in (head, *(separator + r for r in rest)) if p]
+
+
+def _join(pieces, size, overlap):
+    """Pack pieces into chunks of at most ``size``; a chunk starts with up to
+    ``overlap`` characters of whole pieces from the end of the one before."""
+    held = deque()
+    width = 0
+    for piece in pieces:
+        if width + len(piece) > size:
+            if held:
+                yield "".join(held).strip()
+            while held and (width > overlap or width + len(piece) > size):
+                width -= len(held.popleft())
+        held.append(piece)
+        width += len(piece)
+    if held:
+        yield "".join(held).strip()
+
+
+def split_text(text, size, overlap, separators=rag.SEPARATORS):
+    """Recursive split: cut at the coarsest separator present, pack small pieces, and
+    cut pieces that are too long at the next separator."""
+    at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
+    finer = separators[at + 1:]
+    out, small = [], []
+    for piece in _cut(text, separators[at]):
+        if len(piece) < size:
+            small.append(piece)
+            continue
+        out.extend(_join(small, size, overlap))
+        small = []
+        out.extend(split_text(piece, size, overlap, finer) if finer else [piece])
+    out.extend(_join(small, size, overlap))
+    return [c for c in out if c]
+
+
 def test_split_examples():
-    assert rag.split_text("a b c", 10, 0) == ["a b c"]
-    assert rag.split_text("", 10, 0) == [] and rag.split_text("  \n ", 10, 0) == []
-    assert rag.split_text("aaaa bbbb cccc", 9, 0) == ["aaaa bbbb", "cccc"]
-    assert rag.split_text("aaaa bbbb cccc dddd", 10, 5) == ["aaaa bbbb", "bbbb cccc", "cccc dddd"]
+    assert split_text("a b c", 10, 0) == ["a b c"]
+    assert split_text("", 10, 0) == [] and split_text("  \n ", 10, 0) == []
+    assert split_text("aaaa bbbb cccc", 9, 0) == ["aaaa bbbb", "cccc"]
+    assert split_text("aaaa bbbb cccc dddd", 10, 5) == ["aaaa bbbb", "bbbb cccc", "cccc dddd"]
     # a separator opens the piece it stands before, and counts for its length
-    assert rag.split_text("one\n\ntwo three\n\nfour", 12, 0) == ["one", "two three", "four"]
-    assert rag.split_text("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
+    assert split_text("one\n\ntwo three\n\nfour", 12, 0) == ["one", "two three", "four"]
+    assert split_text("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab é\n.", max_size=200), st.integers(4, 30), st.integers(0, 3))
 def test_split_keeps_the_text(text, size, overlap):
-    chunks = rag.split_text(text, size, overlap)
+    chunks = split_text(text, size, overlap)
     assert all(0 < len(c) <= size and c in text for c in chunks)
-    bare = "".join("".join(rag.split_text(text, size, 0)).split())
+    bare = "".join("".join(split_text(text, size, 0)).split())
     assert bare == "".join(text.split())  # nothing but space is lost
 
 
+@pytest.mark.parametrize("size,overlap", [(2, 0), (5, 1), (12, 5), (30, 29), (500, 50)])
+def test_chunks_agree_with_the_plain_split(spark, size, overlap):
+    rng = random.Random(size)
+    pieces = ["word", "a", " ", "  ", "\n", "\n\n", "\n\n\n", "é😀", ".", "verylongwordwithoutanyblank", "\t", "\u2003x"]
+    texts = ["", None, " \n\n ", "x" * 1200] + ["".join(rng.choices(pieces, k=rng.randint(0, 120))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {}
+    for r in rag.chunk(df, "t", size, overlap).orderBy("k", "chunk_id").collect():
+        got.setdefault(r["k"], []).append(r["chunk"])
+    for k, t in enumerate(texts):
+        assert got.get(k, []) == split_text(t or "", size, overlap), t
+    assert "Python" not in rag.chunk(df, "t")._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("size,overlap", [(10, 0), (10, 3), (10, 5), (7, 2)])
 def test_fixed_windows(spark, size, overlap):
     texts = ["", "abc", "a" * 10, "é😀" * 9, "0123456789" * 7 + "x"]
@@ -52,7 +113,7 @@ def test_fixed_windows(spark, size, overlap):
 def test_chunk_rows(spark):
     df = spark.createDataFrame([(1, "word " * 300), (2, None), (3, "x")], "k int, t string")
     rows = rag.chunk(df, "t", 100, 10).orderBy("k", "chunk_id").collect()
-    assert [r["chunk"] for r in rows if r["k"] == 1] == rag.split_text("word " * 300, 100, 10)
+    assert [r["chunk"] for r in rows if r["k"] == 1] == split_text("word " * 300, 100, 10)
     assert [r["chunk"] for r in rows if r["k"] == 3] == ["x"] and not [r for r in rows if r["k"] == 2]
 
 
