@@ -276,7 +276,7 @@ def _call_within(missing: DataFrame, state: DataFrame, store: ResultStore, run:
             F.sum(F.col("cost").cast(money.MONEY) * F.col("_n")).cast(money.MONEY).alias("cost"))
         entries = sums.select(F.lit(run.run_hash).alias("run_hash"), F.lit(run_id).alias("run_id"),
                               F.lit(wave).alias("wave"), "served", "cost")
-        for r in store.spark.read.parquet(store.append_ledger(entries)).collect():
+        for r in store.batch("ledger", store.append_ledger(entries)).collect():
             if 0 <= r["served"] < waves:
                 spent[r["served"]] += r["cost"] or 0
 
@@ -289,7 +289,7 @@ def _call_within(missing: DataFrame, state: DataFrame, store: ResultStore, run:
             break
         if wave in full:
             batch = call(placed.filter(F.col("wave") == wave).drop("wave"))
-            enter(wave, store.spark.read.parquet(batch).select(*KEYS, F.col("usage.cost").alias("cost")))
+            enter(wave, store.batch("results", batch).select(*KEYS, F.col("usage.cost").alias("cost")))
         before += spent[wave]
 
 

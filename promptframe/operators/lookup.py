@@ -51,22 +51,22 @@ def pending_keys(pending: DataFrame) -> DataFrame:
 def lookup(work: DataFrame, results: DataFrame, pending: DataFrame | None = None,
            now: Column | datetime | None = None, timeout: float | None = None) -> DataFrame:
     """``work`` plus ``status``: cached, pending or missing."""
+    # two joins, not one with a union, which would hide how either side is stored
     known = valid_keys(results, now, timeout).select(*KEYS, F.lit("cached").alias("_state"))
+    found = work.join(known, KEYS, "left")
+    status = F.coalesce("_state", F.lit("missing"))
     if pending is not None:
-        known = known.unionByName(pending_keys(pending).select(*KEYS, F.lit("pending").alias("_state")))
         # a pending key is not a hit, whatever is stored
-        known = known.groupBy(*KEYS).agg(F.max("_state").alias("_state"))
-    return (work.join(known, KEYS, "left")
-            .withColumn("status", F.coalesce("_state", F.lit("missing"))).drop("_state"))
+        found = found.join(pending_keys(pending).select(*KEYS, F.lit("pending").alias("_waiting")), KEYS, "left")
+        status = F.coalesce("_waiting", status)
+    return found.withColumn("status", status).drop("_state", "_waiting")
 
 
 def misses(work: DataFrame, results: DataFrame, pending: DataFrame | None = None,
            now: Column | datetime | None = None, timeout: float | None = None) -> DataFrame:
     """Work that must be executed: neither answered nor waiting."""
-    known = valid_keys(results, now, timeout).select(*KEYS)
-    if pending is not None:
-        known = known.unionByName(pending_keys(pending))
-    return work.join(known, KEYS, "left_anti")
+    out = work.join(valid_keys(results, now, timeout).select(*KEYS), KEYS, "left_anti")
+    return out if pending is None else out.join(pending_keys(pending), KEYS, "left_anti")
 
 
 def latest(results: DataFrame, by: Sequence[str] = KEYS, at: str = "written_at") -> DataFrame:

@@ -1,17 +1,20 @@
-"""The result store: append-only Parquet tables in a shared folder.
+"""The result store: append-only bucketed Parquet tables in a shared folder.
 
 Each append is one folder ``batch=...`` that readers take only after Spark has
 committed it (``_SUCCESS``), so a lost job leaves nothing half-visible. Nothing is ever
 rewritten: an expiry appends keys, and a record older than its key's expiry is dead.
 
-Inside a batch every file holds one contiguous range of keys, in key order. Keys are
-digests, so the ranges are even whatever the data, the number of files is the number of
-writing tasks (a folder per key prefix would multiply it), and a search for a few keys
-skips files and row groups by their key bounds.
+All batches of a table have the same number of buckets by key, chosen by the first one
+(the shuffle partitions of its session) and kept in the folders' names. A session knows
+the folders as partitions of one bucketed table, so whatever is grouped or joined by key
+reads its buckets in place: the store's side of a lookup is never shuffled. Keys are
+digests, so buckets are even whatever the data. One call finds the committed batches.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from promptframe.operators import lookup
 from promptframe.operators.lookup import KEYS
 from promptframe.operators.usage import USAGE_TYPE
-from promptframe.session import list_dirs, path_exists
+from promptframe.session import glob_paths
 
 RESULT_SCHEMA = (
     "hash_prefix string, prompt_hash string, run_hash string, prompt string, response string, "
@@ -40,17 +43,24 @@ EXPIRED_SCHEMA = "hash_prefix string, prompt_hash string, run_hash string, writt
 
 
 def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Rows in ``tasks`` even, contiguous key ranges, each in key order."""
-    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = F.conv(F.substring("prompt_hash", 1, 6), 16, 10).cast("long")
-    return df.repartitionById(
-        tasks, F.shiftright(place * F.lit(tasks).cast("long"), 24).cast("int")).sortWithinPartitions("prompt_hash")
+    """Rows dealt to ``tasks`` by key, evenly, each task in key order.
+
+    With as many tasks as a store has buckets (its first session's shuffle partitions, the default), a
+    task holds one bucket, and with fewer several whole ones, so an append has one file a bucket.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [k for k in KEYS if k in df.columns]
+    dealt = df.repartition(parts, *keys)
+    return (dealt if tasks is None or tasks >= parts else dealt.coalesce(tasks)).sortWithinPartitions(*keys)
 
 
 def _of_run(df: DataFrame, run_hash: str | None) -> DataFrame:
     return df if run_hash is None else df.filter(F.col("run_hash") == run_hash)
 
 
+_REGISTERED: dict[tuple[str, str], set[str]] = {}
+
+
 class ResultStore:
     """Prompts, results and pending requests under one root folder."""
 
@@ -63,13 +73,45 @@ class ResultStore:
 
     # --- tables -----------------------------------------------------------------
 
+    def _keys(self, table: str) -> list[str]:
+        return [k for k in KEYS if f"{k} string" in self.SCHEMAS[table]] if table != "ledger" else []
+
+    def _batches(self, table: str) -> list[str]:
+        """Names of the committed batches, by one call."""
+        found = glob_paths(self.spark, f"{self.root}/{table}/batch=*/_SUCCESS")
+        return sorted(p.rsplit("/", 2)[1].removeprefix("batch=") for p in found)
+
+    def _buckets(self, batches: Sequence[str]) -> int:
+        """The table's number of buckets, which stands in the names of its batches."""
+        named = [m[1] for b in batches if (m := re.search(r"-n(\d+)-", b))]
+        return int(named[0] if named else self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     def _read(self, table: str) -> DataFrame:
-        batches = [d for d in list_dirs(self.spark, f"{self.root}/{table}")
-                   if path_exists(self.spark, f"{d}/_SUCCESS")]
-        schema = self.SCHEMAS[table]
+        batches = self._batches(table)
+        schema, keys = self.SCHEMAS[table], self._keys(table)
         if not batches:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*batches)
+        if not keys:
+            return self.spark.read.schema(schema).parquet(*[f"{self.root}/{table}/batch={b}" for b in batches])
+        name = f"promptframe_{hashlib.md5(self.root.encode()).hexdigest()}_{table}"
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({schema}, batch string) USING parquet PARTITIONED BY (batch) "
+            f"CLUSTERED BY ({', '.join(keys)}) INTO {self._buckets(batches)} BUCKETS LOCATION '{self.root}/{table}'")
+        new = [b for b in batches if b not in self._known(name)]
+        if new:
+            parts = " ".join(f"PARTITION (batch = '{b}') LOCATION '{self.root}/{table}/batch={b}'" for b in new)
+            self.spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {parts}")
+            self._known(name).update(new)
+        columns = self.spark.createDataFrame([], schema).columns
+        return self.spark.table(name).filter(F.col("batch").isin(batches)).select(*columns)
+
+    def batch(self, table: str, folder: str) -> DataFrame:
+        """The rows of one append."""
+        return self.spark.read.schema(self.SCHEMAS[table]).parquet(folder)
+
+    def _known(self, name: str) -> set[str]:
+        """The batches that this session's table has been told of."""
+        return _REGISTERED.setdefault((self.spark.sparkContext.applicationId, name), set())
 
     def _append(self, table: str, df: DataFrame, at: datetime | None) -> str:
         """Write one batch, by the tasks that hold the rows; returns its folder."""
@@ -86,13 +128,24 @@ class ResultStore:
                 columns.append(F.col(f.name).cast(f.dataType).alias(f.name))
             else:
                 columns.append(F.lit(None).cast(f.dataType).alias(f.name))
-        batch = f"{self.root}/{table}/batch={at.strftime('%Y%m%d%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
-        df.select(*columns).write.parquet(batch)
+        keys, number = self._keys(table), uuid.uuid4().hex
+        stamp = at.strftime("%Y%m%d%H%M%S%f")
+        if not keys:
+            batch = f"{self.root}/{table}/batch={stamp}-{number[:8]}"
+            df.select(*columns).write.parquet(batch)
+            return batch
+        buckets = self._buckets(self._batches(table))
+        batch = f"{self.root}/{table}/batch={stamp}-n{buckets}-{number[:8]}"
+        # the table of one batch is only the way to write buckets; its files stay
+        name = f"promptframe_batch_{number}"
+        df.select(*columns).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option(
+            "path", batch).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
         return batch
 
     def _live(self, records: DataFrame) -> DataFrame:
         """Records that no later expiry has killed."""
-        if not list_dirs(self.spark, f"{self.root}/expired"):
+        if not self._batches("expired"):
             return records
         dead = self._read("expired").groupBy(*KEYS).agg(F.max("written_at").alias("_expired_at"))
         return (records.join(dead, KEYS, "left")
@@ -112,6 +165,8 @@ class ResultStore:
 
     def pending(self) -> DataFrame:
         """State log of requests; an expired key is done."""
+        if not self._batches("expired"):
+            return self._read("pending")
         gone = self._read("expired").select(*KEYS, "written_at", F.lit("done").alias("state"))
         return self._read("pending").unionByName(gone, allowMissingColumns=True)
 
@@ -188,7 +243,7 @@ class ResultStore:
         """Expire newest records; returns how many there were."""
         at = now or datetime.now(timezone.utc)
         found = lookup.expired(self.latest(), at, older_than, errors_only, keys, match)
-        return self.spark.read.parquet(self._append("expired", found.select(*KEYS), at)).count()
+        return self.batch("expired", self._append("expired", found.select(*KEYS), at)).count()
 
     def statistics(self) -> DataFrame:
         def size(text: str) -> Column:

@@ -79,10 +79,11 @@ def first_bytes(spark: SparkSession, path: str, count: int) -> bytes:
         stream.close()
 
 
-def list_dirs(spark: SparkSession, path: str) -> list[str]:
-    """Sub-folders of ``path`` in name order; none when it does not exist."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path):
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern with ``*``, by one call of the driver; none when there are none."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path)
+    if found is None:
         return []
-    return sorted(s.getPath().toString() for s in fs.listStatus(hadoop_path) if s.isDirectory())
+    joined = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", [s.getPath() for s in found])
+    return joined.split("\n") if joined else []

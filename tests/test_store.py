@@ -178,8 +178,40 @@ def test_import_of_a_file_tree(spark, store, grid, tmp_path):
 
 
 def test_spread_is_even_and_ordered(spark):
-    df = spark.range(10_000).select(F.sha1(F.col("id").cast("string")).alias("prompt_hash"))
-    parts = spread(df, 16).select(F.spark_partition_id().alias("p"), "prompt_hash").groupBy("p").agg(
-        F.count("*").alias("n"), F.min("prompt_hash").alias("low"), F.max("prompt_hash").alias("high")).orderBy("p").collect()
-    assert len(parts) == 16 and max(r["n"] for r in parts) < 1.3 * 625
-    assert all(a["high"] < b["low"] for a, b in zip(parts, parts[1:]))
+    df = records(spark, [(str(k), "") for k in range(4000)])
+    for tasks, wanted in ((None, 4), (2, 2), (64, 4)):
+        parts = [[r.prompt_hash for r in p] for p in spread(df, tasks).select("prompt_hash").rdd.glom().collect()]
+        assert len(parts) == wanted and max(map(len, parts)) < 1.2 * 4000 / wanted and all(p == sorted(p) for p in parts)
+
+
+def _scan_side(df):
+    """The physical plan, a line for each operator, without what stands on the side of the work."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line or "FileScan" in line]
+
+
+def test_stored_records_are_not_shuffled(spark, store, rows):
+    store.append(spread(records(spark, [(str(k), "x") for k in range(100)])), T0)
+    store.append(spread(records(spark, [(str(k), "y") for k in range(50)])), T0 + timedelta(1))
+    assert not [line for line in _scan_side(store.latest()) if "Exchange" in line]
+    store.append_pending(spread(records(spark, [("999", "")]).withColumn("state", F.lit("queued"))), T0)
+    asked = records(spark, [(str(k), "") for k in range(200)]).select(*lookup.KEYS).hint("merge")
+    runs = asked.withColumn("run_hash", F.when(F.col("prompt_hash") > "8", "other").otherwise(F.col("run_hash")))
+    assert len([line for line in _scan_side(store.lookup(runs)) if "Exchange hashpartitioning" in line]) == 1  # of the work
+    assert store.lookup(asked).filter("status = 'cached'").count() == 100
+    assert rows(store.latest().groupBy("response").count()) == [("x", 50), ("y", 50)]
+    # one file for each bucket that holds rows, and the number of buckets is that of the first append
+    folders = sorted(p for p in (spark.sparkContext._jvm.java.io.File(store.root + "/results").list()) if p.startswith("batch="))
+    assert len(folders) == 2 and all("-n4-" in f for f in folders)
+
+
+def test_buckets_stay_when_the_session_changes(spark, store, rows):
+    store.append(spread(records(spark, [("a", "1"), ("b", "1")])), T0)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        store.append(records(spark, [("b", "2"), ("c", "2")]), T0 + timedelta(1))
+        again = ResultStore(spark, store.root + "/")
+        assert rows(again.latest().select("prompt", "response")) == [("a", "1"), ("b", "2"), ("c", "2")]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
