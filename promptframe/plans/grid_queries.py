@@ -492,12 +492,21 @@ def image_split(spark: SparkSession, sf: str) -> DataFrame:
         F.md5(F.get(images(F.col("p")), F.lit(0))).alias("first_image"))
 
 
-@query("SELECT n_nationkey AS _ord, n_name AS name, n_nationkey::varchar AS key, n_regionkey::varchar AS region FROM nation")
+PASTED = '''name,key
+"Hello, dear",h
+"Good ""day""",
+NA,n
+'''
+
+
+@query("""SELECT i * (SELECT count(*) FROM customer) + c_custkey AS combo_id,
+                 coalesce(name, '') || ' ' || c_name || coalesce(key, '') AS prompt
+          FROM (VALUES (0, 'Hello, dear', 'h'), (1, 'Good "day"', NULL), (2, NULL, 'n')) p(i, name, key), customer""")
 def pasted_group(spark: SparkSession, sf: str) -> DataFrame:
-    """The nations as pasted CSV text."""
-    rows = table(spark, sf, "nation").orderBy("n_nationkey").collect()
-    content = "name,key,region\n" + "".join(f'"{r.n_name}",{r.n_nationkey},{r.n_regionkey}\n' for r in rows)
-    return files.group_from_string(spark, content, "csv")
+    """Greetings that a user pasted as CSV, for all customers."""
+    project = Project(spark, {"p": "{{name}} {{c_name}}{{key}}"}, {
+        "pasted": files.group_from_string(spark, PASTED, "csv"), "customer": group(spark, sf, "customer", "c_name")})
+    return g.expand(project).select("combo_id", "prompt")
 
 
 @query("SELECT c_custkey AS _ord, c_name FROM customer")
@@ -507,17 +516,19 @@ def capped_group(spark: SparkSession, sf: str) -> DataFrame:
     return files.require_max_rows(customers, table(spark, sf, "customer").count())
 
 
-@query("""SELECT row_number() OVER (ORDER BY n_nationkey % 3, n_nationkey) - 1 AS _ord, n_name AS name,
-                 n_nationkey % 3 AS part FROM nation""")
+@query("""SELECT o_orderkey AS _ord, o_orderkey // 2000 AS part, 'order ' || o_orderkey || ' of part ' || o_orderkey // 2000 AS name,
+                 o_orderpriority AS priority FROM orders""")
 def generated_group(spark: SparkSession, sf: str) -> DataFrame:
-    """The nations dealt to three calls of a user's generator."""
-    names = [r.n_name for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]
+    """A user's generator, in as many partitions as the orders need, whose rows then meet the orders."""
+    total, size = table(spark, sf, "orders").count(), 2000
 
     def generate(part: int, parts: int):
-        for name in names[part::parts]:
-            yield {"name": name, "part": part}
+        for k in range(part * size, min(total, (part + 1) * size)):
+            yield {"name": f"order {k} of part {part}", "part": part}
 
-    return files.group_from_generator(spark, generate, "name string, part bigint", 3)
+    made = files.group_from_generator(spark, generate, "name string, part bigint", max(2, -(-total // size)))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("_ord"), F.col("o_orderpriority").alias("priority"))
+    return made.join(orders, "_ord").select("_ord", "part", "name", "priority")
 
 
 def _loaded(spark: SparkSession, sf: str) -> Project:
@@ -531,9 +542,15 @@ def _loaded(spark: SparkSession, sf: str) -> Project:
     return Project.load(spark, path)
 
 
-@query("SELECT r_regionkey AS combo_id, r_name || ' has key ' || r_regionkey AS prompt FROM region")
+@query("""SELECT c_custkey AS combo_id, c_custkey * 5 + r_regionkey AS pair, r_name || ' has key ' || r_regionkey AS prompt, c_name
+          FROM region, customer""")
 def project_load(spark: SparkSession, sf: str) -> DataFrame:
-    return g.expand(_loaded(spark, sf)).select("combo_id", "prompt")
+    """The prompts of a loaded project, each for all customers."""
+    loaded = g.expand(_loaded(spark, sf)).select(F.col("combo_id").alias("at"), "prompt")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name")
+    pairs = customers.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(loaded.count() - 1).cast("long"))))
+    return pairs.join(loaded, "at").select(
+        F.col("c_custkey").alias("combo_id"), (F.col("c_custkey") * 5 + F.col("at")).alias("pair"), "prompt", "c_name")
 
 
 @query("""SELECT r_regionkey * (SELECT count(*) FROM part) + p_partkey AS combo_id,

@@ -8,11 +8,14 @@ import io
 import json
 import math
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from promptframe.functions.images import IMAGE_TYPES, image_text
 from promptframe.functions.text import strip
@@ -27,11 +30,17 @@ NA_VALUES = (
 )
 
 SPLIT_LENGTH = 8_000_000
+# rows a generator's partition holds before it hands them on
+GENERATED_ROWS = 10_000
 
 # metadata of a text column whose values were JSON numbers or nested JSON
 JSON_TEXT = {"json_text": True}
 
 
+# stands behind a CSV row that is read again
+END_MARK = "\u0001"
+
+
 def charset(encoding: str) -> str:
     """Java's name of a Python encoding name (latin-1, cp1252, utf8 ...)."""
     name = codecs.lookup(encoding).name
@@ -55,10 +64,13 @@ def read_csv_group(
     scan = spark.read.options(
         header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=raw, **options
     ).schema(T.StructType([*text, T.StructField(raw, T.StringType())])).csv(path)
-    # a row of another length is kept whole by the reader: read again with one field more
-    longer = F.from_csv(F.col(raw), ", ".join(f"_{k} string" for k in range(len(names) + 1)),
-                        {"sep": sep, "escape": '"', "nullValue": "\u0000", "multiLine": "true"})
-    extra = F.col(raw).isNotNull() & longer[f"_{len(names)}"].isNotNull()
+    # a row of another length is kept whole by the reader: read again with an end mark behind it, which
+    # lies beyond the next field if there are too many, empty ones included
+    width = len(names) + 1
+    fields = F.from_csv(F.concat(F.regexp_replace(raw, r"[\r\n]+\z", ""), F.lit(f"{sep}{END_MARK}")),
+                        ", ".join(f"_{k} string" for k in range(width)), {"sep": sep, "escape": '"', "multiLine": "true"})
+    ended = F.exists(F.array(*[fields[f"_{k}"] for k in range(width)]), lambda v: F.coalesce(v.endswith(END_MARK), F.lit(False)))
+    extra = F.col(raw).isNotNull() & ~ended
     missing = [v for v in na_values if v]
     columns = []
     for k, name in enumerate(names):
@@ -290,6 +302,88 @@ def read_image_group(spark: SparkSession, path: str) -> DataFrame:
     return group.filter("image is not null").select(ORD, "_id", "image", "image_size")
 
 
+def generator_format(
+    spark: SparkSession, generate: Callable[..., Iterable[Mapping[str, Any]]],
+    schema: T.StructType | str, partitions: int = 1, per_batch: int = 1,
+) -> str:
+    """Register a user function as a data source and return the name of its format.
+
+    A partition calls ``generate()`` if it is the only one, else ``generate(part, parts)``, and gives
+    rows with ``_slot`` (its number) and ``_at`` (place in it). ``spark.read.format(name).load()`` reads
+    all partitions; ``spark.readStream`` reads ``per_batch`` more in every micro-batch.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    name = f"generated_{uuid.uuid4().hex}"
+    names = schema.fieldNames()
+    placed = T.StructType([T.StructField("_slot", T.LongType()), T.StructField("_at", T.LongType()), *schema.fields])
+    arrow = to_arrow_schema(placed)
+
+    class Slot(InputPartition):
+        pass
+
+    def rows_of(slot: int) -> Iterator[pa.RecordBatch]:
+        made = generate() if partitions == 1 else generate(slot, partitions)
+        columns: list[list] = [[] for _ in names]
+        first = 0
+        for at, row in enumerate(made):
+            for column, n in zip(columns, names, strict=True):
+                column.append(row.get(n))
+            if at + 1 - first == GENERATED_ROWS:
+                yield batch_of(slot, first, columns)
+                columns, first = [[] for _ in names], at + 1
+        if columns and columns[0]:
+            yield batch_of(slot, first, columns)
+
+    def batch_of(slot: int, first: int, columns: list[list]) -> pa.RecordBatch:
+        n = len(columns[0])
+        places = [pa.array([slot] * n, pa.int64()), pa.array(range(first, first + n), pa.int64())]
+        return pa.RecordBatch.from_arrays(
+            [*places, *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[2:], strict=True)]], schema=arrow)
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            return [Slot(k) for k in range(partitions)]
+
+        def read(self, partition):
+            return rows_of(partition.value)
+
+    class StreamReader(DataSourceStreamReader):
+        def __init__(self):
+            self.reached = 0
+
+        def initialOffset(self):
+            return {"slot": 0}
+
+        def latestOffset(self):
+            self.reached = min(partitions, self.reached + per_batch)
+            return {"slot": self.reached}
+
+        def partitions(self, start, end):
+            self.reached = max(self.reached, end["slot"])
+            return [Slot(k) for k in range(start["slot"], end["slot"])]
+
+        def read(self, partition):
+            return rows_of(partition.value)
+
+    class Generated(DataSource):
+        @classmethod
+        def name(cls):
+            return name
+
+        def schema(self):
+            return placed
+
+        def reader(self, schema):
+            return Reader()
+
+        def streamReader(self, schema):
+            return StreamReader()
+
+    spark.dataSource.register(Generated)
+    return name
+
+
 def group_from_generator(
     spark: SparkSession, generate: Callable[..., Iterable[Mapping[str, Any]]],
     schema: T.StructType | str, partitions: int = 1,
@@ -298,27 +392,8 @@ def group_from_generator(
 
     The rows are written once and read back: a second call might give others.
     """
-    if isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
-    names = schema.fieldNames()
-    placed = T.StructType([T.StructField("_slot", T.LongType()), T.StructField("_at", T.LongType()),
-                           *schema.fields])
-
-    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for slot in batch["id"]:
-                made = generate() if partitions == 1 else generate(int(slot), partitions)
-                buffer: list[tuple] = []
-                for at, row in enumerate(made):
-                    buffer.append((slot, at, *[row.get(n) for n in names]))
-                    if len(buffer) == 10_000:
-                        yield pd.DataFrame(buffer, columns=placed.fieldNames())
-                        buffer = []
-                if buffer:
-                    yield pd.DataFrame(buffer, columns=placed.fieldNames())
-
     path = shared_dir(spark, "generated")
-    spark.range(0, partitions, 1, partitions).mapInPandas(rows_of, placed).write.parquet(path)
+    spark.read.format(generator_format(spark, generate, schema, partitions)).load().write.parquet(path)
     return dense_ordinals(spark.read.parquet(path), ["_slot"], "_at")
 
 

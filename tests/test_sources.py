@@ -274,3 +274,30 @@ def test_a_json_list_in_any_encoding(spark, tmp_path, encoding):
     path.write_bytes('{"a": 1}'.encode(encoding))
     with pytest.raises(ValueError, match="list of objects"):
         read_json_group(spark, str(path), encoding.removesuffix("-sig"))
+
+
+def test_generator_as_a_stream(spark, tmp_path):
+    name = files.generator_format(spark, lambda i, n: ({"a": f"{i}/{j}"} for j in range(i)), "a string", 5, per_batch=2)
+    job = (spark.readStream.format(name).load().writeStream.format("parquet").option("path", str(tmp_path / "out"))
+           .option("checkpointLocation", str(tmp_path / "log")).trigger(processingTime="0 seconds").start())
+    want = sorted((i, j, f"{i}/{j}") for i in range(5) for j in range(i))
+    try:
+        job.processAllAvailable()
+        assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+    finally:
+        job.stop()
+    assert sorted(tuple(r) for r in spark.read.format(name).load().collect()) == want
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+@pytest.mark.parametrize("line", ["3,4,", "3,4,5", '"3","4",""', "3,4,,", '3,"4",\r'])
+def test_csv_rows_with_more_fields_are_errors(spark, tmp_path, line, multi_line):
+    (tmp_path / "t.csv").write_text(f"a,b\n1,2\n{line}\n5,6\n")
+    with pytest.raises(Exception, match="more than 2 fields"):
+        files.read_csv_group(spark, str(tmp_path / "t.csv"), multi_line=multi_line).collect()
+
+
+def test_csv_rows_with_fewer_fields_end_in_nulls(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b,c\n1,2,3\n4\n5,"x, y"\n,,\n')
+    rows = files.read_csv_group(spark, str(tmp_path / "t.csv")).orderBy("_ord").collect()
+    assert [tuple(r)[1:] for r in rows] == [("1", "2", "3"), ("4", None, None), ("5", "x, y", None), (None, None, None)]
