@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from promptframe.functions.keys import doc_hash
 from promptframe.functions.text import let, strip
-from promptframe.session import shared_dir
+from promptframe.session import path_exists, shared_dir
 
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
@@ -194,6 +194,25 @@ def embed_queries(queries: DataFrame, text: str, cache: DataFrame | None = None,
         known.select("query_hash", "embedding"))
 
 
+def cached_queries(queries: DataFrame, text: str, path: str, model: str = MODEL,
+                   fn: Callable[[pd.Series], pd.Series] = hashed_words) -> DataFrame:
+    """``query_hash``, ``embedding`` of each distinct query, kept in the cache at ``path``: only
+    queries it does not hold yet are embedded, and appended to it."""
+    spark = queries.sparkSession
+    asked = queries.select(doc_hash(F.col(text)).alias("query_hash"), F.col(text).alias("query")).dropDuplicates(["query_hash"])
+
+    def kept() -> DataFrame:
+        return spark.read.parquet(path).filter(F.col("model") == model)
+
+    fresh = asked
+    if path_exists(spark, f"{path}/_SUCCESS"):
+        fresh = asked.join(kept().select("query_hash"), "query_hash", "left_anti")
+    embed(fresh, "query", fn).select("query_hash", "embedding", F.lit(model).alias("model")).write.mode("append").parquet(path)
+    # two writers at once may both have embedded a query
+    return kept().join(asked.select("query_hash"), "query_hash", "left_semi").dropDuplicates(["query_hash"]).select(
+        "query_hash", "embedding")
+
+
 # --- nearest chunks ---------------------------------------------------------------
 
 
@@ -320,13 +339,17 @@ def format_passages(queries: DataFrame, found: DataFrame, fmt: str | None = None
 
 
 class PassageFunction:
-    """``{{document(query)}}``: passages of this combination's document for its query."""
+    """``{{document(query)}}``: passages of this combination's document for its query.
+
+    With ``index``, a folder, chunk vectors are kept there by document, settings and model, and query
+    vectors by text and model: a document or query that is asked for again is not embedded again.
+    """
 
     def __init__(self, document: str, chunk_size: int = CHUNK_SIZE, chunk_overlap: int = CHUNK_OVERLAP,
                  return_format: str | None = None, model_name: str = MODEL, k: int = TOP_K,
-                 fn: Callable[[pd.Series], pd.Series] = hashed_words):
+                 fn: Callable[[pd.Series], pd.Series] = hashed_words, index: str | None = None):
         self.document, self.size, self.overlap = document, chunk_size, chunk_overlap
-        self.fmt, self.model, self.k, self.fn = return_format, model_name, k, fn
+        self.fmt, self.model, self.k, self.fn, self.index = return_format, model_name, k, fn, index
 
     def variables(self, params: Sequence[str]) -> list[str]:
         if not params:
@@ -335,20 +358,24 @@ class PassageFunction:
 
     def apply(self, calls: DataFrame, texts: Mapping[str, DataFrame], params: Sequence[str]) -> DataFrame:
         spark, query = calls.sparkSession, params[0]
-        chunks = index_documents(texts[self.document], "text", shared_dir(spark, "chunks"), self.size,
-                                 self.overlap, self.model, self.fn)
-        path = shared_dir(spark, "queries")
-        embed_queries(texts[query], "text", None, self.fn).write.parquet(path)
+        folder = self.index.rstrip("/") if self.index else shared_dir(spark, "index")
         pairs = calls.select(F.col(self.document).alias("doc_hash"), F.col(query).alias("query_hash"))
-        queries = pairs.join(spark.read.parquet(path), "query_hash")
+        known = spark.read.parquet(f"{folder}/chunks") if path_exists(spark, f"{folder}/chunks/_SUCCESS") else None
+        chunks = index_documents(texts[self.document], "text", f"{folder}/chunks", self.size, self.overlap, self.model,
+                                 self.fn, known)
+        # the index may hold documents that nobody asks for here, and two writers may both have added one
+        chunks = chunks.join(pairs.select("doc_hash").distinct(), "doc_hash", "left_semi").dropDuplicates(["doc_hash", "chunk_id"])
+        vectors = cached_queries(texts[query], "text", f"{folder}/queries", self.model, self.fn)
+        queries = pairs.join(vectors, "query_hash")
         found = passages(retrieve(queries, chunks, self.k), chunks)
         return format_passages(pairs, found, self.fmt).select(
             F.col("doc_hash").alias(self.document),
             *([F.col("query_hash").alias(query)] if query != self.document else []), "value")
 
 
-def passage_functions(rag: dict) -> dict[str, PassageFunction]:
-    """Prompt functions of a project's retrieval settings, each with its own settings."""
+def passage_functions(rag: dict, index: str | None = None,
+                      fn: Callable[[pd.Series], pd.Series] = hashed_words) -> dict[str, PassageFunction]:
+    """Prompt functions of a project's retrieval settings, each with its own settings, on one index."""
     known = ("chunk_size", "chunk_overlap", "return_format", "model_name")
-    return {name: PassageFunction(name, **{k: v for k, v in conf.items() if k in known})
+    return {name: PassageFunction(name, **{k: v for k, v in conf.items() if k in known}, fn=fn, index=index)
             for name, conf in rag.items()}

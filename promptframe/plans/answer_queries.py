@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from promptframe.functions.answers import extract_json
@@ -11,6 +13,7 @@ from promptframe.operators.report import order_report_columns, read_report, unio
 from promptframe.plans.registry import group, query, table
 from promptframe.session import shared_dir
 from promptframe.sources.files import group_from_rows
+from promptframe.sources.ordinals import with_ordinals
 from promptframe.sources.project import Project
 
 # --- answers -------------------------------------------------------------------------
@@ -326,12 +329,38 @@ def passages_text(spark: SparkSession, sf: str) -> DataFrame:
     return out.drop("doc_hash")
 
 
-@query()
+def letter_counts(texts: pd.Series) -> pd.Series:
+    """A vector that SQL can make, too: how often each letter a to z stands in a text."""
+    return pd.Series([np.array([t.count(c) for c in LETTERS], "float32") for t in texts.fillna("")])
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+QUESTIONS = ("the and of in", "le un une des")
+_LETTERS_OF = "[length({0}) - length(replace({0}, c, '')) FOR c IN string_split('" + ",".join(LETTERS) + "', ',')]"
+
+
+@query(f"""
+WITH chunked AS ({CHUNK_SQL.replace("md5(c) AS chunk", "c AS chunk")}),
+  q AS (SELECT i, q, {_LETTERS_OF.format("q")} AS v FROM (VALUES (0, '{QUESTIONS[0]}'), (1, '{QUESTIONS[1]}')) t(i, q)),
+  near AS (
+    SELECT doc_id, i, chunk, row_number() OVER (PARTITION BY doc_id, i ORDER BY d, chunk_id) AS rank FROM (
+      SELECT doc_id, i, chunk_id, chunk, list_sum([(p[1] - p[2]) ** 2 FOR p IN list_zip(v, w)]) AS d
+      FROM (SELECT *, {_LETTERS_OF.format("chunk")} AS w FROM chunked), q)),
+  found AS (SELECT doc_id, i, string_agg(chunk, '----' || chr(10) ORDER BY rank) AS value FROM near WHERE rank <= 5 GROUP BY 1, 2)
+SELECT doc_id * 2 + q.i AS combo_id, sha1('Use these passages:' || chr(10) || coalesce(value, '(empty)') || chr(10)
+       || 'to answer: ' || q.q) AS prompt_hash
+FROM documents CROSS JOIN q LEFT JOIN found USING (doc_id, i)""")
 def rendered_rag(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompts that hold the passages of their document for their question."""
+    """Prompts that hold the passages of their document for their question, from an index that is there already."""
+    docs = group(spark, sf, "documents", "text", "doc_id")
     project = Project(
         spark, {"ask": "Use these passages:\n{{text(question)}}\nto answer: {{question}}"},
-        {"docs": group(spark, sf, "documents", "text"),
-         "questions": group_from_rows(spark, [{"question": "the and of in"}, {"question": "le un une des"}])},
-        rag={"text": {"chunk_size": 500, "chunk_overlap": 50, "return_format": "text"}})
-    return expand(project, functions=rag.passage_functions(dict(project.rag))).select("combo_id", "prompt_hash")
+        {"docs": docs.drop("doc_id"), "questions": group_from_rows(spark, [{"question": q} for q in QUESTIONS])},
+        rag={"text": {"chunk_size": 500, "chunk_overlap": 50, "return_format": "text", "model_name": "letters"}})
+    index = shared_dir(spark, "index")
+    functions = rag.passage_functions(dict(project.rag), index, letter_counts)
+    # a first grid over half of the documents leaves its chunks and queries in the index
+    half = with_ordinals(docs.filter(F.col("doc_id") % 2 == 0), "doc_id").drop("doc_id")
+    first = Project(spark, dict(project.prompts), {"docs": half, "questions": project.groups["questions"]}, rag=dict(project.rag))
+    expand(first, functions=functions).count()
+    return expand(project, functions=functions).select("combo_id", "prompt_hash")

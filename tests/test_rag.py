@@ -185,3 +185,34 @@ def test_passages_in_prompts(spark):
     assert len(rows) == 4
     assert rows[0]["prompt"].startswith("dogs bark: ") and "dogs bark" in rows[0]["prompt"].split(": ")[1].split("----")[0]
     assert rows[3]["prompt"] == "rain: rain falls in spring"
+
+
+def test_index_and_queries_are_embedded_once(spark, tmp_path, rows):
+    log = tmp_path / "embedded"
+
+    def counted(texts):
+        with open(log, "a") as f:
+            f.writelines(t.replace("\n", " ") + "\n" for t in texts)
+        return rag.hashed_words(texts)
+
+    def grid(docs, questions, size=20):
+        project = Project(spark, {"p": "{{doc(q)}}|{{q}}"}, {
+            "d": group_from_rows(spark, [{"doc": d} for d in docs]), "q": group_from_rows(spark, [{"q": q} for q in questions])})
+        functions = {"doc": rag.PassageFunction("doc", size, 0, "text", fn=counted, index=str(tmp_path / "index"))}
+        return rows(expand(project, functions=functions).select("prompt"))
+
+    def embedded():
+        lines = log.read_text().splitlines() if log.exists() else []
+        log.write_text("")
+        return sorted(lines)
+
+    docs = ["red fox jumps over it", "blue sea and the sky"]
+    first = grid(docs, ["fox", "sea"])
+    assert embedded() == sorted(["red fox jumps over", "it", "blue sea and the sky", "fox", "sea"])
+    assert grid(docs, ["fox", "sea"]) == first and embedded() == []
+    more = grid([*docs, "a new one"], ["fox", "new"])
+    assert embedded() == ["a new one", "new"] and len(more) == 6
+    assert [p for p in more if p[0].endswith("|fox")][:2] and set(first) & set(more)
+    # other settings are another index
+    grid(docs, ["fox"], size=10)
+    assert "fox" not in embedded()
