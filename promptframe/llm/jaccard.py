@@ -11,11 +11,14 @@ is a metric, which the join uses in three steps; r is the largest distance of a
    leaves exactly here, before any set moves.
 2. Regions that meet are named by a pivot document, the smallest of their members. A set leaves
    the pivots it shares least with, as long as it could not miss a link by that.
-3. In a region each member's distance to a pivot is computed. Members within r link to it. What is
-   left are the others, and the members whose distance to the pivot is within r of theirs, by the
-   triangle inequality: these form regions again, which join in the same way, on and on. A region
-   that fits into a task does so there. A larger one takes its first step spread over tasks, and
-   what is left of it is dealt in blocks of others and window members.
+3. A region of several members is a Voronoi diagram of ``pivots`` of its sets: every set belongs to the
+   cell of the nearest one. A link of two sets is found in the cell of either, if the other is copied
+   there; by the triangle inequality it is copied to all cells whose pivot is at most 2 r farther
+   than its nearest. Sets within r of a cell's pivot link to it and so need no links among each other:
+   what is left of a cell are the sets that do not, with all that their distances to the pivot admit
+   within r of them. That is a region again, which is cut in the same way, on and on. A region that
+   fits into a task goes on there; a larger one takes its step spread over tasks. A region that does
+   not get smaller, where all sets lie about as far from each other, is joined pair by pair of blocks.
 
 Only a connecting part of the links is kept, a star for each connected part of a region, and the
 components come from these stars. Texts of equal word sequences are one text from the start.
@@ -52,6 +55,11 @@ class Settings:
     longer: float = 0.15
     #: Shingles of a region that one task joins, and of the blocks of a larger region.
     region_shingles: int = 1_000_000
+    #: Sets that a region is divided by, and those of a region that is not divided any more.
+    pivots: int = 8
+    leaf: int = 24
+    #: A step must leave at most this share of a region in a cell, else it is joined pair by pair.
+    shrink: float = 0.7
     #: One in so many documents is looked at to put frequent shingles last, of which at most
     #: ``frequent`` are known: the order changes what the join costs, not what it finds.
     sample: int = 64
@@ -233,27 +241,62 @@ class Sets:
         return 100 * both >= percent * union, 1 - both / union
 
 
-def join_region(sets: list[np.ndarray], percent: int, first: np.ndarray | None = None) -> np.ndarray:
+def _pairwise(region: Sets, parts: Parts, members: np.ndarray, others: np.ndarray, percent: int) -> None:
+    """Links of ``others`` with ``members``, of those whose sizes and distances to one of them admit any."""
+    radius = 1 - percent / 100 + 1e-9
+    _, distance = region.linked(members[0], members, percent)
+    length = region.length[members]
+    far = dict(zip(members.tolist(), distance.tolist(), strict=True))
+    for k in others.tolist():
+        n = region.length[k]
+        near = (parts.of[members] != parts.of[k]) & (100 * np.minimum(n, length) >= percent * np.maximum(n, length))
+        near &= np.abs(distance - far[k]) <= radius
+        found = members[near]
+        if len(found):
+            linked, _ = region.linked(k, found, percent)
+            if linked.any():
+                parts.join(np.append(found[linked], k))
+
+
+def join_region(sets: list[np.ndarray], percent: int, first: np.ndarray | None = None,
+                settings: Settings = SETTINGS) -> np.ndarray:
     """The connected part (its smallest member) of each set under the links of a region.
 
-    Sets are pivots in turn; of each the members of other parts are looked at that its distance to
-    the region's first pivot admits. ``first`` restricts the pivots.
+    ``first`` restricts the links that are looked for to those of these sets.
     """
     parts, every = Parts(len(sets)), np.arange(len(sets))
     if len(sets) < 2:
         return parts.of
-    region = Sets(sets)
-    radius = 1 - percent / 100 + 1e-9
-    _, distance = region.linked(0, every, percent)
-    for k in every if first is None else first:
-        n, length = region.length[k], region.length
-        near = (parts.of != parts.of[k]) & (100 * np.minimum(n, length) >= percent * np.maximum(n, length))
-        near &= np.abs(distance - distance[k]) <= radius
-        others = np.flatnonzero(near)
-        if len(others):
-            found, _ = region.linked(k, others, percent)
-            if found.any():
-                parts.join(np.append(others[found], k))
+    region, radius = Sets(sets), 1 - percent / 100 + 1e-9
+
+    def cut(members: np.ndarray, others: np.ndarray) -> None:
+        if not len(others) or len(members) < 2:
+            return
+        if len(members) <= max(settings.leaf, settings.pivots):
+            return _pairwise(region, parts, members, others, percent)
+        pivots = members[np.linspace(0, len(members) - 1, settings.pivots).astype(np.int64)]
+        told = [region.linked(p, members, percent) for p in pivots.tolist()]
+        for p, (linked, _) in zip(pivots.tolist(), told, strict=True):
+            if linked.any():
+                parts.join(np.append(members[linked], p))
+        far = np.array([d for _, d in told])
+        cell, nearest = far.argmin(0), far.min(0)
+        other = np.isin(members, others)
+        for c, (linked, distance) in enumerate(told):
+            home = other & (cell == c)
+            inside = distance <= nearest + 2 * radius
+            left = inside & ~linked
+            if not home.any() or not left.any():
+                continue
+            kept = left | inside & (distance >= distance[left].min() - radius)
+            # what links to the pivot is connected already, so one of a pair does not
+            asked = kept & (left | home & ~linked)
+            if kept.sum() > settings.shrink * len(members):
+                _pairwise(region, parts, members[kept], members[asked], percent)
+            else:
+                cut(members[kept], members[asked])
+
+    cut(every, every if first is None else np.asarray(first))
     return parts.of
 
 
@@ -305,59 +348,101 @@ def _small_links(sets: DataFrame, settings: Settings) -> DataFrame:
 
     def join(group: pa.Table) -> pa.Table:
         keys, found, _ = _unpacked(group)
-        return _stars(keys, join_region(found, percent))
+        return _stars(keys, join_region(found, percent, settings=settings))
 
     return sets.filter("NOT large").select("pivot", "key", "set").groupBy("pivot").applyInArrow(join, _STAR)
 
 
-def _large_links(sets: DataFrame, settings: Settings) -> DataFrame:
-    """Links in regions beyond one task: to a pivot first, then among what its distances leave."""
-    percent, radius = settings.percent, 1 - settings.percent / 100 + 1e-9
-    large = sets.filter("large").select("pivot", "key", "n", "set").dropDuplicates(["pivot", "key"])
-    firsts = large.groupBy("pivot").agg(F.min_by(F.struct("key", "set"), "key").alias("f"))
-    pairs = large.join(firsts, "pivot").select("pivot", "key", "n", "set", F.col("f.key").alias("first"),
-                                               F.col("f.set").alias("first_set"))
+def _measured(rows: DataFrame, settings: Settings, salt: int) -> DataFrame:
+    """Rows (region, key, n, other) of large regions with ``firsts``, the region's pivots, and the distance
+    to each (``far``) and whether it links with it (``linked``)."""
+    percent = settings.percent
+    order = Window.partitionBy("region").orderBy(F.xxhash64("key", F.lit(salt)), "key")
+    firsts = rows.select("region", "key", "set").withColumn("_k", F.row_number().over(order)).filter(
+        F.col("_k") <= settings.pivots).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("key", "set"))).alias("f"))
+    pairs = rows.join(firsts, "region").select("region", "key", "n", "other", "set", "f.key", "f.set").toDF(
+        "region", "key", "n", "other", "set", "firsts", "first_sets")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        last, held = None, []
         for batch in batches:
             far, linked = [], []
-            sets, firsts = batch.column(3), batch.column(5)
-            for k, first in enumerate(batch.column(4).to_pylist()):
+            sets, firsts = batch.column(4), batch.column(6)
+            for k, region in enumerate(batch.column(0).to_pylist()):
                 own = np.frombuffer(sets[k].as_buffer(), np.uint64)
-                if first != last:
-                    last, held = first, np.frombuffer(firsts[k].as_buffer(), np.uint64).copy()
-                both = int((held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own).sum())
-                union = len(own) + len(held) - both
-                far.append(1 - both / union)
-                linked.append(100 * both >= percent * union)
+                if region != last:
+                    last, held = region, [np.frombuffer(x.as_buffer(), np.uint64).copy() for x in firsts[k].values]
+                both = [int((p[np.minimum(np.searchsorted(p, own), len(p) - 1)] == own).sum()) for p in held]
+                union = [len(own) + len(p) - n for p, n in zip(held, both, strict=True)]
+                far.append([1 - n / u for n, u in zip(both, union, strict=True)])
+                linked.append([100 * n >= percent * u for n, u in zip(both, union, strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], batch.column(4), pa.array(far), pa.array(linked)],
-                names=["pivot", "key", "n", "first", "far", "linked"])
-
-    told = written(pairs.mapInArrow(
-        measure, "pivot long, key long, n long, first long, far double, linked boolean"), "jaccard-first")
-    stars = told.filter("linked AND key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
-    others = told.filter("NOT linked").groupBy("pivot").agg(
-        F.min("far").alias("least"), F.ceil(F.sum("n") / settings.region_shingles).alias("n_other"))
-    left = told.join(others, "pivot").filter(~F.col("linked") | (F.col("far") >= F.col("least") - radius))
-    blocks = left.groupBy("pivot").agg(F.ceil(F.sum("n") / settings.region_shingles).alias("n_member"))
-    left = left.join(blocks, "pivot")
-    deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
-    over = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    as_other = left.filter("NOT linked").select(
-        "pivot", "key", "far", deal("n_other").alias("o"), over("n_member").alias("m"), F.lit(True).alias("other"))
-    as_member = left.select(
-        "pivot", "key", "far", over("n_other").alias("o"), deal("n_member").alias("m"), F.lit(False).alias("other"))
-    dealt = as_other.unionByName(as_member).groupBy("pivot", "key", "o", "m").agg(F.max("other").alias("other"))
-    met = dealt.join(large.select("pivot", "key", "set"), ["pivot", "key"])
+                [*batch.columns[:4], batch.column(5), pa.array(far, pa.list_(pa.float64())), pa.array(linked, pa.list_(pa.bool_()))],
+                names=["region", "key", "n", "other", "firsts", "far", "linked"])
 
-    def join(group: pa.Table) -> pa.Table:
-        keys, found, rows = _unpacked(group)
-        other = np.array(group.column("other"))[rows]
-        return _stars(keys, join_region(found, percent, np.flatnonzero(other)))
+    return written(pairs.mapInArrow(
+        measure, "region long, key long, n long, other boolean, firsts array<long>, far array<double>, linked array<boolean>"),
+        "jaccard-measured")
 
-    return stars.unionByName(met.groupBy("pivot", "o", "m").applyInArrow(join, _STAR))
+
+def _large_links(sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links in regions beyond one task: cell by cell, until a cell fits into a task or gets no smaller."""
+    percent, radius = settings.percent, 1 - settings.percent / 100 + 1e-9
+    large = sets.filter("large").select(F.col("pivot").alias("region"), "key", "n", "set").dropDuplicates(["region", "key"])
+    of_key = large.select("key", "set").dropDuplicates(["key"])
+    rows, out, salt = large.withColumn("other", F.lit(True)), None, 0
+    size = large.groupBy("region").agg(F.count("*").alias("size"))
+
+    def join(group: pa.Table) -> pa.Table:
+        keys, found, at = _unpacked(group)
+        other = np.array(group.column("other"))[at]
+        return _stars(keys, join_region(found, percent, np.flatnonzero(other), settings))
+
+    while not rows.isEmpty():
+        told = _measured(rows, settings, salt)
+        each = told.select("region", "key", "n", "other", F.array_min("far").alias("least"), F.expr(
+            "array_position(far, array_min(far)) - 1").alias("cell"), F.posexplode(F.arrays_zip("firsts", "far", "linked")).alias("c", "p"))
+        stars = each.filter("p.linked AND key <> p.firsts").select(F.col("key").alias("a"), F.col("p.firsts").alias("b"))
+        inside = each.filter(F.col("p.far") <= F.col("least") + 2 * radius).select(
+            F.xxhash64("region", "c", F.lit(salt)).alias("next"), "region", "key", "n", F.col("p.far").alias("far"),
+            F.col("p.linked").alias("linked"), (F.col("other") & (F.col("cell") == F.col("c"))).alias("home"))
+        # sets that link with the pivot are connected; what is left are pairs of which one does not
+        cells = inside.groupBy("next").agg(
+            F.min(F.when(~F.col("linked"), F.col("far"))).alias("from"), F.bool_or("home").alias("asked")).filter(
+            "asked AND from IS NOT NULL")
+        kept = written(inside.join(cells.select("next", "from"), "next").filter(
+            ~F.col("linked") | (F.col("far") >= F.col("from") - radius)).select(
+            "next", "region", "key", "n", (~F.col("linked")).alias("other")), "jaccard-cells")
+        now = kept.groupBy("next", "region").agg(
+            F.count("*").alias("size"), F.sum("n").alias("shingles"), F.sum(F.when(F.col("other"), F.col("n"))).alias("others"))
+        fate = now.join(size.withColumnRenamed("size", "before"), "region").select(
+            "next", "size", F.ceil(F.col("shingles") / settings.region_shingles).alias("n_member"),
+            F.ceil(F.col("others") / settings.region_shingles).alias("n_other"),
+            F.when(F.col("shingles") <= settings.region_shingles, "fits")
+            .when(F.col("size") <= settings.shrink * F.col("before"), "cut").otherwise("blocks").alias("fate"))
+        fate = written(fate, "jaccard-fates")
+        placed = kept.join(fate, "next").select("next", "key", "n", "other", "fate", "n_member", "n_other")
+        fits = placed.filter("fate = 'fits'").select("next", "key", "other").join(of_key, "key")
+        links = stars.unionByName(fits.groupBy("next").applyInArrow(join, _STAR)).unionByName(
+            _block_links(placed.filter("fate = 'blocks'"), of_key, join))
+        out = links if out is None else out.unionByName(links)
+        size = fate.filter("fate = 'cut'").select(F.col("next").alias("region"), "size")
+        rows = written(placed.filter("fate = 'cut'").join(of_key, "key").select(
+            F.col("next").alias("region"), "key", "n", "set", "other"), "jaccard-rows")
+        salt += 1
+    return sets.sparkSession.createDataFrame([], _STAR) if out is None else out
+
+
+def _block_links(rows: DataFrame, of_key: DataFrame, join) -> DataFrame:
+    """Links of the others of a region with all of its sets, dealt in blocks of both."""
+    deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+    over = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    as_other = rows.filter("other").select(
+        "next", "key", deal("n_other").alias("o"), over("n_member").alias("m"), F.lit(True).alias("other"))
+    as_member = rows.select(
+        "next", "key", over("n_other").alias("o"), deal("n_member").alias("m"), F.lit(False).alias("other"))
+    dealt = as_other.unionByName(as_member).groupBy("next", "key", "o", "m").agg(F.max("other").alias("other"))
+    return dealt.join(of_key, "key").groupBy("next", "o", "m").applyInArrow(join, _STAR)
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -66,7 +66,9 @@ def key(r):
 
 
 @pytest.mark.parametrize("change", [{}, {"region_shingles": 400, "sample": 2}, {"longer": 0.0, "region_shingles": 2500},
-                                    {"frequent": 0, "salts": 1}])
+                                    {"frequent": 0, "salts": 1},
+                                    {"region_shingles": 150, "pivots": 3, "leaf": 2},
+                                    {"region_shingles": 300, "pivots": 2, "leaf": 2, "shrink": 0.95}])
 def test_components_match_brute_force(spark, change):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -86,10 +88,11 @@ def test_edges_and_the_one_that_stays(spark):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=12), min_size=1, max_size=25))
-def test_a_region_joins_exactly(sets):
+@given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=12), min_size=1, max_size=25),
+       st.sampled_from([SETTINGS, replace(SETTINGS, pivots=2, leaf=2, shrink=0.99), replace(SETTINGS, pivots=4, leaf=3)]))
+def test_a_region_joins_exactly(sets, how):
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
-    part = join_region(arrays, 75).tolist()
+    part = join_region(arrays, 75, settings=how).tolist()
     reach = list(range(len(sets)))
     for _ in sets:
         for a, x in enumerate(sets):
