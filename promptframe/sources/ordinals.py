@@ -8,6 +8,10 @@ could change are written down first.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from promptframe.session import shared_dir
@@ -22,16 +26,26 @@ def dense_ordinals(df: DataFrame, block: list[str], position: str) -> DataFrame:
     start. Both must be values of the data, such as a file's row index or columns of a
     written table: the rows are read once for the counts and again for the result.
 
-    What is broadcast is 16 bytes for each block of the input, a file or a split of it, and
-    the running sum over blocks sorts one row for each.
+    Blocks are sorted by ranges into buckets, one for each shuffle partition: the rows before a bucket
+    are a few numbers of the plan, those before a block inside its bucket a window over that bucket.
+    A row finds its block by a join on the block's own columns, so any number of files will do.
     """
-    slot = F.xxhash64(*block).alias("_slot")
+    spark = df.sparkSession
     counts = df.groupBy(*block).agg(F.min(position).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
-    shifts = counts.select(slot, shift.alias("_shift"))
+    buckets, path = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_dir(spark, "blocks")
+    counts.repartitionByRange(buckets, *block).sortWithinPartitions(*block).withColumn(
+        "_bucket", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.schema(counts.schema.add("_bucket", "integer")).parquet(path)
+    starts, sums = [0] * buckets, {r["_bucket"]: r["n"] for r in placed.groupBy("_bucket").agg(F.sum("_n").alias("n")).collect()}
+    for k in range(1, buckets):
+        starts[k] = starts[k - 1] + sums.get(k - 1, 0)
+    start = F.get(F.from_json(F.lit(json.dumps(starts)), "array<bigint>"), F.col("_bucket"))
+    before = Window.partitionBy("_bucket").orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    shift = start + F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    shifts = placed.select(*[F.col(c).alias(f"_of{c}") for c in block], shift.alias("_shift"))
     kept = [c for c in df.columns if c not in (*block, position)]
-    return df.withColumn("_slot", slot).join(F.broadcast(shifts), "_slot").select(
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in block])
+    return df.join(shifts, same).select(
         (F.col(position) + F.col("_shift")).alias(ORD), *[F.col(f"`{c}`") for c in kept])
 
 

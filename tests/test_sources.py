@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from promptframe.operators import tables
 from promptframe.sources import files
-from promptframe.sources.ordinals import read_parquet_group, with_ordinals
+from promptframe.sources.ordinals import dense_ordinals, read_parquet_group, with_ordinals
 from promptframe.sources.project import Project
 
 
@@ -301,3 +301,15 @@ def test_csv_rows_with_fewer_fields_end_in_nulls(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,b,c\n1,2,3\n4\n5,"x, y"\n,,\n')
     rows = files.read_csv_group(spark, str(tmp_path / "t.csv")).orderBy("_ord").collect()
     assert [tuple(r)[1:] for r in rows] == [("1", "2", "3"), ("4", None, None), ("5", "x, y", None), (None, None, None)]
+
+
+def test_many_blocks_are_numbered_by_buckets(spark):
+    blocks = spark.range(3000).select(
+        F.format_string("f%05d", F.col("id")).alias("_name"), F.explode(F.sequence(F.lit(0), F.col("id") % 4)).alias("_at"))
+    df = blocks.withColumn("v", F.concat("_name", F.lit("/"), F.col("_at").cast("string"))).repartition(5, "v")
+    numbered = dense_ordinals(df.withColumn("_at", F.col("_at") + 7), ["_name"], "_at")
+    want = [f"f{k:05d}/{j}" for k in range(3000) for j in range(k % 4 + 1)]
+    assert [r.v for r in numbered.orderBy("_ord").collect()] == want
+    assert [r[0] for r in numbered.select("_ord").orderBy("_ord").collect()] == list(range(len(want)))
+    assert "SinglePartition" not in numbered._jdf.queryExecution().toString()
+    assert dense_ordinals(df.limit(0), ["_name"], "_at").count() == 0
