@@ -48,14 +48,17 @@ class Provider(Protocol):
 # --- requests -------------------------------------------------------------------
 
 
+# Fixed value: where a search model is told to search from.
+SEARCH_OPTIONS = {"user_location": {"type": "approximate", "approximate": {"country": "BR"}}}
+
+
 def request_args(args: Mapping[str, Any]) -> dict[str, Any]:
     """Extra arguments of a request after the model's own rules."""
     model, extra = args.get("gpt_model", ""), dict(args.get("gpt_args") or {})
     if args.get("gpt_json"):
         extra["response_format"] = {"type": "json_object"}
     if "-search" in model:
-        extra["web_search_options"] = {
-            "user_location": {"type": "approximate", "approximate": {"country": "BR"}}}
+        extra["web_search_options"] = SEARCH_OPTIONS
         for name in ("temperature", "n", "response_format"):
             extra.pop(name, None)
     return extra

@@ -36,32 +36,9 @@ def model_name(response: Column) -> Column:
     return F.coalesce(F.get_json_object(response, "$.model"), F.lit(""))
 
 
-def model_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
-    """Price of each distinct ``model``: its own name, else the name without a date at
-    the end, else the first ``prefix*`` pattern.
-
-    Every pattern a name can match is spelt out (its prefixes), so this is an equi-join.
-    """
-    name = F.col("model")
-    length = F.length(name)
-    undated = F.regexp_replace(name, DATE_SUFFIX, "")
-    prefixes = F.transform(
-        F.sequence(F.lit(0), length),
-        lambda n: F.struct(F.lit(2).alias("rank"),
-                           F.concat(F.substring(name, F.lit(1), n), F.lit("*")).alias("pattern")))
-    candidates = F.concat(
-        F.array(F.struct(F.lit(0).alias("rank"), name.alias("pattern")),
-                F.struct(F.lit(1).alias("rank"), undated.alias("pattern"))),
-        prefixes)
-    spelt = models.select("model").distinct().select("model", F.inline(candidates))
-    matched = spelt.join(prices.select("pattern", "ord", "input", "output"), "pattern")
-    return matched.groupBy("model").agg(
-        F.min_by(F.struct("input", "output"), F.struct("rank", "ord")).alias("_p")
-    ).select("model", F.col("_p.input").alias("price_in"), F.col("_p.output").alias("price_out"))
-
-
 def price_join(results: DataFrame, prices: DataFrame) -> DataFrame:
-    """``results`` (with ``model``) plus ``price_in``, ``price_out``; NULL if unknown.
+    """``results`` (with ``model``) plus ``price_in``, ``price_out``; NULL if unknown: the price of the
+    name itself, else of the name without a date at the end, else of the first ``prefix*`` pattern.
 
     The price list, an argument of a run, is one value of the plan (a scalar subquery): its exact
     names as a map and its prefixes as an array in order. Results are read once and not joined.
