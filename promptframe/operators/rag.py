@@ -64,35 +64,40 @@ def _leaves(text: Column, size: int, level: int = 0) -> Column:
 
 def _packed(leaves: Column, size: int, overlap: int) -> Column:
     """Chunks of at most ``size`` from leaves: a chunk starts with up to ``overlap`` characters of
-    whole pieces from the end of the one before. One fold, which holds the pieces of one chunk."""
-    held_type, none = "array<struct<text:string,end:int>>", F.array().cast("array<string>")
+    whole pieces from the end of the one before.
 
-    def state(held: Column, end: Column, out: Column) -> Column:
-        return F.struct(held.cast(held_type).alias("held"), end.alias("end"), out.alias("out"))
+    One fold over the leaves that holds numbers only: the next leaf, the first one of the open chunk, its
+    width, and the ranges of leaves that are chunks.
+    """
+    def state(at: Column, first: Column, width: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), first.alias("first"), width.alias("width"), out.alias("out"))
 
     def closed(a: Column) -> Column:
-        joined = strip(F.array_join(F.transform(a["held"], lambda h: h["text"]), ""))
-        return F.when(F.size(a["held"]) > 0, F.array_append(a["out"], joined)).otherwise(a["out"])
-
-    def width_from(a: Column, h: Column) -> Column:
-        return a["end"] - h["end"] + F.length(h["text"])
-
-    def step(acc: Column, leaf: Column) -> Column:
-        n = F.length(leaf["text"])
-
-        def place(a: Column) -> Column:
-            end = a["end"] + n
-            new = F.struct(leaf["text"].alias("text"), end.alias("end"))
-            kept = F.filter(a["held"], lambda h: (width_from(a, h) <= overlap) & (width_from(a, h) + n <= size))
-            full = (F.size(a["held"]) > 0) & (width_from(a, F.get(a["held"], F.lit(0))) + n > size)
-            return F.when(full, state(F.array_append(kept, new), end, closed(a))).otherwise(
-                state(F.array_append(a["held"], new), end, a["out"]))
-
-        fresh = F.when(leaf["first"], state(F.array(), acc["end"], closed(acc))).otherwise(acc)
-        return let(fresh, place)
-
-    packed = F.aggregate(leaves, state(F.array(), F.lit(0), none), step, closed)
-    return F.filter(packed, lambda c: c != "")
+        made = F.struct(a["first"].alias("first"), a["at"].alias("end"))
+        return F.when(a["at"] > a["first"], F.array_append(a["out"], made)).otherwise(a["out"])
+
+    def pack(found: Column) -> Column:
+        def step(a: Column, leaf: Column) -> Column:
+            n = F.length(leaf["text"])
+
+            def dropped(d: Column, held: Column) -> Column:
+                over = (d["width"] > overlap) | (d["width"] + n > size)
+                return F.when(over, F.struct((d["width"] - F.length(held["text"])).alias("width"), (d["k"] + 1).alias("k"))).otherwise(d)
+
+            held = F.slice(found, a["first"] + 1, a["at"] - a["first"])
+            drop = F.aggregate(held, F.struct(a["width"].alias("width"), F.lit(0).alias("k")), dropped)
+            full = (a["width"] + n > size) & (a["at"] > a["first"])
+            return F.when(leaf["first"], state(a["at"] + 1, a["at"], n, closed(a))).when(
+                full, let(drop, lambda d: state(a["at"] + 1, a["first"] + d["k"], d["width"] + n, closed(a)))).otherwise(
+                state(a["at"] + 1, a["first"], a["width"] + n, a["out"]))
+
+        none = F.array().cast("array<struct<first:int,end:int>>")
+        ranges = F.aggregate(found, state(F.lit(0), F.lit(0), F.lit(0), none), step, closed)
+        texts = F.transform(ranges, lambda r: strip(F.array_join(
+            F.transform(F.slice(found, r["first"] + 1, r["end"] - r["first"]), lambda x: x["text"]), "")))
+        return F.filter(texts, lambda c: c != "")
+
+    return let(leaves, pack)
 
 
 def chunk(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
