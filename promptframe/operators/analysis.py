@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -99,33 +98,79 @@ def row_keys(rows: DataFrame, masked: str | None = "masked", timestamp: str | No
     return F.concat(*parts)
 
 
-def column_names(rows: DataFrame, masked: str | None = "masked", timestamp: str | None = "timestamp") -> list[str]:
-    """Keys of all rows, ordered by where they first appear (combination, item, place).
+#: Columns that a report without a list of its own may have; further keys stay in one variant column.
+MOST_COLUMNS = 10_000
 
-    The place is one decimal number, so that keys are collapsed by hashing before the
-    shuffle instead of by sorting.
+
+def first_places(rows: DataFrame, masked: str | None = "masked", timestamp: str | None = "timestamp") -> DataFrame:
+    """``key, first, key_pos``: where each key appears first (combination, item, place; then place in the row).
+
+    Rows of the same keys are collapsed before their keys are taken apart. The place is one
+    decimal number with room for all values of its parts, so that this needs no sorting.
     """
     place = F.lit(0).cast("decimal(38,0)")
-    for name, width in (("combo_id", 0), ("pos", 5), ("list_pos", 8)):
-        if name in rows.columns:
-            top = 10**width - 1 if width else 2**63 - 1
-            step = F.lit(10**width).cast("decimal(9,0)")
-            place = (place * step + F.least(F.col(name).cast("long"), F.lit(top))).cast("decimal(38,0)")
-    seen = rows.select(place.alias("at"), F.posexplode(row_keys(rows, masked, timestamp)).alias("key_pos", "key"))
-    at = (F.col("at") * F.lit(1_000_000).cast("decimal(7,0)") + F.least("key_pos", F.lit(999_999))).cast("decimal(38,0)")
-    first = seen.groupBy("key").agg(F.min(at).alias("first"))
-    # a report has a column for each key, so their number is that of a table's columns
-    return [r[0] for r in first.orderBy("first", "key").select("key").collect()]
+    for name, width in (("combo_id", 19), ("pos", 10), ("list_pos", 9)):
+        part = F.coalesce(F.col(name).cast("long"), F.lit(0)) if name in rows.columns else F.lit(0)
+        step = F.lit(10**width if name != "combo_id" else 1).cast("decimal(11,0)")
+        place = (place * step + part.cast("decimal(19,0)")).cast("decimal(38,0)")
+    alike = rows.select(place.alias("at"), row_keys(rows, masked, timestamp).alias("keys")).groupBy("keys").agg(
+        F.min("at").alias("at"))
+    seen = alike.select("at", F.posexplode("keys").alias("key_pos", "key"))
+    return seen.groupBy("key").agg(F.min(F.struct("at", "key_pos")).alias("p")).select(
+        "key", F.col("p.at").alias("first"), F.col("p.key_pos").alias("key_pos"))
+
+
+def column_names(rows: DataFrame, masked: str | None = "masked", timestamp: str | None = "timestamp",
+                 most: int = MOST_COLUMNS) -> list[str]:
+    """The first ``most`` keys of all rows, ordered by where they first appear."""
+    first = first_places(rows, masked, timestamp)
+    return [r[0] for r in first.orderBy("first", "key_pos", "key").limit(most).select("key").collect()]
+
+
+def answer_schema(rows: DataFrame, *by: str, data: str = "data") -> DataFrame:
+    """``schema`` of all answers (of a group), as an aggregate: a variant's type with every key that
+    occurs and the least type that holds its values. NULL where no answer is JSON."""
+    # the aggregate says VOID of no values at all
+    found = F.schema_of_variant_agg(F.try_parse_json(data))
+    return rows.groupBy(*by).agg(F.when(F.count(F.try_parse_json(data)) > 0, found).alias("schema"))
+
+
+def typed_columns(rows: DataFrame, columns: Mapping[str, str], keep: Sequence[str] = (),
+                  data: str = "data") -> DataFrame:
+    """Answers as typed columns of the wished keys, and ``rest``: all other keys as one variant.
+
+    The data are read once and nothing is gathered. A value that its type cannot hold is NULL in
+    its column and stays in ``rest``; so does an answer that is no object. A key may hold any character.
+    """
+    whole = rows.withColumn("_answer", F.try_parse_json(data)).withColumn(
+        "_keys", F.try_variant_get("_answer", "$", "map<string,variant>"))
+    wished = F.array(*[F.lit(c) for c in columns]).cast("array<string>")
+    read = whole.withColumns({f"_value_{i}": F.try_variant_get(F.try_element_at("_keys", F.lit(name)), "$", kind)
+                              for i, (name, kind) in enumerate(columns.items())})
+    # a null in the answer is held by NULL; anything else that gives NULL did not fit
+    lost = [F.when(F.col(f"_value_{i}").isNull() & ~F.coalesce(
+        F.is_variant_null(F.try_element_at("_keys", F.lit(name))), F.lit(True)), F.lit(name))
+        for i, name in enumerate(columns)]
+    held = F.array_except(wished, F.array_compact(F.array(*lost)).cast("array<string>"))
+    rest = F.map_filter("_keys", lambda k, v: ~F.array_contains(held, k))
+    return read.select(
+        *keep, *[F.col(f"_value_{i}").alias(name) for i, name in enumerate(columns)],
+        F.when(F.col("_keys").isNull(), F.col("_answer")).when(
+            F.size(rest) > 0, F.to_variant_object(rest)).alias("rest"))
 
 
 def to_columns(rows: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = (),
-               masked: str | None = "masked", timestamp: str | None = "timestamp") -> DataFrame:
+               masked: str | None = "masked", timestamp: str | None = "timestamp",
+               most: int = MOST_COLUMNS) -> DataFrame:
     """Answer rows as a table with one text column per key; an absent key is NULL.
 
     ``columns`` (for instance the fields a template asks for) saves the pass over the
-    data that finds them.
+    data that finds them. Without it, keys beyond the first ``most`` stay together in a
+    variant column ``_rest``, so that none is lost and the driver holds ``most`` names at the most.
     """
-    names = list(columns) if columns is not None else column_names(rows, masked, timestamp)
+    names = list(columns) if columns is not None else column_names(rows, masked, timestamp, most + 1)
+    more = columns is None and len(names) > most
+    names = names[:most] if more else names
     read = rows.withColumns({
         "_data": F.from_json("data", "map<string,string>"), "_more": F.from_json("extra", "map<string,string>")})
 
@@ -144,7 +189,28 @@ def to_columns(rows: DataFrame, columns: Sequence[str] | None = None, keep: Sequ
         found.append(F.col("_data").getItem(name))
         return F.coalesce(*found)
 
-    return read.select(*keep, *[value(n).alias(n) for n in names if n not in keep])
+    shown = [value(n).alias(n) for n in names if n not in keep]
+    if more:
+        shown.append(_rest(rows, names, masked, timestamp))
+    return read.select(*keep, *shown)
+
+
+def _rest(rows: DataFrame, names: Sequence[str], masked: str | None, timestamp: str | None) -> Column:
+    """Variant of all values of a row whose key is not in ``names``."""
+    own = [("_error", "error"), ("_raw", "raw"), ("_choice", "choice")]
+    if timestamp and timestamp in rows.columns:
+        own.append(("_timestamp", timestamp))
+    parts = [F.col("_data")]
+    parts += [F.create_map(F.lit(k), F.col(c).cast("string")) for k, c in own[:2]]
+    if masked and masked in rows.columns:
+        parts.append(F.transform_keys(masked, lambda k, v: F.concat(F.lit("input_"), k)).cast("map<string,string>"))
+    parts.append(F.col("_more"))
+    parts += [F.create_map(F.lit(k), F.col(c).cast("string")) for k, c in own[2:]]
+    known = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    left = [F.map_filter(F.coalesce(p, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))),
+                         lambda k, v: v.isNotNull() & ~F.array_contains(known, k)) for p in parts]
+    every = F.map_concat(*left)
+    return F.when(F.size(every) > 0, F.to_variant_object(every)).alias("_rest")
 
 
 # --- analyses -------------------------------------------------------------------
@@ -233,39 +299,60 @@ def with_inputs(rows: DataFrame, masked: str = "masked") -> DataFrame:
 
 #: Results of tasks that one task of the next round takes.
 REDUCE_WIDTH = 16
+#: Rows of one key that are handed to the user's roll-up at once.
+REDUCE_ROWS = 4096
+
+
+def _same_key(a: tuple, b: tuple) -> bool:
+    """Whether two keys are one group; a NaN equals itself, as in Spark."""
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
 
 
 def python_reduce(rows: DataFrame, reduce: Callable[[list[dict]], Any], schema: str,
                   keys: Sequence[str] = ()) -> DataFrame:
     """User roll-up: over the rows of each task, then in rounds over the results of a few tasks.
 
-    With ``keys``, which the results must have too, results meet by key instead of in one last task.
+    With ``keys``, which the results must have too, results meet by key instead of in one last task:
+    each task sorts its rows by key and rolls a key up as its rows stream by, so it holds one key at
+    a time and at most ``REDUCE_ROWS`` of its rows, however many keys or rows of a key there are.
+    A key that has most rows has one result a task after the first round, so it needs no salt.
     """
     out = T.StructType.fromDDL(schema)
-    names = out.fieldNames()
+    out_arrow = to_arrow_schema(out)
 
-    def rolled(state: list[dict], batch: pd.DataFrame) -> list[dict]:
-        found: dict[tuple, list[dict]] = {}
-        for row in [*state, *batch.to_dict(orient="records")]:
-            found.setdefault(tuple(row[k] for k in keys), []).append(row)
-        made = [reduce(group) for group in found.values()]
-        return [row for m in made for row in (m if isinstance(m, list) else [m])]
+    def rolled(group: list[dict]) -> list[dict]:
+        made = reduce(group)
+        return made if isinstance(made, list) else [made]
 
-    def roll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: list[dict] = []
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        at: tuple | None = None
+        done: list[dict] = []
         for batch in batches:
-            if not batch.empty:
-                state = rolled(state, batch)
-        if state:
-            yield pd.DataFrame([[r.get(n) for n in names] for r in state], columns=names)
+            for row in batch.to_pylist(maps_as_pydicts="strict"):
+                key = tuple(row[k] for k in keys)
+                if at is not None and not _same_key(at, key):
+                    done += rolled(held)
+                    held = []
+                at = key
+                held.append(row)
+                if len(held) >= REDUCE_ROWS:
+                    held = rolled(held)
+                if len(done) >= REDUCE_ROWS:
+                    yield pa.RecordBatch.from_pylist(done, schema=out_arrow)
+                    done = []
+        done += rolled(held) if held else []
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=out_arrow)
 
-    made = rows.mapInPandas(roll, out)
     if keys:
-        return made.repartition(*keys).mapInPandas(roll, out)
+        made = rows.sortWithinPartitions(*keys).mapInArrow(roll, out)
+        return made.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(roll, out)
+    made = rows.mapInArrow(roll, out)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while tasks > 1:
         tasks = -(-tasks // REDUCE_WIDTH)
-        made = made.repartition(tasks).mapInPandas(roll, out)
+        made = made.repartition(tasks).mapInArrow(roll, out)
     return made
 
 

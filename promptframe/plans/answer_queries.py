@@ -132,6 +132,35 @@ def answer_columns(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.to_columns(rows, keep=["event_id", "pos", "list_pos"])
 
 
+@query(f"""
+  SELECT event_id, pos, list_pos, try_cast(json_extract_string(data, '$.k') AS bigint) AS k,
+         json_extract_string(data, '$.kind') AS kind,
+         CASE WHEN event_type = 'error' THEN '{{"result":"[' || {K} || ']"}}'
+              WHEN event_type NOT IN ('click', 'view') THEN data::varchar END AS rest
+  FROM ({FLAT_SQL}) JOIN events USING (event_id)""")
+def answer_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """Two wished keys as typed columns, all others as one variant; the data are read once."""
+    rows = analysis.flatten_answers(_wrapped_answers(spark, sf))
+    typed = analysis.typed_columns(rows, {"k": "bigint", "kind": "string"}, ["event_id", "pos", "list_pos"])
+    return typed.withColumn("rest", F.to_json("rest"))
+
+
+@query(f"""
+  WITH keys AS (SELECT event_type, unnest(json_keys(data)) AS key, data FROM ({FLAT_SQL}) JOIN events USING (event_id)),
+       kinds AS (SELECT event_type, key, CASE json_type(data, '$.' || key) WHEN 'VARCHAR' THEN 'STRING'
+                   WHEN 'ARRAY' THEN CASE key WHEN 'data' THEN 'ARRAY<OBJECT<k: BIGINT>>' ELSE 'ARRAY<BIGINT>' END
+                   ELSE 'BIGINT' END AS kind FROM keys),
+       types AS (SELECT event_type, key, CASE WHEN count(DISTINCT kind) > 1 THEN 'VARIANT' ELSE min(kind) END AS kind
+                 FROM kinds GROUP BY ALL)
+  SELECT event_type AS input_kind,
+         'OBJECT<' || coalesce(string_agg(key || ': ' || kind, ', ' ORDER BY key), '') || '>' AS schema
+  FROM (SELECT DISTINCT event_type FROM events) LEFT JOIN types USING (event_type) GROUP BY 1""")
+def answer_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """The type of all answers of each kind of event, found by one aggregate."""
+    rows = analysis.flatten_answers(_wrapped_answers(spark, sf)).withColumn("input_kind", F.col("masked")["kind"])
+    return analysis.answer_schema(rows, "input_kind")
+
+
 @query("""SELECT event_id, event_type || '!' AS label, length(props) AS size, event_type AS input_kind, 't' AS _timestamp
           FROM events WHERE event_type <> 'view'
           UNION ALL SELECT event_id, 'twice', 0, event_type, 't' FROM events WHERE event_type = 'click'""")
@@ -171,6 +200,19 @@ def python_reduce_by_key(spark: SparkSession, sf: str) -> DataFrame:
         "kind string, n bigint, total bigint", ["kind"])
 
 
+@query("""SELECT user_id, event_type AS kind, count(*) AS n, max(length(props))::bigint AS longest
+          FROM events GROUP BY ALL""")
+def python_reduce_many_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's roll-up by keys whose number grows with the table; a task holds one at a time."""
+    rows = table(spark, sf, "events").select(
+        "user_id", F.col("event_type").alias("kind"), F.lit(1).cast("long").alias("n"),
+        F.length("props").cast("long").alias("longest"))
+    return analysis.python_reduce(
+        rows, lambda rs: {"user_id": rs[0]["user_id"], "kind": rs[0]["kind"], "n": sum(r["n"] for r in rs),
+                          "longest": max(r["longest"] for r in rs)},
+        "user_id bigint, kind string, n bigint, longest bigint", ["user_id", "kind"])
+
+
 # --- reports -------------------------------------------------------------------------
 
 UNION_SQL = """

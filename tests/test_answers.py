@@ -124,3 +124,61 @@ def test_cost_analysis(spark):
     from promptframe.operators.usage import run_info
 
     assert run_info(df).first().asDict() == {"elapsed_time": 2.0, "total_cost": 7.75}
+
+
+def test_places_beyond_any_width(spark):
+    df = spark.createDataFrame(
+        [(2**62, 1, 100_000, '{"late":1,"b":1}', None, None, None, None),
+         (2**62, 1, 99_999, '{"early":1}', None, None, None, None),
+         (2**62, 100_001, 0, '{"last":1}', None, None, None, None),
+         (2**62 - 1, 7, 999_999_998, '{"first":1,"second":1}', None, None, None, None)],
+        "combo_id long, pos int, list_pos int, data string, extra string, choice int, error string, raw string")
+    assert analysis.column_names(df) == ["first", "second", "early", "late", "b", "last"]
+    assert analysis.column_names(df, most=2) == ["first", "second"]
+
+
+def test_keys_beyond_the_columns_stay_in_a_variant(spark):
+    df = spark.createDataFrame(
+        [(1, '{"a":1,"b":null,"c":{"d":[1]}}', '{"e":"x"}', None, None, None),
+         (2, None, None, None, "bad", "text"), (3, '{"a":2}', None, 5, None, None)],
+        "combo_id long, data string, extra string, choice int, error string, raw string")
+    table = analysis.to_columns(df, keep=["combo_id"], most=1)
+    assert table.columns == ["combo_id", "a", "_rest"]
+    got = {r[0]: (r[1], r[2]) for r in table.select("combo_id", "a", F.to_json("_rest")).collect()}
+    assert got == {1: ("1", '{"c":"{\\"d\\":[1]}","e":"x"}'), 2: (None, '{"_error":"bad","_raw":"text"}'),
+                   3: ("2", '{"_choice":"5"}')}
+    assert "_rest" not in analysis.to_columns(df, keep=["combo_id"]).columns
+
+
+def test_typed_columns(spark):
+    df = spark.createDataFrame(
+        [(1, '{"n":1,"x.y":"z","more":[1,{"k":null}]}'), (2, '{"n":"many","x.y":null}'), (3, "[1,2]"), (4, "7"),
+         (5, "{broken"), (6, None), (7, "{}"), (8, '{"n":null}')], "id int, data string")
+    typed = analysis.typed_columns(df, {"n": "int", "x.y": "string"}, ["id"])
+    got = {r[0]: tuple(r)[1:] for r in typed.select("id", "n", "`x.y`", F.to_json("rest")).collect()}
+    assert got == {1: (1, "z", '{"more":[1,{"k":null}]}'), 2: (None, None, '{"n":"many"}'), 3: (None, None, "[1,2]"),
+                   4: (None, None, "7"), 5: (None, None, None), 6: (None, None, None), 7: (None, None, None),
+                   8: (None, None, None)}
+    found = {r[0]: r[1] for r in analysis.answer_schema(df.filter("id <> 3 AND id <> 4"), "id").collect()}
+    assert found[1] == "OBJECT<more: ARRAY<VARIANT>, n: BIGINT, `x.y`: STRING>" and found[5] is None and found[6] is None
+    assert analysis.typed_columns(df, {}, ["id"]).filter("id = 1").select(F.to_json("rest")).first()[0] == \
+        '{"more":[1,{"k":null}],"n":1,"x.y":"z"}'
+
+
+def test_keyed_reduce_holds_one_key(spark):
+    """More keys and more rows of one key than a call is given; null and NaN keys are groups."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).when(F.col("id") % 3 == 1, F.col("id") / 1).alias("k"),
+        F.lit(1).cast("long").alias("n"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    most = analysis.REDUCE_ROWS
+
+    def reduce(group):
+        assert len(group) <= most and len({str(r["k"]) for r in group}) == 1
+        return [{"k": group[0]["k"], "n": sum(r["n"] for r in group), "m": {"a": 2}}]
+
+    out = analysis.python_reduce(rows, reduce, "k double, n bigint, m map<string,int>", ["k"])
+    assert out.count() == 20_002
+    big = {str(r["k"]): r["n"] for r in out.filter("n > 1").collect()}
+    assert big == {"nan": 20_000, "None": 20_000}
+    assert out.filter("m['a'] = 2").count() == 20_002
+    assert analysis.python_reduce(rows.limit(0), reduce, "k double, n bigint, m map<string,int>", ["k"]).count() == 0
