@@ -113,8 +113,17 @@ class ResultStore:
         """The batches that this session's table has been told of."""
         return _REGISTERED.setdefault((self.spark.sparkContext.applicationId, name), set())
 
-    def _append(self, table: str, df: DataFrame, at: datetime | None) -> str:
-        """Write one batch, by the tasks that hold the rows; returns its folder."""
+    def _append(self, table: str, df: DataFrame, at: datetime | None, once: str | None = None) -> str:
+        """Write one batch, by the tasks that hold the rows; returns its folder.
+
+        Of batches with the same ``once`` only the first is written.
+        """
+        number = uuid.uuid4().hex
+        if once is not None:
+            number = hashlib.md5(once.encode()).hexdigest()
+            for done in glob_paths(self.spark, f"{self.root}/{table}/batch=*-{number}/_SUCCESS"):
+                return f"{self.root}/{table}/{done.rsplit('/', 2)[1]}"
+        end = number if once is not None else number[:8]
         at = at or datetime.now(timezone.utc)
         empty = self.spark.createDataFrame([], self.SCHEMAS[table])
         columns: list[Column] = []
@@ -128,16 +137,16 @@ class ResultStore:
                 columns.append(F.col(f.name).cast(f.dataType).alias(f.name))
             else:
                 columns.append(F.lit(None).cast(f.dataType).alias(f.name))
-        keys, number = self._keys(table), uuid.uuid4().hex
+        keys = self._keys(table)
         stamp = at.strftime("%Y%m%d%H%M%S%f")
         if not keys:
-            batch = f"{self.root}/{table}/batch={stamp}-{number[:8]}"
+            batch = f"{self.root}/{table}/batch={stamp}-{end}"
             df.select(*columns).write.parquet(batch)
             return batch
         buckets = self._buckets(self._batches(table))
-        batch = f"{self.root}/{table}/batch={stamp}-n{buckets}-{number[:8]}"
+        batch = f"{self.root}/{table}/batch={stamp}-n{buckets}-{end}"
         # the table of one batch is only the way to write buckets; its files stay
-        name = f"promptframe_batch_{number}"
+        name = f"promptframe_batch_{uuid.uuid4().hex}"
         df.select(*columns).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option(
             "path", batch).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")
@@ -192,10 +201,10 @@ class ResultStore:
                               ["hash_prefix", "prompt_hash"], "left_anti")
         self._append("prompts", spread(fresh, tasks), at)
 
-    def append(self, results: DataFrame, at: datetime | None = None) -> str:
+    def append(self, results: DataFrame, at: datetime | None = None, once: str | None = None) -> str:
         """Add records; partition them with :func:`spread` before a costly step, not after. Returns
-        the folder of these records."""
-        return self._append("results", results, at)
+        the folder of these records. A job that may run again names its records by ``once``."""
+        return self._append("results", results, at, once)
 
     def append_ledger(self, entries: DataFrame) -> str:
         """Add money to the ledger of budgeted runs; returns the folder of these entries."""
@@ -206,8 +215,17 @@ class ResultStore:
         combinations they serve."""
         return _of_run(self._read("ledger"), run_hash)
 
-    def append_pending(self, rows: DataFrame, at: datetime | None = None) -> None:
-        self._append("pending", rows, at)
+    def append_pending(self, rows: DataFrame, at: datetime | None = None, once: str | None = None) -> None:
+        self._append("pending", rows, at, once)
+
+    def submitted_stream(self) -> DataFrame:
+        """Stream of the requests that are part of a batch, as their state rows are appended."""
+        log = self.spark.readStream.schema(PENDING_SCHEMA).parquet(f"{self.root}/pending/batch=*")
+        return log.filter(F.col("state") == "submitted")
+
+    def not_expired(self, rows: DataFrame) -> DataFrame:
+        """Rows (with key and ``written_at``) that no later expiry has killed."""
+        return self._live(rows)
 
     # --- reads ------------------------------------------------------------------
 

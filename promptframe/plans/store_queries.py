@@ -548,6 +548,33 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
         F.get_json_object("response", "$.choices[0].message.content")).alias("answer"))
 
 
+@query(f"""
+  WITH t AS ({TURN_SQL})
+  SELECT prompt_hash, 'b_' || role AS batch_id, 1::bigint AS n,
+         CASE WHEN role = 'assistant' AND turn = 5 THEN 'rate_limit' END AS error,
+         CASE WHEN role = 'user' THEN (length(text) / 1000000.0::double * 2.5 + turn / 1000000.0::double * 10.0) * 0.5 END
+           AS cost,
+         CASE WHEN role = 'user' AND prompt_hash = min(prompt_hash) OVER (PARTITION BY role) THEN 60.0::double END
+           AS elapsed_time
+  FROM t WHERE role = 'user' OR role = 'assistant' AND turn >= 5""")
+def stream_settle(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers and errors of two batches meet the stream of requests; then all answers come again."""
+    store = ResultStore(spark, shared_dir(spark, "store"))
+    store.append_pending(spread(_submitted(spark, sf)))
+    inbox, failed, progress = (shared_dir(spark, n) for n in ("inbox", "failed", "progress"))
+    answers = _answer_lines(spark, sf).filter("batch_id = 'b_user'").select("line")
+    _error_lines(spark, sf).select("line").write.text(failed)
+    elapsed = spark.createDataFrame([("b_user", 60.0), ("b_assistant", 60.0)], "batch_id string, elapsed double")
+    for _ in range(2):
+        answers.write.mode("append").text(inbox)
+        lines = jobs.timed_lines(spark, inbox, "b_user").unionByName(
+            jobs.timed_lines(spark, failed, "b_assistant", failed=True))
+        jobs.settle_answers(lines, store, batch.prices_table(spark, PRICES), progress, elapsed).awaitTermination()
+    return store.results().groupBy("prompt_hash", "batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("error").alias("error"), F.max("usage.cost").alias("cost"),
+        F.max("elapsed_time").alias("elapsed_time"))
+
+
 @query("""SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS answers,
                  sum(value::decimal(18, 2))::double AS cost FROM events GROUP BY 1""")
 def stream_spend(spark: SparkSession, sf: str) -> DataFrame:

@@ -208,6 +208,43 @@ def test_streams(spark, store, tmp_path):
     assert store.latest().filter("usage.cost = 1.0").count() == 2
 
 
+def test_answers_meet_a_stream_of_requests(spark, store, tmp_path):
+    queued(spark, store, ["a", "b", "c"])
+    batch.submit_queued(store, str(tmp_path / "requests"), "b1")
+    sent = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "requests")).collect()]
+    prices = batch.prices_table(spark, {"gpt-4o": {"input": 2.0, "output": 8.0}})
+    elapsed = spark.createDataFrame([("b1", 90.0), ("b2", 7.0)], "batch_id string, elapsed double")
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+
+    def go_on():
+        jobs.settle_answers(jobs.timed_lines(spark, str(inbox)), store, prices, str(tmp_path / "progress"),
+                            elapsed).awaitTermination()
+
+    (inbox / "b1.jsonl").write_text(answers(sent[:1]) + answers(sent[:1]) + "\n" + '{"custom_id":null}\n{broken\n')
+    go_on()
+    # the first line again beside a new one, an answer of another batch, and one before its request
+    queued(spark, store, ["d"])
+    early = [r["prompt_hash"] for r in batch.waiting(store.pending()).filter("state = 'queued'").collect()]
+    (inbox / "b1.2").write_text(answers(sent[:2]))
+    (inbox / "b2.jsonl").write_text(answers(sent[2:]) + answers([{"custom_id": early[0]}]))
+    go_on()
+    assert store.results().count() == 2
+    batch.submit_queued(store, str(tmp_path / "more"), "b2")
+    go_on()
+    rows = {(r["batch_id"], r["prompt_hash"]): r for r in store.results().collect()}
+    assert len(rows) == store.results().count() == 3 and batch.still_waiting(store) == 1
+    assert [rows["b1", s["custom_id"]]["elapsed_time"] for s in sent[:2]] == [90.0, None]  # the earlier micro-batch
+    assert rows["b2", early[0]]["elapsed_time"] == 7.0 and rows["b2", early[0]]["usage"]["cost"] == 1.0
+    assert rows["b2", early[0]]["prompt"].startswith("Hello ")
+
+
+def test_records_named_once_are_written_once(spark, store):
+    done = spark.createDataFrame([("p", "r", "{}")], "prompt_hash string, run_hash string, response string")
+    assert store.append(done, once="x/0") == store.append(done, once="x/0") != store.append(done, once="x/1")
+    assert store.results().count() == 2
+
+
 def test_stream_of_errors(spark, store, tmp_path):
     queued(spark, store, ["a"])
     batch.submit_queued(store, str(tmp_path / "requests"), "b1")
