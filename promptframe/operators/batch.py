@@ -168,3 +168,13 @@ def prices_table(spark: SparkSession, prices: Mapping[str, Mapping[str, float]])
     rows = [(p, i, float(v.get("input", 0.0)), float(v.get("output", 0.0)))
             for i, (p, v) in enumerate(prices.items())]
     return spark.createDataFrame(rows, "pattern string, ord int, input double, output double")
+
+
+def provider_prices(spark: SparkSession, lists: Mapping[str | None, Mapping[str, Mapping[str, float]]]) -> DataFrame:
+    """Price table of several providers (None: of all others), each with its own list."""
+    made = [prices_table(spark, prices).withColumn("provider", F.lit(name).cast("string"))
+            for name, prices in lists.items()]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out

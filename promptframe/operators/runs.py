@@ -27,6 +27,7 @@ class Module:
     cache_prefix: str
     version: str = ""
     description: str = "Unknown"
+    currency: str = "USD"
 
 
 @dataclass(frozen=True)

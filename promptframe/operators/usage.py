@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 USAGE_TYPE = (
@@ -36,26 +38,44 @@ def model_name(response: Column) -> Column:
     return F.coalesce(F.get_json_object(response, "$.model"), F.lit(""))
 
 
-def price_join(results: DataFrame, prices: DataFrame) -> DataFrame:
+def price_join(results: DataFrame, prices: DataFrame, provider: str = "module_name") -> DataFrame:
     """``results`` (with ``model``) plus ``price_in``, ``price_out``; NULL if unknown: the price of the
     name itself, else of the name without a date at the end, else of the first ``prefix*`` pattern.
 
+    Prices may have a ``provider``: they are for results whose column ``provider`` names it, and go
+    before all prices without one.
+
     The price list, an argument of a run, is one value of the plan (a scalar subquery): its exact
     names as a map and its prefixes as an array in order. Results are read once and not joined.
     """
+    def listed_for(scope: Column) -> Column:
+        """The names and prefixes of the entries of one provider."""
+        chosen = F.filter("_list", lambda p: p["provider"] == scope)
+        # of equal names the first in order counts, which a map built backwards keeps
+        named = F.map_from_entries(F.transform(F.reverse(chosen), lambda p: F.struct(p["pattern"], p["price"])))
+        starts = F.transform(F.filter(chosen, lambda p: p["pattern"].endswith("*")), lambda p: F.struct(
+            F.substring(p["pattern"], F.lit(1), F.length(p["pattern"]) - 1).alias("prefix"), p["price"].alias("price")))
+        return F.struct(named.alias("named"), starts.alias("starts"))
+
     amounts = F.struct(F.col("input").cast("double").alias("input"), F.col("output").cast("double").alias("output"))
-    entry = F.struct("ord", "pattern", amounts.alias("price"))
-    ordered = F.sort_array(F.collect_list(entry)).alias("_list")
-    # of equal names the first in order counts, which a map built backwards keeps
-    named = F.map_from_entries(F.transform(F.reverse("_list"), lambda p: F.struct(p["pattern"], p["price"])))
-    starts = F.transform(F.filter("_list", lambda p: p["pattern"].endswith("*")), lambda p: F.struct(
-        F.substring(p["pattern"], F.lit(1), F.length(p["pattern"]) - 1).alias("prefix"), p["price"].alias("price")))
-    listed = prices.agg(ordered).select(F.struct(named.alias("named"), starts.alias("starts"))).scalar()
+    scoped = "provider" in prices.columns
+    scope = F.coalesce("provider", F.lit("")) if scoped else F.lit("")
+    entry = F.struct("ord", "pattern", scope.alias("provider"), amounts.alias("price"))
+    whole = prices.agg(F.sort_array(F.collect_list(entry)).alias("_list"))
+    scopes = F.array_distinct(F.transform("_list", lambda p: p["provider"])) if scoped else F.array(F.lit(""))
+    listed = whole.select(F.map_from_entries(F.transform(
+        scopes, lambda name: F.struct(name, listed_for(name)))).alias("all")).scalar()
     name = F.col("model")
     undated = F.regexp_replace(name, DATE_SUFFIX, "")
-    known = F.col("_prices")
-    by_prefix = F.get(F.filter(known["starts"], lambda p: name.startswith(p["prefix"])), F.lit(0))["price"]
-    price = F.coalesce(F.try_element_at(known["named"], name), F.try_element_at(known["named"], undated), by_prefix)
+
+    def found(known: Column) -> Column:
+        by_prefix = F.get(F.filter(known["starts"], lambda p: name.startswith(p["prefix"])), F.lit(0))["price"]
+        return F.coalesce(F.try_element_at(known["named"], name), F.try_element_at(known["named"], undated), by_prefix)
+
+    price = found(F.try_element_at("_prices", F.lit("")))
+    if scoped and provider in results.columns:
+        own = F.when(F.col(provider) != "", F.col(provider))
+        price = F.coalesce(found(F.try_element_at("_prices", own)), price)
     priced = results.withColumn("_prices", listed).withColumn("_price", price)
     return priced.withColumns({
         "price_in": F.col("_price.input"), "price_out": F.col("_price.output")}).drop("_price", "_prices")
@@ -109,8 +129,8 @@ def _count(col: Column) -> Column:
     return F.coalesce(F.sum(col), F.lit(0)).cast("long")
 
 
-def stats(work: DataFrame, max_cost: float = 0.0, currency: str = "USD") -> DataFrame:
-    """Execution statistics per run.
+def stats(work: DataFrame, max_cost: float = 0.0, currency: str | Mapping[str, str] = "USD") -> DataFrame:
+    """Execution statistics per run; ``currency`` is that of all runs, or of each run by its name.
 
     ``work``: one row per combination and run with ``run_name``, ``status`` (executed,
     cached or pending), and for answered rows ``prompt``, ``response``, ``usage``,
@@ -121,6 +141,10 @@ def stats(work: DataFrame, max_cost: float = 0.0, currency: str = "USD") -> Data
     def known(c: Column) -> Column:
         return F.when(answered, c)
 
+    paid_in = F.lit(currency) if isinstance(currency, str) else F.lit("USD")
+    if not isinstance(currency, str) and currency:
+        named = F.create_map(*[F.lit(x) for kv in currency.items() for x in kv])
+        paid_in = F.coalesce(F.try_element_at(named, F.col("run_name")), paid_in)
     place = [F.min("run_ord").alias("run_ord")] if "run_ord" in work.columns else []
     return work.groupBy("run_name").agg(
         *place,
@@ -133,7 +157,7 @@ def stats(work: DataFrame, max_cost: float = 0.0, currency: str = "USD") -> Data
         _count(known(F.coalesce(F.col("usage.bytes_out"), F.octet_length("response")))).alias("bytes_out"),
         _money(known(F.col("usage.cost"))).alias("cost"),
         F.lit(float(max_cost)).alias("max_cost"),
-        F.lit(currency).alias("cost_currency"),
+        paid_in.alias("cost_currency"),
         F.max(known(F.col("timestamp"))).alias("max_timestamp"))
 
 

@@ -64,7 +64,7 @@ def run_project(project: Project, modules: Mapping[str, Module], store: ResultSt
         write_report(tables, report, project=project_json(project), groups=project.groups)
         store.export(grid, work(grid, runs), f"{report}/cache")
     if status is not None:
-        tables["stats"] = stats(status, max_cost)
+        tables["stats"] = stats(status, max_cost, {r.name: r.module.currency for r in runs})
         tables["total_stats"] = total_stats(tables["stats"])
     return tables
 

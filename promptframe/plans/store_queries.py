@@ -272,6 +272,21 @@ def price_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return usage.price_join(models, batch.prices_table(spark, PRICES)).select("event_id", "price_in", "price_out")
 
 
+@query(f"""
+  SELECT event_id, CASE WHEN user_id % 3 = 0 AND event_type IN ('click', 'view') THEN 7.0::double
+                        WHEN user_id % 3 = 0 AND event_type = 'signup' THEN 9.0 ELSE price_in END AS price_in,
+         CASE WHEN user_id % 3 = 0 AND event_type IN ('click', 'view') THEN 8.0::double
+              WHEN user_id % 3 = 0 AND event_type = 'signup' THEN 0.0 ELSE price_out END AS price_out FROM ({USAGE_SQL})""")
+def price_by_provider(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the users ask a provider with prices of its own; what it does not list costs as elsewhere."""
+    models = _responses(spark, sf).join(table(spark, sf, "events").select("event_id", "user_id"), "event_id").select(
+        "event_id", usage.model_name(F.col("response")).alias("model"),
+        F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("module_name"))
+    prices = batch.provider_prices(spark, {
+        None: PRICES, "p0": {"gpt-4o": {"input": 7, "output": 8}, "ot*": {"input": 9}}, "p9": {"*": {"input": 99}}})
+    return usage.price_join(models, prices).select("event_id", "price_in", "price_out")
+
+
 @query(f"SELECT event_id, tokens_in, tokens_out FROM ({USAGE_SQL})")
 def token_usage(spark: SparkSession, sf: str) -> DataFrame:
     return _responses(spark, sf).select("event_id", usage.token_usage(F.col("response")).alias("u")).select(
@@ -323,6 +338,11 @@ def _status_work(spark: SparkSession, sf: str) -> DataFrame:
         F.date_format("ts", "yyyyMMddHHmmss").alias("timestamp"), F.col("value").alias("elapsed_time"))
 
 
+MODEL_SQL = "CASE c.event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MODELS.items()) + " END"
+RESPONSE_SQL = f"""'{{"model":"' || {MODEL_SQL} || '","usage":{{' || CASE
+    WHEN c.event_type IN ('click', 'view') THEN '"prompt_tokens":' || (c.user_id * 10 + 3) || ',"completion_tokens":' || c.event_id
+    WHEN c.event_type = 'error' THEN '"prompt_tokens":' || (c.user_id * 10 + 3)
+    ELSE '"input_tokens":' || (c.user_id * 10 + 3) || ',"output_tokens":' || c.event_id END || '}}}}'"""
 STATS_SQL = f"""
   SELECT CASE WHEN c.value < 20 THEN 'first' ELSE 'second' END AS run_name,
          count(*) FILTER (s = 'executed') AS executed, count(*) FILTER (s = 'cached') AS cached,
@@ -330,8 +350,9 @@ STATS_SQL = f"""
          coalesce(sum(tokens_in) FILTER (ok), 0)::bigint AS tokens_in,
          coalesce(sum(tokens_out) FILTER (ok), 0)::bigint AS tokens_out,
          coalesce(sum(strlen(props)) FILTER (ok), 0)::bigint AS bytes_in,
+         coalesce(sum(strlen({RESPONSE_SQL})) FILTER (ok), 0)::bigint AS bytes_out,
          coalesce(sum(((cost_in + cost_out) * 1.0::double)::decimal(38, 12)) FILTER (ok), 0)::double AS cost,
-         1.5::double AS max_cost, 'USD' AS cost_currency,
+         1.5::double AS max_cost, min(CASE WHEN c.value < 20 THEN 'BRL' ELSE 'USD' END) AS cost_currency,
          max(strftime(c.ts, '%Y%m%d%H%M%S')) FILTER (ok) AS max_timestamp
   FROM (SELECT *, {STATUS_SQL} AS s, {STATUS_SQL} IN ('executed', 'cached') AS ok FROM ({COST_SQL})) c
   JOIN events e USING (event_id) GROUP BY 1
@@ -340,16 +361,18 @@ STATS_SQL = f"""
 
 @query(STATS_SQL)
 def run_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return usage.stats(_status_work(spark, sf), 1.5).drop("bytes_out")
+    """One run is paid in another currency."""
+    return usage.stats(_status_work(spark, sf), 1.5, {"first": "BRL"})
 
 
 @query(f"""SELECT sum(executed)::bigint AS executed, sum(cached)::bigint AS cached, sum(pending)::bigint AS pending,
                   sum(tokens_in)::bigint AS tokens_in, sum(tokens_out)::bigint AS tokens_out,
-                  sum(bytes_in)::bigint AS bytes_in, sum(cost::decimal(38, 12))::double AS cost,
-                  max(max_cost) AS max_cost, 'USD' AS cost_currency, max(max_timestamp) AS max_timestamp
+                  sum(bytes_in)::bigint AS bytes_in, sum(bytes_out)::bigint AS bytes_out,
+                  sum(cost::decimal(38, 12))::double AS cost, max(max_cost) AS max_cost,
+                  arg_min(cost_currency, run_name) AS cost_currency, max(max_timestamp) AS max_timestamp
            FROM ({STATS_SQL})""")
 def total_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return usage.total_stats(usage.stats(_status_work(spark, sf), 1.5)).drop("bytes_out")
+    return usage.total_stats(usage.stats(_status_work(spark, sf), 1.5, {"first": "BRL"}))
 
 
 @query(f"""SELECT CASE WHEN value < 20 THEN 'first' ELSE 'second' END AS run_name,

@@ -258,6 +258,16 @@ def test_stream_of_errors(spark, store, tmp_path):
     assert [(r["prompt_hash"], r["error"]) for r in store.latest().collect()] == [(key, "bad")]
 
 
+def test_prices_of_providers(spark):
+    prices = batch.provider_prices(spark, {"a": {"m": {"input": 1}, "x*": {"input": 2}}, None: {"m": {"input": 3}, "y": {"input": 4}}})
+    df = spark.createDataFrame([("a", "m"), ("a", "m-2024-01-02"), ("a", "xy"), ("a", "y"), ("b", "m"), ("b", "xy"),
+                                (None, "m"), ("", "y"), ("a", None)], "module_name string, model string")
+    got = [r["price_in"] for r in usage.price_join(df.coalesce(1), prices).collect()]
+    assert got == [1.0, 1.0, 2.0, 4.0, 3.0, None, 3.0, 4.0, None]
+    # without the column only prices for all count
+    assert [r["price_in"] for r in usage.price_join(df.drop("module_name").limit(1), prices).collect()] == [3.0]
+
+
 def test_spend_per_window(spark):
     log = spark.createDataFrame([("2024-01-01 00:10:00", 0.1), ("2024-01-01 00:50:00", 0.2), ("2024-01-01 01:00:00", 1.0)],
                                 "at string, cost double").withColumn("written_at", F.col("at").cast("timestamp"))
