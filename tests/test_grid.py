@@ -239,3 +239,21 @@ def test_sizes_of_all_groups_at_once(spark):
     assert g.group_sizes({"a": a, "none": a.limit(0)}) == {"a": g.Size(2, g.group_size(a).bytes), "none": g.Size(0, 0)}
     with pytest.raises(ValueError, match="gaps"):
         g.group_sizes({"a": a, "b": a.filter("_ord = 1")})
+
+
+def test_tiles_get_tasks_of_their_own(spark, monkeypatch):
+    """Copies of rows are few bytes, but their combinations are not one task's work."""
+    monkeypatch.setattr(g, "TILE_ROWS", 2)
+    groups = [group_from_rows(spark, [{n: i} for i in range(count)]) for n, count in (("a", 6), ("b", 5))]
+    grid = g.product(spark, groups, [g.Size(6), g.Size(5)])
+    assert sorted(r["combo_id"] for r in grid.collect()) == list(range(30))
+    assert grid.rdd.getNumPartitions() == 9
+
+
+def test_tiled_combinations_are_never_sorted(spark):
+    """The first aggregate over the combinations hashes: their keys are no text to be compared in it."""
+    from promptframe.plans.catalog import QUERIES
+
+    plan = QUERIES["grid_tiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = plan[:plan.index("map_from_arrays") if "map_from_arrays" in plan else plan.index("concat(Give order")]
+    assert "partial_min(prompt_hash" not in below and "SortAggregate" not in below[below.index("HashAggregate"):]
