@@ -440,8 +440,9 @@ def limit_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sorted(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    """Rows in key order across part files."""
-    return table(spark, sf, name).repartitionByRange(4, key).sortWithinPartitions(key)
+    """Rows in key order across part files: four at least, and as many as the table has splits."""
+    rows = table(spark, sf, name)
+    return rows.repartitionByRange(max(4, rows.rdd.getNumPartitions()), key).sortWithinPartitions(key)
 
 
 @query("SELECT doc_id AS _ord, doc_id::varchar AS id, lang, CASE WHEN lang = 'en' THEN NULL ELSE source END AS source, "

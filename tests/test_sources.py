@@ -313,3 +313,17 @@ def test_many_blocks_are_numbered_by_buckets(spark):
     assert [r[0] for r in numbered.select("_ord").orderBy("_ord").collect()] == list(range(len(want)))
     assert "SinglePartition" not in numbered._jdf.queryExecution().toString()
     assert dense_ordinals(df.limit(0), ["_name"], "_at").count() == 0
+
+
+def test_files_of_a_query_grow_with_its_table(spark):
+    """A CSV file is one task's work, so the folder has a file for each split of the table."""
+    from promptframe.plans.grid_queries import _sorted
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = _sorted(spark, "/root/testdata/sf0.001", "documents", "doc_id")
+        ids = rows.select("doc_id", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows.rdd.getNumPartitions() > 12
+    assert [r["doc_id"] for r in sorted(ids, key=lambda r: r["p"])] == sorted(r["doc_id"] for r in ids)
