@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -253,6 +253,91 @@ def _decoded(encoding: str):
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+#: Encodings whose line ends are single bytes that stand for nothing else: their files are read by lines.
+BY_LINES = r"utf-8|us-ascii|iso-8859-\d+|windows-125\d"
+FILE = ["_dir", "_part", "_name"]
+
+
+def _text_lines(found: DataFrame, lines: DataFrame, encoding: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of text files with ``_text`` (line end included) and ``_start``, its place in the file in
+    characters; and the files with ``_total``, their characters.
+
+    ``found``: the files with ``_length``; ``lines``: written rows of the files and their splits.
+    A file is never held: characters before a split are sums over splits, those inside it a window.
+    The reader drops a byte order mark, and does not tell whether the last line has an end; a file's
+    bytes beyond those of its lines say both.
+    """
+    value = F.col("value")
+    if charset(encoding) == "utf-8":
+        value = F.when(F.is_valid_utf8(value), value).otherwise(
+            F.raise_error(F.concat(F.lit("Errors reading files: "), F.col("_name"))))
+    else:
+        value = F.decode(value.cast("binary"), charset(encoding))
+    mark = F.decode(F.unhex(F.lit("EFBBBF")), charset(encoding))
+    returned = F.col("_text").endswith("\r")
+    # every line counts with its end; only the last of a file may have none
+    chars = F.length("_text") - returned.cast("int") + 1
+    read = lines.select(*FILE, "_block", "_at", F.octet_length("value").alias("_bytes"), value.alias("_text"))
+    splits = read.groupBy(*FILE, "_block").agg(
+        F.sum("_bytes").alias("_bytes"), F.count(F.lit(1)).alias("_lines"), F.sum(chars).alias("_chars"),
+        F.max("_at").alias("_last_at"), F.max_by(returned, "_at").alias("_returned"))
+    whole = Window.partitionBy(*FILE)
+    ordered = whole.orderBy("_block")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    known = splits.join(found.select(*FILE, "_length"), FILE).select(
+        *FILE, "_block", "_last_at", "_returned", F.coalesce(F.sum("_chars").over(before), F.lit(0)).alias("_before"),
+        F.lead("_block").over(ordered).isNull().alias("_final"), F.sum("_chars").over(whole).alias("_chars"),
+        (F.first("_length").over(whole) - F.sum("_bytes").over(whole) - F.sum("_lines").over(whole)).alias("_more"))
+    known = known.select(
+        *FILE, "_block", "_last_at", "_returned", "_before", "_final", "_chars", (F.col("_more") >= 2).alias("_marked"),
+        F.col("_more").isin(0, 3).alias("_ended"))
+    inside = Window.partitionBy(*FILE, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = read.withColumn("_inside", F.coalesce(F.sum(chars).over(inside), F.lit(0))).join(known, [*FILE, "_block"])
+    start = F.col("_before") + F.col("_inside")
+    open_end = F.col("_final") & (F.col("_at") == F.col("_last_at")) & ~F.col("_ended")
+    text = F.when(open_end, F.col("_text")).otherwise(F.concat(
+        F.when(returned, F.expr("left(_text, length(_text) - 1)")).otherwise(F.col("_text")), F.lit("\n")))
+    text = F.concat(F.when(F.col("_marked") & (start == 0), mark).otherwise(""), F.replace(text, F.lit("\r"), F.lit("\n")))
+    shift = F.when(F.col("_marked"), F.length(mark)).otherwise(0)
+    ends = known.filter("_final").select(*FILE, (
+        F.col("_chars") + shift + F.when(F.col("_ended"), 0).otherwise(F.col("_returned").cast("int") - 1)).alias("_total"))
+    # a file without any line is empty, or a mark
+    empty = found.join(ends.select(*FILE), FILE, "left_anti").withColumn(
+        "_text", F.when(F.col("_length") > 0, mark).otherwise(""))
+    rows = placed.select(*FILE, F.when(start == 0, start).otherwise(start + shift).alias("_start"), text.alias("_text"))
+    return (rows.unionByName(empty.select(*FILE, F.lit(0).cast("long").alias("_start"), "_text")),
+            ends.unionByName(empty.select(*FILE, F.length("_text").cast("long").alias("_total"))))
+
+
+def _line_parts(found: DataFrame, lines: DataFrame, encoding: str, length: int,
+                count: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of :func:`split_fixed` from the lines of files, with ``_at``, and the kept parts ``_n`` of each file.
+
+    A line is cut where parts end, and a part is put together from its pieces.
+    """
+    rows, ends = _text_lines(found, lines, encoding)
+    head = length - F.col("_start") % length
+    pieces = F.when(F.length("_text") <= head, F.array("_text")).otherwise(F.concat(
+        F.array(F.substring("_text", F.lit(1), head)),
+        F.regexp_extract_all(F.substring("_text", head + 1, F.length("_text")), F.lit(f"(?s).{{1,{length}}}"), F.lit(0))))
+    # outer: the inner form computes the pieces twice, to look for rows without any
+    cut = rows.select(*FILE, "_start", F.posexplode_outer(pieces).alias("_k", "_piece")).withColumn(
+        "_no", F.expr(f"_start div {length}") + F.col("_k"))
+    parts = cut.groupBy(*FILE, "_no").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_start", "_piece"))), lambda p: p["_piece"]), "").alias("document_text"))
+    known = ends.withColumn("_all", F.greatest(F.expr(f"(_total + {length - 1}) div {length}"), F.lit(1)))
+    first = F.greatest(F.col("_all") + F.lit(count), F.lit(0)) if count and count < 0 else F.lit(0).cast("long")
+    last = F.least(F.col("_all"), F.lit(count)) if count and count > 0 else F.col("_all")
+    known = known.select(*FILE, (F.col("_total") > length).alias("_long"), first.alias("_first_kept"), last.alias("_end_kept"))
+    number = F.col("_no").cast("string")
+    suffix = F.concat(F.lit("_part_"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), "0"))
+    kept = parts.join(known, FILE).filter("_no >= _first_kept AND _no < _end_kept").select(
+        *FILE, (F.col("_no") - F.col("_first_kept")).alias("_at"),
+        F.when(F.col("_long"), F.concat("_name", suffix)).otherwise(F.col("_name")).alias("_id"), "document_text",
+        F.length("document_text").cast("long").alias("document_size"))
+    return kept, known.select(*FILE, (F.col("_end_kept") - F.col("_first_kept")).alias("_n"))
+
+
 def read_directory_group(
     spark: SparkSession, path: str, encoding: str = "utf-8", split_length: int = SPLIT_LENGTH,
     split_count: int | None = None, decode: Callable[[], Any] | None = None, check: bool = True,
@@ -261,11 +346,17 @@ def read_directory_group(
 
     ``decode`` replaces the text decoding by another expression over ``content``.
     Unreadable files fail the load; ``check`` names them all first (one more read).
+
+    Text files are split by lines over tasks, and only a part is ever held in one place. A file that goes
+    to ``decode``, or whose encoding has line ends of several bytes, is one row.
     """
-    def matching(suffixes: Iterable[str]) -> DataFrame:
-        """Files by suffix in any case; the glob keeps other files from being read."""
+    def glob(suffixes: Iterable[str]) -> str:
+        """Suffixes in any case; the glob keeps other files from being read."""
         cases = ["".join(f"[{c}{c.upper()}]" for c in suffix) for suffix in suffixes]
-        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(cases)}}}").load(path)
+        return f"*.{{{','.join(cases)}}}"
+
+    def matching(suffixes: Iterable[str]) -> DataFrame:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", glob(suffixes)).load(path)
         return found.select(*file_order(F.col("path")), F.col("length").alias("_length"), "content",
                             F.lower(F.element_at(F.split("path", r"\."), -1)).alias("_suffix"))
 
@@ -273,25 +364,37 @@ def read_directory_group(
         F.lower(F.element_at(F.split("path", r"\."), -1)).alias("suffix"))
     kinds = {r[0] for r in listed.filter(F.col("suffix").isin("txt", *IMAGE_TYPES)).distinct().collect()}
     texts = matching(["txt"])
-    if decode is None and check and charset(encoding) == "utf-8":
-        broken = texts.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select("_name")
-        names = sorted(r[0] for r in broken.collect())
-        if names:
-            raise ValueError(f"Errors reading files: {names}")
-    body = _decoded(encoding) if decode is None else decode()
-    block = ["_dir", "_part", "_name"]
-    rows = split_fixed(
-        texts.select(*block, F.col("_name").alias("_key"), body.alias("_text"))
-        .withColumnRenamed("_part", "_file_part"), "_key", "_text", split_length, split_count)
-    rows = rows.withColumnsRenamed({"_part": "_at", "_file_part": "_part"})
+    by_lines = "txt" in kinds and decode is None and re.fullmatch(BY_LINES, charset(encoding)) is not None
+    counts = None
+    if by_lines:
+        # how files are split depends on the cores at hand, so the lines are written once with their place
+        written = shared_dir(spark, "lines")
+        spark.read.option("pathGlobFilter", glob(["txt"])).text(path, lineSep="\n").select(
+            *file_order(F.col("_metadata.file_path")), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_at"), "value").write.parquet(written)
+        lines = spark.read.parquet(written)
+        if check and charset(encoding) == "utf-8":
+            broken = lines.filter(~F.is_valid_utf8("value")).select("_name").distinct()
+            names = sorted(r[0] for r in broken.collect())
+            if names:
+                raise ValueError(f"Errors reading files: {names}")
+        rows, counts = _line_parts(texts.drop("content"), lines, encoding, split_length, split_count)
+    else:
+        body = _decoded(encoding) if decode is None else decode()
+        rows = split_fixed(
+            texts.select(*FILE, F.col("_name").alias("_key"), body.alias("_text"))
+            .withColumnRenamed("_part", "_file_part"), "_key", "_text", split_length, split_count)
+        rows = rows.withColumnsRenamed({"_part": "_at", "_file_part": "_part"})
     if kinds & set(IMAGE_TYPES):
         pictures = matching(IMAGE_TYPES).select(
-            *block, F.lit(0).cast("long").alias("_at"), F.col("_name").alias("_id"),
+            *FILE, F.lit(0).cast("long").alias("_at"), F.col("_name").alias("_id"),
             image_text(F.col("content"), F.col("_suffix")).alias("image"),
             F.col("_length").alias("image_size"))
         rows = (rows.unionByName(pictures, allowMissingColumns=True)
                 if "txt" in kinds else pictures)
-    return dense_ordinals(rows, block, "_at")
+        if counts is not None:
+            counts = counts.unionByName(matching(IMAGE_TYPES).select(*FILE, F.lit(1).cast("long").alias("_n")))
+    return dense_ordinals(rows, FILE, "_at", counts)
 
 
 def read_image_group(spark: SparkSession, path: str) -> DataFrame:

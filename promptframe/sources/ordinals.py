@@ -19,7 +19,7 @@ from promptframe.session import shared_dir
 ORD = "_ord"
 
 
-def dense_ordinals(df: DataFrame, block: list[str], position: str) -> DataFrame:
+def dense_ordinals(df: DataFrame, block: list[str], position: str, sizes: DataFrame | None = None) -> DataFrame:
     """Replace block columns and in-block position by ``_ord``.
 
     Blocks are ordered by their columns; positions of a block are consecutive from any
@@ -29,9 +29,11 @@ def dense_ordinals(df: DataFrame, block: list[str], position: str) -> DataFrame:
     Blocks are sorted by ranges into buckets, one for each shuffle partition: the rows before a bucket
     are a few numbers of the plan, those before a block inside its bucket a window over that bucket.
     A row finds its block by a join on the block's own columns, so any number of files will do.
+
+    ``sizes``, blocks with their rows ``_n`` of positions from 0 on, saves the reading for the counts.
     """
     spark = df.sparkSession
-    counts = df.groupBy(*block).agg(F.min(position).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    counts = sizes.select(*block, F.lit(0).cast("long").alias("_first"), "_n") if sizes is not None else df.groupBy(*block).agg(F.min(position).alias("_first"), F.count(F.lit(1)).alias("_n"))
     buckets, path = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_dir(spark, "blocks")
     counts.repartitionByRange(buckets, *block).sortWithinPartitions(*block).withColumn(
         "_bucket", F.spark_partition_id()).write.parquet(path)

@@ -327,3 +327,37 @@ def test_files_of_a_query_grow_with_its_table(spark):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert rows.rdd.getNumPartitions() > 12
     assert [r["doc_id"] for r in sorted(ids, key=lambda r: r["p"])] == sorted(r["doc_id"] for r in ids)
+
+
+ODD_FILES = {
+    "b_mark": b"\xef\xbb\xbf", "c_marked": b"\xef\xbb\xbfab\ncd", "d_ended": b"one\r\ntwo\r\n",
+    "e_returns": b"x\ry\r\rz\r", "f_blank": b"\n\n\r\n", "g_mark_ended": b"\xef\xbb\xbf\n", "h_long": "né𝄞 ".encode() * 400,
+    "i_lines": "".join(f"línea {k}\n" * (k % 7) for k in range(300)).encode(), "j_return": b"\r", "k_one": b"\n"}
+
+
+@pytest.mark.parametrize("length, count", [(7, None), (50, 2), (50, -2), (10_000, None)])
+def test_text_files_are_read_by_lines(spark, tmp_path, length, count):
+    """Same parts as of files held as a whole, over many splits of a file."""
+    for name, content in ODD_FILES.items():
+        (tmp_path / f"{name}.txt").write_bytes(content)
+    want = []
+    for name in sorted(ODD_FILES):
+        text = ODD_FILES[name].decode().replace("\r\n", "\n").replace("\r", "\n")
+        parts = [text[k:k + length] for k in range(0, max(len(text), 1), length)]
+        named = [(f"{name}.txt_part_{k:03d}" if len(text) > length else f"{name}.txt", p, len(p)) for k, p in enumerate(parts)]
+        want += named if count is None else named[:count] if count > 0 else named[count:]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        found = files.read_directory_group(spark, str(tmp_path), split_length=length, split_count=count)
+        rows = found.orderBy("_ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["_id"], r["document_text"], r["document_size"]) for r in rows] == want
+    assert [r["_ord"] for r in rows] == list(range(len(want)))
+
+
+def test_text_files_are_not_held_as_a_whole(spark, tmp_path):
+    write(tmp_path / "a.txt", "one\ntwo\n")
+    found = files.read_directory_group(spark, str(tmp_path), encoding="latin-1", split_length=3)
+    assert [r["document_text"] for r in found.orderBy("_ord").collect()] == ["one", "\ntw", "o\n"]
+    assert "decode(content" not in found._jdf.queryExecution().optimizedPlan().toString()
