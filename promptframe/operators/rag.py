@@ -31,8 +31,13 @@ SEPARATORS = ("\n\n", "\n", " ", "")
 # rows of one block: a task holds one block of chunks and one of queries
 CHUNK_BLOCK = 4096
 QUERY_BLOCK = 1024
-# queries of one matrix product
+# a side of a document has this many blocks at the most, unless they would be larger than a task can hold: every
+# block of one side is copied to all blocks of the other, so their number must not grow with the rows
+MOST_BLOCKS = 8
+LARGEST_BLOCK = 65_536
+# queries of one matrix product, and its cells
 ROWS_AT_ONCE = 256
+CELLS_AT_ONCE = 1 << 22
 
 
 # --- chunks -----------------------------------------------------------------------
@@ -248,8 +253,9 @@ def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 continue
             here, numbers = points[held[doc]].astype("float64"), ids[held[doc]]
             length = (here * here).sum(axis=1)
-            for start in range(rows.start, rows.stop, ROWS_AT_ONCE):
-                stop = min(start + ROWS_AT_ONCE, rows.stop)
+            at_once = max(1, min(ROWS_AT_ONCE, CELLS_AT_ONCE // len(numbers)))
+            for start in range(rows.start, rows.stop, at_once):
+                stop = min(start + at_once, rows.stop)
                 asked_here = vectors[start:stop].astype("float64")
                 # one matrix product finds who can be near; only those are measured exactly
                 rough = length - 2 * asked_here @ here.T + (asked_here * asked_here).sum(axis=1)[:, None]
@@ -271,6 +277,11 @@ def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return solve
 
 
+def _block_count(rows: Column, least: int) -> Column:
+    """Blocks of one side of a document: of ``least`` rows or of more."""
+    return F.least(F.ceil(rows / least), F.greatest(F.lit(MOST_BLOCKS), F.ceil(rows / LARGEST_BLOCK))).cast("int")
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, chunk_block: int = CHUNK_BLOCK,
              query_block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` chunks of its document nearest to each query (squared distance).
@@ -279,7 +290,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, chunk_block:
     chunk_id`` (any distinct numbers), ``embedding``. Ties go to the lower id.
 
     A document of one block shares its task with other small ones; a larger one gets a
-    task per pair of a chunk block and a query block. Both counts below only size those
+    task per pair of a chunk block and a query block. Blocks grow with the document from the given
+    sizes on, since their number is how often a row is copied. Both counts below only size those
     shared tasks.
     """
     shared = max(1, -(-chunks.count() // chunk_block), -(-queries.count() // query_block))
@@ -287,9 +299,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, chunk_block:
     queries = queries.select(*[F.col(c).alias(c) for c in ("doc_hash", "query_hash", "embedding")])
     chunks = chunks.select(*[F.col(c).alias(c) for c in ("doc_hash", "chunk_id", "embedding")])
     chunk_blocks = chunks.groupBy("doc_hash").agg(
-        F.ceil(F.count(F.lit(1)) / chunk_block).cast("int").alias("_chunk_blocks"))
+        _block_count(F.count(F.lit(1)), chunk_block).alias("_chunk_blocks"))
     query_blocks = queries.groupBy("doc_hash").agg(
-        F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("_query_blocks"))
+        _block_count(F.count(F.lit(1)), query_block).alias("_query_blocks"))
     blocks = chunk_blocks.join(query_blocks, "doc_hash")
 
     def numbers(n: Column) -> Column:

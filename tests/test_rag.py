@@ -6,6 +6,7 @@ from collections import deque
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from promptframe.operators import rag
@@ -137,6 +138,15 @@ def test_nearest_against_brute_force(spark, chunk_block, query_block):
     assert len(got) == len(want)
 
 
+def test_copies_of_a_row_do_not_grow_with_its_document(spark, monkeypatch):
+    """The blocks of one side are the copies of every row of the other."""
+    counts = spark.createDataFrame([(n,) for n in (1, 64, 65, 1000, 60_000, 10**6)], "n bigint")
+    assert [r[0] for r in counts.select(rag._block_count(F.col("n"), 64)).collect()] == [1, 1, 2, 8, 8, 16]
+    monkeypatch.setattr(rag, "MOST_BLOCKS", 2)
+    monkeypatch.setattr(rag, "CELLS_AT_ONCE", 30)
+    test_nearest_against_brute_force(spark, 1, 1)
+
+
 def test_formats(spark):
     queries = spark.createDataFrame([("d", "q"), ("d", "none")], "doc_hash string, query_hash string")
     found = spark.createDataFrame([("d", "q", 2, 'b "é"'), ("d", "q", 1, "a\n")], "doc_hash string, query_hash string, rank int, chunk string")
