@@ -33,8 +33,8 @@ COMBOS_PER_TASK = 100_000
 BYTES_PER_TASK = 8 << 20
 # rows of a group in one tile: a tile makes the product of two such numbers
 TILE_ROWS = 1024
-# tasks that tiles are dealt to; each makes its tiles one after the other
-MOST_TILE_TASKS = 4096
+# tasks that tiles, or rows of one large group, are dealt to
+MOST_TASKS = 4096
 # a group is broadcast only when it was measured to stay below both bounds
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
@@ -149,11 +149,11 @@ def product(spark: SparkSession, groups: Sequence[DataFrame | None],
         out = spark.range(0, total, 1, tasks).withColumnRenamed("id", "_i")
     else:
         out, done = member(large[0]), rows[large[0]]
-        if len(large) == 1 and times > 1:
-            made, cores = out.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
-            if made < min(tasks, cores):
-                # a scan of fewer splits than cores, of which each row will be many combinations
-                out = out.repartition(min(tasks, rows[large[0]]))
+        wanted = min(tasks, rows[large[0]], MOST_TASKS)
+        if len(large) == 1 and out.rdd.getNumPartitions() < wanted:
+            # a scan of few splits, whose rows would be more combinations in a task than it should hold;
+            # by ordinal, since rows dealt in turn would be sorted first
+            out = out.repartition(wanted, f"_o{large[0]}")
         for at, k in enumerate(large[1:], 1):
             out = _tiled(out, large[:at], rows, done, member(k), k)
             done *= rows[k]
@@ -187,7 +187,7 @@ def _tiled(left: DataFrame, members: Sequence[int], rows: Sequence[int], n_left:
     other = _repeat(right, tiles_left).withColumnRenamed("_i", "_tl").withColumn(
         "_tr", F.floor(F.col(f"_o{k}") / TILE_ROWS).cast("long"))
     # a number that is asked for: adaptive plans would join many tiles into one task, since copies are few bytes
-    tasks = max(1, min(tiles_left * tiles_right, MOST_TILE_TASKS))
+    tasks = max(1, min(tiles_left * tiles_right, MOST_TASKS))
     own, other = own.repartition(tasks, "_tl", "_tr"), other.repartition(tasks, "_tl", "_tr")
     return own.join(other.hint("merge"), ["_tl", "_tr"]).drop("_tl", "_tr")
 

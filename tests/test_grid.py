@@ -257,3 +257,12 @@ def test_tiled_combinations_are_never_sorted(spark):
     plan = QUERIES["grid_tiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     below = plan[:plan.index("map_from_arrays") if "map_from_arrays" in plan else plan.index("concat(Give order")]
     assert "partial_min(prompt_hash" not in below and "SortAggregate" not in below[below.index("HashAggregate"):]
+
+
+def test_a_task_of_a_large_group_makes_a_bounded_number_of_combinations(spark, monkeypatch):
+    """Also where the scan has as many splits as there are cores: later steps sort what a task holds."""
+    monkeypatch.setattr(g, "COMBOS_PER_TASK", 10)
+    rows = spark.range(0, 100, 1, 16).select(F.col("id").alias("_ord"), F.col("id").alias("a"))
+    grid = g.product(spark, [None, rows], [g.Size(3), g.Size(100)])
+    assert sorted(r["combo_id"] for r in grid.collect()) == list(range(300))
+    assert grid.rdd.getNumPartitions() == 30
