@@ -43,9 +43,8 @@ def is_json(text: Column) -> Column:
 
 
 def _first_value(*texts: Column) -> Column:
-    """The first of some texts that is a JSON value other than null."""
-    return F.get(F.filter(
-        F.array(*texts), lambda t: (t != "") & (_first_char(t) != "n") & is_json(t)), F.lit(0))
+    """The first of some texts that is a JSON value other than null; later ones are made only if needed."""
+    return F.coalesce(*[let(text, lambda t: F.when((t != "") & (_first_char(t) != "n") & is_json(t), t)) for text in texts])
 
 
 def _text_row(text: Column) -> Column:

@@ -16,6 +16,7 @@ from promptframe.functions.answers import (
 from promptframe.functions.text import let
 from promptframe.operators import usage as money
 from promptframe.operators.lookup import KEYS
+from promptframe.session import shared_dir
 
 
 
@@ -167,7 +168,11 @@ def to_columns(rows: DataFrame, columns: Sequence[str] | None = None, keep: Sequ
     ``columns`` (for instance the fields a template asks for) saves the pass over the
     data that finds them. Without it, keys beyond the first ``most`` stay together in a
     variant column ``_rest``, so that none is lost and the driver holds ``most`` names at the most.
+    The rows are then written once, since taking answers apart costs more than reading their rows again.
     """
+    if columns is None:
+        rows = _written(rows, [*keep, "combo_id", "pos", "list_pos", "data", "extra", "choice", "error", "raw",
+                               *[c for c in (masked, timestamp) if c]])
     names = list(columns) if columns is not None else column_names(rows, masked, timestamp, most + 1)
     more = columns is None and len(names) > most
     names = names[:most] if more else names
@@ -195,6 +200,15 @@ def to_columns(rows: DataFrame, columns: Sequence[str] | None = None, keep: Sequ
     return read.select(*keep, *shown)
 
 
+def _written(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Some columns of rows that are costly to make, from a work table."""
+    path = shared_dir(rows.sparkSession, "rows")
+    chosen = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys(names) if c in rows.columns])
+    chosen = chosen.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in chosen.dtypes if kind == "void"})
+    chosen.write.parquet(path)
+    return rows.sparkSession.read.schema(chosen.schema).parquet(path)
+
+
 def _rest(rows: DataFrame, names: Sequence[str], masked: str | None, timestamp: str | None) -> Column:
     """Variant of all values of a row whose key is not in ``names``."""
     own = [("_error", "error"), ("_raw", "raw"), ("_choice", "choice")]

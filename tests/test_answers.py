@@ -182,3 +182,13 @@ def test_keyed_reduce_holds_one_key(spark):
     assert big == {"nan": 20_000, "None": 20_000}
     assert out.filter("m['a'] = 2").count() == 20_002
     assert analysis.python_reduce(rows.limit(0), reduce, "k double, n bigint, m map<string,int>", ["k"]).count() == 0
+
+
+def test_answers_are_taken_apart_once(spark):
+    """Finding the columns and filling them read the same written rows."""
+    records = spark.createDataFrame(
+        [(1, '{"choices":[{"message":{"content":"[{\\"a\\":1},{\\"b\\":2}]"}}]}')], "combo_id bigint, response string")
+    table = analysis.to_columns(analysis.flatten_answers(records), keep=["combo_id", "list_pos"])
+    assert "Generate" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.asDict() for r in table.orderBy("list_pos").collect()] == [
+        {"combo_id": 1, "list_pos": 0, "a": "1", "b": None}, {"combo_id": 1, "list_pos": 1, "a": None, "b": "2"}]
