@@ -361,3 +361,18 @@ def test_text_files_are_not_held_as_a_whole(spark, tmp_path):
     found = files.read_directory_group(spark, str(tmp_path), encoding="latin-1", split_length=3)
     assert [r["document_text"] for r in found.orderBy("_ord").collect()] == ["one", "\ntw", "o\n"]
     assert "decode(content" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_python_workers_get_batches_of_bounded_bytes(spark):
+    import pandas as pd
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    rows = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    found = [r["n"] for r in rows.mapInPandas(sizes, "n bigint").collect()]
+    assert sum(found) == 100 and max(found) < 20
+    group = rows.select(F.lit(0).cast("long").alias("_ord"), "text")
+    long = tables.transform_rows(group, lambda row: {"n": len(row["text"])}, "n bigint")
+    assert long.agg(F.sum("n"), F.count("*")).first()[:] == (100 << 20, 100)
