@@ -479,10 +479,14 @@ def json_group(spark: SparkSession, sf: str) -> DataFrame:
     """Files that each hold one array of a block of events."""
     path = shared_dir(spark, "json")
     row = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "value")
-    block = F.lpad(F.expr("event_id div 2048").cast("string"), 12, "0").alias("block")
+    # each block is a file, and a folder holds those of 256 blocks: every reading lists all folders
+    block, folder = F.expr("event_id div 2048").alias("block"), F.lpad(F.expr("block div 256").cast("string"), 12, "0")
+    # blocks are few bytes: a number of tasks that is asked for is not made smaller
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = table(spark, sf, "events").select(block, row.alias("row")).groupBy("block").agg(
-        F.to_json(F.array_sort(F.collect_list("row"))).alias("value"))
-    blocks.write.partitionBy("block").text(path)
+        F.to_json(F.array_sort(F.collect_list("row"))).alias("value")).withColumn("folder", folder)
+    blocks.repartition(tasks, "folder").sortWithinPartitions("folder", "block").select("folder", "value").write.partitionBy(
+        "folder").option("maxRecordsPerFile", 1).text(path)
     return files.read_json_group(spark, path).select("_ord", "id", "kind", "value")
 
 

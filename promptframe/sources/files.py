@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from promptframe.functions.images import IMAGE_TYPES, image_text
 from promptframe.functions.text import strip
-from promptframe.session import first_bytes, path_exists, shared_dir
+from promptframe.session import path_exists, shared_dir
 from promptframe.sources.ordinals import (
     ORD, dense_ordinals, file_order, read_parquet_group, scanned_ordinals)
 
@@ -140,16 +140,16 @@ def read_jsonl_group(spark: SparkSession, path: str, encoding: str = "utf-8",
 def read_json_group(spark: SparkSession, path: str, encoding: str = "utf-8",
                     schema: T.StructType | str | None = None) -> DataFrame:
     """Files that each hold one JSON array of objects; any other shape is refused."""
-    name: str | None = encoding
-    for file in spark.read.format("binaryFile").load(path).inputFiles():
-        head = first_bytes(spark, file, 64)
-        if head.startswith(codecs.BOM_UTF8) and charset(encoding) == "utf-8":
-            name = None  # only the parser's own detection takes the mark
-        for mark in (codecs.BOM_UTF8, codecs.BOM_UTF32_LE, codecs.BOM_UTF32_BE, codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
-            head = head.removeprefix(mark)
-        # in every encoding that JSON may have, blanks and brackets are ASCII bytes among zeros
-        if head.lstrip(b"\0 \t\r\n")[:1] not in (b"[", b""):
-            raise ValueError("a JSON file must hold a list of objects")
+    # first bytes are looked at where the files are read; the driver learns two answers of all files
+    head = F.hex(F.substring("content", 1, 64))
+    # in every encoding that JSON may have, blanks and brackets are ASCII bytes among zeros
+    opening = F.regexp_replace(head, "^(EFBBBF)?(FFFE0000)?(0000FEFF)?(FFFE)?(FEFF)?(00|20|09|0D|0A)*", "")
+    found = spark.read.format("binaryFile").load(path).agg(
+        F.max(~opening.rlike("^(5B|$)")).alias("other"), F.max(head.startswith("EFBBBF")).alias("marked")).first()
+    if found["other"]:
+        raise ValueError("a JSON file must hold a list of objects")
+    # only the parser's own detection takes the mark
+    name = None if found["marked"] and charset(encoding) == "utf-8" else encoding
     return _read_json(spark, path, name, True, schema)
 
 

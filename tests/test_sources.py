@@ -376,3 +376,15 @@ def test_python_workers_get_batches_of_bounded_bytes(spark):
     group = rows.select(F.lit(0).cast("long").alias("_ord"), "text")
     long = tables.transform_rows(group, lambda row: {"n": len(row["text"])}, "n bigint")
     assert long.agg(F.sum("n"), F.count("*")).first()[:] == (100 << 20, 100)
+
+
+def test_heads_of_json_files_are_looked_at_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver opens no file: no call of its own for each of many."""
+    for k in range(3):
+        (tmp_path / f"{k}.json").write_bytes(b"\xef\xbb\xbf" * (k == 1) + b' \n[{"a": %d}]' % k)
+    monkeypatch.setattr(files, "first_bytes", lambda *a: 1 / 0, raising=False)
+    rows = files.read_json_group(spark, str(tmp_path)).orderBy("_ord").collect()
+    assert [(r["_ord"], r["a"]) for r in rows] == [(0, 0), (1, 1), (2, 2)]
+    (tmp_path / "3.json").write_text('{"a": 3}')
+    with pytest.raises(ValueError, match="list of objects"):
+        files.read_json_group(spark, str(tmp_path))
