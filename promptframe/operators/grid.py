@@ -281,7 +281,8 @@ def _add_calls(df: DataFrame, piece: Piece, function: PromptFunction, column: st
     names = function.variables(params)
     involved = sorted({owners[n].group for n in names})
     thin = [groups[k].select(ORD, *[_key_name(n) for n in names if owners[n].group == k]) for k in involved]
-    part = product(df.sparkSession, thin, [sizes[k] for k in involved])
+    # texts do not count for the tasks: of a large group only keys are there
+    part = product(df.sparkSession, thin, [sizes[k] if sizes[k].broadcastable else Size(sizes[k].rows) for k in involved])
     calls = part.select(*[
         F.col(f"`_g{involved.index(owners[n].group)}_{_key_name(n)}`").alias(n) for n in names]).distinct()
     texts = {

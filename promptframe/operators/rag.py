@@ -27,6 +27,9 @@ TOP_K = 5
 MODEL = "hashed-words-64"
 # Where a text may be cut, coarsest first.
 SEPARATORS = ("\n\n", "\n", " ", "")
+# up to these settings long paragraphs are cut by patterns, which grow with them
+PATTERN_SIZE = 4096
+PATTERN_OVERLAP = 256
 
 # rows of one block: a task holds one block of chunks and one of queries
 CHUNK_BLOCK = 4096
@@ -43,13 +46,50 @@ CELLS_AT_ONCE = 1 << 22
 # --- chunks -----------------------------------------------------------------------
 
 
-def _leaves(text: Column, size: int, level: int = 0) -> Column:
-    """Pieces of a text shorter than ``size``, in order, as struct(text, first).
+def _runs(separator: str, size: int) -> str:
+    """Pattern of a piece of at least ``size`` characters, or of all shorter pieces in a row."""
+    long = rf"(?:{separator}[^{separator}]{{{size - 1},}}+|\A[^{separator}]{{{size},}}+)"
+    return rf"{long}|(?:(?!{long})(?:{separator}[^{separator}]*+|\A[^{separator}]++))++"
+
+
+def _windows(separator: str, size: int, overlap: int) -> str:
+    """Pattern whose first group is a chunk of whole pieces, each shorter than ``size``, and whose matches
+    end where the next chunk starts.
+
+    The next chunk starts ``r`` characters before the end of this one, for the largest ``r`` up to
+    ``overlap`` that is a place between pieces and leaves room for the piece behind this chunk. Looking back
+    from the end, the empty group of that ``r`` is set, and only its way to the start is gone.
+    """
+    end, head = (rf"(?={separator}|\z)", f"(?={separator})") if separator else ("", "")
+    back = range(min(overlap, size - 1), 0, -1)
+    found = "".join(rf"(?<={head}(?=.{{{r + 1},{size}}}{end}).{{{r}}})()|" for r in back)
+    ways = "".join(rf"\{group}(?>.{{1,{size - r}}}{head}(?=.{{{r}}}{end}))|" for group, r in enumerate(back, 2))
+    # a character beyond 16 bits, in a way that is never gone, makes Java look back by whole characters
+    return rf"(?s)(?=(.{{1,{size}}}{end})(?:{found}))(?:.{{1,{size}}}+\z|{ways}.{{1,{size}}}{end}|(?!)" + "\U0001f600)"
+
+
+def _cut(text: Column, size: int, overlap: int, level: int) -> Column:
+    """Chunks of a text at one separator of a character or none, in order: a piece that is too long is cut at
+    the next separator, those between are packed. Patterns run over the text, so words never are values."""
+    separator = SEPARATORS[level]
+    packed = lambda run: F.regexp_extract_all(run, F.lit(_windows(separator, size, overlap)), F.lit(1))
+    if not separator:
+        return packed(text)
+    runs = F.regexp_extract_all(text, F.lit(_runs(separator, size)), F.lit(0))
+    long = lambda run: (F.length(run) >= size) & (F.locate(separator, run, 2) == 0)
+    return F.flatten(F.transform(runs, lambda run: F.when(
+        long(run), _cut(run, size, overlap, level + 1)).otherwise(packed(run))))
+
+
+def _leaves(text: Column, size: int, overlap: int, level: int = 0) -> Column:
+    """Pieces of a text shorter than ``size``, or chunks of longer ones, in order, as struct(text, first).
 
     A text is cut at one separator, which stays at the head of the piece it starts, and pieces that are
     too long are cut at the next; ``first`` marks a piece that is not packed with the one before.
     """
     separator = SEPARATORS[level]
+    if level and size <= PATTERN_SIZE and overlap <= PATTERN_OVERLAP:
+        return F.transform(_cut(text, size, overlap, level), lambda c: F.struct(c.alias("text"), F.lit(True).alias("first")))
     if not separator:
         return F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
                            lambda p, k: F.struct(p.alias("text"), (k == 0).alias("first")))
@@ -60,7 +100,7 @@ def _leaves(text: Column, size: int, level: int = 0) -> Column:
         def leaf(p: Column, k: Column) -> Column:
             first = (k == 0) | (F.length(F.get(pieces, k - 1)) >= size)
             return F.when(F.length(p) < size, F.array(F.struct(p.alias("text"), first.alias("first")))).otherwise(
-                _leaves(p, size, level + 1))
+                _leaves(p, size, overlap, level + 1))
 
         return F.flatten(F.transform(pieces, leaf))
 
@@ -114,7 +154,7 @@ def chunk(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK
     if size < 2:
         raise ValueError("chunks need a size of two characters at least")
     kept = [F.col(f"`{c}`") for c in df.columns if c != text]
-    chunks = _packed(_leaves(F.coalesce(F.col(text), F.lit("")), size), size, overlap)
+    chunks = _packed(_leaves(F.coalesce(F.col(text), F.lit("")), size, overlap), size, overlap)
     # the inner form would compute the chunks twice, to look for rows without any
     rows = df.select(*kept, F.posexplode_outer(chunks).alias("chunk_id", "chunk"))
     return rows.filter("chunk_id IS NOT NULL").withColumn("chunk_id", F.col("chunk_id").cast("long"))
@@ -165,10 +205,16 @@ def embed(df: DataFrame, text: str, fn: Callable[[pd.Series], pd.Series] = hashe
 
 
 def new_documents(docs: DataFrame, text: str, index: DataFrame | None, size: int = CHUNK_SIZE,
-                  overlap: int = CHUNK_OVERLAP, model: str = MODEL) -> DataFrame:
-    """Distinct documents that are not indexed with these settings: ``doc_hash``, text."""
-    distinct = docs.select(doc_hash(F.col(text)).alias("doc_hash"), F.col(text).alias("text")
-                           ).dropDuplicates(["doc_hash"])
+                  overlap: int = CHUNK_OVERLAP, model: str = MODEL, key: str | None = None) -> DataFrame:
+    """Distinct documents that are not indexed with these settings: ``doc_hash``, text.
+
+    Documents that are distinct already, with their hash in ``key``, are not compared again.
+    """
+    if key is not None:
+        distinct = docs.select(F.col(key).alias("doc_hash"), F.col(text).alias("text"))
+    else:
+        distinct = docs.select(doc_hash(F.col(text)).alias("doc_hash"), F.col(text).alias("text")
+                               ).dropDuplicates(["doc_hash"])
     if index is None:
         return distinct
     same = index.filter((F.col("chunk_size") == size) & (F.col("chunk_overlap") == overlap)
@@ -179,10 +225,10 @@ def new_documents(docs: DataFrame, text: str, index: DataFrame | None, size: int
 def index_documents(docs: DataFrame, text: str, path: str, size: int = CHUNK_SIZE,
                     overlap: int = CHUNK_OVERLAP, model: str = MODEL,
                     fn: Callable[[pd.Series], pd.Series] = hashed_words,
-                    index: DataFrame | None = None) -> DataFrame:
+                    index: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """Append chunks of new documents to the index at ``path`` and return its chunks for
     these settings. Vectors cost money, so they are written once and read back."""
-    fresh = new_documents(docs, text, index, size, overlap, model)
+    fresh = new_documents(docs, text, index, size, overlap, model, key)
     rows = embed(chunk(fresh, "text", size, overlap), "chunk", fn).withColumns({
         "chunk_size": F.lit(size), "chunk_overlap": F.lit(overlap), "model": F.lit(model)})
     rows.write.mode("append").parquet(path)
@@ -251,7 +297,9 @@ def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         for doc, rows in asked.items():
             if doc not in held:
                 continue
-            here, numbers = points[held[doc]].astype("float64"), ids[held[doc]]
+            # an index that two writers added a document to holds its chunks twice
+            numbers, once = np.unique(ids[held[doc]], return_index=True)
+            here = points[held[doc]][once].astype("float64")
             length = (here * here).sum(axis=1)
             at_once = max(1, min(ROWS_AT_ONCE, CELLS_AT_ONCE // len(numbers)))
             for start in range(rows.start, rows.stop, at_once):
@@ -283,18 +331,20 @@ def _block_count(rows: Column, least: int) -> Column:
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, chunk_block: int = CHUNK_BLOCK,
-             query_block: int = QUERY_BLOCK) -> DataFrame:
+             query_block: int = QUERY_BLOCK, rows: tuple[int, int] | None = None) -> DataFrame:
     """The ``k`` chunks of its document nearest to each query (squared distance).
 
     ``queries``: ``doc_hash, query_hash, embedding``, distinct; ``chunks``: ``doc_hash,
-    chunk_id`` (any distinct numbers), ``embedding``. Ties go to the lower id.
+    chunk_id`` (any numbers, one for each chunk; copies of a chunk count once), ``embedding``; documents
+    without queries may be among them. Ties go to the lower id.
 
     A document of one block shares its task with other small ones; a larger one gets a
     task per pair of a chunk block and a query block. Blocks grow with the document from the given
-    sizes on, since their number is how often a row is copied. Both counts below only size those
-    shared tasks.
+    sizes on, since their number is how often a row is copied. The counts of chunks and queries,
+    ``rows`` if they are known, only size those shared tasks.
     """
-    shared = max(1, -(-chunks.count() // chunk_block), -(-queries.count() // query_block))
+    n_chunks, n_queries = rows or (chunks.count(), queries.count())
+    shared = max(1, -(-n_chunks // chunk_block), -(-n_queries // query_block))
     # both sides may come from one table: give their columns identities of their own
     queries = queries.select(*[F.col(c).alias(c) for c in ("doc_hash", "query_hash", "embedding")])
     chunks = chunks.select(*[F.col(c).alias(c) for c in ("doc_hash", "chunk_id", "embedding")])
@@ -334,12 +384,13 @@ def format_passages(queries: DataFrame, found: DataFrame, fmt: str | None = None
     """``doc_hash, query_hash, value``: passages of each query in rank order.
 
     ``text`` joins them with a rule, or says ``(empty)``; ``json`` and no format give a
-    JSON array, indented for ``json``. At most the retrieved number is held per query.
+    JSON array, indented for ``json``. At most the retrieved number is held per query. A
+    passage that was found in two copies of its chunk counts once.
     """
     if fmt not in (None, "text", "json"):
         raise ValueError(f"unknown format {fmt!r}")
     keys = ["doc_hash", "query_hash"]
-    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk"))).alias("_found"))
+    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("rank", "chunk"))).alias("_found"))
     rows = queries.select(*keys).distinct().join(listed, keys, "left")
     texts = F.transform(F.coalesce(F.col("_found"), F.array().cast("array<struct<rank:int,chunk:string>>")),
                         lambda r: r["chunk"])
@@ -376,15 +427,17 @@ class PassageFunction:
     def apply(self, calls: DataFrame, texts: Mapping[str, DataFrame], params: Sequence[str]) -> DataFrame:
         spark, query = calls.sparkSession, params[0]
         folder = self.index.rstrip("/") if self.index else shared_dir(spark, "index")
-        pairs = calls.select(F.col(self.document).alias("doc_hash"), F.col(query).alias("query_hash"))
+        # the keys come from whole texts, and several steps below read them
+        path = shared_dir(spark, "calls")
+        calls.select(F.col(self.document).alias("doc_hash"), F.col(query).alias("query_hash")).write.parquet(path)
+        pairs = spark.read.parquet(path)
         known = spark.read.parquet(f"{folder}/chunks") if path_exists(spark, f"{folder}/chunks/_SUCCESS") else None
-        chunks = index_documents(texts[self.document], "text", f"{folder}/chunks", self.size, self.overlap, self.model,
-                                 self.fn, known)
         # the index may hold documents that nobody asks for here, and two writers may both have added one
-        chunks = chunks.join(pairs.select("doc_hash").distinct(), "doc_hash", "left_semi").dropDuplicates(["doc_hash", "chunk_id"])
+        chunks = index_documents(texts[self.document], "text", f"{folder}/chunks", self.size, self.overlap, self.model,
+                                 self.fn, known, "key")
         vectors = cached_queries(texts[query], "text", f"{folder}/queries", self.model, self.fn)
         queries = pairs.join(vectors, "query_hash")
-        found = passages(retrieve(queries, chunks, self.k), chunks)
+        found = passages(retrieve(queries, chunks, self.k, rows=(chunks.count(), pairs.count())), chunks)
         return format_passages(pairs, found, self.fmt).select(
             F.col("doc_hash").alias(self.document),
             *([F.col("query_hash").alias(query)] if query != self.document else []), "value")

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 import sys
 from collections import deque
 
@@ -96,6 +97,35 @@ def test_chunks_agree_with_the_plain_split(spark, size, overlap):
     assert "Python" not in rag.chunk(df, "t")._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("size,overlap,kinds", [
+    (500, 50, "words"), (40, 39, "words"), (40, 200, "words"), (500, 50, "lines"), (12, 5, "spaces"), (7, 6, "faces"), (3, 1, "faces")])
+@pytest.mark.parametrize("patterns", [True, False])
+def test_long_paragraphs_agree_with_the_plain_split(spark, monkeypatch, size, overlap, kinds, patterns):
+    """By patterns, and by the fold that settings beyond them take."""
+    if not patterns:
+        monkeypatch.setattr(rag, "PATTERN_SIZE", 0)
+    rng = random.Random(size + overlap)
+    drawn = {
+        "words": lambda: rng.choice("ab é") * rng.choice([1, 3, 7, 30, 60]) + rng.choice([" ", "  ", "\n"]),
+        "lines": lambda: "x" * rng.choice([1, 90, 200, 480, 498, 499, 500, 501, 1300]) + rng.choice(["\n", "\n", "\n\n", "\n\n\n", " "]),
+        "spaces": lambda: rng.choice([" ", "\n", "\n\n", "a", "\t", "\u2003"]) * rng.randint(1, 4),
+        "faces": lambda: rng.choice(["😀", "é", "a😀", " ", "\n", "😀 😀"]) * rng.randint(1, 5)}[kinds]
+    texts = ["".join(drawn() for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    got = {}
+    for r in rag.chunk(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "t", size, overlap).orderBy("k", "chunk_id").collect():
+        got.setdefault(r["k"], []).append(r["chunk"])
+    for k, t in enumerate(texts):
+        assert got.get(k, []) == split_text(t, size, overlap), t
+
+
+def test_words_of_long_paragraphs_are_no_values(spark):
+    """The fold over a text meets a chunk of a long paragraph once, not each of its words."""
+    df = spark.createDataFrame([("some words " * 3000,), ("a line of words\n" * 2000,), ("x" * 30_000,)], "t string")
+    sizes = [r[0] for r in df.select(F.size(rag._leaves(F.col("t"), 500, 50))).collect()]
+    assert sizes == [len(split_text(t, 500, 50)) for t in ("some words " * 3000, "a line of words\n" * 2000, "x" * 30_000)]
+    assert max(sizes) < 100
+
+
 @pytest.mark.parametrize("size,overlap", [(10, 0), (10, 3), (10, 5), (7, 2)])
 def test_fixed_windows(spark, size, overlap):
     texts = ["", "abc", "a" * 10, "é😀" * 9, "0123456789" * 7 + "x"]
@@ -226,3 +256,24 @@ def test_index_and_queries_are_embedded_once(spark, tmp_path, rows):
     # other settings are another index
     grid(docs, ["fox"], size=10)
     assert "fox" not in embedded()
+
+
+def test_chunks_that_two_writers_added_count_once(spark, tmp_path, rows):
+    docs = ["red fox jumps over it all day long", "blue sea and the sky"]
+    project = Project(spark, {"p": "{{doc(q)}}|{{q}}"}, {
+        "d": group_from_rows(spark, [{"doc": d} for d in docs]), "q": group_from_rows(spark, [{"q": q} for q in ("fox", "sea")])})
+    functions = {"doc": rag.PassageFunction("doc", 10, 0, "text", k=2, index=str(tmp_path / "index"))}
+    first = rows(expand(project, functions=functions).select("prompt"))
+    written = spark.read.parquet(str(tmp_path / "index/chunks"))
+    written.write.parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("append").parquet(str(tmp_path / "index/chunks"))
+    assert rows(expand(project, functions=functions).select("prompt")) == first
+
+
+def test_passages_read_the_texts_of_calls_once(spark, tmp_path):
+    """The plan of a grid with passages reads the group for the grid itself; calls come from a table of keys."""
+    spark.createDataFrame([(i, f"text {i}") for i in range(20)], "_ord bigint, doc string").write.parquet(str(tmp_path / "docs"))
+    project = Project(spark, {"p": "{{doc(q)}}"}, {
+        "d": spark.read.parquet(str(tmp_path / "docs")), "q": group_from_rows(spark, [{"q": "text"}])})
+    grid = expand(project, functions={"doc": rag.PassageFunction("doc", index=str(tmp_path / "index"))}).select("prompt")
+    assert len(re.findall(r"Relation \[_ord#\d+L,doc#\d+\]", grid._jdf.queryExecution().optimizedPlan().toString())) == 1
