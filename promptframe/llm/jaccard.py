@@ -219,30 +219,83 @@ class Parts:
 
 
 class Sets:
-    """Sets side by side, to intersect one with many."""
+    """Sets side by side, to intersect one with many.
+
+    Members that lie in one set only can not be shared, so they count in ``length`` and are not held.
+    Those that lie in many sets are columns of bits, others have a list of their sets: either way one set
+    against all takes about a 64th of what all sets hold.
+    """
 
     def __init__(self, sets: list[np.ndarray]):
         self.length = np.array([len(s) for s in sets], np.int64)
-        self.start = np.cumsum(self.length) - self.length
         every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        self.names, self.flat = np.unique(every, return_inverse=True)
-        self.mark = np.zeros(len(self.names), bool)
+        names, self.flat = np.unique(every, return_inverse=True)
+        self.owner = np.repeat(np.arange(len(sets)), self.length)
+        self._hold(np.bincount(self.flat, minlength=len(names)))
+
+    def _hold(self, count: np.ndarray) -> None:
+        stay = (count > 1)[self.flat]
+        self.owner, self.flat, self.count = self.owner[stay], (np.cumsum(count > 1) - 1)[self.flat[stay]], count[count > 1]
+        self.held = np.bincount(self.owner, minlength=len(self.length))
+        self.start = np.cumsum(self.held) - self.held
+
+    def possible(self, percent: int) -> np.ndarray:
+        """Sets that share enough with all others together to link with one; the rest is held no longer.
+
+        What leaves takes its members along, which may leave others alone with theirs, so this goes on while
+        many leave.
+        """
+        least = np.maximum(1, -(-percent * self.length // 100))
+        while True:
+            stay = (self.held >= least)[self.owner]
+            gone, before = int((~stay).sum()), len(stay)
+            if gone:
+                self.owner, self.flat = self.owner[stay], self.flat[stay]
+                self._hold(np.bincount(self.flat, minlength=len(self.count)))
+            if gone * 16 <= before:
+                break
+        alive = np.flatnonzero(self.held >= least)
+        many = self.count * 64 > len(alive)
+        column = np.where(many, np.cumsum(many) - 1, 0)
+        self.mark = np.zeros(len(self.count), bool)
+        self.bits = np.zeros((len(self.length), -(-int(many.sum()) // 64)), np.uint64)
+        inside = many[self.flat]
+        places = column[self.flat[inside]]
+        np.bitwise_or.at(self.bits, (self.owner[inside], places >> 6), np.uint64(1) << (places & 63).astype(np.uint64))
+        # the lists of sets of the other members
+        self.listed, few = ~many, np.flatnonzero(~inside)
+        self.lists = self.owner[few[np.argsort(self.flat[few], kind="stable")]]
+        self.list_length = np.where(many, 0, self.count)
+        self.list_start = np.cumsum(self.list_length) - self.list_length
+        return alive
+
+    def shared(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of ``k`` with the others."""
+        own = self.flat[self.start[k]:self.start[k] + self.held[k]]
+        if len(others) * 64 < len(self.length):
+            self.mark[own] = True
+            hit = np.zeros(int(self.held[others].sum()) + 1, np.int64)
+            np.cumsum(self.mark[ragged(self.flat, self.start, self.held, others)], out=hit[1:])
+            self.mark[own] = False
+            ends = np.cumsum(self.held[others])
+            return hit[ends] - hit[ends - self.held[others]]
+        both = np.bitwise_count(self.bits[others] & self.bits[k]).sum(1, dtype=np.int64)
+        met = ragged(self.lists, self.list_start, self.list_length, own[self.listed[own]])
+        return both + np.bincount(met, minlength=len(self.length))[others]
 
     def linked(self, k: int, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Which of the others link with ``k``, and their distances to it."""
-        own = self.flat[self.start[k]:self.start[k] + self.length[k]]
-        self.mark[own] = True
-        hit = np.zeros(int(self.length[others].sum()) + 1, np.int64)
-        np.cumsum(self.mark[ragged(self.flat, self.start, self.length, others)], out=hit[1:])
-        ends = np.cumsum(self.length[others])
-        both = hit[ends] - hit[ends - self.length[others]]
-        self.mark[own] = False
+        both = np.where(others == k, self.length[k], self.shared(k, others))
         union = self.length[k] + self.length[others] - both
         return 100 * both >= percent * union, 1 - both / union
 
 
-def _pairwise(region: Sets, parts: Parts, members: np.ndarray, others: np.ndarray, percent: int) -> None:
-    """Links of ``others`` with ``members``, of those whose sizes and distances to one of them admit any."""
+def _pairwise(region: Sets, parts: Parts, members: np.ndarray, others: np.ndarray, percent: int,
+              home: np.ndarray | None = None) -> None:
+    """Links of ``others`` with ``members``, of those whose sizes and distances to one of them admit any.
+
+    With ``home``, only links of which one side is marked there.
+    """
     radius = 1 - percent / 100 + 1e-9
     _, distance = region.linked(members[0], members, percent)
     length = region.length[members]
@@ -251,6 +304,8 @@ def _pairwise(region: Sets, parts: Parts, members: np.ndarray, others: np.ndarra
         n = region.length[k]
         near = (parts.of[members] != parts.of[k]) & (100 * np.minimum(n, length) >= percent * np.maximum(n, length))
         near &= np.abs(distance - far[k]) <= radius
+        if home is not None and not home[k]:
+            near &= home[members]
         found = members[near]
         if len(found):
             linked, _ = region.linked(k, found, percent)
@@ -264,10 +319,11 @@ def join_region(sets: list[np.ndarray], percent: int, first: np.ndarray | None =
 
     ``first`` restricts the links that are looked for to those of these sets.
     """
-    parts, every = Parts(len(sets)), np.arange(len(sets))
+    parts = Parts(len(sets))
     if len(sets) < 2:
         return parts.of
     region, radius = Sets(sets), 1 - percent / 100 + 1e-9
+    every = region.possible(percent)
 
     def cut(members: np.ndarray, others: np.ndarray) -> None:
         if not len(others) or len(members) < 2:
@@ -292,11 +348,14 @@ def join_region(sets: list[np.ndarray], percent: int, first: np.ndarray | None =
             # what links to the pivot is connected already, so one of a pair does not
             asked = kept & (left | home & ~linked)
             if kept.sum() > settings.shrink * len(members):
-                _pairwise(region, parts, members[kept], members[asked], percent)
+                # links of two sets that are at home elsewhere are found there
+                at_home = np.zeros(len(sets), bool)
+                at_home[members[home]] = True
+                _pairwise(region, parts, members[kept], members[asked], percent, at_home)
             else:
                 cut(members[kept], members[asked])
 
-    cut(every, every if first is None else np.asarray(first))
+    cut(every, every if first is None else np.intersect1d(every, first))
     return parts.of
 
 

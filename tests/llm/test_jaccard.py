@@ -9,6 +9,7 @@ from edges import bit_texts, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from promptframe.llm import jaccard
 from promptframe.llm.jaccard import SETTINGS, components_of, connected, drop_near_duplicates, join_region
 from promptframe.llm.words import shingle_sets
 
@@ -132,3 +133,45 @@ def test_of_repeated_rows_the_same_one_stays(spark):
     kept = {drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, x int").repartition(n)).first().x
             for n in (1, 3, 7)}
     assert len(kept) == 1
+
+
+def cluster(n, size, seed):
+    """Sets around a common one, with ever more members of their own, some of which a few others have."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        own = int(size * 0.6 * k / n)
+        few, alone = rng.integers(1000, 1000 + 4 * n, own // 2), 10**6 + k * size + np.arange(own - own // 2)
+        out.append(np.unique(np.concatenate([rng.permutation(size)[own:], few, alone])).astype(np.uint64))
+    return [out[k] for k in rng.permutation(n)]
+
+
+@pytest.mark.parametrize("how", [SETTINGS, replace(SETTINGS, pivots=3, leaf=4), replace(SETTINGS, pivots=2, leaf=2, shrink=0.99)])
+def test_regions_of_many_sets_join_exactly(how):
+    rng = np.random.default_rng(5)
+    sets = cluster(220, 40, 1) + [s + np.uint64(10**9) for s in cluster(60, 12, 2)]
+    sets += [np.unique(rng.integers(0, 60, rng.integers(1, 30))).astype(np.uint64) for _ in range(120)]
+    links = [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets[:a])
+             if 100 * (n := len(np.intersect1d(x, y, True))) >= 75 * (len(x) + len(y) - n)]
+    asked = np.flatnonzero(rng.random(len(sets)) < 0.4)
+    for first in (None, asked):
+        part = join_region(sets, 75, first, how)
+        reach = np.arange(len(sets))
+        for a, b in links:
+            if first is None or a in first or b in first:
+                reach[reach == reach[a]] = reach[b]
+        if first is None:
+            assert len(set(zip(part.tolist(), reach.tolist(), strict=True))) == len(set(part.tolist())) == len(set(reach.tolist()))
+        else:
+            # the links asked for are found, and nothing but links
+            assert all(part[a] == part[b] for a, b in links if a in first or b in first)
+            whole = join_region(sets, 75, None, how)
+            assert all(whole[k] == whole[p] for k, p in enumerate(part.tolist()))
+
+
+def test_a_set_is_not_gathered_against_all_of_its_cluster(monkeypatch):
+    """Members of many sets are bits, sets that share too little with all others leave first."""
+    sets, gathered, before = cluster(600, 100, 3), [], jaccard.ragged
+    monkeypatch.setattr(jaccard, "ragged", lambda *a: gathered.append(len(x := before(*a))) or x)
+    join_region(sets, 75)
+    assert sum(gathered) < 600 * 600 * 100 // 20
