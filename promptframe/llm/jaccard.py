@@ -36,12 +36,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptframe.llm.registry import NOT_BLANK, query, table, text_or_empty, written
-from promptframe.llm.tokens import chunks, ragged
+from promptframe.llm.tokens import chunks, mixed, ragged
 from promptframe.llm.words import shingle_sets
 
 
@@ -74,14 +75,20 @@ class Settings:
     def window(self, n: int) -> int:
         return n - int(self.least(n)) + 1 + int(self.longer * n)
 
-    def needed(self, n: int) -> int:
+    def needed(self, n: np.ndarray) -> np.ndarray:
         """Regions that a set shares at least with any linked one, whose size is at least ``least``."""
-        return 1 + int(self.longer * int(self.least(n)))
+        return 1 + (self.longer * self.least(n)).astype(np.int64)
 
 
 SETTINGS = Settings()
 #: Texts a task remembers to send their regions once; beyond it the memory starts anew.
 _SEEN = 500_000
+#: Pairs that a task holds before it deals them out, and buckets for each shuffle partition.
+_HELD = 1 << 19
+_BUCKETS = 4
+#: Kinds of rows of the tables of pairs: texts, pairs, frequent shingles, pairs of these.
+_TEXT, _PAIRS, _NAMES, _OFTEN = range(4)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
@@ -95,116 +102,279 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
 
 
-def _members(rows: DataFrame, settings: Settings) -> DataFrame:
-    """id, digest (of the text), key (of its words), n (shingles) of every row."""
-    schema = T.StructType([rows.schema["id"], T.StructField("digest", T.LongType()),
-                           T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+def _buckets(df: DataFrame) -> int:
+    return _BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, keys = [], [np.zeros(0, np.uint64)]
-            for _, texts in _texts(batch, "text"):
-                sets, sequence = shingle_sets(texts, settings.words)
-                n += map(len, sets)
-                keys.append(sequence)
-            key = np.concatenate(keys).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(key), pa.array(n, pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+def _one_of(found: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which of ``found`` are among the sorted ``names``."""
+    if not len(names):
+        return np.zeros(len(found), bool)
+    return names[np.minimum(np.searchsorted(names, found), len(names) - 1)] == found
+
+
+def _blob(column: pa.Array, dtype) -> np.ndarray:
+    """The numbers of all rows of a binary column, one after the other."""
+    parts = [np.frombuffer(x.as_buffer(), dtype) for x in column if x.is_valid]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def _row(schema: pa.Schema, **values) -> pa.Table:
+    """Rows of some columns as a table of ``schema``, the others null."""
+    n = len(next(iter(values.values())))
+    return pa.table([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(n, f.type) for f in schema], schema=schema)
+
 
+class Dealt:
+    """Pairs of 64-bit numbers, dealt to buckets: a row for each bucket that has any."""
 
-def _windows(rows: DataFrame, settings: Settings, frequent: np.ndarray, whole: bool = False) -> DataFrame:
-    """key, needed, light, window (array of shingles, of which the first ``light`` are not frequent)
-    of every text the task meets first; the window is the whole set if asked."""
-    schema = "key long, needed int, light int, window array<long>"
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, [], 0
+
+    def add(self, bucket: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append((bucket % np.uint64(self.buckets), a, b))
+        self.size += len(a)
+
+    def rows(self, least: int = 1) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+        """(bucket, a, b) of all pairs held, if they are not under ``least``."""
+        if self.size < least:
+            return
+        bucket, a, b = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        # few buckets are sorted by their digits
+        order = np.argsort(bucket.astype(np.uint16 if self.buckets <= 1 << 16 else np.int64), kind="stable")
+        bucket = bucket[order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        ends = pa.py_buffer((np.append(cuts, len(bucket)) * 8).astype(np.int32))
+        yield pa.array(bucket[cuts].astype(np.int32)), *[pa.Array.from_buffers(
+            pa.binary(), len(cuts), [None, ends, pa.py_buffer(np.ascontiguousarray(x[order]))]) for x in (a, b)]
+
+
+def _shingled(rows: DataFrame, settings: Settings, frequent: np.ndarray) -> DataFrame:
+    """Every row with its key (digest of its words) and n (shingles), and the pairs (shingle, key) of the windows
+    of every text a task meets first, dealt by shingles; frequent shingles are dealt by parts."""
+    kind, buckets = rows.schema["id"], _buckets(rows)
+    schema = T.StructType([T.StructField("bucket", T.IntegerType()), kind, T.StructField("digest", T.LongType()),
+                           T.StructField("key", T.LongType()), T.StructField("n", T.LongType()),
+                           T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        dealt, id_type = Dealt(buckets), None
         for batch in batches:
-            keys, needed, light, windows = [], [], [], []
+            id_type, all_keys, n = batch.column(0).type, [np.zeros(0, np.uint64)], []
             for _, texts in _texts(batch, "text"):
                 sets, sequence = shingle_sets(texts, settings.words)
-                for found, key in zip(sets, sequence.view(np.int64).tolist(), strict=True):
-                    if not len(found) or key in seen:
+                all_keys.append(sequence)
+                sizes = [len(found) for found in sets]
+                n += sizes
+                often, keys, windows, begin = _one_of(np.concatenate(sets), frequent), [], [], 0
+                for found, size, key in zip(sets, sizes, sequence.view(np.int64).tolist(), strict=True):
+                    last, begin = often[begin:begin + size], begin + size
+                    if not size or key in seen:
                         continue
                     if len(seen) > _SEEN:
                         seen.clear()
                     seen.add(key)
-                    last = np.zeros(len(found), bool)
-                    if len(frequent):
-                        last = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
-                    size = len(found) if whole else settings.window(len(found))
+                    if last.any():
+                        found = np.concatenate([found[~last], found[last]])
+                    windows.append(found[:settings.window(size)])
                     keys.append(key)
-                    needed.append(settings.needed(len(found)))
-                    light.append(min(size, int((~last).sum())))
-                    windows.append(np.concatenate([found[~last], found[last]])[:size].view(np.int64))
-            ends = np.cumsum([0, *map(len, windows)])
-            flat = np.concatenate(windows) if windows else np.zeros(0, np.int64)
+                if windows:
+                    s, key = np.concatenate(windows), np.repeat(np.array(keys, np.int64), [len(w) for w in windows])
+                    dealt.add(_by_shingle(s, key, frequent, settings), s, key)
+            key = np.concatenate(all_keys)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(needed, pa.int32()), pa.array(light, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["key", "needed", "light", "window"])
+                [batch.column(3), batch.column(0), batch.column(1),
+                 pa.array(key.view(np.int64)), pa.array(n, pa.int64()), pa.nulls(len(n), pa.binary()),
+                 pa.nulls(len(n), pa.binary())], names=schema.names)
+            for found in dealt.rows(_HELD):
+                yield _pairs_of(found, id_type)
+        for found in dealt.rows():
+            yield _pairs_of(found, id_type)
+
+    def _pairs_of(found, id_type) -> pa.RecordBatch:
+        none = [pa.nulls(len(found[0]), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([found[0], *none, *found[1:]], names=schema.names)
+
+    # rows of texts only pass through, so those of equal texts need not meet
+    place = F.pmod(F.xxhash64("id", "digest"), F.lit(buckets)).cast("int").alias("place")
+    return rows.select("id", "digest", "text", place).mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, schema)
+
+def _by_shingle(s: np.ndarray, key: np.ndarray, frequent: np.ndarray, settings: Settings) -> np.ndarray:
+    """The number a pair (shingle, key) is dealt by: that of the shingle, or of a part if it is frequent."""
+    part = np.where(_one_of(s, frequent), key.view(np.uint64) % np.uint64(settings.salts), np.uint64(0))
+    return mixed(s ^ (part * _STEP))
 
 
 def _frequent(rows: DataFrame, settings: Settings) -> np.ndarray:
     """The most frequent shingles of a sample of the documents, sorted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _texts(batch, "text"):
+                sets, sequence = shingle_sets(texts, settings.words)
+                first = np.unique(sequence, return_index=True)[1]
+                found = np.concatenate([sets[k] for k in first.tolist()]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found)], names=["s"])
+
     sample = rows.filter(F.pmod(F.xxhash64("id", "digest"), F.lit(settings.sample)) == 0)
-    counted = _windows(sample, settings, np.zeros(0, np.uint64), whole=True).select(
-        F.explode("window").alias("s")).groupBy("s").count().filter("count >= 4")
+    counted = sample.mapInArrow(run, "s long").groupBy("s").count().filter("count >= 4")
     top = counted.orderBy(F.desc("count"), "s").limit(settings.frequent).collect()
     return np.sort(np.array([r["s"] for r in top], np.int64).view(np.uint64))
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """Of rows (s, key, hot, salt, ...) those whose region holds several texts, with its pivot."""
-    light = Window.partitionBy("s", "salt")
-    named = rows.withColumn("pivot", F.min("key").over(light)).withColumn("_last", F.max("key").over(light))
-    return named.filter(F.col("hot") | (F.col("pivot") != F.col("_last"))).drop("_last")
+def _runs(names: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The values sorted by names, where a run of one name begins, and its length."""
+    order = np.argsort(names)
+    names = names[order]
+    begin = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, np.int64)
+    return names, *[v[order] for v in values], begin, np.diff(np.append(begin, len(names)))
+
 
+def _met(dealt: DataFrame, id_field: T.StructField, settings: Settings, frequent: np.ndarray, named: bool) -> DataFrame:
+    """Of pairs (shingle a, key b) those whose shingle several texts have; rows of texts stay as they are.
+
+    With ``named``, pairs (key a, pivot b) instead, the pivot being the least key. Of a frequent shingle a task
+    sees a part only: its pairs all stay, with the least and the last key of the part beside them.
+    """
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), id_field, T.StructField("digest", T.LongType()),
+                           T.StructField("key", T.LongType()), T.StructField("n", T.LongType()),
+                           *[T.StructField(c, T.BinaryType()) for c in "abc"]])
+
+    def join(group: pa.Table) -> pa.Table:
+        text = group.filter(group.column("key").is_valid())
+        types = pa.schema([("kind", pa.int32()), ("id", group.schema.field("id").type), *[(c, pa.int64()) for c in ("digest", "key", "n")],
+                           *[(c, pa.binary()) for c in "abc"]])
+        out = [_row(types, kind=np.full(len(text), _TEXT), **{c: text.column(c).combine_chunks() for c in ("id", "digest", "key", "n")})]
+        s, key, begin, length = _runs(_blob(group.column("a"), np.uint64), _blob(group.column("b"), np.int64))
+        if len(s):
+            least, last = np.minimum.reduceat(key, begin), np.maximum.reduceat(key, begin)
+            often = _one_of(s[begin], frequent)
+            stay = np.repeat(~often & (least != last), length)
+            one, other = (key[stay], np.repeat(least, length)[stay]) if named else (s[stay], key[stay])
+            hot = np.repeat(often, length)
+            out += [_row(types, kind=[k], **{c: [v.tobytes()] for c, v in zip("abc", values)}) for k, values in (
+                (_PAIRS, (one, other)), (_OFTEN, (s[hot], key[hot])), (_NAMES, (s[begin][often], least[often], last[often])))
+                if len(values[0])]
+        return pa.concat_tables(out)
+
+    return dealt.groupBy("bucket").applyInArrow(join, schema)
+
+
+def _hot_names(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles that several texts have, sorted, and the pivots of their regions."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_blob(c, np.int64)) for c in batch.columns], names=["s", "least", "last"])
 
-def _hot_named(rows: DataFrame) -> DataFrame:
-    """The pivots of the regions of frequent shingles, whose parts have named their own before."""
-    hot = rows.filter("hot")
     # one row per frequent shingle, of which ``frequent`` bounds the number, so every task holds them
-    found = hot.groupBy("s").agg(F.min("key").alias("least"), F.max("key").alias("last")).filter("least <> last").collect()
+    parts = table.filter(F.col("kind") == _NAMES).select("a", "b", "c").mapInArrow(run, "s long, least long, last long")
+    found = parts.groupBy("s").agg(F.min("least").alias("least"), F.max("last").alias("last")).filter("least <> last").collect()
     names, pivots = (np.array([r[c] for r in found], np.int64) for c in ("s", "least"))
-    order, own, place = np.argsort(names), rows.columns.index("s"), rows.columns.index("pivot")
-    names, pivots, schema = names[order], pivots[order], rows.schema
+    order = np.argsort(names.view(np.uint64))
+    return names[order].view(np.uint64), pivots[order]
+
+
+_DEALT = "bucket int, own boolean, a binary, b binary"
 
-    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column(own).to_numpy()
-            at = np.minimum(np.searchsorted(names, s), len(names) - 1) if len(names) else np.zeros(len(s), np.int64)
-            met = names[at] == s if len(names) else np.zeros(len(s), bool)
-            columns = [c.filter(pa.array(met)) for c in batch.columns]
-            columns[place] = pa.array(pivots[at[met]] if len(names) else pivots)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return rows.filter("NOT hot").unionByName(hot.mapInArrow(rename, schema))
+def _by_key(table: DataFrame, settings: Settings, hot: tuple[np.ndarray, np.ndarray], named: bool) -> DataFrame:
+    """The pairs of a table (shingle, or with ``named`` pivot, as a, and key as b) dealt by key, with what a text needs
+    (``own``, as a). Frequent shingles that one text has leave here, others have their pivots by now."""
+    buckets, (names, pivots) = _buckets(table), hot
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = {own: Dealt(buckets) for own in (False, True)}
 
+        def rows(least: int) -> Iterator[pa.RecordBatch]:
+            for own, part in dealt.items():
+                for bucket, a, b in part.rows(least):
+                    yield pa.RecordBatch.from_arrays([bucket, pa.array([own] * len(bucket), pa.bool_()), a, b], names=["bucket", "own", "a", "b"])
 
-def _edges(rows: DataFrame, settings: Settings) -> DataFrame:
+        for batch in batches:
+            kind = np.array(batch.column("kind"))
+            for k in np.unique(kind).tolist():
+                part = batch.filter(pa.array(kind == k))
+                if k == _TEXT:
+                    key, n = (np.array(part.column(c), np.int64) for c in ("key", "n"))
+                    key, a = key[n > 0], settings.needed(n[n > 0])
+                elif k == _PAIRS:
+                    a, key = (_blob(part.column(c), np.int64) for c in ("ba" if named else "ab"))
+                elif k == _OFTEN:
+                    a, key = _blob(part.column("a"), np.uint64), _blob(part.column("b"), np.int64)
+                    met = _one_of(a, names)
+                    a, key = a[met], key[met]
+                    if named and len(a):
+                        a = pivots[np.searchsorted(names, a)]
+                else:
+                    continue
+                dealt[k == _TEXT].add(mixed(key.view(np.uint64)), a.view(np.int64), key)
+            yield from rows(_HELD)
+        yield from rows(1)
+
+    return table.select("kind", "key", "n", "a", "b").mapInArrow(run, _DEALT)
+
+
+def _of_keys(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """Pairs (key, other) of a group sorted by key, where each key begins and its length, and what it needs."""
+    own = group.column("own")
+    asked, pairs = group.filter(own), group.filter(pc.invert(own))
+    texts, first = np.unique(_blob(asked.column("b"), np.int64), return_index=True)
+    needed = _blob(asked.column("a"), np.int64)[first]
+    key, other = _blob(pairs.column("b"), np.int64), _blob(pairs.column("a"), np.int64)
+    order = np.lexsort((other, key))
+    key, other = key[order], other[order]
+    return key, other, texts, needed
+
+
+def _edges(table: DataFrame, settings: Settings, frequent: np.ndarray) -> DataFrame:
     """(key, pivot): the regions by pivot document in which each text has to be joined."""
-    frequent = _frequent(rows, settings)
-    windows = _windows(rows, settings, frequent).select(
-        "key", "needed", "light", F.posexplode("window").alias("place", "s"))
-    hot = F.col("place") >= F.col("light")
-    salted = windows.select("s", "key", "needed", hot.alias("hot"), F.when(hot, F.pmod("key", F.lit(settings.salts)))
-                            .otherwise(0).cast("int").alias("salt"))
-    shared = _hot_named(written(_met(salted), "jaccard-windows")).dropDuplicates(["s", "key"])
-    alive = shared.groupBy("key").agg(F.count("*").alias("met"), F.first("needed").alias("_needed")).filter(
-        "met >= _needed")
-    left = shared.drop("pivot").join(alive.select("key"), "key", "left_semi")
-    named = _hot_named(written(_met(left), "jaccard-shared"))
-    counted = named.groupBy("key", "pivot").agg(F.count("*").alias("met"), F.first("needed").alias("needed"))
-    # linked texts share as many regions as either needs, so each may leave under half of its need
-    so_far = Window.partitionBy("key").orderBy("met", "pivot").rowsBetween(Window.unboundedPreceding, 0)
-    kept = counted.withColumn("left", F.sum("met").over(so_far)).filter(
-        F.col("left") > F.floor((F.col("needed") - 1) / 2))
-    return written(kept.select("key", "pivot"), "jaccard-edges")
+    id_field, buckets = table.schema["id"], _buckets(table)
+
+    def alive(group: pa.Table) -> pa.Table:
+        key, s, texts, needed = _of_keys(group)
+        if len(key):
+            once = np.r_[True, (key[1:] != key[:-1]) | (s[1:] != s[:-1])]
+            key, s = key[once], s[once]
+            key, s, _, length = _runs(key, s)
+            begin = np.cumsum(length) - length
+            stay = np.repeat(length >= needed[np.searchsorted(texts, key[begin])], length)
+            key, s = key[stay], s[stay]
+        return pa.table({"a": [s.tobytes()], "b": [key.tobytes()]}, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = Dealt(buckets)
+        for batch in batches:
+            s, key = _blob(batch.column(0), np.uint64), _blob(batch.column(1), np.int64)
+            dealt.add(_by_shingle(s, key, frequent, settings), s, key)
+            for found in dealt.rows(_HELD):
+                yield pa.RecordBatch.from_arrays(list(found), names=["bucket", "a", "b"])
+        for found in dealt.rows():
+            yield pa.RecordBatch.from_arrays(list(found), names=["bucket", "a", "b"])
+
+    def kept(group: pa.Table) -> pa.Table:
+        key, pivot, texts, needed = _of_keys(group)
+        if len(key):
+            begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pivot[1:] != pivot[:-1])])
+            key, pivot, met = key[begin], pivot[begin], np.diff(np.append(begin, len(key)))
+            order = np.lexsort((pivot, met, key))
+            key, pivot, met = key[order], pivot[order], met[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            so_far = np.cumsum(met)
+            so_far -= np.repeat((so_far - met)[first], np.diff(np.append(first, len(key))))
+            # linked texts share as many regions as either needs, so each may leave under half of its need
+            stay = so_far > (needed[np.searchsorted(texts, key)] - 1) // 2
+            key, pivot = key[stay], pivot[stay]
+        return pa.table([pa.array(key), pa.array(pivot)], names=["key", "pivot"])
+
+    shared = _by_key(table, settings, _hot_names(table), False).groupBy("bucket").applyInArrow(alive, "a binary, b binary")
+    left = shared.mapInArrow(deal, "bucket int, a binary, b binary")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("id", id_field.dataType), ("digest", "long"), ("key", "long"), ("n", "long"))]
+    met = written(_met(left.select("bucket", *none, "a", "b"), id_field, settings, frequent, True), "jaccard-shared")
+    every = met.unionByName(table.filter(F.col("kind") == _TEXT))
+    return written(_by_key(every, settings, _hot_names(met), True).groupBy("bucket").applyInArrow(
+        kept, "key long, pivot long"), "jaccard-edges")
 
 
 class Parts:
@@ -532,8 +702,10 @@ def connected(edges: DataFrame) -> DataFrame:
 def _rooted(docs: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
     """id, digest, key, n and root (of the component; null without shingles) of every row."""
     rows = _documents(docs, id_col, text_col)
-    members = written(_members(rows, settings), "jaccard-members")
-    sets = _region_sets(rows, members.filter("n > 0"), _edges(rows, settings), settings)
+    frequent = _frequent(rows, settings)
+    found = written(_met(_shingled(rows, settings, frequent), rows.schema["id"], settings, frequent, False), "jaccard-windows")
+    members = found.filter(F.col("kind") == _TEXT).select("id", "digest", "key", "n")
+    sets = _region_sets(rows, members.filter("n > 0"), _edges(found, settings, frequent), settings)
     links = written(_small_links(sets, settings).unionByName(_large_links(sets, settings)), "jaccard-links")
     roots = connected(links)
     return members.join(roots, members["key"] == roots["node"], "left").select(

@@ -175,3 +175,23 @@ def test_a_set_is_not_gathered_against_all_of_its_cluster(monkeypatch):
     monkeypatch.setattr(jaccard, "ragged", lambda *a: gathered.append(len(x := before(*a))) or x)
     join_region(sets, 75)
     assert sum(gathered) < 600 * 600 * 100 // 20
+
+
+def test_windows_move_as_packed_pairs(spark, monkeypatch):
+    """A row of a text and some rows for a bucket, not a row for each shingle of a window."""
+    rows, counts, write = corpus(), {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, purpose: counts.setdefault(purpose, write(df, purpose)))
+    components_of(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert counts["jaccard-windows"].count() <= len(rows) + 3 * buckets
+    assert counts["jaccard-shared"].count() <= 3 * buckets
+
+
+def test_pairs_are_dealt_bit_by_bit(spark, monkeypatch):
+    """What a task holds before it deals changes nothing, whatever the number of buckets."""
+    monkeypatch.setattr(jaccard, "_HELD", 50)
+    monkeypatch.setattr(jaccard, "_BUCKETS", 1)
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r) for r in components_of(df, settings=replace(SETTINGS, sample=2, salts=3)).collect()), key=key)
+    assert got == sorted(brute(rows), key=key)
