@@ -266,3 +266,30 @@ def test_a_task_of_a_large_group_makes_a_bounded_number_of_combinations(spark, m
     grid = g.product(spark, [None, rows], [g.Size(3), g.Size(100)])
     assert sorted(r["combo_id"] for r in grid.collect()) == list(range(300))
     assert grid.rdd.getNumPartitions() == 30
+
+
+def test_a_step_that_reads_one_value_makes_no_map(spark):
+    """Neither where the prompt is read beside it, nor in the query whose combinations are hashed in tiles."""
+    from promptframe.plans.catalog import QUERIES
+
+    groups = {n: group_from_rows(spark, [{n: f"{n}{i}"} for i in range(3)]) for n in ("a", "b")}
+    grid = g.expand(Project(spark, {"p": "{{a}} and {{b}}"}, groups))
+    each = grid.select(F.col("args")["a"].alias("a"), F.length("prompt").alias("chars"), F.col("prompt_hash").alias("key"))
+    for df in (each, QUERIES["grid_tiles"](spark, "/root/testdata/sf0.001")):
+        assert "map(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.a, r.chars) for r in each.collect()} == {(f"a{i}", 9) for i in range(3)}
+    assert {r.args["b"] for r in grid.collect()} == {"b0", "b1", "b2"}
+
+
+@pytest.mark.parametrize("tiled", [False, True])
+def test_characters_of_prompts(spark, monkeypatch, tiled):
+    """Counted by values, they are those of the prompt, with characters of several bytes in any place."""
+    monkeypatch.setattr(g, "TILE_ROWS", 2)
+    texts = ["", "x", "\u00e9t\u00e9", "\u4e2d\u6587", "a\U0001f600b", None]
+    groups = {n: group_from_rows(spark, [{n: t, "n": i} for i, t in enumerate(texts)]) for n in ("a", "b")}
+    prompts = {"p": "\u00fc {{a}}{{b}} {{a}}", "q": "{{n}} {{prompt}} {{none}} \U0001f600", "r": "", "s": "{{b}}"}
+    sizes = {n: g.Size(len(texts)) if tiled else g.Size(len(texts), 1) for n in groups}
+    grid = g.expand(Project(spark, prompts, groups), "marker", sizes=sizes, chars=True)
+    got = grid.select("chars", F.length("prompt").alias("n"), "prompt").collect()
+    assert len(got) == 4 * 36 and all(r.chars == r.n == len(r.prompt) for r in got)
+    assert grid.columns[:-1] == g.expand(Project(spark, prompts, groups), "marker", sizes=sizes).columns
